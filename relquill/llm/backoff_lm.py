@@ -20,7 +20,7 @@ from .common import slices
 from .tokens import NOT_SPACE, gram_hashes, word_hashes
 
 #: Bytes of text in a block, about; a longer text has a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 5_000_000
 ALPHA = 0.4
 
 
