@@ -1,4 +1,511 @@
-"""Named queries over the driver's tables, with the SQL that checks them."""
+"""Named queries over the driver's tables, each with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from relquill.functions import text as T
+from relquill.operators import benchmarks, graph, lexical, ranking, validation
+from relquill.sources.tables import long_vectors, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- inputs -----------------------------------------------------------------------------------------------------------
+
+
+def items(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("cand"), "text")
+
+
+def groups(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.col("doc_id").alias("cand"), F.col("source").alias("grp"))
+
+
+def gold(s: SparkSession, d: str) -> DataFrame:
+    """(qid, cand): documents that hold an item's whole text. Items and documents meet on the item's rarest token."""
+    q = items(s, d).where("text IS NOT NULL AND text <> ''")
+    q = q.select("qid", F.col("text").alias("item"), F.array_distinct(T.tokens("text")).alias("ts"))
+    doc = texts(s, d).where("text IS NOT NULL").withColumn("ts", F.array_distinct(T.tokens("text")))
+    wanted = q.select(F.explode("ts").alias("tok")).distinct()
+    df = doc.select(F.explode("ts").alias("tok")).join(wanted, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
+    # the first and last token may be cut off by neighbouring letters
+    inner = q.select("qid", "item", F.explode(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(1)))).alias("tok"))
+    key = inner.join(df, "tok").groupBy("qid", "item").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
+    near = doc.select("cand", F.explode("ts").alias("tok")).join(key, "tok").select("qid", "item", "cand")
+    return near.join(texts(s, d), "cand").where(F.expr("contains(text, item)")).select("qid", "cand").distinct()
+
+
+TOK = "regexp_extract_all(lower(regexp_replace(coalesce({}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')"
+GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id AS cand FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+BM25 = f"""
+dt AS (SELECT doc_id AS cand, {TOK.format('text')} AS ts FROM documents), dl AS (SELECT cand, len(ts) AS dl FROM dt), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT cand, tok, count(*) AS tf FROM (SELECT cand, unnest(ts) AS tok FROM dt) GROUP BY ALL), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok),
+qt AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({TOK.format('text')}) AS tok FROM benchmark) GROUP BY ALL),
+bm AS (SELECT qid, cand, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM tf JOIN qt USING (tok) JOIN df USING (tok) JOIN dl USING (cand), st GROUP BY ALL),
+rk AS (SELECT qid, cand, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cand) AS rank FROM bm)"""
+
+
+def bm25_ranks(s: SparkSession, d: str) -> DataFrame:
+    return ranking.ranked(lexical.bm25(items(s, d), texts(s, d)))
+
+
+# -- lexical ranking ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {BM25} SELECT qid, cand, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
+def bm25_rank_topk(s, d):
+    return bm25_ranks(s, d).where("rank <= 10").select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {GOLD}, pool AS (SELECT DISTINCT g.qid, x.doc_id AS cand FROM gold g JOIN documents p ON p.doc_id = g.cand JOIN documents x ON x.source = p.source),
+dt AS (SELECT qid, doc_id AS cand, {TOK.format('text')} AS ts FROM pool JOIN documents ON doc_id = cand), st AS (SELECT qid, count(*) AS n, avg(len(ts)) AS avgdl FROM dt GROUP BY qid),
+tf AS (SELECT qid, cand, dl, tok, count(*) AS tf FROM (SELECT qid, cand, len(ts) AS dl, unnest(ts) AS tok FROM dt) GROUP BY ALL),
+df AS (SELECT qid, tok, count(*) AS df FROM tf GROUP BY ALL),
+qt AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({TOK.format('text')}) AS tok FROM benchmark) GROUP BY ALL),
+bm AS (SELECT qid, cand, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+  FROM tf JOIN qt USING (qid, tok) JOIN df USING (qid, tok) JOIN st USING (qid) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cand) AS rank FROM bm)
+SELECT qid, cand, round(score, 6) AS score, rank FROM rk WHERE rank <= 5""")
+def bm25_pool_scope(s, d):
+    """BM25 with document counts and lengths of each query's pool (the groups of its positives) alone."""
+    g = gold(s, d).join(groups(s, d), "cand").select("qid", "grp").distinct()
+    split = table(s, d, "documents").select(F.col("doc_id").alias("cand"), F.col("source").alias("grp"), T.tokens("text").alias("ts")).withColumn("dl", F.size("ts"))
+    size = g.join(split.groupBy("grp").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")), "grp").groupBy("qid").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
+    q = items(s, d).select("qid", F.explode(T.tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
+    tf = split.select("cand", "grp", "dl", F.explode("ts").alias("tok")).join(q.select("tok").distinct(), "tok", "left_semi").groupBy("grp", "tok", "cand", "dl").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("grp", "tok").agg(F.count("*").alias("df")).join(g, "grp").groupBy("qid", "tok").agg(F.sum("df").alias("df"))
+    hit = tf.join(g, "grp").join(q, ["qid", "tok"]).join(df, ["qid", "tok"]).join(size, "qid")
+    part = F.expr("qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))")
+    out = ranking.ranked(hit.groupBy("qid", "cand").agg(F.sum(part).alias("score")), 5)
+    return out.select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _tf_sql(weight: str, least: int) -> str:
+    return f"""WITH dt AS (SELECT doc_id AS cand, unnest({TOK.format('text')}) AS tok FROM documents), tf AS (SELECT cand, tok, count(*) AS tf FROM dt GROUP BY ALL),
+df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok HAVING count(*) >= {least}), n AS (SELECT count(*) AS n FROM documents),
+v AS (SELECT tf.* FROM tf JOIN df USING (tok)), norm AS (SELECT cand, sqrt(sum(tf * tf)) AS norm FROM v GROUP BY cand),
+q AS (SELECT qid, tok, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({TOK.format('text')}) AS tok FROM benchmark) JOIN df USING (tok) GROUP BY ALL),
+qn AS (SELECT qid, sqrt(sum(qtf * qtf)) AS qnorm FROM q GROUP BY qid),
+sc AS (SELECT qid, cand, sum({weight} * tf * qtf) AS dot FROM v JOIN q USING (tok) JOIN df USING (tok), n GROUP BY ALL),
+rk AS (SELECT qid, cand, dot / norm / qnorm AS score FROM sc JOIN norm USING (cand) JOIN qn USING (qid)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cand) AS rank FROM rk)
+SELECT qid, cand, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+
+
+def _top5(scores: DataFrame) -> DataFrame:
+    return ranking.ranked(scores, 5).select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(_tf_sql("1.0", 1))
+def vanilla_tf_cosine(s, d):
+    return _top5(lexical.tf_dot(items(s, d), texts(s, d)))
+
+
+@query(_tf_sql("(ln((1 + n) / (1 + df)) + 1)", 2))
+def idf_dot_rank(s, d):
+    return _top5(lexical.tf_dot(items(s, d), texts(s, d), idf=True, min_df=2))
+
+
+@query()
+def hashed_log_tf_cosine(s, d):
+    """Cosine of hashed log counts (crc32 buckets, which the SQL at hand has not)."""
+    q = lexical.hashed_log_tf(items(s, d).withColumnRenamed("qid", "cand"), "cand", T.identifier_tokens("text")).withColumnRenamed("cand", "qid").withColumnRenamed("w", "qw")
+    v = lexical.hashed_log_tf(texts(s, d), "cand", T.identifier_tokens("text"))
+    norm = lambda df, key, w: df.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"n_{w}"))
+    dot = v.join(q, "bucket").groupBy("qid", "cand").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return _top5(dot.join(norm(v, "cand", "w"), "cand").join(norm(q, "qid", "qw"), "qid").select("qid", "cand", (F.col("dot") / F.col("n_w") / F.col("n_qw")).alias("score")))
+
+
+OVERLAP = f"""ov AS (SELECT qid, cand, count(*) AS score FROM (SELECT DISTINCT item_id AS qid, unnest({TOK.format('text')}) AS tok FROM benchmark)
+  JOIN (SELECT DISTINCT doc_id AS cand, unnest({TOK.format('text')}) AS tok FROM documents) USING (tok) GROUP BY ALL)"""
+
+
+@query(f"WITH {OVERLAP}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand) AS rank FROM ov) SELECT qid, cand, score, rank FROM r WHERE rank <= 10")
+def token_overlap_rank(s, d):
+    return ranking.ranked(lexical.overlap(items(s, d), texts(s, d)), 10).select("qid", "cand", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# -- metrics ------------------------------------------------------------------------------------------------------------
+
+PERQ = f"""{BM25}, {GOLD}, pq AS (SELECT g.qid, count(*) AS n_rel, count(*) FILTER (rank <= 1) / count(*) AS recall_1, count(*) FILTER (rank <= 5) / count(*) AS recall_5, count(*) FILTER (rank <= 10) / count(*) AS recall_10,
+  CASE WHEN min(rank) <= 1 THEN 1.0 ELSE 0.0 END AS hit_1, CASE WHEN min(rank) <= 5 THEN 1.0 ELSE 0.0 END AS hit_5, CASE WHEN min(rank) <= 10 THEN 1.0 ELSE 0.0 END AS hit_10, coalesce(1 / min(rank), 0) AS rr,
+  coalesce(sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END), 0) / list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda k: 1 / log2(k + 1))) AS ndcg_10
+  FROM gold g LEFT JOIN rk USING (qid, cand) GROUP BY g.qid)"""
+METRICS = ("recall_1", "recall_5", "recall_10", "hit_1", "hit_5", "hit_10", "rr", "ndcg_10")
+
+
+@query(f"WITH {PERQ} SELECT count(*) AS n_queries, " + ", ".join(f"round(avg({m}), 6)::DOUBLE AS {m}" for m in METRICS) + " FROM pq")
+def retrieval_metrics(s, d):
+    pq = ranking.per_query(bm25_ranks(s, d), gold(s, d))
+    return pq.agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
+
+
+@query(f"WITH {PERQ} SELECT qid, n_rel, " + ", ".join(f"round({m}, 6)::DOUBLE AS {m}" for m in METRICS) + " FROM pq")
+def ndcg_hits_suite(s, d):
+    return ranking.per_query(bm25_ranks(s, d), gold(s, d)).select("qid", "n_rel", *(F.round(m, 6).alias(m) for m in METRICS))
+
+
+@query(f"""WITH {BM25}, {GOLD} SELECT source AS grp, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS top1
+FROM gold JOIN documents ON doc_id = cand LEFT JOIN rk USING (qid, cand) GROUP BY ROLLUP (source)""")
+def metrics_by_group_rollup(s, d):
+    g = gold(s, d).join(groups(s, d), "cand").join(bm25_ranks(s, d).select("qid", "cand", "rank"), ["qid", "cand"], "left")
+    return g.rollup("grp").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") <= 1, 1.0).otherwise(0.0)), 6).alias("top1"))
+
+
+HARD = f"""{OVERLAP}, {GOLD}, ig AS (SELECT DISTINCT qid, source FROM gold JOIN documents ON doc_id = cand),
+hn AS (SELECT qid, cand, score AS overlap, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand) AS rank FROM ov JOIN documents ON doc_id = cand JOIN ig USING (qid, source)
+  WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.qid = ov.qid AND g.cand = ov.cand))"""
+
+
+@query(f"WITH {HARD} SELECT qid, cand, overlap, rank FROM hn WHERE rank <= 8")
+def hard_negative_mining(s, d):
+    out = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), texts(s, d)), gold(s, d), groups(s, d))
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {BM25}, {HARD}, a AS (SELECT g.qid, min(rk.rank) AS rel FROM gold g LEFT JOIN rk USING (qid, cand) GROUP BY g.qid),
+b AS (SELECT h.qid, min(rk.rank) AS neg FROM hn h LEFT JOIN rk ON rk.qid = h.qid AND rk.cand = h.cand WHERE h.rank <= 8 GROUP BY h.qid)
+SELECT count(*) AS n, round(avg(CASE WHEN rel IS NULL THEN 0.0 WHEN neg IS NULL OR rel < neg THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM a JOIN b USING (qid)""")
+def hard_negative_accuracy(s, d):
+    hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), texts(s, d)), gold(s, d), groups(s, d)).select("qid", "cand")
+    wins = ranking.hard_negative_wins(bm25_ranks(s, d).select("qid", "cand", "rank"), gold(s, d), hard)
+    return wins.agg(F.count("win").alias("n"), F.round(F.avg("win"), 6).alias("accuracy"))
+
+
+H32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {GOLD}, p AS (SELECT DISTINCT g.qid, x.doc_id AS cand FROM gold g JOIN documents y ON y.doc_id = g.cand JOIN documents x ON x.source = y.source
+  WHERE NOT EXISTS (SELECT 1 FROM gold o WHERE o.qid = g.qid AND o.cand = x.doc_id)),
+k AS (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY {H32.format("'7|' || qid || '|' || cand")}, cand) AS k FROM p) SELECT qid, cand, k FROM k WHERE k <= 15""")
+def hash_sampled_pool(s, d):
+    return benchmarks.sampled_pool(items(s, d).select("qid"), groups(s, d), gold(s, d), 15, 7).withColumn("k", F.col("k").cast("long"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS k, count(*) OVER () AS n FROM orders WHERE o_orderdate IS NOT NULL)
+SELECT o_orderkey, CASE WHEN k <= floor(n * 0.6) THEN 'train' ELSE 'test' END AS split FROM r""")
+def temporal_split(s, d):
+    return benchmarks.temporal_split(table(s, d, "orders").where("o_orderdate IS NOT NULL").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
+
+
+@query("""WITH g AS (SELECT source AS grp, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents))
+SELECT doc_id, CASE WHEN k <= floor(n * 0.6) THEN 'train' ELSE 'test' END AS split FROM documents JOIN g ON grp = source""")
+def crossgroup_split(s, d):
+    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("grp"))
+    return docs.join(benchmarks.cross_group_split(docs, "grp"), "grp").select("doc_id", "split")
+
+
+@query(f"""WITH g AS (SELECT DISTINCT source FROM documents), k AS (SELECT s, source, row_number() OVER (PARTITION BY s ORDER BY {H32.format("s || '|' || source")}, source) AS k, count(*) OVER (PARTITION BY s) AS n FROM g, range(100, 105) t(s))
+SELECT s AS seed, source AS grp, CASE WHEN k <= floor(n * 0.6) THEN 'train' ELSE 'test' END AS split FROM k""")
+def multi_split(s, d):
+    g = table(s, d, "documents").select(F.col("source").alias("grp")).distinct().where("grp IS NOT NULL").withColumn("seed", F.explode(F.sequence(F.lit(100).cast("long"), F.lit(104).cast("long"))))
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "seed", "grp").cast("binary")), 1, 8), 16, 10).cast("long")
+    w = Window.partitionBy("seed")
+    k = g.withColumn("k", F.row_number().over(w.orderBy(h, "grp"))).withColumn("n", F.count("*").over(w))
+    return k.select("seed", "grp", F.when(F.col("k") <= F.floor(F.col("n") * 0.6), "train").otherwise("test").alias("split"))
+
+
+@query("""WITH x AS (SELECT doc_id, source, n_chars::DOUBLE AS x FROM documents)
+SELECT doc_id, round(coalesce((x - avg(x) OVER (PARTITION BY source)) / nullif(round(stddev_pop(x) OVER (PARTITION BY source), 12), 0), 0), 6) AS z FROM x""")
+def loro_folds_zscore(s, d):
+    return table(s, d, "documents").select("doc_id", F.round(ranking.z_score(F.col("n_chars").cast("double"), "source"), 6).alias("z"))
+
+
+# -- text ---------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, length(s) AS n, sha256(s) AS h FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  text || ' see owner/repo#12 and #34 (gh-56) .', '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+', ' ', 'g'), '#[0-9]+', ' ', 'g'), '(?i)\\bgh-[0-9]+\\b', ' ', 'g'),
+  '\\(\\s*\\)', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g')) AS s FROM documents
+  WHERE NOT regexp_matches(text, '\\b[0-9a-f]{7,40}\\b') AND NOT contains(text, 'http'))""")
+def scrub_references(s, d):
+    """References are appended to each text first; texts with hash-like words are left to the unit tests."""
+    docs = table(s, d, "documents").where(~F.col("text").rlike(r"\b[0-9a-f]{7,40}\b") & ~F.col("text").contains("http"))
+    out = docs.select("doc_id", T.scrub_references(F.concat("text", F.lit(" see owner/repo#12 and #34 (gh-56) ."))).alias("s"))
+    return out.select("doc_id", F.length("s").cast("long").alias("n"), F.sha2(F.col("s").cast("binary"), 256).alias("h"))
+
+
+@query("""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS r FROM documents)
+SELECT doc_id, (sum(len(string_split(regexp_replace(r, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' ')) + 1))::BIGINT AS n FROM r GROUP BY doc_id""")
+def tokenize_identifiers(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(T.identifier_tokens("text")).cast("long").alias("n")).where("n > 0")
+
+
+@query("""WITH b AS (SELECT doc_id, trim(text) AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1024 THEN 1 ELSE ceil((length(t) - 1024) / 819)::BIGINT + 1 END)) AS i FROM b)
+SELECT doc_id, count(*) AS n, sum(length(substr(t, i * 819 + 1, 1024)))::BIGINT AS chars FROM c WHERE length(t) <= 1024 OR trim(substr(t, i * 819 + 1, 1024)) <> '' GROUP BY doc_id""")
+def chunk_windows(s, d):
+    c = table(s, d, "documents").select("doc_id", T.chunks("text", 1024).alias("c"))
+    return c.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
+
+
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k FROM events")
+def json_props_extract(s, d):
+    return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT o_orderkey, 'sha256:' || sha256(concat_ws('|', o_orderkey::VARCHAR, coalesce(o_custkey::VARCHAR, '~'), coalesce(o_orderstatus, '~'), coalesce(o_orderpriority, '~'))) AS h FROM orders")
+def provenance_hash(s, d):
+    return table(s, d, "orders").select("o_orderkey", T.canonical_hash("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("h"))
+
+
+@query("""WITH b AS (SELECT doc_id, 'Fixes #' || (doc_id + 1) || ', closes owner/repo#' || (doc_id + 2) || ' and see #5' AS body FROM documents),
+e AS (SELECT DISTINCT doc_id AS source, unnest(regexp_extract_all(body, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\\b:?\\s+(?:[a-z0-9_.-]+/[a-z0-9_.-]+)?(?:#|gh-)([0-9]+)', 1))::BIGINT AS target FROM b)
+SELECT source, target, 'fixes' AS relation, 0.95::DOUBLE AS confidence FROM e WHERE target IN (SELECT doc_id FROM documents)""")
+def ingest_extract_fixes(s, d):
+    docs = table(s, d, "documents")
+    body = F.concat(F.lit("Fixes #"), (F.col("doc_id") + 1).cast("string"), F.lit(", closes owner/repo#"), (F.col("doc_id") + 2).cast("string"), F.lit(" and see #5"))
+    e = docs.select(F.col("doc_id").alias("source"), F.explode(F.transform(T.closing_references(body), lambda x: x.cast("long"))).alias("target")).distinct()
+    return e.join(docs.select(F.col("doc_id").alias("target")), "target", "left_semi").select("source", "target", F.lit("fixes").alias("relation"), F.lit(0.95).alias("confidence"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f, role FROM conversations)
+SELECT conv_id, string_agg(role || ': ' || CASE WHEN length(f) <= 60 THEN f ELSE rtrim(substr(f, 1, 59)) || '…' END, chr(10) ORDER BY turn, role, f) AS prompt FROM t GROUP BY conv_id""")
+def pack_context(s, d):
+    t = table(s, d, "conversations").select("conv_id", "turn", "role", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("f"))
+    line = F.concat("role", F.lit(": "), T.truncated("f", 60))
+    rows = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "f", line.alias("line")))).alias("x"))
+    return rows.select("conv_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("prompt"))
+
+
+# -- vectors ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT q, cand, round(score, 5) AS score FROM (SELECT a.vec_id AS q, b.vec_id AS cand, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) DESC, b.vec_id) AS k
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE k <= 5""")
+def cosine_topk_vectors(s, d):
+    """Every hundredth vector as a stated query set against all vectors."""
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
+    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    pairs = e.join(q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("cand"), dot.alias("score"))
+    return ranking.ranked(pairs, 5).select(F.col("qid").alias("q"), "cand", F.round("score", 5).alias("score"))
+
+
+@query("""SELECT label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL""")
+def whole_doc_mean_vector(s, d):
+    e = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))
+    return e.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
+
+
+CHUNKS = f"""WITH b AS (SELECT doc_id, trim(text) AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 512 THEN 1 ELSE ceil((length(t) - 512) / 409)::BIGINT + 1 END)) AS i FROM b),
+s AS (SELECT doc_id, i, len(list_distinct({TOK.format('substr(t, i * 409 + 1, 512)')})) AS v FROM c WHERE length(t) <= 512 OR trim(substr(t, i * 409 + 1, 512)) <> '')"""
+
+
+@query(f"{CHUNKS} SELECT doc_id, max(v) AS maxp, max(v) FILTER (i = 0) AS firstp, sum(v)::BIGINT AS sump, round(avg(v), 6) AS meanp FROM s GROUP BY doc_id")
+def chunk_maxp_firstp_sump_meanp(s, d):
+    """Chunk aggregators over a lexical chunk score, the number of distinct tokens."""
+    c = table(s, d, "documents").select("doc_id", F.transform(T.chunks("text", 512), lambda x: F.size(F.array_distinct(T.tokens(x))).cast("long")).alias("v"))
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
+    return c.select("doc_id", F.array_max("v").alias("maxp"), F.element_at("v", 1).alias("firstp"), total.alias("sump"), F.round(total / F.size("v"), 6).alias("meanp"))
+
+
+# -- graph --------------------------------------------------------------------------------------------------------------
+
+
+def modifies(s: SparkSession, d: str) -> DataFrame:
+    """(source order, target part, time): the edges of the order-to-part graph."""
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_shipdate").alias("time"))
+
+
+EDGES = "e AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem)"
+
+
+@query("""WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_linenumber > 1),
+x AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_linenumber = 1), k AS (SELECT a, b FROM e EXCEPT SELECT a, b FROM x)
+SELECT a, b, 'modifies' AS role FROM k UNION ALL SELECT b, a, 'modifies' FROM k""")
+def typed_adjacency(s, d):
+    li = table(s, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("modifies").alias("role"), "l_linenumber")
+    out = li.where("l_linenumber = 1").select(F.col("source").alias("a"), F.col("target").alias("b"))
+    return graph.adjacency(li.where("l_linenumber > 1"), out)
+
+
+@query(f"""WITH {EDGES}, v AS (SELECT vec_id, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
+SELECT target AS node, dim, round(avg(x), 6) AS x FROM e JOIN v ON vec_id = source GROUP BY ALL""")
+def graph_mean_hop1(s, d):
+    v = long_vectors(table(s, d, "embeddings"), "vec_id", "embedding").withColumnRenamed("node", "source")
+    e = modifies(s, d).select("source", "target").distinct()
+    return e.join(v, "source").groupBy(F.col("target").alias("node"), F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg("x"), 6).alias("x"))
+
+
+HOP2 = f"""WITH {EDGES}, v AS (SELECT vec_id AS source, unnest(range(0, 8)) AS dim, unnest(embedding[1:8]::DOUBLE[]) AS x FROM embeddings),
+p AS (SELECT target, dim, avg(x) AS x FROM e JOIN v USING (source) GROUP BY ALL), m AS (SELECT e.source, dim, avg(x) AS m FROM e JOIN p USING (target) GROUP BY ALL)"""
+
+
+@query(f"{HOP2} SELECT source AS node, dim, a.alpha, round(CASE WHEN v.x IS NULL THEN m ELSE a.alpha * v.x + (1 - a.alpha) * m END, 6) AS x FROM m LEFT JOIN v USING (source, dim), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(alpha)")
+def graph_mean_hop2_alpha(s, d):
+    """Two rounds over a grid of mixing weights, the first eight components."""
+    v = long_vectors(table(s, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8)), "vec_id", "embedding").withColumnRenamed("node", "source")
+    e = modifies(s, d).select("source", "target").distinct()
+    p = e.join(v, "source").groupBy("target", "dim").agg(F.avg("x").alias("x"))
+    m = e.join(p, "target").groupBy("source", "dim").agg(F.avg("x").alias("m")).join(v, ["source", "dim"], "left")
+    m = m.withColumn("alpha", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+    return m.select(F.col("source").alias("node"), F.col("dim").cast("long").alias("dim"), "alpha", F.round(F.when(F.col("x").isNull(), F.col("m")).otherwise(F.col("alpha") * F.col("x") + (1 - F.col("alpha")) * F.col("m")), 6).alias("x"))
+
+
+@query("""WITH q AS (SELECT DISTINCT o_orderkey AS qid, o_orderdate AS t, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 100 = 0),
+p AS (SELECT DISTINCT qid, q.target, l_orderkey AS source FROM q JOIN lineitem ON l_partkey = q.target WHERE l_shipdate <= t AND l_orderkey <> qid)
+SELECT qid, target, dim, round(avg(x), 6) AS x, count(*) AS support FROM p JOIN (SELECT vec_id, unnest(range(0, 4)) AS dim, unnest(embedding[1:4]::DOUBLE[]) AS x FROM embeddings) ON vec_id = source GROUP BY ALL""")
+def asof_cochange_feature(s, d):
+    """Every hundredth order as a stated query set against all edges."""
+    li = modifies(s, d)
+    o = table(s, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("source"), F.col("o_orderdate").alias("t"))
+    q = o.join(li.select("source", "target"), "source").select(F.col("source").alias("qid"), F.col("t").alias("time"), "target").distinct()
+    v = long_vectors(table(s, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)), "vec_id", "embedding")
+    return graph.as_of_mean(q, li, v).select("qid", "target", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"), "support")
+
+
+@query(f"WITH {EDGES}, i AS (SELECT target, count(*) AS n FROM e GROUP BY target) SELECT source, count(*) AS n_targets, count(*) FILTER (n = 1) AS n_isolated, bool_or(n > 1) AS reachable FROM e JOIN i USING (target) GROUP BY source")
+def isolation_reachability(s, d):
+    e = modifies(s, d).select("source", "target").distinct()
+    return e.join(graph.isolation(e), "target").groupBy("source").agg(F.count("*").alias("n_targets"), F.count_if("isolated").alias("n_isolated"), F.bool_or(~F.col("isolated")).alias("reachable"))
+
+
+@query(f"WITH {EDGES}, k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY target) AS k FROM e) SELECT o_orderkey AS seed, count(target) AS n_targets, coalesce(string_agg(target::VARCHAR, ',' ORDER BY k) FILTER (k <= 12), '') AS path FROM orders LEFT JOIN k ON source = o_orderkey GROUP BY o_orderkey")
+def subgraph_topk_expand(s, d):
+    return graph.expand(table(s, d, "orders").select(F.col("o_orderkey").alias("seed")).distinct(), modifies(s, d))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def semi_anti_lean_snapshot(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    used = table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return o.join(used, "o_orderkey", "left_semi").join(table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+
+
+# -- validation ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'error' AS severity, 'id.duplicate' AS code, l_orderkey || ':' || l_linenumber AS location, count(*) - 1 AS extra FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def validate_duplicates(s, d):
+    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.count("*") - 1).alias("extra")).where("extra > 0")
+    return li.select(F.lit("error").alias("severity"), F.lit("id.duplicate").alias("code"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("location"), "extra")
+
+
+def _dangling(s, d):
+    return validation.dangling(table(s, d, "lineitem").select("l_partkey"), "l_partkey", table(s, d, "part").where("p_size > 5"), "p_partkey")
+
+
+def _temporal(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    return validation.temporal(table(s, d, "lineitem").select("l_orderkey", "l_shipdate").join(o, "l_orderkey"), "l_shipdate", "o_orderdate", "l_orderkey")
+
+
+DANGLING = "SELECT 'error' AS severity, 'ref.dangling' AS code, l_partkey::VARCHAR AS location FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)"
+TEMPORAL = "SELECT 'warning' AS severity, 'temporal.inconsistent' AS code, l_orderkey::VARCHAR AS location FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_shipdate < o_orderdate"
+
+
+@query(DANGLING)
+def validate_dangling(s, d):
+    return _dangling(s, d)
+
+
+@query(TEMPORAL)
+def validate_temporal(s, d):
+    return _temporal(s, d)
+
+
+@query(f"SELECT severity, code, count(*) AS n FROM ({DANGLING} UNION ALL {TEMPORAL}) GROUP BY ROLLUP (severity, code)")
+def findings_rollup(s, d):
+    return validation.rollup(_dangling(s, d).union(_temporal(s, d)))
+
+
+@query("""SELECT a.user_id, a.event_id AS query_event, count(*) AS n_future FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts > a.ts WHERE a.event_id % 100 = 0 GROUP BY ALL""")
+def leakage_violations(s, d):
+    """For every hundredth event as a query: events of its user that lie after it."""
+    e = table(s, d, "events").select("event_id", "user_id", "ts")
+    q = e.where("event_id % 100 = 0").select("user_id", F.col("event_id").alias("query_event"), F.col("ts").alias("as_of"))
+    return e.join(q, "user_id").where("ts > as_of").groupBy("user_id", "query_event").agg(F.count("*").alias("n_future"))
+
+
+@query("""WITH g AS (SELECT source AS grp, avg(length(text)) AS value, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source),
+r AS (SELECT *, sum(bytes) OVER (ORDER BY value DESC, grp)::BIGINT AS running FROM g) SELECT grp, bytes, running FROM r WHERE running <= (SELECT sum(bytes) * 0.5 FROM g)""")
+def size_budget_trim(s, d):
+    g = table(s, d, "documents").groupBy(F.col("source").alias("grp")).agg(F.avg(F.length("text")).alias("value"), F.sum(F.octet_length("text")).alias("bytes"))
+    half = g.agg((F.sum("bytes") * 0.5).alias("half")).first()["half"]
+    return benchmarks.size_budget(g, float(half or 0)).select("grp", "bytes", "running")
+
+
+# -- fusion and statistics ------------------------------------------------------------------------------------------------
+
+FUSED = f"""{BM25}, {OVERLAP}, f AS (SELECT bm.qid, bm.cand, bm.score AS a, ov.score::DOUBLE AS b FROM bm JOIN ov ON ov.qid = bm.qid AND ov.cand = bm.cand),
+z AS (SELECT qid, cand, a, b, coalesce((a - avg(a) OVER w) / nullif(round(stddev_pop(a) OVER w, 12), 0), 0) + coalesce((b - avg(b) OVER w) / nullif(round(stddev_pop(b) OVER w, 12), 0), 0) AS f FROM f WINDOW w AS (PARTITION BY qid))"""
+
+
+def fused(s: SparkSession, d: str) -> DataFrame:
+    f = lexical.bm25(items(s, d), texts(s, d)).withColumnRenamed("score", "a").join(lexical.overlap(items(s, d), texts(s, d)).select("qid", "cand", F.col("score").cast("double").alias("b")), ["qid", "cand"])
+    return f.withColumn("f", ranking.z_score(F.col("a"), "qid") + ranking.z_score(F.col("b"), "qid"))
+
+
+@query(f"WITH {FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DESC, cand) AS rank FROM z) SELECT qid, cand, round(f, 5) AS score, rank FROM r WHERE rank <= 5")
+def late_fusion_zscore(s, d):
+    return ranking.ranked(fused(s, d), 5, by="f").select("qid", "cand", F.round("f", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+HITS = f"""{FUSED}, {GOLD}, ra AS (SELECT qid, cand FROM (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY round(a, 9) DESC, cand) AS k FROM z) WHERE k = 1),
+rb AS (SELECT qid, cand FROM (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY round(b, 9) DESC, cand) AS k FROM z) WHERE k = 1),
+h AS (SELECT qid, max(CASE WHEN ra.cand IS NULL THEN 0 ELSE 1 END) AS ha, max(CASE WHEN rb.cand IS NULL THEN 0 ELSE 1 END) AS hb FROM gold LEFT JOIN ra USING (qid, cand) LEFT JOIN rb USING (qid, cand) GROUP BY qid)"""
+
+
+def hits(s: SparkSession, d: str) -> DataFrame:
+    """(qid, ha, hb): whether BM25's and the overlap's first candidate is relevant."""
+    f, g = fused(s, d), gold(s, d)
+    out = g
+    for name, by in (("ha", "a"), ("hb", "b")):
+        out = out.join(ranking.ranked(f, 1, by=by).select("qid", "cand", F.lit(1).alias(name)), ["qid", "cand"], "left")
+    return out.groupBy("qid").agg(F.max(F.coalesce("ha", F.lit(0))).alias("ha"), F.max(F.coalesce("hb", F.lit(0))).alias("hb"))
+
+
+@query(f"WITH {HITS} SELECT count(*) FILTER (ha = 1 AND hb = 1) AS both, count(*) FILTER (ha = 1 AND hb = 0) AS bm25_only, count(*) FILTER (ha = 0 AND hb = 1) AS overlap_only, count(*) FILTER (ha = 0 AND hb = 0) AS neither FROM h")
+def complementarity(s, d):
+    return hits(s, d).agg(*(F.count_if(F.expr(c)).alias(n) for n, c in (("both", "ha = 1 AND hb = 1"), ("bm25_only", "ha = 1 AND hb = 0"), ("overlap_only", "ha = 0 AND hb = 1"), ("neither", "ha = 0 AND hb = 0"))))
+
+
+DRAW = H32.format("'11|' || b || '|' || i")
+
+
+@query(f"""WITH {HITS}, x AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS ix, (ha - hb)::DOUBLE AS delta FROM h), n AS (SELECT count(*) AS n FROM x),
+m AS (SELECT b, avg(delta) AS m FROM (SELECT b, {DRAW} % n AS ix FROM range(0, 200) t(b), n, range(0, 100000) r(i) WHERE i < n) JOIN x USING (ix) GROUP BY b)
+SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CASE WHEN round(m, 9) <= 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS p_le_0 FROM m""")
+def bootstrap_ci_query(s, d):
+    x = hits(s, d).select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("ix"), (F.col("ha") - F.col("hb")).cast("double").alias("delta"))
+    return ranking.bootstrap(x, 200, 11).select(*(F.round(c, 6).alias(c) for c in ("lo", "hi", "p_le_0")))
+
+
+@query(f"WITH {HITS} SELECT count(*) AS n, count(*) FILTER (ha > hb) AS gains, count(*) FILTER (ha < hb) AS losses, round(1.96 * coalesce(stddev_samp(ha - hb), 0) / sqrt(count(*)) + 0.8416 * coalesce(stddev_samp(ha - hb), 0) / sqrt(count(*)), 6) AS mde FROM h")
+def sign_test_mde(s, d):
+    """Flips between two systems and the minimum detectable effect of their paired difference."""
+    diff = F.col("ha") - F.col("hb")
+    sd = F.coalesce(F.stddev_samp(diff), F.lit(0.0)) / F.sqrt(F.count("*"))
+    return hits(s, d).agg(F.count("*").alias("n"), F.count_if(diff > 0).alias("gains"), F.count_if(diff < 0).alias("losses"), F.round(1.96 * sd + 0.8416 * sd, 6).alias("mde"))
+
+
+@query("SELECT source AS grp, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY source")
+def label_precision_audit(s, d):
+    j = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    return j.groupBy(F.col("source").alias("grp")).agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def events_tumbling_daily(s, d):
+    """Extension: a tumbling window."""
+    w = table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return w.select(F.col("w.start").alias("day"), "event_type", "n", "total")
