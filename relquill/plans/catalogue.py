@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relquill.functions import text as T
 from relquill.operators import benchmarks, graph, lexical, ranking, validation
-from relquill.sources.tables import long_vectors, table
+from relquill.sources.tables import long_vectors, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,7 +31,7 @@ def items(s: SparkSession, d: str) -> DataFrame:
 
 
 def texts(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("cand"), "text")
+    return spread(table(s, d, "documents").select(F.col("doc_id").alias("cand"), "text"))
 
 
 def groups(s: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ SELECT qid, cand, round(score, 6) AS score, rank FROM rk WHERE rank <= 5""")
 def bm25_pool_scope(s, d):
     """BM25 with document counts and lengths of each query's pool (the groups of its positives) alone."""
     g = gold(s, d).join(groups(s, d), "cand").select("qid", "grp").distinct()
-    split = table(s, d, "documents").select(F.col("doc_id").alias("cand"), F.col("source").alias("grp"), T.tokens("text").alias("ts")).withColumn("dl", F.size("ts"))
+    split = spread(table(s, d, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("cand"), F.col("source").alias("grp"), T.tokens("text").alias("ts")).withColumn("dl", F.size("ts"))
     size = g.join(split.groupBy("grp").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")), "grp").groupBy("qid").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
     q = items(s, d).select("qid", F.explode(T.tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
     tf = split.select("cand", "grp", "dl", F.explode("ts").alias("tok")).join(q.select("tok").distinct(), "tok", "left_semi").groupBy("grp", "tok", "cand", "dl").agg(F.count("*").alias("tf"))

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan of fewer partitions than there are cores (one small file) to all of them; a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """JSON lines split at line feeds alone, so that other separators may stand inside strings."""
     reader = spark.read.option("lineSep", "\n")
@@ -25,7 +31,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def located_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value): the non-blank lines of each file with their numbers, for findings."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("k", "value"))
     return lines.where(F.trim("value") != "").select("file", (F.col("k") + 1).alias("line"), F.trim("value").alias("value"))
 
