@@ -23,6 +23,7 @@ from .common import materialise, new_path, slices
 
 #: Raw bytes of a frame, compressed bytes of a bundle, about; a larger record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 64 * 1024 * 1024
+MOST_TASKS = 100_000
 # fixed values of the seekable format
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "page_id long, bundle string, frame int, offset long, length long"
@@ -194,7 +195,9 @@ def read_archives(index: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in types.items()], list(types))
 
-    rows = index.select("bundle", "frame", "offset", "length").repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+    # the index is small and the archives aren't: as many tasks as there are bundles, whatever Spark would coalesce
+    bundles = index.agg(F.count_distinct("bundle")).first()[0]
+    rows = index.select("bundle", "frame", "offset", "length").repartition(max(1, min(bundles, MOST_TASKS)), "bundle").sortWithinPartitions("bundle", "frame", "offset")
     return rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
