@@ -19,12 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal documents, one stays."""
-    gone = exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return exact_dedup.drop_copies(docs).select(*COLUMNS)
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates by SimHash, the document with the smallest id stays."""
+    """Of near-duplicates by SimHash, the document with the smallest id stays, and so do documents without an id."""
     gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX = 64
@@ -68,3 +68,21 @@ def exact_sql() -> str:
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g') AS body FROM documents),
 w AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size, body FROM d)
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM w"""
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of equal texts, all columns.
+
+    Rows are told apart by id (null is one, too) and text; of rows that repeat both, one stays.
+    """
+    spark_key, gone_id, gone_key = (free_name(df, x) for x in ("_sha", "_gone_id", "_gone_sha"))
+    found = exact_duplicates(df, id_col, text_col).where("not kept")
+    same = F.col(id_col).eqNullSafe(F.col("keep_id"))
+    gone, repeated = (found.where(c).select(F.col(id_col).alias(gone_id), F.col("text_sha256").alias(gone_key)).distinct() for c in (~same, same))
+    keyed = df.withColumn(spark_key, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
+    match = lambda d, g: (d[spark_key] == g[gone_key]) & d[id_col].eqNullSafe(g[gone_id])
+    out = keyed.join(gone, match(keyed, gone), "left_anti")
+    if not repeated.isEmpty():
+        rest = out.join(repeated, match(out, repeated), "left_anti")
+        out = rest.unionByName(out.join(repeated, match(out, repeated), "left_semi").dropDuplicates([id_col, spark_key]))
+    return out.drop(spark_key)

@@ -155,6 +155,9 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0
     twice = exact_dedup.exact_duplicates(docs.union(docs))
     assert twice.where("kept").count() == len(groups)
+    left = exact_dedup.drop_copies(docs.union(docs).union(docs.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(min(g)[1] for g in groups.values())
+    assert exact_dedup.drop_copies(docs.withColumn("_sha", docs.lang)).columns[-1] == "_sha"
 
 
 def test_license_scan(spark, docs, empty):
