@@ -509,3 +509,98 @@ def events_tumbling_daily(s, d):
     """Extension: a tumbling window."""
     w = table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return w.select(F.col("w.start").alias("day"), "event_type", "n", "total")
+
+
+# -- more rankings and statistics ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {OVERLAP}, a AS (SELECT item_id AS qid, len(list_distinct({TOK.format('text')})) AS na FROM benchmark), b AS (SELECT doc_id AS cand, len(list_distinct({TOK.format('text')})) AS nb FROM documents),
+j AS (SELECT qid, cand, score / (na + nb - score) AS j FROM ov JOIN a USING (qid) JOIN b USING (cand)), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(j, 9) DESC, cand) AS rank FROM j)
+SELECT qid, cand, round(j, 6) AS score, rank FROM r WHERE rank <= 5""")
+def jaccard_rank(s, d):
+    a = items(s, d).select("qid", F.size(F.array_distinct(T.tokens("text"))).alias("na"))
+    b = texts(s, d).select("cand", F.size(F.array_distinct(T.tokens("text"))).alias("nb"))
+    j = lexical.overlap(items(s, d), texts(s, d)).join(a, "qid").join(b, "cand")
+    return _top5(j.select("qid", "cand", (F.col("score") / (F.col("na") + F.col("nb") - F.col("score"))).alias("score")))
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in T.PATH_STOPWORDS) + "]"
+PATH = f"list_filter(list_distinct({TOK.format('url')}), lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))"
+
+
+@query(f"""WITH p AS (SELECT page_id, split_part(url, '/', 3) AS host, {PATH} AS ts FROM pages WHERE url IS NOT NULL),
+x AS (SELECT a.page_id AS qid, b.page_id AS cand, len(list_intersect(a.ts, b.ts)) AS n, len(list_intersect(a.ts, b.ts)) / nullif(len(list_distinct(list_concat(a.ts, b.ts))), 0) AS j
+  FROM p a JOIN p b ON a.host = b.host AND a.page_id <> b.page_id WHERE a.page_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, round(j, 9) DESC, cand) AS rank FROM x) SELECT qid, cand, n, round(j, 6) AS j, rank FROM r WHERE rank <= 5""")
+def path_proximity(s, d):
+    """Every fiftieth page as a stated query set against all pages of its host: by shared path tokens, then Jaccard."""
+    p = table(s, d, "pages").where("url IS NOT NULL").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), T.path_tokens("url").alias("ts"))
+    q = p.where("page_id % 50 = 0").select(F.col("page_id").alias("qid"), "host", F.col("ts").alias("qs"))
+    x = p.join(q, "host").where("page_id <> qid").select("qid", F.col("page_id").alias("cand"), F.size(F.array_intersect("ts", "qs")).cast("long").alias("n"), F.size(F.array_union("ts", "qs")).alias("u"))
+    x = x.withColumn("j", F.try_divide("n", "u"))
+    w = Window.partitionBy("qid").orderBy(F.col("n").desc(), F.round("j", 9).desc(), "cand")
+    return x.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("qid", "cand", "n", F.round("j", 6).alias("j"), "rank")
+
+
+CDRAW = H32.format("'13|' || b || '|' || i")
+
+
+@query(f"""WITH {HITS}, c AS (SELECT source, sum(ha - hb)::DOUBLE AS sd, count(*) AS nq FROM h JOIN (SELECT qid, min(source) AS source FROM gold JOIN documents ON doc_id = cand GROUP BY qid) USING (qid) GROUP BY source),
+x AS (SELECT row_number() OVER (ORDER BY source) - 1 AS ix, sd, nq FROM c), n AS (SELECT count(*) AS n FROM x),
+m AS (SELECT b, sum(sd) / sum(nq) AS m FROM (SELECT b, {CDRAW} % n AS ix FROM range(0, 200) t(b), n, range(0, 100000) r(i) WHERE i < n) JOIN x USING (ix) GROUP BY b)
+SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+def bootstrap_ci_cluster(s, d):
+    """Resamples groups instead of queries."""
+    grp = gold(s, d).join(groups(s, d), "cand").groupBy("qid").agg(F.min("grp").alias("grp"))
+    c = hits(s, d).join(grp, "qid").groupBy("grp").agg(F.sum(F.col("ha") - F.col("hb")).cast("double").alias("sd"), F.count("*").alias("nq"))
+    x = c.select((F.row_number().over(Window.orderBy("grp")) - 1).cast("long").alias("ix"), "sd", "nq")
+    n = x.count()
+    draws = s.range(200).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i")).select("b", F.pmod(T.hash_order(13, "b", "i"), F.lit(max(n, 1))).alias("ix"))
+    m = draws.join(x, "ix").groupBy("b").agg((F.sum("sd") / F.sum("nq")).alias("m"))
+    return m.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"))
+
+
+@query(f"""WITH {EDGES}, v AS (SELECT vec_id FROM embeddings), c AS (SELECT DISTINCT target FROM e WHERE source IN (SELECT vec_id FROM v))
+SELECT o_orderkey % 10 AS bucket, count(*) AS n_edges, count(c.target) AS n_covered, round(count(c.target) / count(*), 6) AS coverage FROM orders JOIN e ON e.source = o_orderkey LEFT JOIN c ON c.target = e.target GROUP BY 1""")
+def coverage_fair_rank(s, d):
+    """Share of each bucket's edges whose target has a feature from any embedded source."""
+    e = modifies(s, d).select("source", "target").distinct()
+    c = e.join(table(s, d, "embeddings").select(F.col("vec_id").alias("source")), "source", "left_semi").select("target").distinct().withColumn("has", F.lit(1))
+    x = table(s, d, "orders").select(F.col("o_orderkey").alias("source")).join(e, "source").join(c, "target", "left")
+    return x.groupBy((F.col("source") % 10).alias("bucket")).agg(F.count("*").alias("n_edges"), F.count("has").alias("n_covered"), F.round(F.count("has") / F.count("*"), 6).alias("coverage"))
+
+
+@query("""WITH q AS (SELECT event_id AS qid, user_id, ts FROM events WHERE event_id % 100 = 0)
+SELECT qid, count(*) AS n_all, count(*) FILTER (e.ts <= q.ts) AS n_asof, round(coalesce(avg(e.value) FILTER (e.ts <= q.ts), 0), 5) AS mean_asof, round(avg(e.value), 5) AS mean_leaky FROM q JOIN events e ON e.user_id = q.user_id AND e.event_id <> q.qid GROUP BY qid""")
+def asof_vs_leaky_metrics(s, d):
+    """A feature from earlier evidence alone, and the same with leakage, for every hundredth event as a query."""
+    e = table(s, d, "events").select("event_id", "user_id", "ts", "value")
+    q = e.where("event_id % 100 = 0").select(F.col("event_id").alias("qid"), "user_id", F.col("ts").alias("as_of"))
+    x, past = e.join(q, "user_id").where("event_id <> qid"), F.col("ts") <= F.col("as_of")
+    return x.groupBy("qid").agg(F.count("*").alias("n_all"), F.count_if(past).alias("n_asof"), F.round(F.coalesce(F.avg(F.when(past, F.col("value"))), F.lit(0.0)), 5).alias("mean_asof"), F.round(F.avg("value"), 5).alias("mean_leaky"))
+
+
+@query()
+def lr_rerank_loro(s, d):
+    """BM25 and overlap reranked by logistic regression with groups held out."""
+    from relquill.operators.learned import leave_one_group_out
+
+    x = fused(s, d).join(groups(s, d), "cand").join(gold(s, d).withColumn("y", F.lit(1)), ["qid", "cand"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    return ranking.ranked(leave_one_group_out(x, ["a", "b"]), 5, by="p").select("qid", "cand", "y", F.round("p", 6).alias("p"), "rank")
+
+
+@query()
+def relation_metric_train(s, d):
+    """Weights of tokens that tell positives from hard negatives."""
+    from relquill.operators.learned import relation_metric
+
+    hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), texts(s, d)), gold(s, d), groups(s, d)).select("qid", F.col("cand").alias("neg"))
+    pairs = gold(s, d).withColumnRenamed("cand", "pos").join(hard, "qid")
+    q = items(s, d).select("qid", F.explode(F.array_distinct(T.tokens("text"))).alias("tok"))
+    v = lexical.postings(texts(s, d), "cand", T.tokens("text"))
+    norm = v.groupBy("cand").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    v = v.join(q.select("tok").distinct(), "tok", "left_semi").join(norm, "cand").select("cand", "tok", (F.col("tf") / F.col("norm")).alias("x"))
+    trip = F.concat_ws("|", "qid", "pos", "neg").alias("trip")
+    one = lambda side, sign: pairs.join(q, "qid").join(v.withColumnRenamed("cand", side), [side, "tok"]).select(trip, "tok", (sign * F.col("x")).alias("x"))
+    both = one("pos", 1).union(one("neg", -1)).groupBy("trip", "tok").agg(F.sum("x").alias("diff"))
+    return relation_metric(both)

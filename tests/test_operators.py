@@ -117,3 +117,43 @@ def test_queries_equal_their_sql(spark, name):
     rel = con.sql(catalogue.ORACLES[name])
     mine = catalogue.QUERIES[name](spark, folder).select(*rel.columns)
     assert sorted(map(tuple, mine.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+
+
+def test_ingest(spark):
+    import json
+
+    from relquill.operators import ingest
+
+    issues = [{"number": n, "title": f"t{n}", "body": None, "created_at": "2024-01-01", "labels": [{"name": "b"}, {"name": "a"}]} for n in (12, 18, 20)] + [{"number": 21, "pull_request": {"url": "u"}}]
+    pulls = [{"number": 34, "body": "Fixes #12", "created_at": "2024-02-01"}, {"number": 40, "body": "Closes: #18 and fixes #99"}, {"number": 50, "body": "none"}]
+    files = {"34": [{"filename": "src/a.js"}, {"filename": "tests/slider.test.js"}], "40": [{"filename": "src/a.js"}, {"filename": "b.js"}], "50": [{"filename": "c.js"}]}
+    snap = {"repo": "o/r", "issues": issues, "pulls": pulls, "commits": [{"sha": "abc", "commit": {"message": "m", "author": {"name": "x", "date": "2024"}}}], "pull_files": files}
+    df = spark.createDataFrame([(json.dumps(snap),)], "j string").select(F.from_json("j", ingest.SNAPSHOT).alias("s")).select("s.*")
+    assert {r["type"]: r["count"] for r in ingest.records(df).groupBy("type").count().collect()} == {"issue": 3, "pull_request": 3, "commit": 1, "file": 3, "test": 1}
+    found = {(r["source"], r["relation"], r["target"]) for r in ingest.edges(df).collect()}
+    assert len(found) == 7
+    assert {x for x in found if x[1] == "fixes"} == {("gh:o/r:pr:34", "fixes", "gh:o/r:issue:12"), ("gh:o/r:pr:40", "fixes", "gh:o/r:issue:18")}
+
+
+def test_streaming(spark, tmp_path):
+    from relquill.streaming import events
+
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    for k in range(2):
+        events.append_new(stream(), str(tmp_path / "out"), ["event_id"], str(tmp_path / f"c{k}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == source.select("event_id").distinct().count()
+    run = events.windowed(stream(), "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(map(tuple, spark.table("w").select("start", "event_type", "n").collect())) == sorted(map(tuple, events.windowed(source, "1 day").select("start", "event_type", "n").collect()))
+    assert events.sessions(source).agg(F.sum("n")).first()[0] == source.count()
+
+
+def test_relation_metric_raises_what_tells_apart(spark):
+    from relquill.operators.learned import relation_metric
+
+    rows = spark.createDataFrame([(k, t, x) for k in range(20) for t, x in (("good", 0.05), ("bad", -0.05))], "trip int, tok string, diff double")
+    weight = {r["tok"]: r["weight"] for r in relation_metric(rows).collect()}
+    assert weight["good"] > 1 > weight["bad"]
+    assert relation_metric(rows.limit(0)).count() == 0
