@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handed to numpy code in slices of about this many bytes, whatever size an Arrow batch has.
 SLICE_BYTES = 4_000_000
+#: The same where an operator makes many temporary arrays or strings of each slice.
+SMALL_SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,25 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over Arrow batches, with freed memory given back to the system at its end: idle Python workers keep little."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batch, column: str = "text", most: int = SLICE_BYTES) -> Iterator:
     """Cut an Arrow batch into slices whose ``column`` holds about ``most`` bytes; a longer text has a slice of its own."""
     import numpy as np

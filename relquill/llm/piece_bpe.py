@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices
+from .common import SMALL_SLICE_BYTES, free_name, slices, tidy
 
 SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
@@ -347,7 +347,7 @@ def encode_decode(df: DataFrame, model: bytes, text_col: str = "text", keep: lis
 
         own = loaded(model)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SMALL_SLICE_BYTES):
                 data = own.encode(part.column(text).to_pylist())
                 columns = [part.column(c) for c in names] + [pa.array([len(x) // 4 for x in data], pa.int64())]
                 if with_ids:
@@ -357,4 +357,4 @@ def encode_decode(df: DataFrame, model: bytes, text_col: str = "text", keep: lis
                 columns.append(pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in data]))
                 yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidy(run), schema)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, tidy
 
 #: Most fingerprints of one cell that a tile holds.
 TILE = 16_384
@@ -63,7 +63,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = np.array([fingerprint(x, words) for x in part.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def cell(fp: Column) -> Column:
@@ -189,8 +189,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         if len(held[0]):
             yield from tasks(*held)
 
-    dealt = distinct.select("fp", cell(F.col("fp")).alias("cell")).mapInArrow(emit, "key long, role byte, fp long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+    dealt = distinct.select("fp", cell(F.col("fp")).alias("cell")).mapInArrow(tidy(emit), "key long, role byte, fp long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(compare), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
