@@ -42,6 +42,19 @@ def z_score(value: Column, *keys: str) -> Column:
     return F.coalesce((value - F.avg(value).over(w)) / F.nullif(F.round(F.stddev_pop(value).over(w), 12), F.lit(0.0)), F.lit(0.0))
 
 
+def sign_test(gains: Column, losses: Column) -> Column:
+    """Two-sided p-value: twice the binomial tail (p = 0.5) up to the smaller count, at most 1; terms are built up in logarithms."""
+    n, least = (gains + losses).cast("double"), F.least(gains, losses).cast("int")
+    zero = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("total"))
+
+    def add(state: Column, k: Column) -> Column:
+        term = state["term"] + F.log((n - k + 1) / k)
+        return F.struct(term.alias("term"), (state["total"] + F.exp(term)).alias("total"))
+
+    steps = F.when(least > 0, F.sequence(F.lit(1), least)).otherwise(F.array().cast("array<int>"))
+    return F.least(F.lit(1.0), 2 * F.aggregate(steps, zero, add)["total"])
+
+
 def bootstrap(values: DataFrame, b: int, seed: int, value: str = "delta") -> DataFrame:
     """(lo, hi, p_le_0): percentile interval of the mean over ``b`` resamples of the rows of ``values`` (ix from 0)."""
     spark = values.sparkSession

@@ -498,6 +498,14 @@ def sign_test_mde(s, d):
     return hits(s, d).agg(F.count("*").alias("n"), F.count_if(diff > 0).alias("gains"), F.count_if(diff < 0).alias("losses"), F.round(1.96 * sd + 0.8416 * sd, 6).alias("mde"))
 
 
+@query(f"""WITH {HITS}, flips AS (SELECT count(*) FILTER (ha > hb) AS gains, count(*) FILTER (ha < hb) AS losses FROM h)
+SELECT gains, losses, round(least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least(gains, losses) + 1), lambda k: exp(lgamma(gains + losses + 1.0) - lgamma(k + 1.0) - lgamma(gains + losses - k + 1.0) - (gains + losses) * ln(2))))), 6) AS p FROM flips""")
+def sign_test_flips(s, d):
+    """Exact two-sided sign test of the flips between two systems."""
+    out = hits(s, d).agg(F.count_if(F.col("ha") > F.col("hb")).alias("gains"), F.count_if(F.col("ha") < F.col("hb")).alias("losses"))
+    return out.select("gains", "losses", F.round(ranking.sign_test(F.col("gains"), F.col("losses")), 6).alias("p"))
+
+
 @query("SELECT source AS grp, count(*) AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def label_precision_audit(s, d):
     j = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
@@ -524,6 +532,19 @@ def jaccard_rank(s, d):
     return _top5(j.select("qid", "cand", (F.col("score") / (F.col("na") + F.col("nb") - F.col("score"))).alias("score")))
 
 
+@query(f"""WITH {BM25}, {OVERLAP}, a AS (SELECT item_id AS qid, len(list_distinct({TOK.format('text')})) AS na FROM benchmark), b AS (SELECT doc_id AS cand, len(list_distinct({TOK.format('text')})) AS nb FROM documents),
+j AS (SELECT qid, cand, ov.score AS n, ov.score / (na + nb - ov.score) + 0.001 * bm.score AS c FROM ov JOIN bm USING (qid, cand) JOIN a USING (qid) JOIN b USING (cand)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, round(c, 9) DESC, cand) AS rank FROM j) SELECT qid, cand, n, round(c, 6) AS score, rank FROM r WHERE rank <= 5""")
+def static_combo(s, d):
+    """Ranks by shared tokens, then by Jaccard similarity and a thousandth of BM25."""
+    a = items(s, d).select("qid", F.size(F.array_distinct(T.tokens("text"))).alias("na"))
+    b = texts(s, d).select("cand", F.size(F.array_distinct(T.tokens("text"))).alias("nb"))
+    j = lexical.overlap(items(s, d), texts(s, d)).withColumnRenamed("score", "n").join(lexical.bm25(items(s, d), texts(s, d)), ["qid", "cand"]).join(a, "qid").join(b, "cand")
+    j = j.withColumn("c", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) + 0.001 * F.col("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("n").desc(), F.round("c", 9).desc(), "cand")
+    return j.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("qid", "cand", "n", F.round("c", 6).alias("score"), "rank")
+
+
 STOP = "[" + ", ".join(f"'{w}'" for w in T.PATH_STOPWORDS) + "]"
 PATH = f"list_filter(list_distinct({TOK.format('url')}), lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))"
 

@@ -157,3 +157,12 @@ def test_relation_metric_raises_what_tells_apart(spark):
     weight = {r["tok"]: r["weight"] for r in relation_metric(rows).collect()}
     assert weight["good"] > 1 > weight["bad"]
     assert relation_metric(rows.limit(0)).count() == 0
+
+
+def test_sign_test_is_exact(spark):
+    from math import comb
+
+    rows = [(0, 0), (5, 0), (3, 7), (40, 41), (900, 1000)]
+    found = spark.createDataFrame(rows, "g long, l long").select("g", "l", ranking.sign_test(F.col("g"), F.col("l")).alias("p")).collect()
+    for g, n, p in ((r["g"], r["g"] + r["l"], r["p"]) for r in found):
+        assert abs(p - min(1, 2 * sum(comb(n, k) for k in range(min(g, n - g) + 1)) / 2**n)) < 1e-9
