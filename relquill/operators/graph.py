@@ -24,6 +24,43 @@ def hop(adj: DataFrame, current: DataFrame, base: DataFrame, alpha: float) -> Da
     return joined.select("node", "dim", mixed.alias("x"))
 
 
+def grid(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> DataFrame:
+    """(alpha, hops, node, dim, x): vectors of the sources after 1 to ``hops`` rounds over their targets and back, for each weight.
+
+    A round averages a target's sources and then a source's targets, and mixes ``alpha`` of the base vector in. A node
+    without edges keeps its base vector. ``base``: (node, dim, x).
+    """
+    own = edges.select("source", "target").distinct().join(base.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+    base = base.withColumnRenamed("node", "source").withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas))))
+    out, now = None, base
+    for k in range(1, hops + 1):
+        there = own.join(now, "source").groupBy("alpha", "target", "dim").agg(F.avg("x").alias("x"))
+        back = own.join(there, "target").groupBy("alpha", "source", "dim").agg(F.avg("x").alias("m"))
+        mixed = F.when(F.col("m").isNull(), F.col("x")).otherwise(F.col("alpha") * F.col("x") + (1 - F.col("alpha")) * F.col("m"))
+        now = base.join(back, ["alpha", "source", "dim"], "left").select("alpha", "source", "dim", mixed.alias("x"))
+        part = now.select("alpha", F.lit(k).alias("hops"), F.col("source").alias("node"), "dim", "x")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def nearest(vectors: DataFrame, is_query: str, keys: list[str], blocks: int = 16) -> DataFrame:
+    """(keys, qid, cand): the other node with the largest cosine for each node that ``is_query`` admits, smallest id on ties.
+
+    Query and candidate meet in tiles (query block, candidate block) by hash, so no task sees all candidates of a key, and
+    the best is kept before the shuffle. ``vectors``: (keys, node, dim, x).
+    """
+    v = vectors.groupBy(*keys, "node").agg(F.array_sort(F.collect_list(F.struct("dim", "x")))["x"].alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    v = v.withColumn("n", norm).select(*keys, "node", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
+    q = v.where(is_query).select(*keys, F.col("node").alias("qid"), F.col("v").alias("qv"), block.alias("qb")).withColumn("cb", every)
+    c = v.select(*keys, F.col("node").alias("cand"), "v", block.alias("cb")).join(q.select(*keys, "qb", "cb").distinct(), [*keys, "cb"])
+    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    pairs = q.join(c, [*keys, "qb", "cb"]).where("qid <> cand").select(*keys, "qid", "cand", F.round(dot, 9).alias("score"))
+    return pairs.groupBy(*keys, "qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "cand"))["cand"].alias("cand"))
+
+
 def as_of_mean(queries: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """(qid, target, dim, x, support): mean vector of the earlier sources of each query's targets, the query's own left out."""
     prior = queries.join(edges.withColumnRenamed("time", "at"), "target").where((F.col("at") <= F.col("time")) & (F.col("source") != F.col("qid")))

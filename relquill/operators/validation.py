@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,46 @@ def temporal(edges: DataFrame, edge_time: str, node_time: str, location: str) ->
     return _finding(edges.where(F.col(edge_time) < F.col(node_time)), "warning", "temporal.inconsistent", F.col(location))
 
 
+def _broken(value: Column, kind: str, arg) -> Column:
+    """True where ``value`` breaks the rule; a null breaks ``required`` alone."""
+    if kind == "required":
+        return value.isNull()
+    fits = {"enum": lambda: value.isin(*arg), "range": lambda: value.between(*arg), "pattern": lambda: value.rlike(arg), "keys": lambda: F.size(F.array_except(F.json_object_keys(value), F.array(*map(F.lit, arg)))) <= 0}
+    return F.coalesce(~fits[kind](), F.lit(False))
+
+
+def conformance(df: DataFrame, rules: list[tuple[str, str, object]], location: str) -> DataFrame:
+    """Each broken rule of each row, in one scan.
+
+    ``rules``: (column, kind, argument) with kind ``required``, ``enum`` (values), ``range`` (least, most), ``pattern``
+    (regular expression found in the text) or ``keys`` (the only keys that a JSON object may have).
+    """
+    broken = F.array_compact(F.array(*(F.when(_broken(F.col(c), kind, arg), F.lit(f"{kind}:{c}")) for c, kind, arg in rules)))
+    return df.withColumn("_rule", F.explode(broken)).select(F.lit("error").alias("severity"), F.lit("schema").alias("code"), F.col(location).cast("string").alias("location"), F.col("_rule").alias("rule"))
+
+
+def json_shape(df: DataFrame, text: str, location: str) -> DataFrame:
+    """Texts that aren't JSON (json) or are JSON but no object (shape). A null, or an object that repeats a key, isn't JSON.
+
+    The parser stops after the first value. So the text must be the one element of an array, and the value of an object, too:
+    a text that closes the one early doesn't fit in the other.
+    """
+    wrap = lambda a, b: F.try_parse_json(F.concat(F.lit(a), F.col(text), F.lit(b)))
+    inside = F.try_variant_get(wrap("[", "]"), "$", "array<variant>")
+    whole = F.coalesce((F.size(inside) == 1) & wrap('{"v":', "}").isNotNull(), F.lit(False))
+    code = F.when(~whole, "json").when(~F.schema_of_variant(F.element_at(inside, 1)).startswith("OBJECT"), "shape")
+    return df.withColumn("_code", code).where("_code IS NOT NULL").select(F.lit("error").alias("severity"), F.col("_code").alias("code"), F.col(location).cast("string").alias("location"))
+
+
+def dispatched(df: DataFrame, kind: str, rules: dict[str, list[tuple[str, str, object]]], location: str) -> DataFrame:
+    """Rows judged by the rules of their kind; a kind that has none, or a null, is a finding of its own (card.type)."""
+    known = F.coalesce(F.col(kind).isin(*rules), F.lit(False))
+    out = df.where(~known).select(F.lit("error").alias("severity"), F.lit("card.type").alias("code"), F.col(location).cast("string").alias("location"), F.lit(None).cast("string").alias("rule"))
+    for k, own in rules.items():
+        out = out.unionByName(conformance(df.where(F.col(kind) == k), own, location))
+    return out
+
+
 def rollup(findings: DataFrame) -> DataFrame:
     """Counts by severity and code, with subtotals and a total (null where summed over)."""
     return findings.rollup("severity", "code").agg(F.count("*").alias("n"))

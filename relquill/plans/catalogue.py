@@ -391,6 +391,30 @@ def semi_anti_lean_snapshot(s, d):
     return o.join(used, "o_orderkey", "left_semi").join(table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
+GRID = (0.25, 0.5, 0.75)
+
+
+@query(f"""WITH e AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem WHERE l_orderkey IN (SELECT vec_id FROM embeddings)), a(alpha) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in GRID)}),
+b AS (SELECT alpha, vec_id AS source, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings, a),
+t1 AS (SELECT alpha, target, dim, avg(x) AS x FROM e JOIN b USING (source) GROUP BY ALL), m1 AS (SELECT alpha, source, dim, avg(x) AS m FROM e JOIN t1 USING (target) GROUP BY ALL),
+h1 AS (SELECT alpha, source, dim, CASE WHEN m IS NULL THEN x ELSE alpha * x + (1 - alpha) * m END AS x FROM b LEFT JOIN m1 USING (alpha, source, dim)),
+t2 AS (SELECT alpha, target, dim, avg(x) AS x FROM e JOIN h1 USING (source) GROUP BY ALL), m2 AS (SELECT alpha, source, dim, avg(x) AS m FROM e JOIN t2 USING (target) GROUP BY ALL),
+h2 AS (SELECT alpha, source, dim, CASE WHEN m IS NULL THEN x ELSE alpha * x + (1 - alpha) * m END AS x FROM b LEFT JOIN m2 USING (alpha, source, dim)),
+w AS (SELECT alpha, hops, source, list(x ORDER BY dim) AS v FROM (SELECT *, 1 AS hops FROM h1 UNION ALL SELECT *, 2 FROM h2) GROUP BY ALL),
+r AS (SELECT q.alpha, q.hops, q.source AS qid, c.source AS cand, row_number() OVER (PARTITION BY q.alpha, q.hops, q.source ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, c.source) AS k
+  FROM w q JOIN w c ON q.alpha = c.alpha AND q.hops = c.hops AND q.source <> c.source WHERE q.source % 100 = 0),
+g AS (SELECT alpha, hops, count(*) AS n, avg((x.label = y.label)::INTEGER) AS r1 FROM r JOIN embeddings x ON x.vec_id = qid JOIN embeddings y ON y.vec_id = cand WHERE k = 1 GROUP BY ALL)
+SELECT alpha, hops, n, round(r1, 6) AS r1, alpha = first_value(alpha) OVER (PARTITION BY hops ORDER BY round(r1, 9) DESC, alpha) AS best FROM g""")
+def experiment_grid(s, d):
+    """Share of query vectors whose nearest neighbour has their label, for each mixing weight and number of rounds, and the best weight of each."""
+    e = table(s, d, "embeddings")
+    found = graph.nearest(graph.grid(modifies(s, d), long_vectors(e, "vec_id", "embedding"), list(GRID), 2), "node % 100 = 0", ["alpha", "hops"])
+    found = found.join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("ql")), "qid").join(e.select(F.col("vec_id").alias("cand"), "label"), "cand")
+    g = found.groupBy("alpha", "hops").agg(F.count("*").alias("n"), F.avg((F.col("ql") == F.col("label")).cast("int")).alias("r1"))
+    first = F.first("alpha").over(Window.partitionBy("hops").orderBy(F.round("r1", 9).desc(), "alpha"))
+    return g.select("alpha", "hops", "n", F.round("r1", 6).alias("r1"), (F.col("alpha") == first).alias("best"))
+
+
 # -- validation ---------------------------------------------------------------------------------------------------------
 
 
@@ -423,6 +447,32 @@ def validate_temporal(s, d):
     return _temporal(s, d)
 
 
+@query("""SELECT 'error' AS severity, 'schema' AS code, event_id::VARCHAR AS location, rule FROM (
+SELECT event_id, unnest(list_filter([CASE WHEN user_id IS NULL THEN 'required:user_id' END, CASE WHEN event_type NOT IN ('click', 'view') THEN 'enum:event_type' END, CASE WHEN value NOT BETWEEN 1 AND 50 THEN 'range:value' END,
+  CASE WHEN NOT regexp_matches(props, '^[{]"k": *[0-9]{1,2}[}]$') THEN 'pattern:props' END, CASE WHEN len(list_filter(json_keys(props::JSON), lambda k: k <> 'k')) > 0 THEN 'keys:props' END], lambda r: r IS NOT NULL)) AS rule FROM events)""")
+def validate_schema(s, d):
+    """Events against required fields, allowed values, ranges, patterns and keys."""
+    rules = [("user_id", "required", None), ("event_type", "enum", ("click", "view")), ("value", "range", (1, 50)), ("props", "pattern", '^[{]"k": *[0-9]{1,2}[}]$'), ("props", "keys", ("k",))]
+    return validation.conformance(table(s, d, "events"), rules, "event_id")
+
+
+@query("""WITH l AS (SELECT event_id, CASE WHEN event_type = 'click' THEN '[' || props || ']' WHEN value > 50 THEN substr(props, 2) ELSE props END AS line FROM events)
+SELECT 'error' AS severity, CASE WHEN line IS NULL OR NOT json_valid(line) THEN 'json' ELSE 'shape' END AS code, event_id::VARCHAR AS location FROM l WHERE line IS NULL OR NOT json_valid(line) OR json_type(CASE WHEN json_valid(line) THEN line END) <> 'OBJECT'""")
+def validate_json_shape(s, d):
+    """Lines made of the events' properties: arrays for clicks, cut ones for large values."""
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("["), "props", F.lit("]"))).when(F.col("value") > 50, F.expr("substr(props, 2)")).otherwise(F.col("props"))
+    return validation.json_shape(table(s, d, "events").withColumn("line", line), "line", "event_id")
+
+
+@query("""SELECT 'error' AS severity, CASE WHEN r IS NULL THEN 'card.type' ELSE 'schema' END AS code, o_orderkey::VARCHAR AS location, r AS rule FROM (SELECT *, CASE
+WHEN o_orderstatus = 'F' AND o_totalprice NOT BETWEEN 1000 AND 200000 THEN 'range:o_totalprice' WHEN o_orderstatus = 'O' AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'enum:o_orderpriority' END AS r FROM orders)
+WHERE r IS NOT NULL OR o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')""")
+def validate_dispatch(s, d):
+    """Orders judged by the rules of their status."""
+    rules = {"F": [("o_totalprice", "range", (1000, 200000))], "O": [("o_orderpriority", "enum", ("1-URGENT", "2-HIGH"))]}
+    return validation.dispatched(table(s, d, "orders"), "o_orderstatus", rules, "o_orderkey")
+
+
 @query(f"SELECT severity, code, count(*) AS n FROM ({DANGLING} UNION ALL {TEMPORAL}) GROUP BY ROLLUP (severity, code)")
 def findings_rollup(s, d):
     return validation.rollup(_dangling(s, d).union(_temporal(s, d)))

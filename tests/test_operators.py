@@ -84,6 +84,29 @@ def test_validation(spark):
     assert [r["location"] for r in validation.dangling(rows, "id", rows.where("id = 1"), "id").collect()] == ["2"]
 
 
+def test_conformance_shape_and_dispatch(spark):
+    rows = spark.createDataFrame([(1, "a", 5.0, '{"k": 1}'), (2, None, 50.0, '{"k": 1, "z": 2}'), (3, "q", None, "[1]"), (4, "b", 5.0, "{")], "id long, kind string, v double, js string")
+    rules = [("kind", "required", None), ("kind", "enum", ("a", "b")), ("v", "range", (0, 10)), ("js", "pattern", "^[{]"), ("js", "keys", ("k",))]
+    found = {(r["location"], r["rule"]) for r in validation.conformance(rows, rules, "id").collect()}
+    assert found == {("2", "required:kind"), ("2", "range:v"), ("2", "keys:js"), ("3", "enum:kind"), ("3", "pattern:js")}
+    assert {(r["location"], r["code"]) for r in validation.json_shape(rows, "js", "id").collect()} == {("3", "shape"), ("4", "json")}
+    odd = ['"k": 1}', "1, 2", "1], [2", '1}, {"w": 2', "", " ", None, " {} ", "null", "3"]
+    odd = spark.createDataFrame(list(enumerate(odd)), "id int, js string")
+    assert {(int(r["location"]), r["code"]) for r in validation.json_shape(odd, "js", "id").collect()} == {(k, "json") for k in range(7)} | {(8, "shape"), (9, "shape")}
+    got = validation.dispatched(rows, "kind", {"a": [("v", "range", (6, 9))], "b": []}, "id").collect()
+    assert {(r["location"], r["code"], r["rule"]) for r in got} == {("1", "schema", "range:v"), ("2", "card.type", None), ("3", "card.type", None)}
+    assert validation.conformance(rows.limit(0), rules, "id").count() == 0
+
+
+def test_grid_mixes_and_nearest_breaks_ties(spark):
+    edges = spark.createDataFrame([(0, 9), (1, 9), (0, 9)], "source long, target long")
+    base = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.0), (2, 0, 1.0), (2, 1, 0.0), (3, 0, 2.0), (3, 1, 0.0)], "node long, dim int, x double")
+    found = {(r["hops"], r["node"], r["dim"]): r["x"] for r in graph.grid(edges, base, [0.5], 2).collect()}
+    assert found[1, 0, 0] == 0.75 and found[1, 1, 0] == 0.25 and found[2, 0, 0] == 0.75 and found[2, 2, 0] == 1.0  # 2 has no edge
+    best = graph.nearest(base.withColumn("g", F.lit(1)), "node in (0, 2)", ["g"]).collect()
+    assert {(r["qid"], r["cand"]) for r in best} == {(0, 2), (2, 0)}
+
+
 def test_json_lines_split_at_line_feeds_only(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text('{"a": "x y\u0085z"}\n\n{"a": null, "b": 1}\n')
@@ -105,14 +128,14 @@ def test_entry_lists_oracles_of_queries_only():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["bm25_rank_topk", "retrieval_metrics", "typed_adjacency", "pack_context"])
+@pytest.mark.parametrize("name", ["bm25_rank_topk", "retrieval_metrics", "typed_adjacency", "pack_context", "experiment_grid", "validate_schema", "validate_json_shape", "validate_dispatch"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     from relquill.plans import catalogue
 
     con, folder = duckdb.connect(), "/root/testdata/sf0.001"
-    for t in ("documents", "benchmark", "lineitem", "conversations"):
+    for t in ("documents", "benchmark", "lineitem", "conversations", "embeddings", "events", "orders"):
         con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
     rel = con.sql(catalogue.ORACLES[name])
     mine = catalogue.QUERIES[name](spark, folder).select(*rel.columns)
