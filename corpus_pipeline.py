@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relquill.llm import exact_dedup, mixing, piece_bpe, simhash, toxicity
+from relquill.llm import exact_dedup, mixing, near_copies, piece_bpe, toxicity
 from relquill.llm.common import held_out, materialise, table
 from relquill.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates by SimHash, the document with the smallest id stays, and so do documents without an id."""
-    gone = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, that with the smallest id stays, and so do documents without an id."""
+    gone = near_copies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
@@ -41,7 +41,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", keep_one_copy),
-    ("SimHash near-dedup", keep_one_near_copy),
+    ("near-dedup", keep_one_near_copy),
     ("mixing", mix_sources),
     ("SentencePiece", tokenize),
 ]

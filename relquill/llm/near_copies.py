@@ -1,0 +1,217 @@
+"""Near copies by exact Jaccard similarity of word shingles, and their connected components.
+
+Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``least_tenths`` tenths or more. All
+such pairs share a shingle of both prefixes (prefix filter: with shingles in any one order, the first n - 0.8 n + 1 of n). Pairs
+whose sizes or positions rule the similarity out are dropped, then those whose shingles, counted in 64 buckets, can't overlap
+enough; what remains is compared exactly. In a first round each text is compared with one other text of every shared shingle, in a
+second round with all that are not in its component yet: a large group of near copies joins without all of its pairs.
+
+The order puts shingles that are common in a sample of the texts last; the sample changes the cost and not the result. Shingles
+and texts are told apart by 64-bit hashes. Null and empty texts are equal to each other and link to nothing else; an empty
+table gives an empty result; rows without an id link like any other.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import SMALL_SLICE_BYTES, materialise, slices, tidy
+from .simhash import components, mixed, shingle_hashes
+
+#: Shingles that the order knows as common, at most, and the texts below which all are sampled instead of every sixteenth.
+COMMON, FEW = 100_000, 20_000
+#: Texts whose shingles are fetched by a broadcast of their keys, at most; beyond that by a shuffle.
+BROADCAST = 2_000_000
+BUCKETS = 64
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted; that of the empty text is {0}."""
+    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64)).view(np.int64)
+
+
+def needed(a, b, tenths: int):
+    """The least overlap of sets of a and b members that gives the similarity."""
+    return -(-tenths * (a + b) // (10 + tenths))
+
+
+def possible(pos_a, size_a, pos_b, size_b, tenths: int):
+    """Whether a pair whose first shared shingle stands at these positions can reach the similarity."""
+    fits = tenths * np.maximum(size_a, size_b) <= 10 * np.minimum(size_a, size_b)
+    return fits & (np.minimum(size_a - pos_a, size_b - pos_b) >= needed(size_a, size_b, tenths))
+
+
+def prefix(own: np.ndarray, common: np.ndarray, count: np.ndarray, tenths: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two similar sets share one."""
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        rank = np.where(common[at] == own, count[at], 0)
+    return own[np.lexsort((own, rank))[: len(own) - -(-tenths * len(own) // 10) + 1]]
+
+
+def mapped(df: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` (texts as bytes, node numbers) gives the columns of ``schema`` for each slice of (node, text)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, most=SMALL_SLICE_BYTES):
+                columns = make(part.column("text").to_pylist(), part.column("node").to_numpy())
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.select("node", "text").mapInArrow(tidy(run), schema)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, sorted; their counts) of those that three or more texts of the sample hold."""
+    import pyarrow as pa
+
+    sample = docs if docs.count() < FEW else docs.where("pmod(node, 16) = 0")
+    each = mapped(sample, lambda texts, nodes: [pa.array(np.concatenate([shingle_set(t, words) for t in texts]))], "token long")
+    rows = each.groupBy("token").count().where("count >= 3").orderBy(F.col("count").desc(), "token").limit(COMMON).collect()
+    found = np.array(sorted((r["token"], r["count"]) for r in rows), np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def by_token(df: DataFrame, group, schema: str) -> DataFrame:
+    """``group`` (columns of all rows of some tokens, sorted by token) gives columns of ``schema``."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    columns = df.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        def out(x):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in group(*x)], names)
+
+        held = None
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if last:
+                yield out([x[:last] for x in held])
+                held = [x[last:] for x in held]
+        if held is not None and len(held[0]):
+            yield out(held)
+
+    return df.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(run), schema)
+
+
+def starts(token: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
+
+
+def pairs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, the smaller node first."""
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    both = both[both[:, 0] != both[:, 1]]
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def near_links(docs: DataFrame, words: int = 5, tenths: int = 8) -> DataFrame:
+    """(u, v): links that join all similar texts. ``docs``: node, text as binary."""
+    common, count = common_shingles(docs, words)
+
+    def post(texts, nodes):
+        import pyarrow as pa
+
+        sets = [shingle_set(t, words) for t in texts]
+        tokens = [prefix(s, common, count, tenths) for s in sets]
+        lens = np.array(list(map(len, tokens)))
+        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lens])
+        size = np.repeat(np.array(list(map(len, sets)), np.int32), lens)
+        return [pa.array(np.concatenate(tokens)), pa.array(np.repeat(nodes, lens)), pa.array(pos), pa.array(size)]
+
+    def shared(token, node, pos, size):
+        order = np.lexsort((node, token))
+        token, node, pos, size = (x[order] for x in (token, node, pos, size))
+        first = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # equal texts are one node
+        token, node, pos, size = (x[first] for x in (token, node, pos, size))
+        at = starts(token)
+        many = np.repeat(np.diff(np.r_[at, len(token)]), np.diff(np.r_[at, len(token)])) > 1
+        return [x[many] for x in (token, node, pos, size)]
+
+    def stars(token, node, pos, size):
+        order = np.lexsort((mixed(node ^ token), token))
+        token, node, pos, size = (x[order] for x in (token, node, pos, size))
+        at = starts(token)
+        head = np.repeat(at, np.diff(np.r_[at, len(token)]))
+        ok = possible(pos, size, pos[head], size[head], tenths)
+        return pairs_of(node[ok], node[head][ok])
+
+    def across(token, node, pos, size, root):
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = starts(token)
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
+            if (root[lo:hi] == root[lo]).all():
+                continue
+            for k in range(lo, hi - 1):
+                rest = slice(k + 1, hi)
+                ok = (root[rest] != root[k]) & possible(pos[k], size[k], pos[rest], size[rest], tenths)
+                found.append((np.full(int(ok.sum()), node[k]), node[rest][ok]))
+        return pairs_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    schema = "token long, node long, pos int, size int"
+    held = materialise(by_token(mapped(docs, post, schema), shared, schema), "postings")
+    one = verified(docs, by_token(held, stars, "a long, b long").distinct(), words, tenths)
+    roots = materialise(components(one), "roots")
+    state = held.join(roots, "node", "left").select("token", "node", "pos", "size", F.coalesce("root", "node").alias("root"))
+    return one.union(verified(docs, by_token(state, across, "a long, b long").distinct(), words, tenths))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, tenths: int) -> DataFrame:
+    """(u, v): the pairs (a, b) whose similarity is reached."""
+
+    def members(texts, nodes):
+        import pyarrow as pa
+
+        return [pa.array(nodes), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())]
+
+    def sketches(texts, nodes):
+        import pyarrow as pa
+
+        own = (np.bincount(shingle_set(t, words) & (BUCKETS - 1), minlength=BUCKETS) for t in texts)
+        return [pa.array(nodes), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())]
+
+    def kept(overlap, sizes, a, b):
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                x, y = (batch.column(c).to_pylist() for c in (a, b))
+                ok = [overlap(p, q) >= needed(sizes(p), sizes(q), tenths) for p, q in zip(x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+        return tidy(run)
+
+    counts = lambda x: np.frombuffer(x, "<u4")
+    bound = kept(lambda p, q: int(np.minimum(counts(p), counts(q)).sum()), lambda p: int(counts(p).sum()), "sa", "sb")
+    exact = kept(lambda p, q: len(np.intersect1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True)), lambda p: len(p) // 8, "sa", "sb")
+
+    def compared(pairs, make, check):
+        """Members are fetched for the few texts that the sketches leave, as they are large."""
+        pairs = materialise(pairs, "pairs")
+        nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        wanted = docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "node", "left_semi")
+        found = materialise(mapped(wanted, make, "node long, x binary").dropDuplicates(["node"]), "sets")
+        for side in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("x").alias(f"s{side}")), side)
+        return pairs.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+
+    return materialise(compared(compared(pairs, sketches, bound), members, exact).toDF("u", "v"), "links")
+
+
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tenths: int = 8) -> DataFrame:
+    """(doc_id, component_id): one row for each row of ``df``; component_id is the smallest id reachable over links."""
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
+    docs = docs.withColumn("node", F.xxhash64("text"))
+    roots = materialise(components(near_links(docs, words, tenths)), "roots")
+    rows = docs.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    rows = materialise(rows, "rows")
+    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select(F.col("id").alias(id_col), "component_id")

@@ -290,3 +290,50 @@ def test_pipeline_keeps_its_promises(spark):
     out = stages[4](spark, mixed, folder).collect()
     assert sorted(r["doc_id"] for r in out) == sorted(ids(mixed))
     assert all(r["ids"] == lib.encode(text[r["doc_id"]], add_bos=True, add_eos=True) for r in out)
+
+
+def shingles_of(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else {b""}
+
+
+def slow_near(texts):
+    """Component of each id of ``texts``, by the Jaccard similarity of all pairs."""
+    sets, label = {k: shingles_of(t) for k, t in texts.items()}, {k: k for k in texts}
+    for a in sets:
+        for b in sets:
+            if a < b and label[a] != label[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+def test_near_copies(spark, docs, empty):
+    """Edited copies at and below the bound, a group whose members are linked only through others, and the awkward texts."""
+    from relquill.llm import near_copies
+
+    r = random.Random(8)
+    texts = dict(enumerate(make_texts()))
+    for base in range(12):
+        words = [f"b{base}x{r.randrange(500)}" for _ in range(r.randint(8, 200))]
+        for _ in range(8):
+            copy = words[:]
+            for _ in range(r.randint(0, 1 + len(copy) // 30)):
+                copy[r.randrange(len(copy))] = f"e{r.randrange(10**6)}"
+            texts[len(texts)] = " ".join(copy)
+            words = copy if base % 3 == 0 else words
+    got = by_id(near_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)))
+    want = slow_near(texts)
+    assert {k: x["component_id"] for k, x in got.items()} == want and 20 < len(set(want.values())) < len(want) - 30
+    assert near_copies.near_copies(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies(spark):
+    """The stage against the five-word Jaccard similarity of all pairs, where copies differ in more than two bits of SimHash."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*p.COLUMNS)
+    single = p.keep_one_copy(spark, docs, "").cache()
+    want = slow_near({r["doc_id"]: r["text"] for r in single.collect()})
+    left = [r["doc_id"] for r in p.keep_one_near_copy(spark, single, "").select("doc_id").collect()]
+    assert sorted(left) == sorted(set(want.values())) and len(left) == len(want) - 5
