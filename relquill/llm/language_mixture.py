@@ -151,7 +151,7 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
                 raw = [t or "" for t in part.column("text").to_pylist()]
                 shares, score = infer([t.encode() for t in raw], table)
                 lead = shares.argmax(axis=1) if len(languages) else np.zeros(len(raw), int)
-                sure = [bool(len(languages)) and s > 0 and (t[:200].isascii() or any(map(str.isalpha, t))) for s, t in zip(score, raw, strict=True)]
+                sure = [bool(len(languages)) and s > 0 and (t.isascii() or any(map(str.isalpha, t))) for s, t in zip(score, raw, strict=True)]
                 pred = [languages[k] if ok else "und" for k, ok in zip(lead, sure, strict=True)]
                 mixture = [[(languages[k], float(row[k])) for k in np.flatnonzero(row)] if ok else [] for row, ok in zip(shares, sure, strict=True)]
                 yield pa.RecordBatch.from_arrays(

@@ -337,3 +337,13 @@ def test_pipeline_drops_near_copies(spark):
     want = slow_near({r["doc_id"]: r["text"] for r in single.collect()})
     left = [r["doc_id"] for r in p.keep_one_near_copy(spark, single, "").select("doc_id").collect()]
     assert sorted(left) == sorted(set(want.values())) and len(left) == len(want) - 5
+
+
+def test_language_of_letterless_text(spark):
+    """A sign beyond ASCII far behind digits is no letter."""
+    r = random.Random(1)
+    rows = [(k, " ".join(r.choices(["the", "thing", "when"] if k % 2 else ["que", "eau", "leur", "être"], k=40)), ["fr", "en"][k % 2], "s", 1) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (100, "12 34 " * 50 + "€", None, None, None), (101, "12 34 " * 50 + "ê the thing", None, None, None)], SCHEMA)
+    found = by_id(language_mixture.identify(docs, *language_mixture.fit(docs, "text", "lang", "doc_id", ~held_out())))
+    assert (found[100]["lang_pred"], found[100]["score"], found[100]["proportions"]) == ("und", 0.0, {})
+    assert found[101]["lang_pred"] != "und"
