@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4_000_000
 #: The same where an operator makes many temporary arrays or strings of each slice.
 SMALL_SLICE_BYTES = 1_000_000
+#: A key with a larger share of the rows than one in so many is broadcast instead of shuffled.
+HEAVY_KEYS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,9 +28,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset and all is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="relquill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +54,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` gave, once nothing will read it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def uneven_join(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``table`` (one row for each key, with the number ``n`` of its rows), whatever share a key has.
+
+    Keys with over a thousandth of the rows, of which there are at most a thousand, are broadcast; the others are shuffled.
+    ``rows`` should be a materialised table, as it is read more than once. Null keys match nothing. ``how``: inner or left.
+    """
+    most = max(1, rows.count() // HEAVY_KEYS)
+    heavy, light = table.where(F.col(n) > most), table.where(F.col(n) <= most)
+    hot = rows.join(F.broadcast(heavy), on)  # at most HEAVY_KEYS rows
+    rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    return hot.unionByName(rest)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -1,14 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles, and their connected components.
+"""Near copies: the SimHash comparison of tiles as the search, an exact similarity of word shingles as the rule.
 
-Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``least_tenths`` tenths or more. All
-such pairs share a shingle of both prefixes (prefix filter: with shingles in any one order, the first n - 0.8 n + 1 of n). Pairs
-whose sizes or positions rule the similarity out are dropped, then those whose shingles, counted in 64 buckets, can't overlap
-enough; what remains is compared exactly. In a first round each text is compared with one other text of every shared shingle, in a
-second round with all that are not in its component yet: a large group of near copies joins without all of its pairs.
+Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``tenths`` tenths or more. Each text has
+a fingerprint of 256 bits over its distinct shingles. At a similarity of 0.8 two fingerprints differ in 39 bits on average (48 for
+very short texts, where a majority is coarser) with a deviation of 6, those of unrelated texts in 128, so within RADIUS a pair at
+the bound is missed once in more than a million times, and few pairs have to be read to be compared exactly.
 
-The order puts shingles that are common in a sample of the texts last; the sample changes the cost and not the result. Shingles
-and texts are told apart by 64-bit hashes. Null and empty texts are equal to each other and link to nothing else; an empty
-table gives an empty result; rows without an id link like any other.
+Similar sets have similar sizes, so a tile holds fingerprints of one class of sizes and meets only the tiles of the same and
+of the next class; within a pair of tiles, stretches whose sizes or population counts differ too much are skipped. In a first round each
+fingerprint proposes its nearest neighbour in each pair of tiles; in a second all pairs within the radius that are not in one
+component yet. A large group of near copies is thus joined without all of its pairs.
+
+Null and empty texts are equal to each other and link to nothing else; texts of any length count whole; equal texts and repeated
+rows are one fingerprint; rows without an id link like any other; an empty table gives an empty result. Only the named columns are
+read, and ``drop_near_copies`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,201 +21,260 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_SLICE_BYTES, materialise, slices, tidy
-from .simhash import components, mixed, shingle_hashes
-
-#: Shingles that the order knows as common, at most, and the texts below which all are sampled instead of every sixteenth.
-COMMON, FEW = 100_000, 20_000
-#: Texts whose shingles are fetched by a broadcast of their keys, at most; beyond that by a shuffle.
-BROADCAST = 2_000_000
-BUCKETS = 64
-
-
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingle hashes, sorted; that of the empty text is {0}."""
-    return np.unique(np.array(shingle_hashes(text, words) or [0], np.uint64)).view(np.int64)
-
-
-def needed(a, b, tenths: int):
-    """The least overlap of sets of a and b members that gives the similarity."""
-    return -(-tenths * (a + b) // (10 + tenths))
-
-
-def possible(pos_a, size_a, pos_b, size_b, tenths: int):
-    """Whether a pair whose first shared shingle stands at these positions can reach the similarity."""
-    fits = tenths * np.maximum(size_a, size_b) <= 10 * np.minimum(size_a, size_b)
-    return fits & (np.minimum(size_a - pos_a, size_b - pos_b) >= needed(size_a, size_b, tenths))
-
-
-def prefix(own: np.ndarray, common: np.ndarray, count: np.ndarray, tenths: int) -> np.ndarray:
-    """The rarest shingles of a set, so many that two similar sets share one."""
-    rank = np.zeros(len(own), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        rank = np.where(common[at] == own, count[at], 0)
-    return own[np.lexsort((own, rank))[: len(own) - -(-tenths * len(own) // 10) + 1]]
-
-
-def mapped(df: DataFrame, make, schema: str) -> DataFrame:
-    """``make`` (texts as bytes, node numbers) gives the columns of ``schema`` for each slice of (node, text)."""
-    names = [x.split()[0] for x in schema.split(", ")]
+from .common import SMALL_SLICE_BYTES, free_name, materialise, slices, tidy, uneven_join
+from .simhash import components, mixed
+from .tokens import STEP, mix, shingle_sets
+
+WORDS64, RADIUS = 4, 80
+#: Most fingerprints of one class of sizes that a tile holds.
+TILE = 32_768
+ROWS, COLUMNS = 128, 8_192
+#: Rows that a key has in one task of the join that fetches texts, about.
+KEY_ROWS = 256
+#: Rows that are broadcast, at most; their number is counted first, and beyond it they are shuffled.
+BROADCAST = 1_000_000
+LANES = np.uint64(0x0101010101010101)
+
+
+def fingerprints(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of WORDS64 64-bit words for each set; a bit is 1 if it is set in over half of the set's hashes."""
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    runs = -(-sizes // 255)  # a byte counts up to 255
+    first = np.cumsum(runs) - runs
+    at = np.repeat(starts, runs) + 255 * (np.arange(runs.sum()) - np.repeat(first, runs))
+    out = np.zeros((len(starts), WORDS64), np.uint64)
+    for w in range(WORDS64):
+        own = mix(hashes + STEP * np.uint64(w + 1))
+        for k in range(8):
+            lanes = np.add.reduceat((own >> np.uint64(k)) & LANES, at)
+            counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+            bits = (2 * counts > sizes[:, None]).astype(np.uint64)
+            out[:, w] |= (bits << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(k))).sum(axis=1, dtype=np.uint64)
+    return out
+
+
+def prints(df: DataFrame, words: int) -> DataFrame:
+    """(id, key, node, size, f0 ... f3) of each row of (id, key, text): the node is a hash of the set, size that of the set."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part in slices(batch, most=SMALL_SLICE_BYTES):
-                columns = make(part.column("text").to_pylist(), part.column("node").to_numpy())
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return df.select("node", "text").mapInArrow(tidy(run), schema)
-
-
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, sorted; their counts) of those that three or more texts of the sample hold."""
-    import pyarrow as pa
-
-    sample = docs if docs.count() < FEW else docs.where("pmod(node, 16) = 0")
-    each = mapped(sample, lambda texts, nodes: [pa.array(np.concatenate([shingle_set(t, words) for t in texts]))], "token long")
-    rows = each.groupBy("token").count().where("count >= 3").orderBy(F.col("count").desc(), "token").limit(COMMON).collect()
-    found = np.array(sorted((r["token"], r["count"]) for r in rows), np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
-
-
-def by_token(df: DataFrame, group, schema: str) -> DataFrame:
-    """``group`` (columns of all rows of some tokens, sorted by token) gives columns of ``schema``."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    columns = df.columns
+                hashes, starts = shingle_sets(part.column("text").to_pylist(), words)
+                node = mix(np.add.reduceat(mix(hashes + STEP), starts)).view(np.int64)
+                found = fingerprints(hashes, starts).view(np.int64)
+                sizes = np.diff(np.r_[starts, len(hashes)])
+                columns = [node, sizes, *(np.ascontiguousarray(found[:, k]) for k in range(WORDS64))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *map(pa.array, columns)], names)
+
+    names = ["id", "key", "node", "size", *(f"f{k}" for k in range(WORDS64))]
+    schema = ", ".join([f"id {df.schema['id'].dataType.simpleString()}", *(f"{c} long" for c in names[1:])])
+    return df.select("id", "key", "text").mapInArrow(tidy(run), schema)
+
+
+def size_class(size: np.ndarray, tenths: int) -> np.ndarray:
+    """Sets that reach the similarity are in one class or in neighbouring ones."""
+    return np.floor(np.log(size) / (np.log(10 / tenths) + 1e-6)).astype(np.int64)
+
+
+def pairs_within(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
+    """(row of a, row of b, distance) of all pairs within the radius whose sizes allow the similarity, block by block."""
+    rows, columns = np.argsort(a["size"], kind="stable"), np.argsort(b["size"], kind="stable")
+    low = np.searchsorted(b["size"][columns], -(-tenths * a["size"][rows] // 10))
+    high = np.searchsorted(b["size"][columns], 10 * a["size"][rows] // tenths, side="right")
+    count_a, count_b = (np.bitwise_count(x["fp"]).sum(axis=1, dtype=np.int64) for x in (a, b))
+    for r in range(0, len(rows), ROWS):
+        left = rows[r : r + ROWS]
+        for c in range(int(low[r : r + ROWS].min()), int(high[r : r + ROWS].max()), COLUMNS):
+            right = columns[c : c + COLUMNS]
+            if count_a[left].min() - count_b[right].max() > RADIUS or count_b[right].min() - count_a[left].max() > RADIUS:
+                continue
+            apart = np.zeros((len(left), len(right)), np.uint16)
+            for w in range(WORDS64):
+                apart += np.bitwise_count(a["fp"][left, w][:, None] ^ b["fp"][right, w][None, :])
+            x, y = np.nonzero(apart <= RADIUS)
+            distance = apart[x, y]
+            x, y = left[x], right[y]
+            fits = (a["node"][x] != b["node"][y]) & (10 * np.minimum(a["size"][x], b["size"][y]) >= tenths * np.maximum(a["size"][x], b["size"][y]))
+            if fits.any():
+                yield x[fits], y[fits], distance[fits]
+
+
+def nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
+    """(node, its nearest other node, distance), for the rows of both."""
+    best = [np.full(len(x["node"]), 2**62, np.int64) for x in (a, b)]
+    base = max(len(a["node"]), len(b["node"]))
+    for x, y, distance in pairs_within(a, b, tenths):
+        np.minimum.at(best[0], x, distance.astype(np.int64) * base + y)
+        np.minimum.at(best[1], y, distance.astype(np.int64) * base + x)
+    for own, other, found in ((a, b, best[0]), (b, a, best[1])):
+        at = np.flatnonzero(found < 2**62)
+        yield own["node"][at], other["node"][found[at] % base], found[at] // base
+
+
+def across(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
+    """(node, other node, distance) of all pairs that aren't in one component."""
+    for x, y, distance in pairs_within(a, b, tenths):
+        ok = a["root"][x] != b["root"][y]
+        if ok.any():
+            yield a["node"][x[ok]], b["node"][y[ok]], distance[ok].astype(np.int64)
+
+
+def compared(nodes: DataFrame, search, tenths: int) -> DataFrame:
+    """(a, b, distance): what ``search`` finds in each pair of tiles. ``nodes``: node, root, size, f0 ... f3."""
+    fields = [f"f{k}" for k in range(WORDS64)]
+    own_class = F.floor(F.log("size") / F.lit(float(np.log(10 / tenths) + 1e-6))).cast("int")
+    counts = nodes.groupBy(own_class.alias("c")).count().collect()  # a row for each class of sizes
+    tiles = np.zeros(max([r["c"] for r in counts], default=0) + 2, np.int64)
+    for r in counts:
+        tiles[r["c"]] = -(-r["count"] // TILE)
+    wide = int(tiles.max())
+
+    def emit(batches):
+        import pyarrow as pa
 
-    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 20_000):
+                part = batch.slice(begin, 20_000)
+                c = size_class(part.column("size").to_numpy(), tenths)
+                tile = (mixed(part.column("node").to_numpy()) % tiles[c].astype(np.uint64)).astype(np.int64)
+
+                def dealt(times, role, make):
+                    at = np.repeat(np.arange(len(c)), times)
+                    k = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    key = make(at, k)
+                    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), role, np.int8)), *(x.take(pa.array(at)) for x in part.columns)], ["key", "role", *part.schema.names])
+
+                before = np.where(c > 0, tiles[np.maximum(c - 1, 0)], 0)
+                number = lambda c, i, step, j: ((c * wide + i) * 2 + step) * wide + j
+                yield dealt(tiles[c] - tile, 0, lambda at, k: number(c[at], tile[at], 0, tile[at] + k))
+                yield dealt(tiles[c + 1], 0, lambda at, k: number(c[at], tile[at], 1, k))
+                yield dealt(tile, 1, lambda at, k: number(c[at], k, 0, tile[at]))
+                yield dealt(before, 1, lambda at, k: number(c[at] - 1, k, 1, tile[at]))
+
+    def compare(batches):
         import pyarrow as pa
 
-        def out(x):
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in group(*x)], names)
+        def tasks(held):
+            for at in np.split(np.arange(len(held["key"])), np.flatnonzero(held["key"][1:] != held["key"][:-1]) + 1):
+                part = {k: v[at] for k, v in held.items()}
+                a, b = ({k: v[part["role"] == role] for k, v in part.items()} for role in (0, 1))
+                step, j = divmod(int(part["key"][0]) % (2 * wide), wide)
+                if not step and j == int(part["key"][0]) // (2 * wide) % wide:
+                    b = a
+                if len(a["key"]) and len(b["key"]):
+                    for found in search(a, b, tenths):
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["a", "b", "distance"])
 
         held = None
         for batch in batches:
-            new = [batch.column(c).to_numpy() for c in columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            new = {c: batch.column(c).to_numpy() for c in ("key", "role", "node", "root", "size")}
+            new["fp"] = np.stack([batch.column(c).to_numpy() for c in fields], axis=1).view(np.uint64)
+            held = new if held is None else {k: np.concatenate([v, new[k]]) for k, v in held.items()}
+            last = int(np.searchsorted(held["key"], held["key"][-1])) if len(held["key"]) else 0
             if last:
-                yield out([x[:last] for x in held])
-                held = [x[last:] for x in held]
-        if held is not None and len(held[0]):
-            yield out(held)
-
-    return df.repartition("token").sortWithinPartitions("token").mapInArrow(tidy(run), schema)
-
-
-def starts(token: np.ndarray) -> np.ndarray:
-    return np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
-
+                yield from tasks({k: v[:last] for k, v in held.items()})
+                held = {k: v[last:] for k, v in held.items()}
+        if held is not None and len(held["key"]):
+            yield from tasks(held)
 
-def pairs_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs, the smaller node first."""
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    both = both[both[:, 0] != both[:, 1]]
-    return both[:, 0].copy(), both[:, 1].copy()
+    schema = ", ".join(["key long, role byte, node long, root long, size long", *(f"{c} long" for c in fields)])
+    dealt = nodes.select("node", "root", "size", *fields).mapInArrow(tidy(emit), schema)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(compare), "a long, b long, distance long")
 
 
-def near_links(docs: DataFrame, words: int = 5, tenths: int = 8) -> DataFrame:
-    """(u, v): links that join all similar texts. ``docs``: node, text as binary."""
-    common, count = common_shingles(docs, words)
+def verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame, words: int, tenths: int) -> DataFrame:
+    """(u, v): the pairs (a, b) of nodes that reach the similarity. ``keys``: node, key of a text that has the set."""
 
-    def post(texts, nodes):
+    def check(batches):
         import pyarrow as pa
 
-        sets = [shingle_set(t, words) for t in texts]
-        tokens = [prefix(s, common, count, tenths) for s in sets]
-        lens = np.array(list(map(len, tokens)))
-        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in lens])
-        size = np.repeat(np.array(list(map(len, sets)), np.int32), lens)
-        return [pa.array(np.concatenate(tokens)), pa.array(np.repeat(nodes, lens)), pa.array(pos), pa.array(size)]
-
-    def shared(token, node, pos, size):
-        order = np.lexsort((node, token))
-        token, node, pos, size = (x[order] for x in (token, node, pos, size))
-        first = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]  # equal texts are one node
-        token, node, pos, size = (x[first] for x in (token, node, pos, size))
-        at = starts(token)
-        many = np.repeat(np.diff(np.r_[at, len(token)]), np.diff(np.r_[at, len(token)])) > 1
-        return [x[many] for x in (token, node, pos, size)]
-
-    def stars(token, node, pos, size):
-        order = np.lexsort((mixed(node ^ token), token))
-        token, node, pos, size = (x[order] for x in (token, node, pos, size))
-        at = starts(token)
-        head = np.repeat(at, np.diff(np.r_[at, len(token)]))
-        ok = possible(pos, size, pos[head], size[head], tenths)
-        return pairs_of(node[ok], node[head][ok])
-
-    def across(token, node, pos, size, root):
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        at = starts(token)
-        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(token)], strict=True):
-            if (root[lo:hi] == root[lo]).all():
-                continue
-            for k in range(lo, hi - 1):
-                rest = slice(k + 1, hi)
-                ok = (root[rest] != root[k]) & possible(pos[k], size[k], pos[rest], size[rest], tenths)
-                found.append((np.full(int(ok.sum()), node[k]), node[rest][ok]))
-        return pairs_of(*(np.concatenate(x) for x in zip(*found, strict=True)))
-
-    schema = "token long, node long, pos int, size int"
-    held = materialise(by_token(mapped(docs, post, schema), shared, schema), "postings")
-    one = verified(docs, by_token(held, stars, "a long, b long").distinct(), words, tenths)
+        for batch in batches:
+            for part in slices(batch, most=SMALL_SLICE_BYTES):
+                (x, at_x), (y, at_y) = (shingle_sets(part.column(c).to_pylist(), words) for c in ("text", "other"))
+                ends_x, ends_y = np.r_[at_x[1:], len(x)], np.r_[at_y[1:], len(y)]
+                ok = []
+                for p, q, r, s in zip(at_x.tolist(), ends_x.tolist(), at_y.tolist(), ends_y.tolist(), strict=True):
+                    both = len(np.intersect1d(x[p:q], y[r:s], assume_unique=True))
+                    ok.append(10 * both >= tenths * (q - p + s - r - both))
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["u", "v"])
+
+    pairs = materialise(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(keys, "node")
+    wanted = materialise(wanted, "wanted")
+    small = wanted.count() <= BROADCAST
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "key").groupBy("node").agg(F.any_value("text").alias("text"))
+    # a node that many pairs name is dealt over several tasks; there are at most a thousand such nodes
+    for side, name in (("a", "text"), ("b", "other")):
+        most = max(KEY_ROWS, pairs.count() // 1_000) if side == "a" else most
+        heavy = pairs.groupBy(side).count().where(F.col("count") > most).select(F.col(side).alias("node"), F.ceil(F.col("count") / KEY_ROWS).cast("int").alias("salts"))
+        side_texts = texts.join(F.broadcast(heavy), "node", "left").select(F.col("node").alias(side), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        left = (pairs if side == "a" else found).join(F.broadcast(heavy.withColumnRenamed("node", side)), side, "left")
+        left = left.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        found = left.join(side_texts, [side, "salt"]).drop("salt")
+    return materialise(found.select("a", "b", "text", "other").mapInArrow(tidy(check), "u long, v long"), "links")
+
+
+def near_links(docs: DataFrame, rows: DataFrame, words: int, tenths: int) -> DataFrame:
+    """(u, v): links that join all similar nodes. ``docs``: key, text; ``rows``: what ``prints`` gives for them."""
+    fields = [f"f{k}" for k in range(WORDS64)]
+    nodes = rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", *fields)), F.min("key").alias("key"))
+    nodes = materialise(nodes, "nodes")
+    keys = nodes.select("node", "key")
+    close = compared(nodes.withColumn("root", F.col("node")), nearest, tenths)
+    close = close.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = verified(close, keys, docs, words, tenths)
     roots = materialise(components(one), "roots")
-    state = held.join(roots, "node", "left").select("token", "node", "pos", "size", F.coalesce("root", "node").alias("root"))
-    return one.union(verified(docs, by_token(state, across, "a long, b long").distinct(), words, tenths))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, words: int, tenths: int) -> DataFrame:
-    """(u, v): the pairs (a, b) whose similarity is reached."""
-
-    def members(texts, nodes):
-        import pyarrow as pa
-
-        return [pa.array(nodes), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())]
-
-    def sketches(texts, nodes):
-        import pyarrow as pa
-
-        own = (np.bincount(shingle_set(t, words) & (BUCKETS - 1), minlength=BUCKETS) for t in texts)
-        return [pa.array(nodes), pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())]
-
-    def kept(overlap, sizes, a, b):
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                x, y = (batch.column(c).to_pylist() for c in (a, b))
-                ok = [overlap(p, q) >= needed(sizes(p), sizes(q), tenths) for p, q in zip(x, y, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-        return tidy(run)
-
-    counts = lambda x: np.frombuffer(x, "<u4")
-    bound = kept(lambda p, q: int(np.minimum(counts(p), counts(q)).sum()), lambda p: int(counts(p).sum()), "sa", "sb")
-    exact = kept(lambda p, q: len(np.intersect1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True)), lambda p: len(p) // 8, "sa", "sb")
+    state = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = compared(state, across, tenths).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return one.union(verified(rest, keys, docs, words, tenths))
 
-    def compared(pairs, make, check):
-        """Members are fetched for the few texts that the sketches leave, as they are large."""
-        pairs = materialise(pairs, "pairs")
-        nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        wanted = docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes, "node", "left_semi")
-        found = materialise(mapped(wanted, make, "node long, x binary").dropDuplicates(["node"]), "sets")
-        for side in ("a", "b"):
-            pairs = pairs.join(found.select(F.col("node").alias(side), F.col("x").alias(f"s{side}")), side)
-        return pairs.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
-    return materialise(compared(compared(pairs, sketches, bound), members, exact).toDF("u", "v"), "links")
+def grouped(df: DataFrame, id_col: str, text_col: str, words: int, tenths: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, node of each row; node, root, least id of its component, of the linked nodes)."""
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = materialise(prints(docs, words), "prints")
+    roots = materialise(components(near_links(docs, rows, words, tenths)), "roots")
+    least = rows.groupBy("node").agg(F.min("id").alias("least"))
+    linked = materialise(roots.join(least, "node"), "linked")
+    of_root = linked.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "node")).alias("best"), F.count("*").alias("n"))
+    linked = uneven_join(linked, of_root, ["root"]).select("node", F.col("best.least").alias("component_id"), F.col("best.node").alias("stays"))
+    return rows, materialise(linked, "linked")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tenths: int = 8) -> DataFrame:
     """(doc_id, component_id): one row for each row of ``df``; component_id is the smallest id reachable over links."""
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text"))
-    docs = docs.withColumn("node", F.xxhash64("text"))
-    roots = materialise(components(near_links(docs, words, tenths)), "roots")
-    rows = docs.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    rows = materialise(rows, "rows")
-    return rows.join(rows.groupBy("root").agg(F.min("id").alias("component_id")), "root").select(F.col("id").alias(id_col), "component_id")
+    rows, linked = grouped(df, id_col, text_col, words, tenths)
+    of_node = rows.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    found = of_node.join(linked, "node", "left").select("node", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return uneven_join(rows, found, ["node"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tenths: int = 8) -> DataFrame:
+    """``df`` with one row of each group of near copies, all columns: that with the smallest id (none counts as the largest).
+
+    Rows are told apart by their text, not by their id. Of rows with the same set of shingles that have the smallest id of the
+    group, one stays.
+    """
+    rows, linked = grouped(df, id_col, text_col, words, tenths)
+    # of each set that stays, the text of the smallest id; all other texts go
+    nodes = rows.groupBy("node").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("stay"), F.count_distinct("key").alias("texts"), F.count("*").alias("n"))
+    gone_nodes = linked.where("node <> stays").select("node")
+    several = nodes.where("texts > 1").select("node", "stay")
+    keys = rows.select("node", "key").distinct()
+    gone = keys.join(gone_nodes, "node", "left_semi").select("key")
+    gone = gone.union(keys.join(several, "node").where("key <> stay").select("key")).distinct()
+    gone = materialise(gone, "gone")
+    key = free_name(df, "key")
+    keyed = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))))
+    out = keyed.join(F.broadcast(gone.withColumnRenamed("key", key)) if gone.count() <= BROADCAST else gone.withColumnRenamed("key", key), key, "left_anti")
+    repeated = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias(key))
+    repeated = materialise(repeated.join(gone.withColumnRenamed("key", key), key, "left_anti"), "repeated")
+    if not repeated.isEmpty():
+        few = repeated.count() <= BROADCAST
+        chosen = F.broadcast(repeated) if few else repeated
+        whole = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        once = out.join(chosen, key, "left_semi").groupBy(key).agg(F.min_by(whole, F.struct(F.col(id_col).isNull(), F.col(id_col))).alias(free_name(df, "row")))
+        return out.join(chosen, key, "left_anti").drop(key).unionByName(once.select(f"{free_name(df, 'row')}.*"))
+    return out.drop(key)

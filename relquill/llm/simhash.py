@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, tidy
+from .common import discard, materialise, slices, tidy, uneven_join
 
 #: Most fingerprints of one cell that a tile holds.
 TILE = 16_384
@@ -194,22 +194,27 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (u, v) reaches, by large-star and small-star rounds."""
+    """(node, root): the smallest node that each node of ``edges`` (u, v) reaches, by large-star and small-star rounds.
+
+    A node with a large share of the links, like the centre of a star, is broadcast with its least neighbour, not shuffled to.
+    """
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     before = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state["n"] == 0 or state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = state
+        before, old = state, edges
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = uneven_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        discard(old)
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = uneven_join(large, least, ["u"])
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = materialise(small, "links")
+        discard(large)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -218,11 +223,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Two rows are linked if their fingerprints differ in ``radius`` bits at most; component_id is the smallest id reachable.
     """
     rows = materialise(fingerprints(df, id_col, text_col, words), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct, radius))
-    roots = materialise(roots, "roots")
-    of_root = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").groupBy("root").agg(F.min("least").alias("component"))
-    found = distinct.join(roots.join(of_root, "root").select(F.col("node").alias("fp"), "component"), "fp", "left")
-    found = found.select("fp", F.coalesce("component", "least").alias("component_id"))
-    joined = rows.join(found, "fp")
+    distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    roots = materialise(components(links(distinct, radius)), "roots")
+    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least", "n")
+    of_root = linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    linked = uneven_join(materialise(linked, "linked"), of_root, ["root"], "members").select("fp", "component")
+    found = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component_id"))
+    joined = uneven_join(rows, found, ["fp"])
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

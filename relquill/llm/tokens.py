@@ -60,3 +60,30 @@ def gram_hashes(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray
         out = mix(out * STEP + words[k : len(words) - n + 1 + k])
     own = np.flatnonzero(text[: len(text) - n + 1] == text[n - 1 :])
     return out[own] if n > 1 else out, own + n - 1
+
+
+def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct hashes of each text's n-word shingles, sorted within the text; where each text's begin).
+
+    A text of fewer words has one shingle, all of its words; a text without words has one, which is that of every such text.
+    """
+    words, text = word_hashes(texts, NOT_SPACE)
+    sizes = np.bincount(text, minlength=len(texts))
+    found, ends = gram_hashes(words, text, n)
+    parts, owners = [found], [text[ends]]
+    for k in range(n):  # shorter texts
+        few = np.flatnonzero(sizes == k)
+        if not len(few):
+            continue
+        if k:
+            found, ends = gram_hashes(*((x[np.isin(text, few)]) for x in (words, text)), k)
+            parts.append(mix(found + np.uint64(k)))
+            owners.append(text[np.isin(text, few)][ends])
+        else:
+            parts.append(np.zeros(len(few), np.uint64))
+            owners.append(few)
+    found, text = np.concatenate(parts), np.concatenate(owners)
+    order = np.lexsort((found, text))
+    found, text = found[order], text[order]
+    first = np.r_[True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])][: len(found)]
+    return found[first], np.searchsorted(text[first], np.arange(len(texts)))

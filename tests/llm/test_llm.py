@@ -282,8 +282,7 @@ def test_pipeline_keeps_its_promises(spark):
         groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), k))
     assert sorted(ids(single)) == sorted(min(g)[1] for g in groups.values())
     near = stages[2](spark, single, folder).cache()
-    fps = {k: slow_fingerprint(text[k]) for k in ids(single)}
-    assert sorted(ids(near)) == sorted(set(slow_components(sorted(fps), fps, 2).values()))
+    assert sorted(ids(near)) == sorted(set(slow_near({k: text[k] for k in sorted(ids(single))}).values()))
     mixed = stages[3](spark, near, folder).cache()
     assert mixed.columns == list(p.COLUMNS) and set(ids(mixed)) <= set(ids(near))
     lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
@@ -328,6 +327,35 @@ def test_near_copies(spark, docs, empty):
     assert near_copies.near_copies(empty).count() == 0
 
 
+def test_near_copies_keep_rows(spark, empty):
+    """Rows that share an id with a copy, rows without an id, repeated rows, and columns with clashing names."""
+    from relquill.llm import near_copies
+
+    words = [f"w{k}" for k in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"o{k}" for k in range(60))
+    rows = [(5, text), (7, near), (7, other), (None, text.upper()), (None, "alone " + other), (8, None), (9, ""), (9, ""), (10, "a b"), (10, "a b"), (11, "a  b")]
+    docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, key int, `row` int, _key int")
+    left = near_copies.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(5, text), (7, other), (8, None), (10, "a b")], key=repr)
+    assert near_copies.drop_near_copies(empty).count() == 0
+
+
+def test_near_copies_tiles(spark, monkeypatch):
+    """Many small tiles find what one tile finds."""
+    from relquill.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", 5)
+    r = random.Random(11)
+    texts = {}
+    for base in range(10):
+        words = [f"b{base}x{r.randrange(99)}" for _ in range(r.randint(30, 60))]
+        for _ in range(6):
+            texts[len(texts)] = " ".join(w if r.random() > 0.01 else "e" for w in words)
+    got = by_id(near_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string")))
+    assert {k: x["component_id"] for k, x in got.items()} == slow_near(texts)
+
+
 def test_pipeline_drops_near_copies(spark):
     """The stage against the five-word Jaccard similarity of all pairs, where copies differ in more than two bits of SimHash."""
     import corpus_pipeline as p
