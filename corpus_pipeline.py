@@ -23,9 +23,11 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, that with the smallest id stays, and so do documents without an id."""
-    gone = near_copies.near_copies(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles, one with the smallest id stays.
+
+    Rows are told apart by text, so an id that other texts share, or a null one, loses nothing. Null and empty texts are one group.
+    """
+    return near_copies.drop_near_copies(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", keep_one_copy),
-    ("near-dedup", keep_one_near_copy),
+    ("SimHash near-dedup", keep_one_near_copy),
     ("mixing", mix_sources),
     ("SentencePiece", tokenize),
 ]
