@@ -1,11 +1,12 @@
 """Exact deduplication by progressive refinement, with DataFrame operations only.
 
 Rows are grouped by normalised length, survivors by a hash of their first characters, and only what still shares a group is
-hashed in full. Groups are aggregated before they are joined back, so a group of copies of any size makes no large task.
+hashed in full. Both levels are counts, aggregated before they are shuffled, and the groups that survive are joined to the rows
+once; a group of copies of any size makes no large task, as keys with many rows are broadcast.
 
 Null counts as the empty text, and all empty texts are equal. Of equal texts, the row with the most code points in its
-original text stays, then the one with the smallest id (a null id last). Of repeated rows with the same id, one stays. An
-empty table gives an empty result; other columns don't matter.
+original text stays, then the one with the smallest id (a null id last). Of repeated rows with the same id, one stays. Texts of any
+length count whole. An empty table gives an empty result; columns of ``keep`` pass unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise
+from .common import materialise, uneven_join
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX = 64
-#: Groups are broadcast up to so many (of two longs each: 32 MB), which is counted first; beyond, rows are hashed before the join.
+#: Groups are broadcast up to so many (of two longs each: 32 MB), which is counted first; beyond, rows are shuffled to them.
 BROADCAST_GROUPS = 1_000_000
+#: Tasks that the rows of one group are dealt over in that shuffle.
+SALTS = 16
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -27,39 +30,34 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256): one row for each row of ``df``.
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep_id, group_size, kept, text_sha256, columns of ``keep``): one row for each row of ``df``.
 
-    text_sha256 is null for a text that the first two levels show to be unique, unless ``hash_all``.
+    text_sha256 is null for a text that the first two levels show to be unique.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    body = df.select(F.col(id_col).alias("id"), text.alias("text"), normalised(F.col(text_col)).alias("body"))
+    held = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("int")
+    body = df.select(F.col(id_col).alias("id"), F.char_length(text).alias("points"), normalised(F.col(text_col)).alias("body"), held.alias("held"))
     shape = (F.octet_length("body").cast("long").alias("size"), F.xxhash64(F.substring("body", 1, PREFIX)).alias("head"))
-    first = materialise(body.select(*shape), "shapes")
-    sizes = first.groupBy("size").count().where("count > 1").select("size")
-    groups = materialise(first.join(sizes, "size", "left_semi").groupBy("size", "head").count().where("count > 1").select("size", "head"), "groups")
-    groups = groups.withColumn("again", F.lit(True))
-    rows = body.select("id", F.monotonically_increasing_id().alias("row"), F.char_length("text").alias("points"), *shape, "body")
+    counts = materialise(body.groupBy(*shape).count(), "shapes")
+    sizes = counts.groupBy("size").agg(F.sum("count").alias("rows")).where("rows > 1").select("size")
+    groups = materialise(counts.where("count > 1").join(sizes, "size", "left_semi").select("size", "head"), "groups")
+    rows = body.select("id", F.monotonically_increasing_id().alias("row"), "points", *shape, "body", "held")
     if groups.count() <= BROADCAST_GROUPS:
-        full = F.sha2(F.col("body").cast("binary"), 256)
-        rows = rows.join(F.broadcast(groups), ["size", "head"], "left")
-        rows = rows.withColumn("sha", full if hash_all else F.when(F.col("again"), full)).drop("body")
+        rows = rows.join(F.broadcast(groups.withColumn("again", F.lit(True))), ["size", "head"], "left")
     else:
-        rows = rows.withColumn("sha", F.sha2(F.col("body").cast("binary"), 256)).drop("body").join(groups, ["size", "head"], "left")
-    rows = materialise(rows.withColumn("again", F.coalesce("again", F.lit(False))), "hashed")
+        salted = groups.select("size", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("again"))
+        rows = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["size", "head", "salt"], "left").drop("salt")
+    full = F.when(F.col("again"), F.sha2(F.col("body").cast("binary"), 256))
+    rows = materialise(rows.select("id", "row", "points", "size", full.alias("sha"), "held"), "hashed")
     order = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("row").alias("row"))
-    best = rows.where("again").groupBy("size", "sha").agg(F.count("*").alias("n"), F.min(order).alias("best")).where("n > 1")
+    again = rows.where("sha IS NOT NULL")
+    best = again.groupBy("size", "sha").agg(F.count("*").alias("n"), F.min(order).alias("best"))
     best = best.select("size", "sha", "n", F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"))
-    alike = rows.where("again").join(best, ["size", "sha"], "left").select("id", "row", "sha", "n", "keep", "keep_row")
-    single = rows.where("not again").select("id", "row", "sha", F.lit(None).cast("long").alias("n"), F.col("id").alias("keep"), F.col("row").alias("keep_row"))
-    return alike.union(single).select(
-        F.col("id").alias(id_col),
-        F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
-        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
-        (F.coalesce("keep_row", "row") == F.col("row")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        F.col("row").alias("row_id"),
-    )
+    alike = uneven_join(again, best, ["size", "sha"]).select("id", "keep", "n", (F.col("row") == F.col("keep_row")).alias("kept"), "sha", "held")
+    single = rows.where("sha IS NULL").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("kept"), "sha", "held")
+    names = (F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
+    return alike.union(single).select(*names, *(F.col("held")[c].alias(c) for c in keep))
 
 
 def exact_sql() -> str:
@@ -71,18 +69,6 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS ke
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one row of each group of equal texts, all columns.
-
-    Rows are told apart by id (null is one, too) and text; of rows that repeat both, one stays.
-    """
-    spark_key, gone_id, gone_key = (free_name(df, x) for x in ("_sha", "_gone_id", "_gone_sha"))
-    found = exact_duplicates(df, id_col, text_col).where("not kept")
-    same = F.col(id_col).eqNullSafe(F.col("keep_id"))
-    gone, repeated = (found.where(c).select(F.col(id_col).alias(gone_id), F.col("text_sha256").alias(gone_key)).distinct() for c in (~same, same))
-    keyed = df.withColumn(spark_key, F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    match = lambda d, g: (d[spark_key] == g[gone_key]) & d[id_col].eqNullSafe(g[gone_id])
-    out = keyed.join(gone, match(keyed, gone), "left_anti")
-    if not repeated.isEmpty():
-        rest = out.join(repeated, match(out, repeated), "left_anti")
-        out = rest.unionByName(out.join(repeated, match(out, repeated), "left_semi").dropDuplicates([id_col, spark_key]))
-    return out.drop(spark_key)
+    """``df`` with one row of each group of equal texts, all columns."""
+    whole = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("held"))
+    return exact_duplicates(whole, "id", "text", ("held",)).where("kept").select("held.*")

@@ -144,20 +144,35 @@ def test_mixing(spark, docs, empty):
     assert "_copy" in mixing.mix(docs.withColumn("copy", docs.doc_id)).columns
 
 
-def test_exact_dedup(docs, empty):
-    groups = {}
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_exact_dedup(docs, empty, monkeypatch, most):
+    """Both ways to join the groups give one result; only texts that share a length and a head are hashed."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", most)
+    groups, shapes = {}, Counter()
     for k, t in enumerate(make_texts()):
-        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), k))
-    got = by_id(exact_dedup.exact_duplicates(docs, hash_all=True))
+        body = re.sub("[\x20\x09-\x0d]", "", t or "")
+        groups.setdefault(body, []).append((-len(t or ""), k))
+        shapes[len(body.encode()), body[:64]] += 1
+    got = by_id(exact_dedup.exact_duplicates(docs.withColumn("sha", docs.lang).withColumn("held", docs.source), keep=("sha", "held", "lang")))
     for body, members in groups.items():
+        sha = hashlib.sha256(body.encode()).hexdigest() if shapes[len(body.encode()), body[:64]] > 1 else None
         for _, k in members:
-            assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"], got[k]["text_sha256"]) == (min(members)[1], len(members), min(members)[1] == k, hashlib.sha256(body.encode()).hexdigest())
+            assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"], got[k]["text_sha256"]) == (min(members)[1], len(members), min(members)[1] == k, sha)
+            assert got[k]["sha"] == got[k]["lang"] == ["en", "de", None][k % 3]
     assert exact_dedup.exact_duplicates(empty).count() == 0
     twice = exact_dedup.exact_duplicates(docs.union(docs))
     assert twice.where("kept").count() == len(groups)
-    left = exact_dedup.drop_copies(docs.union(docs).union(docs.selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))).collect()
-    assert sorted(r["doc_id"] for r in left) == sorted(min(g)[1] for g in groups.values())
-    assert exact_dedup.drop_copies(docs.withColumn("_sha", docs.lang)).columns[-1] == "_sha"
+    clashing = docs.withColumn("_sha", docs.lang).withColumn("id", docs.lang).withColumn("Held", docs.lang)
+    left = exact_dedup.drop_copies(clashing.union(clashing).union(clashing.selectExpr("cast(null as long) doc_id", "text", "lang", "source", "n_chars", "_sha", "id", "Held")))
+    assert left.columns == clashing.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == sorted(min(g)[1] for g in groups.values())
+
+
+def test_exact_dedup_query(spark):
+    """The query's digests of all texts, the uniques' too, on the smallest table."""
+    texts = {r["doc_id"]: re.sub("[\x20\x09-\x0d]", "", r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = by_id(queries.op6_exact_dedup(spark, "/root/testdata/sf0.001"))
+    assert {k: r["text_sha256"] for k, r in got.items()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in texts.items()}
 
 
 def test_license_scan(spark, docs, empty):
