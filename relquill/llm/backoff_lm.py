@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import slices
 from .tokens import NOT_SPACE, gram_hashes, word_hashes
 
-#: Bytes of text in a block, about; a longer text has a block of its own.
+#: Bytes of text in a block, about; a block with a longer text is as large as that.
 BLOCK_BYTES = 5_000_000
 ALPHA = 0.4
 
@@ -71,7 +71,7 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     totals = source.select("text").mapInArrow(measure, "bytes long, words long").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     parts, all_words = max(1, -(-totals[0] // block_bytes)), totals[1]
-    block = F.pmod(F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id")), F.xxhash64("text")), F.lit(parts)).cast("int")
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")  # rows that share an id only are dealt apart
     blocks = source.withColumn("block", block)
 
     def send(table):

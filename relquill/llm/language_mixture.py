@@ -4,8 +4,10 @@ Byte trigrams of each language, counted in labelled texts, give a likelihood for
 expectation-maximisation finds the proportions of languages that explain its words; the set of languages grows by the one
 with the steepest rise of the likelihood, as long as the rise is worth a penalty for each language.
 
-A text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing to learn from.
-Repeated rows give repeated results; an empty table gives an empty result; only the named columns are read.
+A text that is null or has no letter is ``und`` with score 0, and so is every text if there is nothing to learn from. Texts count
+whole; memory grows with the words of the longest text times the languages. Ties go to the language that is first by name.
+Repeated rows give repeated results; an empty table gives an empty result; only the named columns are read, and an added column
+gets underscores in front where a kept one has its name.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE_BYTES, free_name, slices
 
 #: Labelled rows of each language that the model is fitted on, about: those with the smallest hashes of their id.
 SAMPLE = 4_000
@@ -23,6 +25,8 @@ SMOOTHING = 0.1
 #: A word's likelihoods are held within this factor (as a logarithm), so that no single word decides.
 CLIP = 8.0
 ROUNDS = 12
+#: Letters times languages whose likelihoods are looked up at once.
+LETTERS = 4_000_000
 #: A further language must raise twice the logarithm of the likelihood by this times the logarithm of the number of words.
 PENALTY = 6.0
 
@@ -100,7 +104,13 @@ def infer(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     code, first, text = trigrams(texts)
     if not len(first) or not k:
         return shares, score
-    logs = np.add.reduceat(table[code], first, axis=0)
+    logs = np.empty((len(first), k), np.float32)
+    ends = np.r_[first[1:], len(code)]
+    step = max(1, LETTERS // k)
+    cuts = np.unique(np.r_[np.searchsorted(ends, np.arange(0, len(code), step)), len(first)])
+    for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):  # whole words, of so many letters in sum
+        if b > a:
+            logs[a:b] = np.add.reduceat(table[code[first[a] : ends[b - 1]]], first[a:b] - first[a], axis=0)
     logs = np.maximum(logs - logs.max(axis=1, keepdims=True), -CLIP)
     like = np.exp(logs)
     present, starts = np.unique(text, return_index=True)
@@ -138,17 +148,21 @@ def infer(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score, and proportions as a map of the languages found to their shares."""
-    source = docs.select(*keep, F.col(text_col).alias("text"))
-    fields = [f for f in source.schema.fields if f.name != "text"]
+    own = docs.select(*keep)
+    text, *added = (free_name(own, c) for c in ("text", "lang_pred", "score", "proportions"))
+    source = docs.select(*keep, F.col(text_col).alias(text))
+    fields = [f for f in source.schema.fields if f.name != text]
     names = [f.name for f in fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double, proportions map<string,double>"])
+    types = ("string", "double", "map<string,double>")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{c}` {t}" for c, t in zip(added, types, strict=True))])
+    most = max(1, 4 * SLICE_BYTES // max(4, len(languages)))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch):
-                raw = [t or "" for t in part.column("text").to_pylist()]
+            for part in slices(batch, text, most):
+                raw = [t or "" for t in part.column(text).to_pylist()]
                 shares, score = infer([t.encode() for t in raw], table)
                 lead = shares.argmax(axis=1) if len(languages) else np.zeros(len(raw), int)
                 sure = [bool(len(languages)) and s > 0 and (t.isascii() or any(map(str.isalpha, t))) for s, t in zip(score, raw, strict=True)]
@@ -156,7 +170,7 @@ def identify(docs: DataFrame, languages: list[str], table: np.ndarray, text_col:
                 mixture = [[(languages[k], float(row[k])) for k in np.flatnonzero(row)] if ok else [] for row, ok in zip(shares, sure, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), pa.array(pred, pa.string()), pa.array(np.where(sure, np.clip(score, 0, 1), 0.0), pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))],
-                    [*names, "lang_pred", "score", "proportions"],
+                    [*names, *added],
                 )
 
     return source.mapInArrow(run, schema)

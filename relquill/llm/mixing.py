@@ -3,9 +3,10 @@
 A source's target repetition rate is the mean of a Poisson distribution. Each row's count is that distribution inverted at a
 uniform number hashed from seed and id; the row is exploded by its count, and the copies are shuffled globally by hash.
 
-Rows with a null source form a source of their own; equal ids (null is one too) of a source draw equal counts. Repeated rows
-are replicated alike, long and null texts pass unchanged, an empty table gives an empty result. A name of the input that
-clashes with ``copy`` keeps its column, and the added one gets underscores in front.
+Rows with a null source form a source of their own; equal ids of a source draw equal counts, and rows without an id draw by a hash
+of all their columns. Repeated rows are replicated alike, long and null texts pass unchanged, an empty table gives an empty
+result. All columns of the input pass under their names; where one clashes with ``copy``, the added one gets underscores in
+front.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ LARGEST_MEAN = 256.0
 
 def uniform(seed: int, part: Column, key: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5 sum."""
-    text = F.concat_ws("|", F.lit(str(seed)), part.cast("string"), F.coalesce(key.cast("string"), F.lit("")))
+    text = F.concat_ws("|", F.lit(str(seed)), part.cast("string"), key)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
 
 
@@ -55,27 +56,30 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", weigh
     ``weights``: target share of each source (sources that it lacks get none); without it, shares are proportional to the
     source's rows to the power ``temperature``. ``epochs``: rows out, on average, over rows in.
     """
-    table = distributions(rates(df, source_col, weights, temperature, epochs)).select(F.col("source").alias("_source_"), F.col("parts").alias("_parts_"), F.col("cdf").alias("_cdf_"))
     copy = free_name(df, "copy")
-    key, left = df[source_col], df
+    names = [F.col(f"`{c}`") for c in df.columns]
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("#"), F.xxhash64(F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).cast("string")))
+    held = df.select(F.struct(*names).alias("held"), F.col(f"`{source_col}`").alias("source"), key.alias("key"))  # no name of the input can clash
+    table = distributions(rates(df.select(F.col(f"`{source_col}`").alias("source")), "source", weights, temperature, epochs))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = left.join(F.broadcast(table), key.eqNullSafe(F.col("_source_")))
+        joined = held.join(F.broadcast(table), held["source"].eqNullSafe(table["source"]))
     else:
-        salted = table.withColumn("_salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = left.join(salted, key.eqNullSafe(F.col("_source_")) & (F.pmod(F.xxhash64(df[id_col]), F.lit(SALTS)) == F.col("_salt_"))).drop("_salt_")
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = held.join(salted, held["source"].eqNullSafe(salted["source"]) & (F.pmod(F.xxhash64("key"), F.lit(SALTS)) == F.col("salt")))
     drawn = F.aggregate(
-        F.sequence(F.lit(0), F.col("_parts_") - 1), F.lit(0),
-        lambda s, k: s + F.aggregate("_cdf_", F.lit(0), lambda n, c: n + F.when(c <= uniform(seed, k, df[id_col]), 1).otherwise(0)),
+        F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0),
+        lambda s, k: s + F.aggregate("cdf", F.lit(0), lambda n, c: n + F.when(c <= uniform(seed, k, F.col("key")), 1).otherwise(0)),
     )
-    one = F.aggregate("_cdf_", F.struct(F.lit(0).alias("n"), uniform(seed, F.lit(0), df[id_col]).alias("u")), lambda s, c: F.struct((s["n"] + F.when(c <= s["u"], 1).otherwise(0)).alias("n"), s["u"].alias("u")))["n"]
-    joined = joined.withColumn("_times_", F.when(F.col("_parts_") == 1, one).otherwise(drawn)).drop("_source_", "_parts_", "_cdf_")
-    out = joined.where("_times_ > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_times_")))).drop("_times_")
-    place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(copy))
-    return out.repartition(place).sortWithinPartitions(F.xxhash64(place, F.lit(seed + 1)))
+    one = F.aggregate("cdf", F.struct(F.lit(0).alias("n"), uniform(seed, F.lit(0), F.col("key")).alias("u")), lambda s, c: F.struct((s["n"] + F.when(c <= s["u"], 1).otherwise(0)).alias("n"), s["u"].alias("u")))["n"]
+    times = joined.select("held", "key", F.when(F.col("parts") == 1, one).otherwise(drawn).alias("times")).where("times > 0")
+    out = times.select("held", "key", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    place = F.xxhash64(F.lit(seed), F.col("key"), F.col("copy"))
+    out = out.withColumn("place", place).repartition("place").sortWithinPartitions(F.xxhash64("place", F.lit(seed + 1)))
+    return out.select("held.*", F.col("copy").alias(copy))
 
 
 def mix_sql(temperature: float = 0.5, epochs: float = 1.0, seed: int = 42) -> str:
-    """DuckDB SQL for ``mix`` of ``documents`` without weights, as long as no rate exceeds LARGEST_MEAN."""
+    """DuckDB SQL for ``mix`` of ``documents`` without weights and null ids, as long as no rate exceeds LARGEST_MEAN."""
     return f"""
 WITH RECURSIVE n AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
 r AS (SELECT source, pow(n, {temperature}) / (SELECT sum(pow(n, {temperature})) FROM n) * (SELECT sum(n) FROM n) * {epochs} / n AS rate FROM n),

@@ -3,8 +3,9 @@
 All words of a slice lie in one flat numpy array of symbols. A round finds each word's best-ranked pair with a segmented
 minimum, joins its leftmost occurrences in all words at once, and compacts the array, until no word has a pair left.
 
-Null and empty texts give the begin and end ids alone. Any other column is untouched; repeated rows give repeated results;
-an empty table gives an empty result.
+Null and empty texts give the begin and end ids alone; a text of any length is encoded whole, in memory that grows with it. Any
+other column is untouched, and an added column gets underscores in front where an input column has its name; repeated rows give
+repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import ChainMap
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +24,8 @@ from .common import SMALL_SLICE_BYTES, free_name, slices, tidy
 
 SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
-#: Words kept with their ids in a worker; the store is emptied when full, so that memory stays bounded.
-CACHE_WORDS = 250_000
+#: Characters of the words kept with their ids in a worker; the store is emptied when full, and longer words are not kept.
+CACHE_CHARACTERS, CACHED_WORD = 2_000_000, 64
 #: Unbroken runs of more symbols than this are merged one by one with a heap.
 LONG_RUN = 2048
 WORD = re.compile(r" *[^ ]+| +")
@@ -160,6 +162,7 @@ class PieceModel:
         self.spaced = np.array([x.startswith(SPACE) for x in pieces])
         self.silent = np.array([lib.is_control(i) for i in range(size)])
         self.store: dict[str, bytes] = {}
+        self.stored = 0
 
     # -- encoding -----------------------------------------------------------------------------------------------------
 
@@ -277,11 +280,15 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
         split = [WORD.findall(f" {t}".replace(SPACE, " ")) if t else [] for t in texts]
-        if len(self.store) > CACHE_WORDS:
+        if self.stored > CACHE_CHARACTERS:
             self.store.clear()
+            self.stored = 0
         missing = list({w for words in split for w in words if w not in self.store})
-        store = self.store
-        store.update(zip(missing, self.merge_words(missing), strict=True))
+        own = dict(zip(missing, self.merge_words(missing), strict=True))
+        kept = {w: x for w, x in own.items() if len(w) <= CACHED_WORD}
+        self.store.update(kept)
+        self.stored += sum(map(len, kept))
+        store = self.store if len(kept) == len(own) else ChainMap(own, self.store)
         head, tail = (np.array([x], "<u4").tobytes() for x in (self.begin, self.end))
         return [head + b"".join([store[w] for w in words]) + tail for words in split]
 
@@ -340,7 +347,9 @@ def encode_decode(df: DataFrame, model: bytes, text_col: str = "text", keep: lis
     source = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias(text))
     fields = [f for f in source.schema.fields if f.name != text]
     names = [f.name for f in fields]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long", *["ids array<int>"] * with_ids, "ids_sha256 string", "decoded_sha256 string"])
+    added = [free_name(df.select(*keep), c) for c in ("n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256")]
+    types = ["long", *["array<int>"] * with_ids, "string", "string"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{c}` {t}" for c, t in zip(added, types, strict=True))])
 
     def run(batches):
         import pyarrow as pa
@@ -355,6 +364,6 @@ def encode_decode(df: DataFrame, model: bytes, text_col: str = "text", keep: lis
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.frombuffer(b"".join(data), "<i4"))))
                 columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in data]))
                 columns.append(pa.array([hashlib.sha256(own.decode(x).encode()).hexdigest() for x in data]))
-                yield pa.RecordBatch.from_arrays(columns, [*names, "n_tokens", *["ids"] * with_ids, "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
     return source.mapInArrow(tidy(run), schema)

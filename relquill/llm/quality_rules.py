@@ -3,9 +3,10 @@
 Sequential covering learns the list on the driver from a bounded sample of labelled statistics: each rule is a conjunction
 of thresholds, grown on two thirds of the sample and pruned on the rest. The list becomes one ordered Spark conditional.
 
-Null counts as the empty text, which fails the base rule (fewer than 50 words). Repeated rows give repeated results; an empty
-table gives an empty result; without labels of both kinds the list is empty and only the base rule rejects. Clashing names
-in the input don't matter, as only the named columns are read.
+Null counts as the empty text, which fails the base rule (fewer than 50 words). Texts of any length count whole, in arrays that
+grow with the text. Repeated rows give repeated results; of several labels of one id all count; an empty table gives an empty
+result; without labels of both kinds the list is empty and only the base rule rejects. Ties between thresholds go to the
+first in the order of FEATURES. Clashing names in the input don't matter, as only the named columns are read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def statistics(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("
     kept = [F.col(c) for c in keep]
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = df.select(*kept, text.alias("_text"))
-    inner = F.regexp_replace("_text", "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    inner = F.regexp_replace("_text", "\\A[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+\\z", "")
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     df = df.select(
         *kept, F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES)).alias("_w"), lines.alias("_lines"),

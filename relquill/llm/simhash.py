@@ -5,8 +5,9 @@ radius lie in cells whose counts differ by the radius at most in sum, so all oth
 compared exactly. A cell of many fingerprints is cut into tiles of bounded size. Each tile task gives a spanning forest of
 its links, and connected components are found over those with repeated star contractions.
 
-Null and empty texts have fingerprint zero and link like any other. Ties and repeated rows share a fingerprint and hence a
-component; an empty table gives an empty result; other columns don't matter.
+Null and empty texts have fingerprint zero and link like any other; texts of any length count whole. Ties and repeated rows share
+a fingerprint and hence a component, whose id is the smallest that isn't null; fingerprints with a large share of the rows are
+broadcast to them. An empty table gives an empty result; only the named columns are read, so other names don't matter.
 """
 
 from __future__ import annotations

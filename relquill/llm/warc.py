@@ -4,8 +4,10 @@ Records are grouped into independent frames; a bundle ends with a seek table in
 format), and an index maps each record to its bundle, frame and offset within the frame. Equal payloads are kept once: the
 record with the smallest page_id is a response, the others revisit it.
 
-A null payload is empty. Rows without a page_id are always responses, as are repeated rows of the smallest page_id. An empty
-table gives an empty result. Each task writes under a name of its own, and only the index, which Spark commits, says which
+Payloads are equal if length and SHA-256 are (the SHA-1 of the digest field has known collisions). A null payload is empty, a null
+url has no target field; a payload of any length is one record, held in memory once. Rows without a page_id are always
+responses, as are repeated rows of the smallest page_id. An empty table gives an empty result; only the three columns are
+read, so other names don't matter. Each task writes under a name of its own, and only the index, which Spark commits, says which
 bundles count: files of lost or repeated tasks are never read.
 """
 
@@ -19,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, slices
+from .common import materialise, new_path, slices, uneven_join
 
 #: Raw bytes of a frame, compressed bytes of a bundle, about; a larger record has a frame of its own.
 FRAME_BYTES, BUNDLE_BYTES = 256 * 1024, 64 * 1024 * 1024
@@ -141,11 +143,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
     Payloads of at least ``min_bytes`` that are equal are kept once.
     """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary"))
-    source = pages.select("page_id", "url", payload.alias("text"), F.sha1(payload).alias("digest"))
-    small = materialise(source.where(F.octet_length("text") >= min_bytes).select("page_id", "digest"), "digests")
-    firsts = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    revisits = small.join(firsts, "digest").where("page_id <> first").distinct()
-    source = source.join(materialise(revisits, "revisits"), ["page_id", "digest"], "left").select("page_id", "url", "text", "first")
+    source = pages.select("page_id", "url", payload.alias("text"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
+    small = materialise(source.where(F.col("size") >= min_bytes).select("page_id", "digest", "size"), "digests")
+    firsts = small.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = uneven_join(small, firsts, ["digest", "size"]).where("page_id <> first").select("page_id", "digest", "size", "first").distinct()
+    source = source.join(materialise(revisits, "revisits"), ["page_id", "digest", "size"], "left").select("page_id", "url", "text", "first")
 
     def run(batches):
         import pyarrow as pa

@@ -59,6 +59,10 @@ def test_language(spark, empty):
     mixed = max((x["proportions"] for x in found if x["doc_id"] == 102), key=len)
     assert 0.5 < mixed["en"] < 0.8 and abs(sum(mixed.values()) - 1) < 1e-6
     assert language_mixture.identify(empty, *fitted).count() == 0
+    clash = language_mixture.identify(docs.selectExpr("doc_id", "text", "lang score"), *fitted, keep=("doc_id", "text", "score"))
+    assert clash.columns == ["doc_id", "text", "score", "lang_pred", "_score", "proportions"] and clash.count() == 64
+    long = spark.createDataFrame([(1, text("en", 300_000))], "doc_id long, text string")
+    assert language_mixture.identify(long, *fitted).first()["lang_pred"] == "en"
     nothing = language_mixture.fit(empty, "text", "lang", "doc_id", ~held_out())
     assert {x["lang_pred"] for x in language_mixture.identify(docs, *nothing).collect()} == {"und"}
 
@@ -118,10 +122,12 @@ def test_warc(spark):
     assert {k: r["refers_to"] for k, r in got.items()} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: None, 7: 1, None: None}
     assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in rows)
     assert {r["record_type"] for r in warc.round_trip(pages, min_bytes=9).collect()} == {"response"}
+    twice = warc.round_trip(pages.union(pages).selectExpr("*", "1 digest", "2 size", "3 first")).collect()
+    assert Counter((r["page_id"], r["refers_to"]) for r in twice) == Counter((r["page_id"], r["refers_to"]) for r in rows * 2)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_mixing(spark, docs, empty):
+def test_mixing(spark, docs, empty, monkeypatch):
     import math
 
     got = Counter(r["doc_id"] for r in mixing.mix(docs, temperature=0.5, epochs=2.0, seed=3).collect())
@@ -141,7 +147,16 @@ def test_mixing(spark, docs, empty):
     n = many.groupBy("source").count().collect()
     assert [r["source"] for r in n] == ["en"] and abs(n[0]["count"] / (300 * len(rows)) - 1) < 0.05
     assert mixing.mix(empty).count() == 0
-    assert "_copy" in mixing.mix(docs.withColumn("copy", docs.doc_id)).columns
+    clashing = ("copy", "_cdf_", "_parts_", "_times_", "_source_", "_salt_", "key", "held", "cdf", "parts", "times", "place", "salt")
+    named = docs.select("*", *(docs.doc_id.alias(c) for c in clashing))
+    for most in (10_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        again = mixing.mix(named, temperature=0.5, epochs=2.0, seed=3)
+        assert again.columns == [*named.columns, "_copy"]
+        rows = again.collect()
+        assert Counter(r["doc_id"] for r in rows) == got and all(r[c] == r["doc_id"] for r in rows for c in clashing)
+    nameless = spark.createDataFrame([(None, f"t{k}", None, "s", None) for k in range(1000)], SCHEMA)
+    assert 880 < mixing.mix(nameless, epochs=1.0).count() < 1120 and mixing.mix(nameless.union(nameless)).groupBy("text").count().where("count % 2 = 1").count() == 0
 
 
 @pytest.mark.parametrize("most", [0, 1_000_000])
@@ -185,13 +200,23 @@ def test_license_scan(spark, docs, empty):
     assert license_join.license_scan(empty).count() == 0
     import duckdb
 
+    import textwrap
+
     texts = [(k, f"{t or ''}\n{license_join.TEMPLATES[k % 9][1]}") for k, t in enumerate(make_texts())] + rows
+    wrapped = [(name, "\n".join(f"# {x}" for x in textwrap.wrap(text, width))) for name, text in license_join.TEMPLATES for width in (20, 30, 40, 60, 72)]
+    texts += [(0, f"some words before\n{t}\nand after") for _, t in wrapped]
+    texts += [(0, "x mit license \u0085"), (0, "the mit license\u2028"), (0, "mit license \u2029\u0085"), (0, "gpl \u212aelvin GNU General Public License, version 3 this wor\u212a is licensed under the"), (0, "word " * 5000 + "MIT License")]
+    texts += [(0, license_join.TEMPLATES[5][1].replace("under", "under " + "x " * n)) for n in range(8)]
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", [(k, t) for k, (_, t) in enumerate(texts)])
     rel = con.sql(license_join.license_sql())
     mine = license_join.license_scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")).select(*rel.columns)
     assert sorted(map(tuple, mine.collect()), key=repr) == sorted(rel.fetchall(), key=repr)
+    at = texts.index((0, f"some words before\n{wrapped[0][1]}\nand after"))
+    found = by_id(mine)
+    assert all(name in found[at + k]["labels"].split(",") for k, (name, _) in enumerate(wrapped))
+    assert [found[at + len(wrapped) + k]["n_base"] for k in range(3)] == [1, 0, 1] and found[at + len(wrapped)]["n_words"] == 4
 
 
 def test_piece_bpe(docs, empty, model):
@@ -212,11 +237,20 @@ def test_piece_bpe(docs, empty, model):
         assert got[k]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[k]["decoded_sha256"] == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
     assert piece_bpe.encode_decode(empty, model).count() == 0
+    clash = piece_bpe.encode_decode(docs.selectExpr("doc_id", "doc_id n_tokens", "lang ids", "lang IDS_SHA256", "text"), model)
+    assert clash.columns == ["doc_id", "n_tokens", "ids", "IDS_SHA256", "_n_tokens", "_ids", "_ids_sha256", "decoded_sha256"] and clash.count() == len(make_texts())
+    small = piece_bpe.PieceModel(model)
+    small_texts = ["x" * 100_000 + str(k) for k in range(30)] + texts
+    piece_bpe.CACHE_CHARACTERS, kept = 5_000, piece_bpe.CACHE_CHARACTERS
+    for t in small_texts[:200]:
+        assert small.encode([t]) == own.encode([t]) and small.stored < 10_000
+    piece_bpe.CACHE_CHARACTERS = kept
 
 
 def test_quality(spark, docs, empty):
-    got = by_id(quality_rules.quality(docs, []))
-    for k, t in enumerate(make_texts()):
+    awkward = [*make_texts(), "a b \u0085", "a b\u2028", "a \u2029 b \u2029", "\u0085", " x\r\n", "p \u212a q\n" * 40]
+    got = by_id(quality_rules.quality(spark.createDataFrame([*enumerate(awkward)], "doc_id long, text string"), []))
+    for k, t in enumerate(awkward):
         words = WORDS.findall(t or "")
         grams = Counter(zip(words, words[1:], words[2:]))
         covered = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
