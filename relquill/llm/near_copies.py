@@ -6,9 +6,10 @@ very short texts, where a majority is coarser) with a deviation of 6, those of u
 the bound is missed once in more than a million times, and few pairs have to be read to be compared exactly.
 
 Similar sets have similar sizes, so a tile holds fingerprints of one class of sizes and meets only the tiles of the same and
-of the next class; within a pair of tiles, stretches whose sizes or population counts differ too much are skipped. In a first round each
-fingerprint proposes its nearest neighbour in each pair of tiles; in a second all pairs within the radius that are not in one
-component yet. A large group of near copies is thus joined without all of its pairs.
+of the next class; within a pair of tiles, stretches whose sizes or population counts differ too much are skipped. In two rounds each
+fingerprint proposes its nearest neighbour outside its component, and the pair of texts is compared exactly. Fingerprints that
+still have one within the radius in another component then meet once more with their sets, and a tile task compares those
+pairs exactly and gives a spanning forest of the links. So no step gives all the pairs of a group, and no link is lost.
 
 Null and empty texts are equal to each other and link to nothing else; texts of any length count whole; equal texts and repeated
 rows are one fingerprint; rows without an id link like any other; an empty table gives an empty result. Only the named columns are
@@ -26,8 +27,12 @@ from .simhash import components, mixed
 from .tokens import STEP, mix, shingle_sets
 
 WORDS64, RADIUS = 4, 80
-#: Most fingerprints of one class of sizes that a tile holds.
-TILE = 32_768
+#: Most fingerprints of one class of sizes that a tile holds, and the least for which a class is cut into TILES for its cores.
+TILE, SMALL_TILE, TILES = 32_768, 1_024, 6
+#: Bytes of shingle sets in a tile, about, where these are compared.
+TILE_BYTES = 8_000_000
+#: Rounds in which nearest neighbours are proposed.
+ROUNDS = 2
 ROWS, COLUMNS = 128, 8_192
 #: Rows that a key has in one task of the join that fetches texts, about.
 KEY_ROWS = 256
@@ -79,7 +84,7 @@ def size_class(size: np.ndarray, tenths: int) -> np.ndarray:
 
 
 def pairs_within(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
-    """(row of a, row of b, distance) of all pairs within the radius whose sizes allow the similarity, block by block."""
+    """(row of a, row of b, distance) of all pairs of two components within the radius whose sizes allow the similarity, in blocks."""
     rows, columns = np.argsort(a["size"], kind="stable"), np.argsort(b["size"], kind="stable")
     low = np.searchsorted(b["size"][columns], -(-tenths * a["size"][rows] // 10))
     high = np.searchsorted(b["size"][columns], 10 * a["size"][rows] // tenths, side="right")
@@ -96,13 +101,13 @@ def pairs_within(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int
             x, y = np.nonzero(apart <= RADIUS)
             distance = apart[x, y]
             x, y = left[x], right[y]
-            fits = (a["node"][x] != b["node"][y]) & (10 * np.minimum(a["size"][x], b["size"][y]) >= tenths * np.maximum(a["size"][x], b["size"][y]))
+            fits = (a["root"][x] != b["root"][y]) & (10 * np.minimum(a["size"][x], b["size"][y]) >= tenths * np.maximum(a["size"][x], b["size"][y]))
             if fits.any():
                 yield x[fits], y[fits], distance[fits]
 
 
 def nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
-    """(node, its nearest other node, distance), for the rows of both."""
+    """(node, its nearest node in another component, distance), for the rows of both."""
     best = [np.full(len(x["node"]), 2**62, np.int64) for x in (a, b)]
     base = max(len(a["node"]), len(b["node"]))
     for x, y, distance in pairs_within(a, b, tenths):
@@ -113,22 +118,57 @@ def nearest(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
         yield own["node"][at], other["node"][found[at] % base], found[at] // base
 
 
-def across(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
-    """(node, other node, distance) of all pairs that aren't in one component."""
-    for x, y, distance in pairs_within(a, b, tenths):
-        ok = a["root"][x] != b["root"][y]
-        if ok.any():
-            yield a["node"][x[ok]], b["node"][y[ok]], distance[ok].astype(np.int64)
+def unsettled(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
+    """The nodes of both that have one within the radius in another component; the other columns play no part."""
+    seen = [np.zeros(len(x["node"]), bool) for x in (a, b)]
+    for x, y, _ in pairs_within(a, b, tenths):
+        seen[0][x] = seen[1][y] = True
+    for own, found in zip((a, b), seen, strict=True):
+        node = own["node"][found]
+        yield node, node, np.zeros(len(node), np.int64)
+
+
+def exact(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int):
+    """A spanning forest of the pairs that reach the similarity, as (node, other node, 0)."""
+    label: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while label.get(k, k) != k:
+            k = label[k]
+        return k
+
+    held = [[np.frombuffer(x, np.uint64) for x in side["set"]] for side in (a, b)]
+    found: list[tuple[int, int]] = []
+    for x, y, _ in pairs_within(a, b, tenths):
+        order = np.argsort(x, kind="stable")
+        x, y = x[order], y[order]
+        for part in np.split(np.arange(len(x)), np.flatnonzero(x[1:] != x[:-1]) + 1):
+            k, others = int(x[part[0]]), y[part]
+            own = held[0][k]
+            lens = np.array([len(held[1][j]) for j in others.tolist()])
+            every = np.concatenate([held[1][j] for j in others.tolist()])
+            at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+            both = np.add.reduceat((own[at] == every).astype(np.int64), np.cumsum(lens) - lens)
+            for j in others[10 * both >= tenths * (len(own) + lens - both)].tolist():
+                p, q = root(int(a["root"][k])), root(int(b["root"][j]))
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    found.append((int(a["node"][k]), int(b["node"][j])))
+    if found:
+        pairs = np.array(found, np.int64)
+        yield pairs[:, 0].copy(), pairs[:, 1].copy(), np.zeros(len(pairs), np.int64)
 
 
 def compared(nodes: DataFrame, search, tenths: int) -> DataFrame:
-    """(a, b, distance): what ``search`` finds in each pair of tiles. ``nodes``: node, root, size, f0 ... f3."""
+    """(a, b, distance): what ``search`` finds in each pair of tiles. ``nodes``: node, root, size, f0 ... f3, and set for ``exact``."""
+    sets = ["set"] if "set" in nodes.columns else []
     fields = [f"f{k}" for k in range(WORDS64)]
     own_class = F.floor(F.log("size") / F.lit(float(np.log(10 / tenths) + 1e-6))).cast("int")
     counts = nodes.groupBy(own_class.alias("c")).count().collect()  # a row for each class of sizes
     tiles = np.zeros(max([r["c"] for r in counts], default=0) + 2, np.int64)
     for r in counts:
-        tiles[r["c"]] = -(-r["count"] // TILE)
+        most = max(1, min(TILE, int(TILE_BYTES / (8 * (10 / tenths) ** (r["c"] + 1))))) if sets else TILE
+        tiles[r["c"]] = max(-(-r["count"] // most), min(TILES, -(-r["count"] // SMALL_TILE)))
     wide = int(tiles.max())
 
     def emit(batches):
@@ -169,7 +209,7 @@ def compared(nodes: DataFrame, search, tenths: int) -> DataFrame:
 
         held = None
         for batch in batches:
-            new = {c: batch.column(c).to_numpy() for c in ("key", "role", "node", "root", "size")}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "role", "node", "root", "size", *sets)}
             new["fp"] = np.stack([batch.column(c).to_numpy() for c in fields], axis=1).view(np.uint64)
             held = new if held is None else {k: np.concatenate([v, new[k]]) for k, v in held.items()}
             last = int(np.searchsorted(held["key"], held["key"][-1])) if len(held["key"]) else 0
@@ -179,8 +219,8 @@ def compared(nodes: DataFrame, search, tenths: int) -> DataFrame:
         if held is not None and len(held["key"]):
             yield from tasks(held)
 
-    schema = ", ".join(["key long, role byte, node long, root long, size long", *(f"{c} long" for c in fields)])
-    dealt = nodes.select("node", "root", "size", *fields).mapInArrow(tidy(emit), schema)
+    schema = ", ".join(["key long, role byte, node long, root long, size long", *(f"{c} long" for c in fields), *["set binary"] * len(sets)])
+    dealt = nodes.select("node", "root", "size", *fields, *sets).mapInArrow(tidy(emit), schema)
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(compare), "a long, b long, distance long")
 
 
@@ -216,19 +256,42 @@ def verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame, words: int, ten
     return materialise(found.select("a", "b", "text", "other").mapInArrow(tidy(check), "u long, v long"), "links")
 
 
+def shingles(docs: DataFrame, keys: DataFrame, words: int) -> DataFrame:
+    """(node, set): the sorted shingle hashes of the text that ``keys`` (node, key) names."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, most=SMALL_SLICE_BYTES):
+                found, starts = shingle_sets(part.column("text").to_pylist(), words)
+                ends = np.r_[starts[1:], len(found)]
+                sets = [found[p:q].tobytes() for p, q in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
+
+    wanted = materialise(keys, "wanted")
+    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "key").select("node", "text")
+    return texts.mapInArrow(tidy(run), "node long, set binary").groupBy("node").agg(F.any_value("set").alias("set"))
+
+
 def near_links(docs: DataFrame, rows: DataFrame, words: int, tenths: int) -> DataFrame:
     """(u, v): links that join all similar nodes. ``docs``: key, text; ``rows``: what ``prints`` gives for them."""
     fields = [f"f{k}" for k in range(WORDS64)]
     nodes = rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", *fields)), F.min("key").alias("key"))
     nodes = materialise(nodes, "nodes")
     keys = nodes.select("node", "key")
-    close = compared(nodes.withColumn("root", F.col("node")), nearest, tenths)
-    close = close.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = verified(close, keys, docs, words, tenths)
-    roots = materialise(components(one), "roots")
-    state = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = compared(state, across, tenths).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return one.union(verified(rest, keys, docs, words, tenths))
+    state, found = nodes.withColumn("root", F.col("node")), None
+    for _ in range(ROUNDS):
+        close = compared(state, nearest, tenths)
+        close = close.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = verified(close, keys, docs, words, tenths)
+        found = new if found is None else found.union(new)
+        roots = components(found)
+        state = materialise(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "state")
+    left = materialise(compared(state, unsettled, tenths).select(F.col("a").alias("node")).distinct(), "unsettled")
+    sets = shingles(docs, left.join(keys, "node"), words)
+    rest = compared(materialise(state.join(sets, "node"), "sets"), exact, tenths)
+    return found.union(materialise(rest.select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
 
 
 def grouped(df: DataFrame, id_col: str, text_col: str, words: int, tenths: int) -> tuple[DataFrame, DataFrame]:

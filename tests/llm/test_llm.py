@@ -395,6 +395,7 @@ def test_near_copies_tiles(spark, monkeypatch):
     from relquill.llm import near_copies
 
     monkeypatch.setattr(near_copies, "TILE", 5)
+    monkeypatch.setattr(near_copies, "TILE_BYTES", 2_000)
     r = random.Random(11)
     texts = {}
     for base in range(10):
