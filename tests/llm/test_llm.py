@@ -105,11 +105,140 @@ def test_toxicity(spark, empty):
     found = by_id(toxicity.score(docs, toxicity.fit(docs.select("doc_id", "text"), labels, ~held_out())))
     assert sum(found[k]["predicted"] == (k % 4 == 0) for k in range(400)) >= 396
     assert found[900]["score"] == found[901]["score"] and found[900]["predicted"] == 0
+    fitted = toxicity.fit(docs, labels, ~held_out())
+    clash = toxicity.score(docs.selectExpr("doc_id", "text", "lang score", "lang body"), fitted, keep=("doc_id", "score", "body"))
+    assert clash.columns == ["doc_id", "score", "body", "_score", "predicted"] and clash.count() == 402
+    long = spark.createDataFrame([(1, "w1 w2 w3 " * 400_000), (1, "vile"), (1, "vile")], "doc_id long, text string")
+    assert [r["predicted"] for r in toxicity.score(long, fitted).collect()] == [0, 1, 1]
+    wordless = docs.withColumn("text", docs.doc_id.cast("string"))
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, toxicity.fit(wordless, labels, ~held_out())).collect())
     assert toxicity.fit(docs, labels.where("toxic = 0"), ~held_out()) is None
     assert {x["score"] for x in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(empty, None).count() == 0
 
 
+def slow_kneser_ney(texts):
+    """P(w | v) of each class from (class, words) of the counted texts, by the formulas, with dictionaries."""
+    d, s = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    head = lambda w: w[: toxicity.HEAD]
+    count = [Counter(), Counter()]
+    for y, words in texts:
+        count[y].update(set(zip(words, words[1:])))
+    both = count[0] + count[1]
+    follows = [Counter(w for _, w in c) for c in count]
+    shared = Counter(w for _, w in both)
+    heads = {head(w) for w in shared}
+
+    def level(counts, x, taken, below):
+        """A discounted count, whose mass goes to ``below``."""
+        total = sum(counts.values())
+        return below if not total else max(counts[x] - taken, 0) / total + sum(min(n, taken) for n in counts.values()) / total * below
+
+    def grouped(counts):
+        out = Counter()
+        for w, n in counts.items():
+            out[head(w)] += n
+        return out
+
+    def within(counts, h):
+        return Counter({w: n for w, n in counts.items() if head(w) == h})
+
+    def word(k, w, h=None):
+        h = h or head(w)
+        p_head = level(grouped(follows[k]), h, d, level(grouped(shared), h, s, 1 / (len(heads) + 1)))
+        if h not in heads:
+            return p_head
+        own = within(shared, h)
+        return p_head * level(within(follows[k], h), w, d, level(own, w, s, 1 / (len(own) + 1)))
+
+    def after(counts, v):
+        return Counter({w: n for (x, w), n in counts.items() if x == v})
+
+    def bigram(k, v, w, h=None):
+        return level(after(count[k], v), w, d, level(after(both, v), w, d, word(k, w, h)))
+
+    return word, bigram, sorted(shared), sorted(heads)
+
+
+def test_toxicity_is_kneser_ney(spark):
+    """The terms against the formulas, and the probabilities of a context sum to 1."""
+    r = random.Random(12)
+    vocabulary = ["aa", "bb", "worda", "wordab", "wordabc", "wordac", "other", "others", "otherwise", "c", "d", "rare1", "rare2"]
+    texts = [(k % 2, r.choices(vocabulary[: 11 + k % 3], k=r.randint(1, 30))) for k in range(40)]
+    columns = {c: [] for c in ("hash", "context", "last", "head", "c0", "c1")}
+    count = [Counter(), Counter()]
+    for y, words in texts:
+        count[y].update(set(zip(words, words[1:])))
+    hashed = lambda words, cut=0: toxicity.word_hashes([" ".join(words).encode()], toxicity.LETTERS, cut)[0]
+    for v, w in sorted(count[0] | count[1]):
+        own = hashed([v, w])
+        for c, x in zip(columns, (toxicity.gram_hashes(own, np.zeros(2, np.int64), 2)[0][0], own[0], own[1], hashed([w], toxicity.HEAD)[0], count[0][v, w], count[1][v, w])):
+            columns[c].append(x)
+    model = toxicity.models({c: np.array(x, np.uint64 if c[0] != "c" or c == "context" else np.int64) for c, x in columns.items()})
+    word, bigram, known, heads = slow_kneser_ney(texts)
+    for v in ["aa", "wordab", "rare2", "never"]:
+        seen = [*known, "wordzz", "zzzzzzzz", "q"]
+        for w in seen:
+            got = toxicity.probabilities(model, hashed([v, w]), hashed([v, w], toxicity.HEAD), np.zeros(2, np.int64))[1]
+            assert np.allclose(got, [bigram(k, v, w) for k in (0, 1)], rtol=1e-5)
+        for k in (0, 1):  # all known words, one unknown word of each head, one unknown head
+            assert abs(sum(bigram(k, v, w) for w in known) + sum(bigram(k, v, "\0", h) for h in heads) + bigram(k, v, "\0") - 1) < 1e-9
+
+
+def slow_language(text, languages, counts):
+    """Proportions by expectation-maximisation over the words of one text, in plain Python."""
+    import math
+
+    m = language_mixture
+    words, buffer = [], [int(m.FOLD[b]) for b in text.encode()] + [0]
+    now = []
+    for i, b in enumerate(buffer):
+        if b:
+            before = buffer[i - 1] if i else 0
+            code = (before * 0x9E3779B1 + b * 0x85EBCA6B + buffer[i + 1] * 0xC2B2AE35) & 0xFFFFFFFF
+            now.append((((code ^ (code >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF) >> 16)
+        elif now:
+            words.append(now)
+            now = []
+    log = [[sum(counts[c][k] for c in w) for k in range(len(languages))] for w in words]
+    log = [[max(x - max(row), -m.CLIP) for x in row] for row in log]
+    like = [[math.exp(x) for x in row] for row in log]
+    sums = [sum(row[k] for row in log) for k in range(len(languages))]
+    chosen = [sums.index(max(sums))]
+    share, total = {chosen[0]: 1.0}, max(sums)
+    while len(chosen) < len(languages):
+        rise = {k: sum(row[k] / sum(row[j] * share[j] for j in chosen) for row in like) / len(like) - 1 for k in range(len(languages)) if k not in chosen}
+        new = max(rise, key=lambda k: rise[k])
+        trial = [*chosen, new]
+        found = dict.fromkeys(trial, 1 / len(trial))
+        for _ in range(m.ROUNDS):
+            parts = [{k: row[k] * found[k] / sum(row[j] * found[j] for j in trial) for k in trial} for row in like]
+            found = {k: sum(p[k] for p in parts) / len(like) for k in trial}
+        value = sum(math.log(sum(row[k] * found[k] for k in trial)) for row in like)
+        if rise[new] <= 0 or 2 * (value - total) <= m.PENALTY * math.log(max(len(like), 2)):
+            break
+        chosen, share, total = trial, found, value
+    return {languages[k]: share[k] for k in chosen}
+
+
+def test_language_against_plain_python():
+    r = random.Random(9)
+    words = {"a": ["mala", "kolo", "tame", "ruda"], "b": ["xeth", "wrong", "things", "thorn"], "c": ["été", "çà", "leur", "deux"]}
+    languages = sorted(words)
+    table = np.zeros((language_mixture.BUCKETS, 3))
+    for k, lang in enumerate(languages):
+        table[:, k] = np.bincount(language_mixture.trigrams([" ".join(r.choices(words[lang], k=300)).encode()])[0], minlength=len(table))
+    table = np.log((table + language_mixture.SMOOTHING) / (table + language_mixture.SMOOTHING).sum(axis=0)).astype(np.float32)
+    texts = [" ".join(r.choices(words[x], k=n)) + "  " + " ".join(r.choices(words[y], k=m)) for x in languages for y in languages for n, m in ((3, 0), (40, 4), (20, 20), (1, 1))]
+    texts += ["", "1 2 3", "mala xeth çà " * 30]
+    shares, _ = language_mixture.infer([t.encode() for t in texts], table)
+    plain = table.astype(float).tolist()
+    for t, row in zip(texts, shares, strict=True):
+        want = slow_language(t, languages, plain) if re.search("[^ 0-9]", t) else {}
+        got = {languages[k]: row[k] for k in np.flatnonzero(row)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
+
+
 def test_warc(spark):
     html = ["<p>a</p>", "<p>a</p>", "", None, "é" * 300_000, "<p>b</p>", "<p>a</p>"]
     pages = spark.createDataFrame([*((k + 1, None if k == 2 else f"http://x/{k}\r\nEvil: 1", h) for k, h in enumerate(html)), (None, "u", "<p>a</p>")], "page_id long, url string, html string")
@@ -320,10 +449,8 @@ def test_pipeline_keeps_its_promises(spark):
     stages = [f for _, f in p.STAGES]
     clean = stages[0](spark, docs, folder).cache()
     model = toxicity.fit(docs.select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet"), ~held_out())
-    texts = docs.orderBy("doc_id").collect()
-    x = toxicity.features(model, [(r["text"] or "").encode() for r in texts])
-    p_toxic = 1 / (1 + np.exp(-np.c_[np.ones(len(x)), x] @ model.curve))
-    assert sorted(ids(clean)) == [r["doc_id"] for r, q in zip(texts, p_toxic, strict=True) if q < 0.3]
+    toxic = {r["doc_id"] for r in toxicity.score(docs, model).where("predicted = 1").collect()}
+    assert sorted(ids(clean)) == sorted(set(ids(docs)) - toxic)
     single = stages[1](spark, clean, folder).cache()
     text = {r["doc_id"]: r["text"] for r in clean.collect()}
     groups = {}
