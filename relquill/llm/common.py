@@ -62,13 +62,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def uneven_join(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+def uneven_join(rows: DataFrame, table: DataFrame, on: list[str], n: str = "n", how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined to ``table`` (one row for each key, with the number ``n`` of its rows), whatever share a key has.
 
     Keys with over a thousandth of the rows, of which there are at most a thousand, are broadcast; the others are shuffled.
     ``rows`` should be a materialised table, as it is read more than once. Null keys match nothing. ``how``: inner or left.
+    ``total``: the number of rows, where it is known.
     """
-    most = max(1, rows.count() // HEAVY_KEYS)
+    most = max(1, (rows.count() if total is None else total) // HEAVY_KEYS)
     heavy, light = table.where(F.col(n) > most), table.where(F.col(n) <= most)
     hot = rows.join(F.broadcast(heavy), on)  # at most HEAVY_KEYS rows
     rest = rows.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
@@ -90,16 +91,21 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from run(batches)
         finally:
-            import ctypes
+            give_back()
 
-            import pyarrow as pa
+    return wrapped
 
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-            if trim is not None:
-                trim(0)
 
-    return wrapped
+def give_back() -> None:
+    """Give this process's freed memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def slices(batch, column: str = "text", most: int = SLICE_BYTES) -> Iterator:

@@ -2,12 +2,13 @@
 
 Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``tenths`` tenths or more. Each text has
 a fingerprint of 256 bits over its distinct shingles. At a similarity of 0.8 two fingerprints differ in 39 bits on average (48 for
-very short texts, where a majority is coarser) with a deviation of 6, those of unrelated texts in 128, so within RADIUS a pair at
-the bound is missed once in more than a million times, and few pairs have to be read to be compared exactly.
+very short texts, where a majority is coarser) with a deviation of 6, those of unrelated texts in 128. The radius is five
+deviations above that average, so a pair at the bound is missed about once in a million times, and few pairs have to be read to be
+compared exactly.
 
 Similar sets have similar sizes, so a tile holds fingerprints of one class of sizes and meets only the tiles of the same and
-of the next class; within a pair of tiles, stretches whose sizes or population counts differ too much are skipped. In two rounds each
-fingerprint proposes its nearest neighbour outside its component, and the pair of texts is compared exactly. Fingerprints that
+of the next class; within a pair of tiles, stretches whose sizes or population counts differ too much are skipped. First each
+fingerprint proposes its nearest neighbour, and the pair of texts is compared exactly. Fingerprints that then
 still have one within the radius in another component then meet once more with their sets, and a tile task compares those
 pairs exactly and gives a spanning forest of the links. So no step gives all the pairs of a group, and no link is lost.
 
@@ -26,13 +27,13 @@ from .common import SMALL_SLICE_BYTES, free_name, materialise, slices, tidy, une
 from .simhash import components, mixed
 from .tokens import STEP, mix, shingle_sets
 
-WORDS64, RADIUS = 4, 80
+WORDS64 = 4
+#: Bits that two fingerprints may differ in, for sets of fewer than SHORT shingles and for others.
+SHORT, RADIUS, LONG_RADIUS = 64, 80, 68
 #: Most fingerprints of one class of sizes that a tile holds, and the least for which a class is cut into TILES for its cores.
-TILE, SMALL_TILE, TILES = 32_768, 1_024, 6
+TILE, SMALL_TILE, TILES = 32_768, 1_024, 4
 #: Bytes of shingle sets in a tile, about, where these are compared.
-TILE_BYTES = 8_000_000
-#: Rounds in which nearest neighbours are proposed.
-ROUNDS = 2
+TILE_BYTES = 16_000_000
 ROWS, COLUMNS = 128, 8_192
 #: Rows that a key has in one task of the join that fetches texts, about.
 KEY_ROWS = 256
@@ -101,7 +102,8 @@ def pairs_within(a: dict[str, np.ndarray], b: dict[str, np.ndarray], tenths: int
             x, y = np.nonzero(apart <= RADIUS)
             distance = apart[x, y]
             x, y = left[x], right[y]
-            fits = (a["root"][x] != b["root"][y]) & (10 * np.minimum(a["size"][x], b["size"][y]) >= tenths * np.maximum(a["size"][x], b["size"][y]))
+            less, more = np.minimum(a["size"][x], b["size"][y]), np.maximum(a["size"][x], b["size"][y])
+            fits = (a["root"][x] != b["root"][y]) & (10 * less >= tenths * more) & ((distance <= LONG_RADIUS) | (less < SHORT))
             if fits.any():
                 yield x[fits], y[fits], distance[fits]
 
@@ -280,14 +282,10 @@ def near_links(docs: DataFrame, rows: DataFrame, words: int, tenths: int) -> Dat
     nodes = rows.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("size", *fields)), F.min("key").alias("key"))
     nodes = materialise(nodes, "nodes")
     keys = nodes.select("node", "key")
-    state, found = nodes.withColumn("root", F.col("node")), None
-    for _ in range(ROUNDS):
-        close = compared(state, nearest, tenths)
-        close = close.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = verified(close, keys, docs, words, tenths)
-        found = new if found is None else found.union(new)
-        roots = components(found)
-        state = materialise(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "state")
+    close = compared(nodes.withColumn("root", F.col("node")), nearest, tenths)
+    close = close.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = verified(close, keys, docs, words, tenths)
+    state = materialise(nodes.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")), "state")
     left = materialise(compared(state, unsettled, tenths).select(F.col("a").alias("node")).distinct(), "unsettled")
     sets = shingles(docs, left.join(keys, "node"), words)
     rest = compared(materialise(state.join(sets, "node"), "sets"), exact, tenths)

@@ -208,11 +208,11 @@ def components(edges: DataFrame) -> DataFrame:
         before, old = state, edges
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        large = uneven_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = uneven_join(both, least, ["u"], total=2 * state["n"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "links")
         discard(old)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = uneven_join(large, least, ["u"])
+        small = uneven_join(large, least, ["u"], total=state["n"])  # about as many
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = materialise(small, "links")
         discard(large)
