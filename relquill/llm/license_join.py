@@ -37,6 +37,8 @@ TEMPLATES = (
 THRESHOLD = 0.9
 #: A block is so many times as long as the template's text.
 SLACK = 1.25
+#: Rows whose blocks one task forms, about.
+TASK_ROWS = 1_000
 WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -116,7 +118,10 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     indexed = F.array(*(F.lit(k) for k in sorted({x[0] for x in index})))
     index = df.sparkSession.createDataFrame(index, "rank int, template string, t_at int, need int, span int, t array<int>")
 
-    ranked = rows.where("places IS NOT NULL").select("row", F.transform("places", lambda x: F.struct(x["i"].alias("i"), F.element_at(ordered, x["w"]).alias("r"))).alias("p"))
+    # the places are few bytes and much work: a task for so many rows, whatever Spark would coalesce
+    near = rows.where("places IS NOT NULL").select("row", "places")
+    near = near.repartition(max(1, -(-near.count() // TASK_ROWS)), "row")
+    ranked = near.select("row", F.transform("places", lambda x: F.struct(x["i"].alias("i"), F.element_at(ordered, x["w"]).alias("r"))).alias("p"))
     starts = ranked.select("row", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k")).select("row", F.slice("p", F.col("k"), longest).alias("p"))
     blocks = starts.select("row", F.col("p")[0]["i"].alias("start"), F.filter("p", lambda x: x["i"] < F.col("p")[0]["i"] + longest).alias("p"))
     blocks = blocks.withColumn("b", F.array_sort(F.array_distinct(F.col("p")["r"]))).where(F.size("b") >= least)
