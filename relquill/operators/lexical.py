@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relquill.functions.text import tokens
+from relquill.sources.tables import materialise
 
 
 def postings(docs: DataFrame, id_col: str, toks: Column) -> DataFrame:
@@ -14,18 +15,51 @@ def postings(docs: DataFrame, id_col: str, toks: Column) -> DataFrame:
     return split.select("cand", F.size("ts").alias("dl"), F.explode("ts").alias("tok")).groupBy("cand", "dl", "tok").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+#: Query terms that are broadcast to the postings, at most; beyond that they are shuffled.
+BROADCAST_TERMS = 1_000_000
+
+
+def terms(queries: DataFrame, toks: Column | None = None) -> DataFrame:
+    """(qid, tok, qtf) of the queries (qid, text)."""
+    return queries.select("qid", F.explode(tokens("text") if toks is None else toks).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """``df``, broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def query_postings(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cand, dl, tok, tf) of the tokens that some query has, and for each document a row with a null token.
+
+    Written once: the texts are read and split a single time, whatever is computed from the postings.
+    """
+    wanted = bounded(terms(queries).select("tok").distinct().withColumn("known", F.lit(True)))
+    split = docs.select("cand", tokens("text").alias("ts")).select("cand", F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("tok"))
+    kept = split.join(wanted, "tok", "left").where("tok IS NULL OR known")
+    return materialise(kept.groupBy("cand", "dl", "tok").agg(F.count("*").alias("tf")), "postings")
+
+
+def bm25(queries: DataFrame, docs: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, postings: DataFrame | None = None) -> DataFrame:
     """(qid, cand, score) over all ``docs`` (cand, text) for ``queries`` (qid, text); a repeated query token counts again."""
-    q = queries.select("qid", F.explode(tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
-    split = docs.select("cand", tokens("text").alias("ts")).select("cand", "ts", F.size("ts").alias("dl"))
-    size = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    terms = split.select("cand", "dl", F.explode("ts").alias("tok")).join(q.select("tok").distinct(), "tok", "left_semi")
-    tf = terms.groupBy("tok", "cand", "dl").agg(F.count("*").alias("tf"))
+    held = query_postings(queries, docs) if postings is None else postings
+    size = held.where("tok IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))  # one row
+    tf = held.where("tok IS NOT NULL")
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
     weight = df.join(F.broadcast(size)).select("tok", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = tf.join(weight, "tok").join(q, "tok")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy("qid", "cand").agg(F.sum(part).alias("score"))
+    weighted = bounded(terms(queries).join(weight, "tok").select("qid", "tok", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")))
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return tf.join(weighted, "tok").groupBy("qid", "cand").agg(F.sum(part).alias("score"))
+
+
+def pooled(scores: DataFrame, pool: DataFrame) -> DataFrame:
+    """``scores`` of each candidate of ``pool`` (qid, cand); one that shares no token with its query, or has no text, scores 0."""
+    return pool.select("qid", "cand").join(scores, ["qid", "cand"], "left").na.fill(0.0, ["score"])
+
+
+def text_or_path(nodes: DataFrame, records: DataFrame) -> DataFrame:
+    """(cand, text): a node's record text, or the tokens of its path where it has none. ``nodes``: cand, path; ``records``: cand, text."""
+    return nodes.join(records, "cand", "left").select("cand", F.coalesce(F.nullif("text", F.lit("")), F.array_join(tokens("path"), " ")).alias("text"))
 
 
 def tf_dot(queries: DataFrame, docs: DataFrame, idf: bool = False, min_df: int = 1) -> DataFrame:
@@ -52,8 +86,16 @@ def hashed_log_tf(docs: DataFrame, id_col: str, toks: Column, dim: int = 16384)
     return tf.groupBy("cand", F.pmod(F.crc32(F.col("tok").cast("binary")), F.lit(dim)).alias("bucket")).agg(F.sum(1 + F.log("tf")).alias("w"))
 
 
-def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def overlap(queries: DataFrame, docs: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """(qid, cand, score): the number of distinct tokens in common, where there are any."""
-    q = queries.select("qid", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
-    d = docs.select("cand", F.explode(F.array_distinct(tokens("text"))).alias("tok"))
-    return d.join(q, "tok").groupBy("qid", "cand").agg(F.count("*").alias("score"))
+    held = query_postings(queries, docs) if postings is None else postings
+    return held.where("tok IS NOT NULL").join(bounded(terms(queries).select("qid", "tok")), "tok").groupBy("qid", "cand").agg(F.count("*").alias("score"))
+
+
+def hashed_cosine(queries: DataFrame, docs: DataFrame, toks, dim: int = 16384) -> DataFrame:
+    """(qid, cand, score): cosine of hashed log counts of ``queries`` (qid, text) and ``docs`` (cand, text)."""
+    q = hashed_log_tf(queries.withColumnRenamed("qid", "cand"), "cand", toks("text"), dim).withColumnRenamed("cand", "qid").withColumnRenamed("w", "qw")
+    v = hashed_log_tf(docs, "cand", toks("text"), dim)
+    norm = lambda df, key, w: df.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"n_{w}"))
+    dot = v.join(q, "bucket").groupBy("qid", "cand").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dot.join(norm(v, "cand", "w"), "cand").join(norm(q, "qid", "qw"), "qid").select("qid", "cand", (F.col("dot") / F.col("n_w") / F.col("n_qw")).alias("score"))

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from relquill.functions.text import hash_order
 
 
+#: Values that a bootstrap broadcasts, at most.
+BROADCAST_VALUES = 1_000_000
+
+
 def ranked(scores: DataFrame, top: int | None = None, by: str = "score", key: str = "qid", cand: str = "cand") -> DataFrame:
     """Adds ``rank``: by score rounded to 9 digits, largest first, then by candidate. ``top`` keeps the first ranks."""
     w = Window.partitionBy(key).orderBy(F.round(by, 9).desc(), cand)
@@ -15,6 +19,13 @@ def ranked(scores: DataFrame, top: int | None = None, by: str = "score", key: st
     return out if top is None else out.where(F.col("rank") <= top)
 
 
+def gold_ranks(scores: DataFrame, gold: DataFrame, by: str = "score") -> DataFrame:
+    """(qid, cand, rank) of the relevant candidates alone, counted instead of sorted: no task sees all candidates of a query."""
+    own = gold.join(scores, ["qid", "cand"]).select("qid", F.col("cand").alias("relevant"), F.round(by, 9).alias("own"))
+    ahead = (F.round(by, 9) > F.col("own")) | ((F.round(by, 9) == F.col("own")) & (F.col("cand") <= F.col("relevant")))
+    return scores.join(F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own, "qid").groupBy("qid", F.col("relevant").alias("cand")).agg(F.count_if(ahead).alias("rank"))
+
+
 def per_query(ranks: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row for each query of ``gold`` (qid, cand): recall and hit at k, reciprocal rank, nDCG at 10."""
     hits = gold.join(ranks.select("qid", "cand", "rank"), ["qid", "cand"], "left")
@@ -42,6 +53,21 @@ def z_score(value: Column, *keys: str) -> Column:
     return F.coalesce((value - F.avg(value).over(w)) / F.nullif(F.round(F.stddev_pop(value).over(w), 12), F.lit(0.0)), F.lit(0.0))
 
 
+def z_scored(scores: DataFrame, columns: list[str], key: str = "qid") -> DataFrame:
+    """``scores`` with z_<column>: population z-scores within ``key`` by aggregates and a join, 0 where all values are equal."""
+    own = scores.groupBy(key).agg(*(f(c).alias(f"{n}_{c}") for c in columns for f, n in ((F.avg, "m"), (F.stddev_pop, "s"))))
+    z = lambda c: F.coalesce((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.round(f"s_{c}", 12), F.lit(0.0)), F.lit(0.0)).alias(f"z_{c}")
+    return scores.join(own, key).select(*scores.columns, *map(z, columns))
+
+
+def late_fusion(scores: DataFrame, other: DataFrame) -> DataFrame:
+    """(qid, cand, a, b, f): sum of z-scores of ``scores`` (a) and ``other`` (b); a missing b is the smallest of its pool (0 in an empty one)."""
+    joined = scores.join(other, ["qid", "cand"], "left")
+    least = joined.groupBy("qid").agg(F.coalesce(F.min("b"), F.lit(0.0)).alias("least"))
+    filled = joined.join(least, "qid").select("qid", "cand", "a", F.coalesce("b", "least").alias("b"))
+    return z_scored(filled, ["a", "b"]).select("qid", "cand", "a", "b", (F.col("z_a") + F.col("z_b")).alias("f"))
+
+
 def sign_test(gains: Column, losses: Column) -> Column:
     """Two-sided p-value: twice the binomial tail (p = 0.5) up to the smaller count, at most 1; terms are built up in logarithms."""
     n, least = (gains + losses).cast("double"), F.least(gains, losses).cast("int")
@@ -61,5 +87,8 @@ def bootstrap(values: DataFrame, b: int, seed: int, value: str = "delta") -> Dat
     n = values.count()
     draws = spark.range(b).select(F.col("id").alias("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     draws = draws.select("b", F.pmod(hash_order(seed, "b", "i"), F.lit(max(n, 1))).alias("ix"))
-    means = draws.join(F.broadcast(values), "ix").groupBy("b").agg(F.avg(value).alias("m"))  # one row for each benchmark query
-    return means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg((F.round("m", 9) <= 0).cast("double")).alias("p_le_0"))
+    means = draws.join(F.broadcast(values) if n <= BROADCAST_VALUES else values, "ix").groupBy("b").agg(F.avg(value).alias("m"))
+    return means.agg(
+        F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"),
+        F.avg((F.round("m", 9) <= 0).cast("double")).alias("p_le_0"), F.avg((F.round("m", 9) > 0).cast("double")).alias("frac_positive"),
+    )

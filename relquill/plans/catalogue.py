@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relquill.functions import text as T
 from relquill.operators import benchmarks, graph, lexical, ranking, validation
-from relquill.sources.tables import long_vectors, spread, table
+from relquill.sources.tables import long_vectors, materialise, spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -39,17 +39,33 @@ def groups(s: SparkSession, d: str) -> DataFrame:
 
 
 def gold(s: SparkSession, d: str) -> DataFrame:
-    """(qid, cand): documents that hold an item's whole text. Items and documents meet on the item's rarest token."""
-    q = items(s, d).where("text IS NOT NULL AND text <> ''")
-    q = q.select("qid", F.col("text").alias("item"), F.array_distinct(T.tokens("text")).alias("ts"))
-    doc = texts(s, d).where("text IS NOT NULL").withColumn("ts", F.array_distinct(T.tokens("text")))
-    wanted = q.select(F.explode("ts").alias("tok")).distinct()
-    df = doc.select(F.explode("ts").alias("tok")).join(wanted, "tok", "left_semi").groupBy("tok").agg(F.count("*").alias("df"))
-    # the first and last token may be cut off by neighbouring letters
-    inner = q.select("qid", "item", F.explode(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(1)))).alias("tok"))
-    key = inner.join(df, "tok").groupBy("qid", "item").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
-    near = doc.select("cand", F.explode("ts").alias("tok")).join(key, "tok").select("qid", "item", "cand")
-    return near.join(texts(s, d), "cand").where(F.expr("contains(text, item)")).select("qid", "cand").distinct()
+    """(qid, cand): documents that hold an item's whole text.
+
+    Items and documents meet on the rarest token that lies inside the item, which no neighbouring letter can change. Items that
+    have none, being short, are compared with every text in blocks.
+    """
+    q = items(s, d).where("text IS NOT NULL").select("qid", F.col("text").alias("item"), T.tokens("text").alias("ts"))
+    inner = q.select("qid", "item", F.array_distinct(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0)))).alias("ts"))
+    wanted = lexical.bounded(inner.select(F.explode("ts").alias("tok")).distinct())
+    doc = texts(s, d).where("text IS NOT NULL")
+    held = doc.select("cand", F.explode(F.array_distinct(T.tokens("text"))).alias("tok")).join(wanted, "tok", "left_semi")
+    held = materialise(held, "held")
+    df = held.groupBy("tok").agg(F.count("*").alias("df"))
+    key = inner.select("qid", F.explode("ts").alias("tok")).join(df, "tok").groupBy("qid").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
+    near = held.join(key, "tok").select("qid", "cand")
+    near = near.join(lexical.bounded(items(s, d).select("qid", F.col("text").alias("item")), 100_000), "qid").groupBy("cand").agg(F.collect_list(F.struct("qid", "item")).alias("x"))  # the items of one text
+    texts_of = table(s, d, "documents").select(F.col("doc_id").alias("cand"), "text")
+    found = texts_of.join(lexical.bounded(near, 100_000), "cand").select("cand", F.explode(F.filter("x", lambda x: F.contains("text", x["item"]))["qid"]).alias("qid"))
+    found = found.select("qid", "cand")
+    short = inner.where("size(ts) = 0").select("qid", "item").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(SHORT_BLOCKS)))
+    for k in [r["block"] for r in short.select("block").distinct().collect()]:
+        block = short.where(F.col("block") == k).agg(F.collect_list(F.struct("qid", "item")).alias("x"))  # one row
+        found = found.union(doc.join(F.broadcast(block)).select(F.explode(F.filter("x", lambda x: F.contains("text", x["item"]))["qid"]).alias("qid"), "cand"))
+    return materialise(found.distinct(), "gold")
+
+
+#: Blocks that items without a token of their own are dealt into.
+SHORT_BLOCKS = 8
 
 
 TOK = "regexp_extract_all(lower(regexp_replace(coalesce({}, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')"
@@ -63,8 +79,14 @@ bm AS (SELECT qid, cand, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.
 rk AS (SELECT qid, cand, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, cand) AS rank FROM bm)"""
 
 
-def bm25_ranks(s: SparkSession, d: str) -> DataFrame:
-    return ranking.ranked(lexical.bm25(items(s, d), texts(s, d)))
+def bm25_ranks(s: SparkSession, d: str, top: int) -> DataFrame:
+    return ranking.ranked(lexical.bm25(items(s, d), texts(s, d)), top)
+
+
+def bm25_gold(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(gold; rank of each relevant document by BM25)."""
+    g = gold(s, d)
+    return g, ranking.gold_ranks(lexical.bm25(items(s, d), texts(s, d)), g)
 
 
 # -- lexical ranking ----------------------------------------------------------------------------------------------------
@@ -72,7 +94,7 @@ def bm25_ranks(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT qid, cand, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def bm25_rank_topk(s, d):
-    return bm25_ranks(s, d).where("rank <= 10").select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return bm25_ranks(s, d, 10).select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {GOLD}, pool AS (SELECT DISTINCT g.qid, x.doc_id AS cand FROM gold g JOIN documents p ON p.doc_id = g.cand JOIN documents x ON x.source = p.source),
@@ -127,11 +149,7 @@ def idf_dot_rank(s, d):
 @query()
 def hashed_log_tf_cosine(s, d):
     """Cosine of hashed log counts (crc32 buckets, which the SQL at hand has not)."""
-    q = lexical.hashed_log_tf(items(s, d).withColumnRenamed("qid", "cand"), "cand", T.identifier_tokens("text")).withColumnRenamed("cand", "qid").withColumnRenamed("w", "qw")
-    v = lexical.hashed_log_tf(texts(s, d), "cand", T.identifier_tokens("text"))
-    norm = lambda df, key, w: df.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"n_{w}"))
-    dot = v.join(q, "bucket").groupBy("qid", "cand").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    return _top5(dot.join(norm(v, "cand", "w"), "cand").join(norm(q, "qid", "qw"), "qid").select("qid", "cand", (F.col("dot") / F.col("n_w") / F.col("n_qw")).alias("score")))
+    return _top5(lexical.hashed_cosine(items(s, d), texts(s, d), T.identifier_tokens))
 
 
 OVERLAP = f"""ov AS (SELECT qid, cand, count(*) AS score FROM (SELECT DISTINCT item_id AS qid, unnest({TOK.format('text')}) AS tok FROM benchmark)
@@ -154,19 +172,22 @@ METRICS = ("recall_1", "recall_5", "recall_10", "hit_1", "hit_5", "hit_10", "rr"
 
 @query(f"WITH {PERQ} SELECT count(*) AS n_queries, " + ", ".join(f"round(avg({m}), 6)::DOUBLE AS {m}" for m in METRICS) + " FROM pq")
 def retrieval_metrics(s, d):
-    pq = ranking.per_query(bm25_ranks(s, d), gold(s, d))
+    g, ranks = bm25_gold(s, d)
+    pq = ranking.per_query(ranks, g)
     return pq.agg(F.count("*").alias("n_queries"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
 
 
 @query(f"WITH {PERQ} SELECT qid, n_rel, " + ", ".join(f"round({m}, 6)::DOUBLE AS {m}" for m in METRICS) + " FROM pq")
 def ndcg_hits_suite(s, d):
-    return ranking.per_query(bm25_ranks(s, d), gold(s, d)).select("qid", "n_rel", *(F.round(m, 6).alias(m) for m in METRICS))
+    g, ranks = bm25_gold(s, d)
+    return ranking.per_query(ranks, g).select("qid", "n_rel", *(F.round(m, 6).alias(m) for m in METRICS))
 
 
 @query(f"""WITH {BM25}, {GOLD} SELECT source AS grp, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS top1
 FROM gold JOIN documents ON doc_id = cand LEFT JOIN rk USING (qid, cand) GROUP BY ROLLUP (source)""")
 def metrics_by_group_rollup(s, d):
-    g = gold(s, d).join(groups(s, d), "cand").join(bm25_ranks(s, d).select("qid", "cand", "rank"), ["qid", "cand"], "left")
+    g, ranks = bm25_gold(s, d)
+    g = g.join(groups(s, d), "cand").join(ranks, ["qid", "cand"], "left")
     return g.rollup("grp").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") <= 1, 1.0).otherwise(0.0)), 6).alias("top1"))
 
 
@@ -185,8 +206,11 @@ def hard_negative_mining(s, d):
 b AS (SELECT h.qid, min(rk.rank) AS neg FROM hn h LEFT JOIN rk ON rk.qid = h.qid AND rk.cand = h.cand WHERE h.rank <= 8 GROUP BY h.qid)
 SELECT count(*) AS n, round(avg(CASE WHEN rel IS NULL THEN 0.0 WHEN neg IS NULL OR rel < neg THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM a JOIN b USING (qid)""")
 def hard_negative_accuracy(s, d):
-    hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), texts(s, d)), gold(s, d), groups(s, d)).select("qid", "cand")
-    wins = ranking.hard_negative_wins(bm25_ranks(s, d).select("qid", "cand", "rank"), gold(s, d), hard)
+    g, held = gold(s, d), lexical.query_postings(items(s, d), texts(s, d))
+    hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), postings=held), g, groups(s, d)).select("qid", "cand")
+    hard = materialise(hard, "hard")
+    ranks = ranking.gold_ranks(lexical.bm25(items(s, d), postings=held), g.union(hard))
+    wins = ranking.hard_negative_wins(ranks, g, hard)
     return wins.agg(F.count("win").alias("n"), F.round(F.avg("win"), 6).alias("accuracy"))
 
 
@@ -232,25 +256,41 @@ def loro_folds_zscore(s, d):
 # -- text ---------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, length(s) AS n, sha256(s) AS h FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-  text || ' see owner/repo#12 and #34 (gh-56) .', '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+#[0-9]+', ' ', 'g'), '#[0-9]+', ' ', 'g'), '(?i)\\bgh-[0-9]+\\b', ' ', 'g'),
-  '\\(\\s*\\)', '', 'g'), '[ \\t]{2,}', ' ', 'g'), '\\s+([.,;:!?])', '\\1', 'g')) AS s FROM documents
-  WHERE NOT regexp_matches(text, '\\b[0-9a-f]{7,40}\\b') AND NOT contains(text, 'http'))""")
+WS = r"[\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+W = r"[\pL\pN\pM\pPc]"
+
+
+def scrub_sql(text: str) -> str:
+    """The patterns without look-around: hash-like words of letters alone are marked first, and the mark is taken off again."""
+    steps = [
+        (rf"https?://(www\.)?github\.com/({W}|[.\-])+/({W}|[.\-])+/(issues|pull|commit)/{W}+", " ", "gi"), (rf"({W}|[.\-])+/({W}|[.\-])+#\pNd+", " ", "g"),
+        (rf"(^|[^\pL\pN\pM\pPc])#\pNd+", r"\1 ", "g"), (r"\bgh-\d+\b", " ", "gi"), (r"\b([a-f]{7,40})\b", r"\1_q_", "gi"), (r"\b[0-9a-f]{7,40}\b", " ", "gi"), (r"_q_", "", "g"),
+        (rf"\({WS}*[,;]?{WS}*\)", " ", "g"), (r"[ \t]{2,}", " ", "g"), (rf"{WS}+([.,;:!?])", r"\1", "g"), (rf"^{WS}+|{WS}+$", "", "g"),
+    ]
+    for pattern, by, flags in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', '{flags}')".replace("\\pNd", "\\p{Nd}").replace("\\pPc", "\\p{Pc}")
+    return text
+
+
+@query(f"SELECT doc_id, length(s) AS n, sha256(s) AS h FROM (SELECT doc_id, {scrub_sql("coalesce(text, '') || ' see owner/repo#12 and #34 (gh-56) (, ) https://github.com/a/b.c/pull/9x 1a2b3c4 DEADBEE Beef123 .'")} AS s FROM documents)")
 def scrub_references(s, d):
-    """References are appended to each text first; texts with hash-like words are left to the unit tests."""
-    docs = table(s, d, "documents").where(~F.col("text").rlike(r"\b[0-9a-f]{7,40}\b") & ~F.col("text").contains("http"))
-    out = docs.select("doc_id", T.scrub_references(F.concat("text", F.lit(" see owner/repo#12 and #34 (gh-56) ."))).alias("s"))
+    """References are appended to each text first."""
+    added = F.lit(" see owner/repo#12 and #34 (gh-56) (, ) https://github.com/a/b.c/pull/9x 1a2b3c4 DEADBEE Beef123 .")
+    out = table(s, d, "documents").select("doc_id", T.scrub_references(F.concat(F.coalesce("text", F.lit("")), added)).alias("s"))
     return out.select("doc_id", F.length("s").cast("long").alias("n"), F.sha2(F.col("s").cast("binary"), 256).alias("h"))
 
 
-@query("""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS r FROM documents)
-SELECT doc_id, (sum(len(string_split(regexp_replace(r, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), ' ')) + 1))::BIGINT AS n FROM r GROUP BY doc_id""")
+@query("""SELECT doc_id, count(*) AS n, sha256(string_agg(lower(regexp_replace(r, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')) || ' ' || lower(r), ' ' ORDER BY i)) AS h
+FROM (SELECT doc_id, unnest(rs) AS r, unnest(range(0, len(rs))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS rs FROM documents)) GROUP BY doc_id""")
 def tokenize_identifiers(s, d):
-    return table(s, d, "documents").select("doc_id", F.size(T.identifier_tokens("text")).cast("long").alias("n")).where("n > 0")
+    """Identifiers of each text, and all their tokens in order as a digest."""
+    t = table(s, d, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).cast("long").alias("n"), T.identifier_tokens("text").alias("ts"))
+    return t.where("n > 0").select("doc_id", "n", F.sha2(F.array_join("ts", " ").cast("binary"), 256).alias("h"))
 
 
-@query("""WITH b AS (SELECT doc_id, trim(text) AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1024 THEN 1 ELSE ceil((length(t) - 1024) / 819)::BIGINT + 1 END)) AS i FROM b)
-SELECT doc_id, count(*) AS n, sum(length(substr(t, i * 819 + 1, 1024)))::BIGINT AS chars FROM c WHERE length(t) <= 1024 OR trim(substr(t, i * 819 + 1, 1024)) <> '' GROUP BY doc_id""")
+@query("""WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1024 THEN 1 ELSE length(t) END, 819)) AS p FROM b)
+SELECT doc_id, count(*) AS n, sum(length(substr(t, p + 1, 1024)))::BIGINT AS chars FROM c WHERE length(t) <= 1024 OR regexp_matches(substr(t, p + 1, 1024), '\\S') GROUP BY doc_id""")
 def chunk_windows(s, d):
     c = table(s, d, "documents").select("doc_id", T.chunks("text", 1024).alias("c"))
     return c.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
@@ -261,17 +301,17 @@ def json_props_extract(s, d):
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT o_orderkey, 'sha256:' || sha256(concat_ws('|', o_orderkey::VARCHAR, coalesce(o_custkey::VARCHAR, '~'), coalesce(o_orderstatus, '~'), coalesce(o_orderpriority, '~'))) AS h FROM orders")
+@query("""SELECT o_orderkey, 'sha256:' || sha256('{"o_custkey":' || coalesce(o_custkey::VARCHAR, 'null') || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":' || coalesce('"' || o_orderpriority || '"', 'null') || ',"o_orderstatus":' || coalesce('"' || o_orderstatus || '"', 'null') || '}') AS h FROM orders""")
 def provenance_hash(s, d):
     return table(s, d, "orders").select("o_orderkey", T.canonical_hash("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("h"))
 
 
-@query("""WITH b AS (SELECT doc_id, 'Fixes #' || (doc_id + 1) || ', closes owner/repo#' || (doc_id + 2) || ' and see #5' AS body FROM documents),
-e AS (SELECT DISTINCT doc_id AS source, unnest(regexp_extract_all(body, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\\b:?\\s+(?:[a-z0-9_.-]+/[a-z0-9_.-]+)?(?:#|gh-)([0-9]+)', 1))::BIGINT AS target FROM b)
+@query("""WITH b AS (SELECT doc_id, 'Fixes:#' || (doc_id + 1) || ', closes owner/repo#' || (doc_id + 2) || ' and see #5' AS body FROM documents),
+e AS (SELECT DISTINCT doc_id AS source, unnest(regexp_extract_all(body, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\\b[:\\s]*(?:[a-z0-9_.-]+/[a-z0-9_.-]+)?(?:#|gh-)([0-9]+)', 1))::BIGINT AS target FROM b)
 SELECT source, target, 'fixes' AS relation, 0.95::DOUBLE AS confidence FROM e WHERE target IN (SELECT doc_id FROM documents)""")
 def ingest_extract_fixes(s, d):
     docs = table(s, d, "documents")
-    body = F.concat(F.lit("Fixes #"), (F.col("doc_id") + 1).cast("string"), F.lit(", closes owner/repo#"), (F.col("doc_id") + 2).cast("string"), F.lit(" and see #5"))
+    body = F.concat(F.lit("Fixes:#"), (F.col("doc_id") + 1).cast("string"), F.lit(", closes owner/repo#"), (F.col("doc_id") + 2).cast("string"), F.lit(" and see #5"))
     e = docs.select(F.col("doc_id").alias("source"), F.explode(F.transform(T.closing_references(body), lambda x: x.cast("long"))).alias("target")).distinct()
     return e.join(docs.select(F.col("doc_id").alias("target")), "target", "left_semi").select("source", "target", F.lit("fixes").alias("relation"), F.lit(0.95).alias("confidence"))
 
@@ -306,8 +346,9 @@ def whole_doc_mean_vector(s, d):
     return e.groupBy("label", F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("x"))
 
 
-CHUNKS = f"""WITH b AS (SELECT doc_id, trim(text) AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 512 THEN 1 ELSE ceil((length(t) - 512) / 409)::BIGINT + 1 END)) AS i FROM b),
-s AS (SELECT doc_id, i, len(list_distinct({TOK.format('substr(t, i * 409 + 1, 512)')})) AS v FROM c WHERE length(t) <= 512 OR trim(substr(t, i * 409 + 1, 512)) <> '')"""
+CHUNKS = rf"""WITH b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 512 THEN 1 ELSE length(t) END, 409)) AS i FROM b),
+s AS (SELECT doc_id, i, len(list_distinct({TOK.format('substr(t, i + 1, 512)')})) AS v FROM c WHERE length(t) <= 512 OR regexp_matches(substr(t, i + 1, 512), '\S'))"""
 
 
 @query(f"{CHUNKS} SELECT doc_id, max(v) AS maxp, max(v) FILTER (i = 0) AS firstp, sum(v)::BIGINT AS sump, round(avg(v), 6) AS meanp FROM s GROUP BY doc_id")
@@ -346,31 +387,41 @@ def graph_mean_hop1(s, d):
     return e.join(v, "source").groupBy(F.col("target").alias("node"), F.col("dim").cast("long").alias("dim")).agg(F.round(F.avg("x"), 6).alias("x"))
 
 
-HOP2 = f"""WITH {EDGES}, v AS (SELECT vec_id AS source, unnest(range(0, 8)) AS dim, unnest(embedding[1:8]::DOUBLE[]) AS x FROM embeddings),
+HOP2 = f"""WITH {EDGES}, v AS (SELECT vec_id AS source, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
 p AS (SELECT target, dim, avg(x) AS x FROM e JOIN v USING (source) GROUP BY ALL), m AS (SELECT e.source, dim, avg(x) AS m FROM e JOIN p USING (target) GROUP BY ALL)"""
 
 
-@query(f"{HOP2} SELECT source AS node, dim, a.alpha, round(CASE WHEN v.x IS NULL THEN m ELSE a.alpha * v.x + (1 - a.alpha) * m END, 6) AS x FROM m LEFT JOIN v USING (source, dim), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(alpha)")
+#: A vector in one row: its components, its norm, and a sum in which each component has a weight of its own.
+DIGEST = "count(*) AS n_dims, round(sqrt(sum(x * x)), 6) AS norm, round(sum(x * (dim + 1)), 6) AS mixed"
+
+
+def digest(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n_dims"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("norm"), F.round(F.sum(F.col("x") * (F.col("dim") + 1)), 6).alias("mixed"))
+
+
+@query(f"{HOP2}, o AS (SELECT source AS node, dim, a.alpha, CASE WHEN v.x IS NULL THEN m ELSE a.alpha * v.x + (1 - a.alpha) * m END AS x FROM m LEFT JOIN v USING (source, dim), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(alpha)) SELECT node, alpha, {DIGEST} FROM o GROUP BY ALL")
 def graph_mean_hop2_alpha(s, d):
-    """Two rounds over a grid of mixing weights, the first eight components."""
-    v = long_vectors(table(s, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 8)), "vec_id", "embedding").withColumnRenamed("node", "source")
+    """Two rounds over a grid of mixing weights."""
+    v = long_vectors(table(s, d, "embeddings"), "vec_id", "embedding").withColumnRenamed("node", "source")
     e = modifies(s, d).select("source", "target").distinct()
     p = e.join(v, "source").groupBy("target", "dim").agg(F.avg("x").alias("x"))
     m = e.join(p, "target").groupBy("source", "dim").agg(F.avg("x").alias("m")).join(v, ["source", "dim"], "left")
     m = m.withColumn("alpha", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
-    return m.select(F.col("source").alias("node"), F.col("dim").cast("long").alias("dim"), "alpha", F.round(F.when(F.col("x").isNull(), F.col("m")).otherwise(F.col("alpha") * F.col("x") + (1 - F.col("alpha")) * F.col("m")), 6).alias("x"))
+    x = F.when(F.col("x").isNull(), F.col("m")).otherwise(F.col("alpha") * F.col("x") + (1 - F.col("alpha")) * F.col("m"))
+    return digest(m.select(F.col("source").alias("node"), "dim", "alpha", x.alias("x")), "node", "alpha")
 
 
-@query("""WITH q AS (SELECT DISTINCT o_orderkey AS qid, o_orderdate AS t, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 100 = 0),
+@query("""WITH q AS (SELECT DISTINCT o_orderkey AS qid, o_orderdate AS t, l_partkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey ),
 p AS (SELECT DISTINCT qid, q.target, l_orderkey AS source FROM q JOIN lineitem ON l_partkey = q.target WHERE l_shipdate <= t AND l_orderkey <> qid)
-SELECT qid, target, dim, round(avg(x), 6) AS x, count(*) AS support FROM p JOIN (SELECT vec_id, unnest(range(0, 4)) AS dim, unnest(embedding[1:4]::DOUBLE[]) AS x FROM embeddings) ON vec_id = source GROUP BY ALL""")
+SELECT qid, target, support, count(*) AS n_dims, round(sqrt(sum(x * x)), 6) AS norm, round(sum(x * (dim + 1)), 6) AS mixed FROM (SELECT qid, target, dim, avg(x) AS x, count(*) AS support FROM p JOIN (SELECT vec_id, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) ON vec_id = source GROUP BY ALL) GROUP BY ALL""")
 def asof_cochange_feature(s, d):
-    """Every hundredth order as a stated query set against all edges."""
+    """Every order's parts as they were known when it was placed."""
     li = modifies(s, d)
-    o = table(s, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("source"), F.col("o_orderdate").alias("t"))
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_orderdate").alias("t"))
     q = o.join(li.select("source", "target"), "source").select(F.col("source").alias("qid"), F.col("t").alias("time"), "target").distinct()
-    v = long_vectors(table(s, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 4)), "vec_id", "embedding")
-    return graph.as_of_mean(q, li, v).select("qid", "target", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"), "support")
+    v = long_vectors(table(s, d, "embeddings"), "vec_id", "embedding")
+    li = li.join(table(s, d, "embeddings").select(F.col("vec_id").alias("source")), "source", "left_semi")
+    return digest(graph.as_of_mean(q, li, v), "qid", "target", "support")
 
 
 @query(f"WITH {EDGES}, i AS (SELECT target, count(*) AS n FROM e GROUP BY target) SELECT source, count(*) AS n_targets, count(*) FILTER (n = 1) AS n_isolated, bool_or(n > 1) AS reachable FROM e JOIN i USING (target) GROUP BY source")
@@ -478,12 +529,20 @@ def findings_rollup(s, d):
     return validation.rollup(_dangling(s, d).union(_temporal(s, d)))
 
 
-@query("""SELECT a.user_id, a.event_id AS query_event, count(*) AS n_future FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts > a.ts WHERE a.event_id % 100 = 0 GROUP BY ALL""")
+@query("""SELECT user_id, event_id AS query_event, n_future FROM (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) - count(*) OVER (PARTITION BY user_id ORDER BY ts) AS n_future FROM events WHERE ts IS NOT NULL) WHERE n_future > 0""")
 def leakage_violations(s, d):
-    """For every hundredth event as a query: events of its user that lie after it."""
-    e = table(s, d, "events").select("event_id", "user_id", "ts")
-    q = e.where("event_id % 100 = 0").select("user_id", F.col("event_id").alias("query_event"), F.col("ts").alias("as_of"))
-    return e.join(q, "user_id").where("ts > as_of").groupBy("user_id", "query_event").agg(F.count("*").alias("n_future"))
+    """For every event as a query: the number of events of its user that lie after it, from running counts by time."""
+    e = table(s, d, "events").where("ts IS NOT NULL").select("event_id", "user_id", "ts")
+    return e.join(running(e), ["user_id", "ts"]).select("user_id", F.col("event_id").alias("query_event"), (F.col("n_all") - F.col("n_upto")).alias("n_future")).where("n_future > 0")
+
+
+def running(events: DataFrame, value: str | None = None) -> DataFrame:
+    """(user_id, ts, n_upto, n_all[, sum_upto, sum_all]): counts and sums of a user's events up to each time, and of all."""
+    x = F.coalesce(F.col(value), F.lit(0.0)) if value else F.lit(0.0)
+    at = events.groupBy("user_id", "ts").agg(F.count("*").alias("n"), F.sum(x).alias("x"))
+    w = Window.partitionBy("user_id")
+    upto = w.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return at.select("user_id", "ts", F.sum("n").over(upto).alias("n_upto"), F.sum("n").over(w).alias("n_all"), F.sum("x").over(upto).alias("sum_upto"), F.sum("x").over(w).alias("sum_all"))
 
 
 @query("""WITH g AS (SELECT source AS grp, avg(length(text)) AS value, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY source),
@@ -501,8 +560,10 @@ z AS (SELECT qid, cand, a, b, coalesce((a - avg(a) OVER w) / nullif(round(stddev
 
 
 def fused(s: SparkSession, d: str) -> DataFrame:
-    f = lexical.bm25(items(s, d), texts(s, d)).withColumnRenamed("score", "a").join(lexical.overlap(items(s, d), texts(s, d)).select("qid", "cand", F.col("score").cast("double").alias("b")), ["qid", "cand"])
-    return f.withColumn("f", ranking.z_score(F.col("a"), "qid") + ranking.z_score(F.col("b"), "qid"))
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    a = lexical.bm25(items(s, d), postings=held).withColumnRenamed("score", "a")
+    b = lexical.overlap(items(s, d), postings=held).select("qid", "cand", F.col("score").cast("double").alias("b"))
+    return ranking.late_fusion(a, b)
 
 
 @query(f"WITH {FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(f, 9) DESC, cand) AS rank FROM z) SELECT qid, cand, round(f, 5) AS score, rank FROM r WHERE rank <= 5")
@@ -517,7 +578,7 @@ h AS (SELECT qid, max(CASE WHEN ra.cand IS NULL THEN 0 ELSE 1 END) AS ha, max(CA
 
 def hits(s: SparkSession, d: str) -> DataFrame:
     """(qid, ha, hb): whether BM25's and the overlap's first candidate is relevant."""
-    f, g = fused(s, d), gold(s, d)
+    f, g = materialise(fused(s, d), "fused"), gold(s, d)
     out = g
     for name, by in (("ha", "a"), ("hb", "b")):
         out = out.join(ranking.ranked(f, 1, by=by).select("qid", "cand", F.lit(1).alias(name)), ["qid", "cand"], "left")
@@ -589,7 +650,8 @@ def static_combo(s, d):
     """Ranks by shared tokens, then by Jaccard similarity and a thousandth of BM25."""
     a = items(s, d).select("qid", F.size(F.array_distinct(T.tokens("text"))).alias("na"))
     b = texts(s, d).select("cand", F.size(F.array_distinct(T.tokens("text"))).alias("nb"))
-    j = lexical.overlap(items(s, d), texts(s, d)).withColumnRenamed("score", "n").join(lexical.bm25(items(s, d), texts(s, d)), ["qid", "cand"]).join(a, "qid").join(b, "cand")
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    j = lexical.overlap(items(s, d), postings=held).withColumnRenamed("score", "n").join(lexical.bm25(items(s, d), postings=held), ["qid", "cand"]).join(a, "qid").join(b, "cand")
     j = j.withColumn("c", F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) + 0.001 * F.col("score"))
     w = Window.partitionBy("qid").orderBy(F.col("n").desc(), F.round("c", 9).desc(), "cand")
     return j.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5").select("qid", "cand", "n", F.round("c", 6).alias("score"), "rank")
@@ -601,12 +663,12 @@ PATH = f"list_filter(list_distinct({TOK.format('url')}), lambda t: length(t) > 1
 
 @query(f"""WITH p AS (SELECT page_id, split_part(url, '/', 3) AS host, {PATH} AS ts FROM pages WHERE url IS NOT NULL),
 x AS (SELECT a.page_id AS qid, b.page_id AS cand, len(list_intersect(a.ts, b.ts)) AS n, len(list_intersect(a.ts, b.ts)) / nullif(len(list_distinct(list_concat(a.ts, b.ts))), 0) AS j
-  FROM p a JOIN p b ON a.host = b.host AND a.page_id <> b.page_id WHERE a.page_id % 50 = 0),
+  FROM p a JOIN p b ON a.host = b.host AND a.page_id <> b.page_id WHERE a.page_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, round(j, 9) DESC, cand) AS rank FROM x) SELECT qid, cand, n, round(j, 6) AS j, rank FROM r WHERE rank <= 5""")
 def path_proximity(s, d):
-    """Every fiftieth page as a stated query set against all pages of its host: by shared path tokens, then Jaccard."""
+    """Every hundredth page as a stated query set against all pages of its host: by shared path tokens, then Jaccard."""
     p = table(s, d, "pages").where("url IS NOT NULL").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), T.path_tokens("url").alias("ts"))
-    q = p.where("page_id % 50 = 0").select(F.col("page_id").alias("qid"), "host", F.col("ts").alias("qs"))
+    q = p.where("page_id % 100 = 0").select(F.col("page_id").alias("qid"), "host", F.col("ts").alias("qs"))
     x = p.join(q, "host").where("page_id <> qid").select("qid", F.col("page_id").alias("cand"), F.size(F.array_intersect("ts", "qs")).cast("long").alias("n"), F.size(F.array_union("ts", "qs")).alias("u"))
     x = x.withColumn("j", F.try_divide("n", "u"))
     w = Window.partitionBy("qid").orderBy(F.col("n").desc(), F.round("j", 9).desc(), "cand")
@@ -641,14 +703,15 @@ def coverage_fair_rank(s, d):
     return x.groupBy((F.col("source") % 10).alias("bucket")).agg(F.count("*").alias("n_edges"), F.count("has").alias("n_covered"), F.round(F.count("has") / F.count("*"), 6).alias("coverage"))
 
 
-@query("""WITH q AS (SELECT event_id AS qid, user_id, ts FROM events WHERE event_id % 100 = 0)
-SELECT qid, count(*) AS n_all, count(*) FILTER (e.ts <= q.ts) AS n_asof, round(coalesce(avg(e.value) FILTER (e.ts <= q.ts), 0), 5) AS mean_asof, round(avg(e.value), 5) AS mean_leaky FROM q JOIN events e ON e.user_id = q.user_id AND e.event_id <> q.qid GROUP BY qid""")
+@query("""WITH w AS (SELECT event_id, value, count(*) OVER u AS n_all, count(*) OVER p AS n_asof, sum(value) OVER u AS s_all, sum(value) OVER p AS s_asof FROM events WHERE ts IS NOT NULL AND value IS NOT NULL
+  WINDOW u AS (PARTITION BY user_id), p AS (PARTITION BY user_id ORDER BY ts))
+SELECT event_id AS qid, n_all - 1 AS n_all, n_asof - 1 AS n_asof, round(coalesce((s_asof - value) / nullif(n_asof - 1, 0), 0), 9) AS mean_asof, round((s_all - value) / (n_all - 1), 9) AS mean_leaky FROM w WHERE n_all > 1""")
 def asof_vs_leaky_metrics(s, d):
-    """A feature from earlier evidence alone, and the same with leakage, for every hundredth event as a query."""
-    e = table(s, d, "events").select("event_id", "user_id", "ts", "value")
-    q = e.where("event_id % 100 = 0").select(F.col("event_id").alias("qid"), "user_id", F.col("ts").alias("as_of"))
-    x, past = e.join(q, "user_id").where("event_id <> qid"), F.col("ts") <= F.col("as_of")
-    return x.groupBy("qid").agg(F.count("*").alias("n_all"), F.count_if(past).alias("n_asof"), F.round(F.coalesce(F.avg(F.when(past, F.col("value"))), F.lit(0.0)), 5).alias("mean_asof"), F.round(F.avg("value"), 5).alias("mean_leaky"))
+    """A feature from earlier evidence alone, and the same with leakage, for every event as a query."""
+    e = table(s, d, "events").where("ts IS NOT NULL AND value IS NOT NULL").select("event_id", "user_id", "ts", "value")
+    x = e.join(running(e, "value"), ["user_id", "ts"]).where("n_all > 1")
+    asof = F.coalesce(F.try_divide(F.col("sum_upto") - F.col("value"), F.col("n_upto") - 1), F.lit(0.0))
+    return x.select(F.col("event_id").alias("qid"), (F.col("n_all") - 1).alias("n_all"), (F.col("n_upto") - 1).alias("n_asof"), F.round(asof, 9).alias("mean_asof"), F.round((F.col("sum_all") - F.col("value")) / (F.col("n_all") - 1), 9).alias("mean_leaky"))
 
 
 @query()

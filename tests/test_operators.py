@@ -19,25 +19,56 @@ def test_tokens(spark):
 
 
 def test_scrub(spark):
-    text = "see #123, gh-7 and owner/repo#9 at https://h.com/o/r/issues/4 (#5) a1b2c3d4e5f6 deface ."
-    out = one(spark, T.scrub_references(F.lit(text)))
-    assert "deface" in out
-    assert not any(x in out for x in ("123", "gh-7", "owner/repo", "http", "a1b2", "()"))
+    text = "see #123, gh-7 and owner/repo#9 at https://github.com/o/r/issues/4 (#5) (, ) A1B2C3D4E5F6 deface . x#9 https://other.org/o/r/issues/4"
+    assert one(spark, T.scrub_references(F.lit(text))) == "see, and at deface. x#9 https://other.org/o/r/issues/4"
+    import re
+
+    texts = [text, "", " \u2003a\u2003. b", "#1#2 é#3 #4é", "v1.2/x#5", "GH-12 gh-1x", "abcdef0 abcdefé1 1234567", "(;) ( , )", "tab\t\tx  y", "\x1cx\x1c"] + [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r["text"]]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", T.scrub_references("t").alias("s")).collect()}
+    for k, t in enumerate(texts):
+        for pattern in T.REFERENCES:
+            t = re.sub(re.sub(r"^[(][?](i?)U[)]", r"(?\1u)", pattern), " ", t)
+        for pattern, by in ((r"\(\s*[,;]?\s*\)", " "), (r"[ \t]{2,}", " "), (r"\s+([.,;:!?])", r"\1")):
+            t = re.sub(pattern, by, t)
+        assert got[k] == t.strip()
+    assert one(spark, T.scrubbed_record(F.lit("fix #1"), F.lit(None).cast("string"))) == "fix"
 
 
 def test_chunks(spark):
     assert [len(c) for c in one(spark, T.chunks(F.lit("x" * 1000), 256))] == [256, 256, 256, 256, 184]
     assert one(spark, T.chunks(F.lit("short"), 256)) == ["short"]
     assert one(spark, T.chunks(F.lit(""), 256)) == [""]
+    assert [len(c) for c in one(spark, T.chunks(F.lit("x" * 820), 256))] == [256, 256, 256, 208, 4]
+    assert one(spark, T.chunks(F.lit("ab" + " " * 8 + "cd"), 4, 0.0)) == ["ab  ", "  cd"]
 
 
 def test_closing_references(spark):
-    assert one(spark, T.closing_references(F.lit("Closes: #18, fixes o/r#9, see #5, resolved gh-7, prefixes #2"))) == ["18", "9", "7"]
+    assert one(spark, T.closing_references(F.lit("Closes: #18, fixes o/r#9, see #5, resolved gh-7, prefixes #2, Fixes:#6 closes#8"))) == ["18", "9", "7", "6", "8"]
+    assert one(spark, T.closing_references(F.lit("Fixes 4, closes: gh-5, fixed#6, resolves o/r#7"), T.AUDITED)) == ["4", "5"]
+
+
+def test_records(spark):
+    content = '{"zeta": "z", "body": "b", "title": "t", "number": 3, "alpha": "a", "code": "", "labels": ["x"], "text": null}'
+    assert one(spark, T.record_text(F.lit(content), F.lit("id1"), F.lit("issue"))) == "id1\nissue\nt\nb\na\nz"
+    assert one(spark, T.record_text(F.lit("[1]"), F.lit("id1"))) == one(spark, T.record_text(F.lit("{"), F.lit("id1"))) == "id1"
+    assert one(spark, T.path_tokens(F.lit("src/dataParser/test_the-mod_x.py"))) == ["data", "parser"]
+    assert [str(one(spark, T.iso_time(F.lit(x)))) for x in ("2024-01-02T03:04:05Z", "2024-01-02", "x", "2024-13-01T00:00:00Z")] == ["2024-01-02 03:04:05", "2024-01-02 00:00:00", "None", "None"]
+    assert tuple(one(spark, T.identifier_parts(F.lit("gh:o/r:file:a/b:c.py")))) == ("gh", "o/r", "file", "a/b:c.py")
+    assert one(spark, T.identifier("pr", F.lit("o/r"), F.lit(7))) == "gh:o/r:pr:7"
+    assert [one(spark, T.renamed_space(F.lit(x), "gh", "gh-t2")) for x in ("gh:o/r:pr:1", "ghx:1")] == ["gh-t2:o/r:pr:1", "ghx:1"]
+    assert [one(spark, T.kind_of(F.lit(x))) for x in ('{"card_type": 1}', '{"relation": 1}', '{"query_record": 1}', "{}", "[")] == ["card", "edge", "benchmark", "record", None]
+    assert [one(spark, T.license_allowed(F.lit(x).cast("string"), ("MIT",), F.lit(c))) for x, c in (("MIT", False), (None, True), ("NOASSERTION", False), ("GPL", True))] == [True, True, False, False]
+    import hashlib
+    import json
+
+    row = {"a": "é\n\"\U0001f600", "b": None, "c": 3, "d": "plain/|~"}
+    want = "sha256:" + hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert spark.createDataFrame([tuple(row.values())], "a string, b string, c int, d string").select(T.canonical_hash("d", "a", "c", "b").alias("h")).first()["h"] == want
 
 
 def test_is_test_path(spark):
-    assert one(spark, T.is_test_path(F.lit("tests/slider.test.js")))
-    assert not one(spark, T.is_test_path(F.lit("src/latest.py")))
+    for path, strict in (("tests/slider.test.js", True), ("src/latest.py", False), ("src/testing/foo.py", True), ("testdata.json", True), ("a/b_test.go", True), ("a/x.spec.ts", True), ("a/contest/b.py", False)):
+        assert one(spark, T.is_test_path(F.lit(path))) == strict
     assert one(spark, T.is_test_path(F.lit("src/latest.py"), strict=False))
 
 
