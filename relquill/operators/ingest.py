@@ -23,25 +23,28 @@ def identifier(kind: str, suffix) -> F.Column:
 
 
 def records(snapshots: DataFrame) -> DataFrame:
-    """Issues (pull requests in the issue feed left out), pull requests, commits and files; of equal ids the first stays."""
-    issue = snapshots.select("repo", F.explode("issues").alias("x")).where("x.pull_request IS NULL")
-    pull = snapshots.select("repo", F.explode("pulls").alias("x"))
-    commit = snapshots.select("repo", F.explode("commits").alias("x"))
+    """Issues (pull requests in the issue feed left out), pull requests, commits and files; of equal ids the last of the feed stays.
+
+    A file begins when the first pull request that changes it does.
+    """
+    issue = snapshots.select("repo", F.posexplode("issues").alias("at", "x")).where("x.pull_request IS NULL")
+    pull = snapshots.select("repo", F.posexplode("pulls").alias("at", "x"))
+    commit = snapshots.select("repo", F.posexplode("commits").alias("at", "x"))
     names = F.array_sort(F.transform(F.coalesce("x.labels", F.array().cast("array<struct<name:string>>")), lambda v: v["name"]))
     none, text = F.lit(None).cast("string"), lambda c: F.coalesce(F.col(c), F.lit(""))
 
     def of(df, kind, number, title, body, state, labels, at):
-        return df.select(identifier(kind, number).alias("id"), F.lit({"pr": "pull_request"}.get(kind, kind)).alias("type"), title.alias("title"), body.alias("body"), state.alias("state"), labels.alias("labels"), at.alias("valid_from"))
+        return df.select(F.col("at"), identifier(kind, number).alias("id"), F.lit({"pr": "pull_request"}.get(kind, kind)).alias("type"), title.alias("title"), body.alias("body"), state.alias("state"), labels.alias("labels"), at.alias("valid_from"))
 
     empty = F.array().cast("array<string>")
     out = of(issue, "issue", F.col("x.number"), text("x.title"), text("x.body"), F.col("x.state"), names, F.col("x.created_at"))
     out = out.unionByName(of(pull, "pr", F.col("x.number"), text("x.title"), text("x.body"), F.col("x.state"), empty, F.col("x.created_at")))
     out = out.unionByName(of(commit, "commit", F.col("x.sha"), none, text("x.commit.message"), none, empty, F.col("x.commit.author.date")))
-    path = files(snapshots).groupBy("repo", "filename").agg(F.min("created_at").alias("at"))
-    file = of(path, "file", F.col("filename"), F.col("filename"), none, none, empty, F.col("at"))
+    path = files(snapshots).groupBy("repo", "filename").agg(F.min("created_at").alias("since")).withColumn("at", F.lit(0))
+    file = of(path, "file", F.col("filename"), F.col("filename"), none, none, empty, F.col("since"))
     out = out.unionByName(file.withColumn("type", F.when(is_test_path("title"), "test").otherwise("file")))
-    first = Window.partitionBy("id").orderBy("valid_from", "title")
-    out = out.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    last = Window.partitionBy("id").orderBy(F.col("at").desc(), "title")
+    out = out.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "at")
     return out.withColumn("split", F.lit("train")).withColumn("content_hash", canonical_hash("id", "title", "body", "state")).select(*RECORD)
 
 
@@ -60,3 +63,30 @@ def edges(snapshots: DataFrame) -> DataFrame:
     fixes = closed.select(identifier("pr", F.col("number")).alias("source"), F.lit("fixes").alias("relation"), identifier("issue", F.col("n")).alias("target"), F.lit(0.95).alias("confidence"), F.lit("human_label").alias("method")).distinct()
     known = snapshots.select("repo", F.explode("issues").alias("x")).where("x.pull_request IS NULL").select(identifier("issue", F.col("x.number")).alias("target"))
     return modifies.unionByName(fixes.join(known, "target", "left_semi"))
+
+
+def provenance(url, retrieved_at, license, method, *hashed: str) -> F.Column:
+    """A record's origin: where and when it was read, its license, how it was made, and a hash of its content."""
+    fields = {"source_url": url, "retrieved_at": retrieved_at, "license": license, "content_hash": canonical_hash(*hashed), "transform": F.lit("relquill.operators.ingest"), "method": method, "observed": F.lit(True)}
+    return F.struct(*(x.alias(k) for k, x in fields.items()))
+
+
+def source_card(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: counts of records by type and of edges by relation, as maps in order of their keys."""
+    counted = lambda df, key, name: df.groupBy(key).count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "count")))).alias(name))  # noqa: E731  a row for each kind
+    return counted(records, "type", "record_counts").join(counted(edges, "relation", "edge_counts"))
+
+
+def enriched(modifies: DataFrame, fixing: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (source, target) of the ``fixing`` sources to known targets, valid from the later of both ends' times.
+
+    ``nodes``: id, valid_from.
+    """
+    at = lambda end: nodes.select(F.col("id").alias(end), F.col("valid_from").alias(f"{end}_from"))
+    own = modifies.join(fixing.select("source").distinct(), "source", "left_semi").select("source", "target").distinct()
+    return own.join(at("source"), "source").join(at("target"), "target").select("source", "target", F.greatest("source_from", "target_from").alias("valid_from"))
+
+
+def densified(changes: DataFrame, is_test: F.Column, known: DataFrame) -> DataFrame:
+    """(source, target): changed tests of the sources that change any, as far as the edge isn't ``known``."""
+    return changes.where(is_test).select("source", "target").distinct().join(known, ["source", "target"], "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relquill.functions.text import iso_time
+
 
 def _finding(df: DataFrame, severity: str, code: str, location) -> DataFrame:
     return df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), location.cast("string").alias("location"))
@@ -66,6 +68,68 @@ def dispatched(df: DataFrame, kind: str, rules: dict[str, list[tuple[str, str, o
     return out
 
 
+def _findings(df: DataFrame, rules: list[tuple[str, str, Column]], location: str) -> DataFrame:
+    """A finding for each rule (severity, code, condition) that holds, in one scan; null conditions don't hold."""
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(k).alias("code"))) for s, k, c in rules)))
+    return df.select(F.col(location).cast("string").alias("location"), F.explode(found).alias("f")).select("f.severity", "f.code", "location")
+
+
+def record_provenance(df: DataFrame, location: str, content_hash: str, retrieved_at: str) -> DataFrame:
+    """Records whose hash is a placeholder (provenance.todo) or whose time can't be read (provenance.timestamp)."""
+    unread = (F.col(retrieved_at) != "") & iso_time(retrieved_at).isNull()
+    return _findings(df, [("error", "provenance.todo", F.col(content_hash) == "TODO"), ("error", "provenance.timestamp", unread)], location)
+
+
+def edge_provenance(df: DataFrame, location: str, method: str, content_hash: str, observed: str, confidence: str, most: float = 0.9) -> DataFrame:
+    """Edges without a method, with a placeholder for a hash, or inferred with a confidence above ``most`` (a warning)."""
+    rules = [
+        ("error", "provenance.method", F.coalesce(F.col(method), F.lit("")) == ""), ("error", "provenance.todo", F.col(content_hash) == "TODO"),
+        ("warning", "confidence.inferred", ~F.col(observed) & (F.col(confidence) > most)),
+    ]
+    return _findings(df, rules, location)
+
+
+def benchmark_lists(df: DataFrame, location: str, candidates: str = "candidates", relevant: str = "relevant", hard: str = "hard_negatives") -> DataFrame:
+    """Relevant ids (errors) and hard negatives (warnings) that are not among the candidates: a finding for each id."""
+    pool = F.coalesce(F.col(candidates), F.array().cast(df.schema[candidates].dataType))
+    lacking = lambda c: F.filter(F.coalesce(F.col(c), pool), lambda x: ~F.array_contains(pool, x))
+    one = lambda c, s, k: df.select(F.lit(s).alias("severity"), F.lit(k).alias("code"), F.col(location).cast("string").alias("location"), F.explode(lacking(c)).alias("ref"))
+    return one(relevant, "error", "benchmark.relevant").union(one(hard, "warning", "benchmark.hardneg"))
+
+
+def query_leaks(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(query_id, id): candidates or relevant ids that begin after the query's as_of. ``records``: id, valid_from."""
+    named = queries.select("query_id", "as_of", F.explode(F.array_union("candidates", "relevant")).alias("id"))
+    return named.join(records.select("id", "valid_from"), "id").where("valid_from > as_of").select("query_id", "id").distinct()
+
+
+def split_disjoint(candidates: DataFrame, groups: DataFrame) -> DataFrame:
+    """Findings on a split by groups: groups in both splits (also by the name after the slash), test candidates of a train group.
+
+    ``groups``: grp, split; ``candidates``: query_id, split (of the query), grp (of the candidate).
+    """
+    sides = groups.select("grp", "split").distinct()
+    base = F.element_at(F.split("grp", "/"), -1)
+    twice = lambda key, code: sides.groupBy(key.alias("g")).agg(F.count_distinct("split").alias("n")).where("n > 1").select(F.lit("error").alias("severity"), F.lit(code).alias("code"), F.col("g").alias("location"))
+    train = sides.where("split = 'train'").select("grp")
+    leak = candidates.where("split = 'test'").join(train, "grp", "left_semi").select(F.lit("error").alias("severity"), F.lit("split.candidate").alias("code"), F.col("query_id").cast("string").alias("location")).distinct()
+    return twice(F.col("grp"), "split.group").union(twice(base, "split.fork")).union(leak)
+
+
+def graph_integrity(edges: DataFrame, nodes: DataFrame, source_type: str, target_types: tuple[str, ...]) -> DataFrame:
+    """Edges whose source or target isn't of its type, and nodes without a real hash. ``nodes``: id, type, content_hash."""
+    typed = lambda kinds, end: nodes.where(F.col("type").isin(*kinds)).select(F.col("id").alias(end))
+    wrong = lambda end, kinds: edges.join(typed(kinds, end), end, "left_anti").select(F.lit("error").alias("severity"), F.lit(f"graph.{end}").alias("code"), F.col(end).cast("string").alias("location")).distinct()
+    unhashed = nodes.where(~F.coalesce(F.col("content_hash").rlike("^sha256:[0-9a-f]{64}$"), F.lit(False)))
+    return wrong("source", (source_type,)).union(wrong("target", target_types)).union(_finding(unhashed, "error", "graph.hash", F.col("id")))
+
+
+def report(findings: DataFrame) -> DataFrame:
+    """One row: errors, warnings, ok (no errors)."""
+    errors = F.count_if(F.col("severity") == "error")
+    return findings.agg(errors.alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), (errors == 0).alias("ok"))
+
+
 def rollup(findings: DataFrame) -> DataFrame:
     """Counts by severity and code, with subtotals and a total (null where summed over)."""
     return findings.rollup("severity", "code").agg(F.count("*").alias("n"))

@@ -63,3 +63,61 @@ def located_lines(spark: SparkSession, path: str) -> DataFrame:
 def long_vectors(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(node, dim, x): one row for each component."""
     return df.select(F.col(id_col).alias("node"), F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+#: JSON files that hold no records (splits, results, snapshots).
+NO_RECORDS = ("split.json", "ablation-results.json", "diff2test-cochange.json")
+
+
+def discover(spark: SparkSession, root: str) -> DataFrame:
+    """(path): the JSON and JSON-lines files below ``root``, without templates, results and other files that hold no records."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{json,jsonl}").load(root).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.where(~F.col("path").contains("/templates/") & ~name.isin(*NO_RECORDS) & ~name.endswith("-results.json"))
+
+
+def located_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(location, value): each JSON object with ``file:line`` in JSON lines, ``file[i]`` in an array and ``file`` alone else.
+
+    The value is a variant; null where a line or file is no JSON.
+    """
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = text.where(F.col("file").endswith(".jsonl")).select("file", F.posexplode(F.split("value", "\n")).alias("k", "line")).where(F.trim("line") != "")
+    out = lines.select(F.concat_ws(":", "file", F.col("k") + 1).alias("location"), F.try_parse_json("line").alias("value"))
+    whole = text.where(~F.col("file").endswith(".jsonl")).select("file", F.try_parse_json("value").alias("value"))
+    array = F.try_variant_get("value", "$", "array<variant>")
+    single = whole.where(array.isNull()).select(F.col("file").alias("location"), "value")
+    many = whole.where(array.isNotNull()).select("file", F.posexplode(array).alias("k", "value")).select(F.concat("file", F.lit("["), "k", F.lit("]")).alias("location"), "value")
+    return out.union(single).union(many)
+
+
+def load_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """One row of ``schema`` from ``snapshot.json``, or from ``meta.json`` and the separate files of its parts, where they are."""
+    store = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    there = lambda name: store(name).getFileSystem(spark._jsc.hadoopConfiguration()).exists(store(name))
+    text = lambda name: spark.read.text(f"{folder}/{name}", wholetext=True)
+    if there("snapshot.json"):
+        return text("snapshot.json").select(F.from_json("value", schema).alias("s")).select("s.*")
+    if not there("meta.json"):
+        raise FileNotFoundError(f"neither snapshot.json nor meta.json in {folder}")
+    out = text("meta.json").select(F.from_json("value", schema).alias("s")).select("s.*")
+    for field in out.schema.fields:
+        if there(f"{field.name}.json"):
+            part = text(f"{field.name}.json").select(F.from_json("value", field.dataType).alias(field.name))
+            out = out.drop(field.name).join(F.broadcast(part))  # one row each
+    return out.select(*(f.name for f in T._parse_datatype_string(schema).fields))
+
+
+def write_json(obj: object, path: str) -> None:
+    """An indented JSON document of a bounded result (a card, a report), written by the driver."""
+    import json
+
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(obj, f, indent=2, sort_keys=True, ensure_ascii=False)
+        f.write("\n")
+
+
+def ragged(df: DataFrame, ids: str, offsets: str, values: str) -> DataFrame:
+    """(id, chunk_ix, value): rows of compressed sparse form, where entry k of ``ids`` owns values offsets[k] to offsets[k + 1]."""
+    own = F.transform(ids, lambda i, k: F.struct(i.alias("id"), F.slice(values, F.get(offsets, k) + 1, F.get(offsets, k + 1) - F.get(offsets, k)).alias("v")))
+    return df.select(F.explode(own).alias("x")).select("x.id", F.posexplode("x.v").alias("chunk_ix", "value"))
