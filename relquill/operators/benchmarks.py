@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import hash_order
@@ -46,3 +46,81 @@ def size_budget(groups: DataFrame, budget: float) -> DataFrame:
     """Groups (grp, value, bytes) kept while the running bytes, best value first, stay within the budget."""
     w = Window.orderBy(F.col("value").desc(), "grp").rowsBetween(Window.unboundedPreceding, 0)
     return groups.withColumn("running", F.sum("bytes").over(w)).where(F.col("running") <= budget)
+
+
+def retrieval_pools(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, hard: int = 8, random: int = 4, least: int = 5, seed: int = 1) -> DataFrame:
+    """(qid, cand, kind): each query's positives, its ``hard`` candidates of largest overlap and ``random`` others in hash order.
+
+    The pool is the positives' group without them; ties go to the smaller candidate, one without overlap counts as 0. Queries
+    whose pool has fewer than ``least`` candidates are left out.
+    """
+    in_group = gold.join(groups, "cand").select("qid", "grp").distinct()
+    pool = in_group.join(groups, "grp").select("qid", "cand").distinct().join(gold, ["qid", "cand"], "left_anti").join(overlaps, ["qid", "cand"], "left")
+    w = Window.partitionBy("qid")
+    pool = pool.withColumn("n", F.count("*").over(w)).where(F.col("n") >= least).withColumn("k", F.row_number().over(w.orderBy(F.coalesce("score", F.lit(0)).desc(), "cand")))
+    rest = pool.where(F.col("k") > hard).withColumn("j", F.row_number().over(w.orderBy(hash_order(seed, "qid", "cand"), "cand"))).where(F.col("j") <= random)
+    kept = pool.select("qid").distinct()
+    out = gold.join(kept, "qid", "left_semi").select("qid", "cand", F.lit("positive").alias("kind"))
+    return out.union(pool.where(F.col("k") <= hard).select("qid", "cand", F.lit("hard"))).union(rest.select("qid", "cand", F.lit("random")))
+
+
+def change_pools(changes: DataFrame, hard: int = 5, filler: int = 3, least: int = 1, seed: int = 2) -> DataFrame:
+    """(qid, cand, kind): for each source (qid) of ``changes`` (grp, qid, cand) its own targets and others of its group in hash order.
+
+    The first ``hard`` of the others are hard negatives, the next ``filler`` fill up. Queries with fewer than ``least`` others are
+    left out. Pools grow with the group; a group is dealt by query.
+    """
+    own = changes.select("grp", "qid", "cand").distinct()
+    others = own.select("grp", "qid").distinct().join(own.select("grp", "cand").distinct(), "grp").join(own.select("qid", "cand"), ["qid", "cand"], "left_anti")
+    w = Window.partitionBy("qid")
+    ranked = others.withColumn("k", F.row_number().over(w.orderBy(hash_order(seed, "qid", "cand"), "cand"))).where(F.col("k") <= max(hard + filler, least))
+    kept = ranked.where(F.col("k") == least).select("qid")
+    kind = F.when(F.col("k") <= hard, "hard").otherwise("filler")
+    out = own.select("qid", "cand", F.lit("positive").alias("kind")).union(ranked.where(F.col("k") <= hard + filler).select("qid", "cand", kind))
+    return out.join(kept, "qid", "left_semi")
+
+
+def inherited_split(records: DataFrame, answers: DataFrame, queries: DataFrame, default: str = "train") -> DataFrame:
+    """(id, split): a query record has its query's split, a record that answers one inherits it, others have ``default``.
+
+    ``records``: id; ``answers``: id, qid; ``queries``: qid, record, split. An answer to several queries has the last split in order.
+    """
+    direct = queries.select(F.col("record").alias("id"), F.col("split").alias("own"))
+    passed = answers.join(queries, "qid").groupBy("id").agg(F.max("split").alias("given"))
+    return records.join(direct, "id", "left").join(passed, "id", "left").select("id", F.coalesce("own", "given", F.lit(default)).alias("split"))
+
+
+def stamped(queries: DataFrame, as_of: str) -> DataFrame:
+    """``queries`` with one late ``as_of``."""
+    return queries.withColumn("as_of", F.lit(as_of))
+
+
+def mined_negatives(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, train: DataFrame) -> DataFrame:
+    """(qid, cand, overlap): for each training query the training candidate of its group with the largest overlap that isn't relevant.
+
+    ``train``: the groups (grp) of the training split. Ties go to the smaller candidate.
+    """
+    own = groups.join(train, "grp", "left_semi")
+    return mine_hard_negatives(overlaps, gold.join(own, "cand", "left_semi"), own, 1).join(gold, ["qid", "cand"], "left_anti").select("qid", "cand", "overlap")
+
+
+def numbered(df: DataFrame, order: Column, *ties: str, name: str = "k", buckets: int = 1024) -> DataFrame:
+    """``df`` with its row number (from 1) by ``order``, a number below 2^32, and ``ties``.
+
+    Rows are counted by bucket of the order, and numbered within their bucket only; no task orders all rows.
+    """
+    held = df.withColumn("_order", order).withColumn("_bucket", F.floor(F.col("_order") / (2**32 / buckets)))
+    counts = held.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))  # a row for each bucket
+    own = held.join(F.broadcast(before.select("_bucket", "_before")), "_bucket")
+    w = Window.partitionBy("_bucket").orderBy("_order", *ties)
+    return own.withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_order", "_bucket", "_before")
+
+
+def batches(pairs: DataFrame, size: int, seed: int, *keys: str, group: str | None = None) -> DataFrame:
+    """``pairs`` with a batch number: ``size`` at a time in hash order, over all or, with ``group``, within each group."""
+    order = hash_order(seed, *keys)
+    if group is None:
+        return numbered(pairs, order, *keys).withColumn("batch", F.floor((F.col("k") - 1) / size)).drop("k")
+    w = Window.partitionBy(group).orderBy(order, *keys)
+    return pairs.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))

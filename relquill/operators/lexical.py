@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import tokens
@@ -99,3 +99,28 @@ def hashed_cosine(queries: DataFrame, docs: DataFrame, toks, dim: int = 16384) -
     norm = lambda df, key, w: df.groupBy(key).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias(f"n_{w}"))
     dot = v.join(q, "bucket").groupBy("qid", "cand").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     return dot.join(norm(v, "cand", "w"), "cand").join(norm(q, "qid", "qw"), "qid").select("qid", "cand", (F.col("dot") / F.col("n_w") / F.col("n_qw")).alias("score"))
+
+
+def path_proximity(changed: DataFrame, pool: DataFrame) -> DataFrame:
+    """(qid, cand, n, j): the largest (tokens in common, Jaccard similarity) over the query's changed paths, in that order.
+
+    ``changed``: qid, tokens of a changed path; ``pool``: qid, cand, tokens of the candidate's path.
+    """
+    both = pool.join(changed.select("qid", F.col("tokens").alias("own")), "qid")
+    n = F.size(F.array_intersect("tokens", "own"))
+    best = F.max(F.struct(n.alias("n"), F.coalesce(F.try_divide(n, F.size(F.array_union("tokens", "own"))), F.lit(0.0)).alias("j")))
+    return both.groupBy("qid", "cand").agg(best.alias("x")).select("qid", "cand", F.col("x.n").cast("long").alias("n"), "x.j")
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays as sets, 0 if both are empty."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def similarity_profile(pairs: DataFrame, value: str = "j") -> DataFrame:
+    """(n, median, share_above_0): the upper median is the value at n // 2 in order, found from counts of equal values."""
+    counts = pairs.groupBy(F.round(value, 12).alias("v")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = counts.withColumn("upto", F.sum("n").over(w))  # a row for each distinct similarity, a ratio of two set sizes
+    total = counts.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("v") > 0, F.col("n")).otherwise(0)).alias("above"))
+    return run.join(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy("total", "above").agg(F.min("v").alias("median")).select(F.col("total").alias("n"), "median", (F.col("above") / F.col("total")).alias("share_above_0"))
