@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relquill.functions.text import truncated
+from relquill.sources.tables import materialise
+
 
 def adjacency(edges: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Symmetric, typed, distinct (a, b, role), without the excluded pairs in either direction."""
@@ -15,15 +18,123 @@ def adjacency(edges: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     return both.join(out, (F.least(both.a, both.b) == out.lo) & (F.greatest(both.a, both.b) == out.hi), "left_anti")
 
 
-def hop(adj: DataFrame, current: DataFrame, base: DataFrame, alpha: float) -> DataFrame:
-    """One round of typed mean aggregation over long vectors (node, dim, x): role means, their mean, mixed with ``base``."""
+def neighbour_mean(adj: DataFrame, current: DataFrame) -> DataFrame:
+    """(node, dim, m): the mean over roles of the mean of each role's neighbours that have a vector."""
     role = adj.join(current.withColumnRenamed("node", "b"), "b").groupBy("a", "role", "dim").agg(F.avg("x").alias("x"))
-    mean = role.groupBy("a", "dim").agg(F.avg("x").alias("m")).withColumnRenamed("a", "node")
-    joined = mean.join(base.withColumnRenamed("x", "own"), ["node", "dim"], "full")
-    mixed = F.when(F.col("m").isNull(), F.col("own")).when(F.col("own").isNull(), F.col("m")).otherwise(alpha * F.col("own") + (1 - alpha) * F.col("m"))
+    return role.groupBy(F.col("a").alias("node"), "dim").agg(F.avg("x").alias("m"))
+
+
+def seeded(adj: DataFrame, base: DataFrame) -> DataFrame:
+    """(node, dim, x): ``base`` and a first vector of each other node, the mean of its neighbours that have one before it.
+
+    Nodes without a vector of their own are taken in the order of their ids, so a neighbour with a smaller id counts once it
+    has a vector. Nodes whose smaller neighbours are settled go in one round; a round that settles nothing new ends it.
+    """
+    base = base.select("node", "dim", "x")
+    own = base.select("node").distinct()
+    open_ = materialise(adj.select(F.col("a").alias("node")).distinct().join(own, "node", "left_anti"), "open")
+    waits = materialise(adj.select("a", "b").distinct().where("b < a").join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi"), "waits")
+    current = materialise(base, "current")
+    while not open_.isEmpty():
+        ready = open_.join(waits.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        earlier = adj.join(ready.select(F.col("node").alias("a")), "a", "left_semi").join(own.withColumnRenamed("node", "b").withColumn("own", F.lit(True)), "b", "left").where("own OR b < a")
+        new = neighbour_mean(earlier.select("a", "b", "role"), current).select("node", "dim", F.col("m").alias("x"))
+        current = materialise(current.union(new), "current")
+        rest = materialise(open_.join(ready, "node", "left_anti"), "open")
+        waits = materialise(waits.join(ready.select(F.col("node").alias("b")), "b", "left_anti"), "waits")
+        open_ = rest
+    return current
+
+
+def hop(adj: DataFrame, current: DataFrame, base: DataFrame, alpha: float) -> DataFrame:
+    """One round of typed mean aggregation over long vectors (node, dim, x), mixed with ``base``; a node without neighbours keeps its vector."""
+    mean, own = neighbour_mean(adj, current), base.select("node", "dim", F.col("x").alias("own"))
+    joined = mean.join(own, ["node", "dim"], "full").join(current.select("node", "dim", "x"), ["node", "dim"], "full")
+    mixed = F.when(F.col("m").isNull(), F.coalesce("own", "x")).when(F.col("own").isNull(), F.col("m")).otherwise(alpha * F.col("own") + (1 - alpha) * F.col("m"))
     return joined.select("node", "dim", mixed.alias("x"))
 
 
+def at_unit_length(vectors: DataFrame) -> DataFrame:
+    """Long vectors at length 1; zero vectors stay."""
+    norm = vectors.groupBy("node").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return vectors.join(norm, "node").select("node", "dim", F.coalesce(F.try_divide("x", "norm"), F.lit(0.0)).alias("x"))
+
+
+def augmented(edges: DataFrame, base: DataFrame, alpha: float = 0.5, hops: int = 1, excluded: DataFrame | None = None) -> DataFrame:
+    """Unit vectors (node, dim, x) of all nodes that get one after ``hops`` rounds. ``edges``: source, target, role; ``base``: node, dim, x."""
+    adj = materialise(adjacency(edges, excluded), "adjacency")
+    now = seeded(adj, base)
+    for _ in range(hops):
+        now = materialise(hop(adj, now, base, alpha), "hop")
+    return at_unit_length(now)
+
+
+def merged(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Long vectors of both; where both have a node, the right one's."""
+    return right.unionByName(left.join(right.select("node").distinct(), "node", "left_anti"))
+
+
+def views(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(node, neighbours): the sorted distinct targets of each source."""
+    return edges.groupBy(F.col(source).alias("node")).agg(F.array_sort(F.collect_set(target)).alias("neighbours"))
+
+
+def density(commits: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row on gold pairs: pairs, pairs isolated without the gold dates, pairs with fewer than two commits, queries all of whose
+    pairs are isolated, upper median and largest number of commits.
+
+    ``commits``: target, date (one row each); ``gold``: qid, target, date (of the query's own change).
+    """
+    n = commits.groupBy("target").agg(F.count("*").alias("n"))
+    dates = gold.select("target", "date").distinct()
+    other = commits.join(dates, ["target", "date"], "left_anti").groupBy("target").agg(F.count("*").alias("other"))
+    pairs = gold.select("qid", "target").distinct().join(n, "target", "left").join(other, "target", "left").na.fill(0, ["n", "other"])
+    counts = pairs.groupBy("n").agg(F.count("*").alias("pairs"))
+    run = counts.withColumn("upto", F.sum("pairs").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))  # a row for each number of commits
+    total = counts.agg(F.sum("pairs").alias("total"), F.max("n").alias("largest"))
+    median = run.join(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("n").alias("median_commits"), F.max("largest").alias("most_commits"))
+    by_query = pairs.groupBy("qid").agg(F.bool_and(F.col("other") < 1).alias("alone")).agg(F.count("*").alias("queries"), F.count_if("alone").alias("queries_isolated"))
+    return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("other") < 1).alias("isolated"), F.count_if(F.col("n") < 2).alias("single")).join(by_query).join(median)
+
+
+def subgraph(ranked: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """(qid, rank, cand, score, files, tests): the ranked candidates with the first ``most`` of their changed files and tests.
+
+    ``edges``: cand, path, is_test. Paths are distinct and sorted.
+    """
+    paths = lambda test: F.slice(F.array_sort(F.collect_set(F.when(F.col("is_test") == test, F.col("path")))), 1, most)
+    own = edges.join(ranked.select("cand").distinct(), "cand", "left_semi").groupBy("cand").agg(paths(False).alias("files"), paths(True).alias("tests"))
+    none = F.array().cast("array<string>")
+    return ranked.join(own, "cand", "left").select("qid", "rank", "cand", "score", F.coalesce("files", none).alias("files"), F.coalesce("tests", none).alias("tests"))
+
+
+def packed(found: DataFrame, issues: DataFrame, body_characters: int = 600) -> DataFrame:
+    """(qid, prompt): a bounded plain-text context for each of ``issues`` (qid, title, body) from its ranked changes (with ``title``)."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("(none recorded)")
+    titled = lambda c, n: F.coalesce(F.nullif(truncated(c, n), F.lit("")), F.lit("(no title)"))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("## PR #"), "rank", F.lit("  (relevance="), F.format_string("%.3f", "score"), F.lit(")")), F.concat(F.lit("summary: "), titled("title", 120)),
+        F.concat(F.lit("changed files: "), listed("files")), F.concat(F.lit("changed tests: "), listed("tests")), F.lit(""),
+    )
+    by = found.groupBy("qid").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))).alias("bs"))  # the top ranks of one query
+    joined = issues.join(by, "qid", "left")
+    body = truncated("body", body_characters)
+    lines = F.array(F.lit("# ISSUE"), F.concat(F.lit("title: "), titled("title", 200)), F.when(body != "", F.concat(F.lit("description: "), body)), F.lit(""), F.concat(F.lit("# RELATED PULL REQUESTS (top "), F.coalesce("n", F.lit(0)), F.lit(" by relevance)")), F.when(F.col("n").isNull(), "(none retrieved)"))
+    text = F.array_join(F.concat(F.array_compact(lines), F.transform(F.coalesce("bs", F.array().cast("array<struct<rank:int,block:string>>")), lambda x: x["block"])), "\n")
+    return joined.select("qid", F.concat(F.regexp_replace(text, r"\s+\z", ""), F.lit("\n")).alias("prompt"))
+
+
+def fair_rank(pools: DataFrame) -> DataFrame:
+    """One row on pools (qid, cand, relevant, score, null where not covered): coverage of relevant and of other candidates, R@1
+    among queries with a covered relevant candidate, ranked over the covered ones, and what a random order would reach.
+    """
+    covered = pools.where("score IS NOT NULL")
+    best = covered.groupBy("qid").agg(F.min_by("relevant", F.struct((-F.round("score", 9)).alias("s"), "cand")).alias("first"), F.bool_or("relevant").alias("any"), F.count("*").alias("n"), F.count_if("relevant").alias("r"))
+    best = best.where("any").agg(F.count("*").alias("n_queries"), F.avg(F.col("first").cast("int")).alias("r1_covered"), F.avg(F.col("r") / F.col("n")).alias("r1_random"))
+    share = lambda c: F.avg(F.when(c, F.col("score").isNotNull().cast("int")))
+    return pools.agg(share(F.col("relevant")).alias("coverage_relevant"), share(~F.col("relevant")).alias("coverage_other")).join(best)
+
+
 def grid(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> DataFrame:
     """(alpha, hops, node, dim, x): vectors of the sources after 1 to ``hops`` rounds over their targets and back, for each weight.
 
