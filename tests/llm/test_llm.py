@@ -173,8 +173,10 @@ def test_toxicity_is_kneser_ney(spark):
     for v, w in sorted(count[0] | count[1]):
         own = hashed([v, w])
         for c, x in zip(columns, (toxicity.gram_hashes(own, np.zeros(2, np.int64), 2)[0][0], own[0], own[1], hashed([w], toxicity.HEAD)[0], count[0][v, w], count[1][v, w])):
-            columns[c].append(x)
-    model = toxicity.models({c: np.array(x, np.uint64 if c[0] != "c" or c == "context" else np.int64) for c, x in columns.items()})
+            columns[c].append(int(np.int64(np.uint64(x).view(np.int64))) if isinstance(x, np.uint64) else x)
+    grams = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} long" for c in columns))
+    tables = (t.toArrow() for t in toxicity.tables(grams))
+    model = toxicity.models(*({c: x.to_numpy() for c, x in zip(t.column_names, t.columns)} for t in tables))
     word, bigram, known, heads = slow_kneser_ney(texts)
     for v in ["aa", "wordab", "rare2", "never"]:
         seen = [*known, "wordzz", "zzzzzzzz", "q"]
