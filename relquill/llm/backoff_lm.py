@@ -6,8 +6,9 @@ block then explodes its texts into n-grams, takes the text's own occurrences off
 A very common n-gram therefore comes once from each block, not once from each text.
 
 An n-gram table travels as sorted arrays of 64-bit hashes, one for each pair of block and partition, and what comes back are
-the counts in the same order. Null and empty texts have no words and a null score. Repeated rows count as texts of their own;
-an empty table gives an empty result; only the named columns are read.
+the counts in the same order. A pair without common n-grams sends nothing, so there are never more tables than rows of single
+n-grams would be: their number grows with the square of the blocks while tables are long, then in proportion. Null and empty texts have no words and a null score. Repeated rows count as texts of their own (rows alike in id and text share a
+block); a text of any length is scored whole; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations

@@ -81,6 +81,51 @@ def sign_test(gains: Column, losses: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.aggregate(steps, zero, add)["total"])
 
 
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function, to about 1e-7 (a rational approximation of the error function)."""
+    z = F.abs(x) / F.sqrt(F.lit(2.0))
+    t = 1 / (1 + 0.3275911 * z)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    erf = 1 - poly * F.exp(-z * z)
+    return F.when(x >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)
+
+
+#: Normal quantiles at 0.975 and 0.8.
+Z_ALPHA, Z_POWER = 1.959963985, 0.841621234
+
+
+def power(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row on paired outcomes: n, delta of a over b, sd, minimum detectable effect at 80 % power, achieved power, gains, losses."""
+    d = F.col(a) - F.col(b)
+    own = pairs.agg(F.count("*").alias("n"), F.avg(d).alias("delta"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("sd"), F.count_if(d > 0).alias("gains"), F.count_if(d < 0).alias("losses"))
+    root = F.sqrt("n")
+    mde = F.when(F.col("sd") > 0, (Z_ALPHA + Z_POWER) * F.col("sd") / root).otherwise(0.0)
+    reached = F.when(F.col("sd") > 0, normal_cdf(F.abs("delta") * root / F.col("sd") - Z_ALPHA)).otherwise(1.0)
+    return own.select("n", "delta", "sd", mde.alias("mde"), reached.alias("power"), "gains", "losses", (F.abs("delta") >= mde).alias("detectable"))
+
+
+def group_deltas(pairs: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """(group, n, mean_a, mean_b, delta, verdict) of paired outcomes by group."""
+    own = pairs.groupBy(group).agg(F.count("*").alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg(F.col(a) - F.col(b)).alias("delta"))
+    delta = F.round("delta", 12)
+    return own.withColumn("verdict", F.when(delta > 0, "improved").when(delta < 0, "regressed").otherwise("equal"))
+
+
+def across_splits(rows: DataFrame, split: str, config: str, value: str, control: str) -> DataFrame:
+    """(config, n, mean, sd, gap, gap_sd, all_positive): each configuration over splits or seeds, and its paired gap to ``control``."""
+    base = rows.where(F.col(config) == control).select(split, F.col(value).alias("base"))
+    gap = F.col(value) - F.col("base")
+    return rows.join(base, split, "left").groupBy(config).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.avg(gap).alias("gap"), F.stddev_pop(gap).alias("gap_sd"), F.coalesce(F.bool_and(F.round(gap, 12) > 0), F.lit(False)).alias("all_positive"),
+    )
+
+
+def lifts(metrics: DataFrame, system: str, control: str, *names: str) -> DataFrame:
+    """``metrics`` of each system (one row each) less those of ``control``."""
+    base = metrics.where(F.col(system) == control).select(*(F.col(n).alias(f"_{n}") for n in names))
+    return metrics.join(F.broadcast(base)).select(system, *((F.col(n) - F.col(f"_{n}")).alias(f"lift_{n}") for n in names))
+
+
 def bootstrap(values: DataFrame, b: int, seed: int, value: str = "delta") -> DataFrame:
     """(lo, hi, p_le_0): percentile interval of the mean over ``b`` resamples of the rows of ``values`` (ix from 0)."""
     spark = values.sparkSession

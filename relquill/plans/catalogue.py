@@ -594,11 +594,11 @@ DRAW = H32.format("'11|' || b || '|' || i")
 
 
 @query(f"""WITH {HITS}, x AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS ix, (ha - hb)::DOUBLE AS delta FROM h), n AS (SELECT count(*) AS n FROM x),
-m AS (SELECT b, avg(delta) AS m FROM (SELECT b, {DRAW} % n AS ix FROM range(0, 200) t(b), n, range(0, 100000) r(i) WHERE i < n) JOIN x USING (ix) GROUP BY b)
-SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CASE WHEN round(m, 9) <= 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS p_le_0 FROM m""")
+m AS (SELECT b, avg(delta) AS m FROM (SELECT b, {DRAW} % n AS ix FROM range(0, 10000) t(b), n, range(0, 100000) r(i) WHERE i < n) JOIN x USING (ix) GROUP BY b)
+SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, round(avg(CASE WHEN round(m, 9) <= 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS p_le_0, round(avg(CASE WHEN round(m, 9) > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS frac_positive FROM m""")
 def bootstrap_ci_query(s, d):
-    x = hits(s, d).select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("ix"), (F.col("ha") - F.col("hb")).cast("double").alias("delta"))
-    return ranking.bootstrap(x, 200, 11).select(*(F.round(c, 6).alias(c) for c in ("lo", "hi", "p_le_0")))
+    x = hits(s, d).select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("ix"), (F.col("ha") - F.col("hb")).cast("double").alias("delta"))  # a row for each benchmark query
+    return ranking.bootstrap(materialise(x, "x"), 10_000, 11).select(*(F.round(c, 6).alias(c) for c in ("lo", "hi", "p_le_0", "frac_positive")))
 
 
 @query(f"WITH {HITS} SELECT count(*) AS n, count(*) FILTER (ha > hb) AS gains, count(*) FILTER (ha < hb) AS losses, round(1.96 * coalesce(stddev_samp(ha - hb), 0) / sqrt(count(*)) + 0.8416 * coalesce(stddev_samp(ha - hb), 0) / sqrt(count(*)), 6) AS mde FROM h")
@@ -680,15 +680,15 @@ CDRAW = H32.format("'13|' || b || '|' || i")
 
 @query(f"""WITH {HITS}, c AS (SELECT source, sum(ha - hb)::DOUBLE AS sd, count(*) AS nq FROM h JOIN (SELECT qid, min(source) AS source FROM gold JOIN documents ON doc_id = cand GROUP BY qid) USING (qid) GROUP BY source),
 x AS (SELECT row_number() OVER (ORDER BY source) - 1 AS ix, sd, nq FROM c), n AS (SELECT count(*) AS n FROM x),
-m AS (SELECT b, sum(sd) / sum(nq) AS m FROM (SELECT b, {CDRAW} % n AS ix FROM range(0, 200) t(b), n, range(0, 100000) r(i) WHERE i < n) JOIN x USING (ix) GROUP BY b)
+m AS (SELECT b, sum(sd) / sum(nq) AS m FROM (SELECT b, {CDRAW} % n AS ix FROM range(0, 10000) t(b), n, range(0, 100000) r(i) WHERE i < n) JOIN x USING (ix) GROUP BY b)
 SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def bootstrap_ci_cluster(s, d):
     """Resamples groups instead of queries."""
     grp = gold(s, d).join(groups(s, d), "cand").groupBy("qid").agg(F.min("grp").alias("grp"))
     c = hits(s, d).join(grp, "qid").groupBy("grp").agg(F.sum(F.col("ha") - F.col("hb")).cast("double").alias("sd"), F.count("*").alias("nq"))
-    x = c.select((F.row_number().over(Window.orderBy("grp")) - 1).cast("long").alias("ix"), "sd", "nq")
+    x = materialise(c.select((F.row_number().over(Window.orderBy("grp")) - 1).cast("long").alias("ix"), "sd", "nq"), "x")  # a row for each group
     n = x.count()
-    draws = s.range(200).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i")).select("b", F.pmod(T.hash_order(13, "b", "i"), F.lit(max(n, 1))).alias("ix"))
+    draws = s.range(10_000).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i")).select("b", F.pmod(T.hash_order(13, "b", "i"), F.lit(max(n, 1))).alias("ix"))
     m = draws.join(x, "ix").groupBy("b").agg((F.sum("sd") / F.sum("nq")).alias("m"))
     return m.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("hi"))
 
@@ -720,6 +720,7 @@ def lr_rerank_loro(s, d):
     from relquill.operators.learned import leave_one_group_out
 
     x = fused(s, d).join(groups(s, d), "cand").join(gold(s, d).withColumn("y", F.lit(1)), ["qid", "cand"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    x = materialise(x, "rows")
     return ranking.ranked(leave_one_group_out(x, ["a", "b"]), 5, by="p").select("qid", "cand", "y", F.round("p", 6).alias("p"), "rank")
 
 
