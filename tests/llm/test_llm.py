@@ -554,3 +554,59 @@ def test_language_of_letterless_text(spark):
     found = by_id(language_mixture.identify(docs, *language_mixture.fit(docs, "text", "lang", "doc_id", ~held_out())))
     assert (found[100]["lang_pred"], found[100]["score"], found[100]["proportions"]) == ("und", 0.0, {})
     assert found[101]["lang_pred"] != "und"
+
+
+def awkward_rows():
+    """Nulls in every column, empty and very long texts, ties, repeated rows, shared ids, odd characters."""
+    r = random.Random(21)
+    words = ["the", "of", "and", "red", "fox", "\u00fcber", "jumps"] + [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(r.choices(words, k=r.randint(5, 120))), "en", f"s{k % 3}", 1) for k in range(60)]
+    rows += [(100, None, None, None, None), (None, "no id here", None, None, None), (None, None, None, None, None), (101, "", "en", "s0", 0), (102, " \n\t", "en", "s0", 3)]
+    rows += [(103, "long word " * 30_000, "en", "s1", 1), (104, "x" * 200_000, "en", "s1", 1), rows[0], rows[0], (0, "same id, other text", "en", "s2", 1), (105, rows[1][1], "en", "s1", 1)]
+    rows += [(106, rows[2][1] + " tail", "en", "s1", 1), (107, "\x00 \u0085 \u2028 \U0001f600", None, "s1", 1)]
+    return rows
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_on_awkward_and_empty_tables(spark, tmp_path, name):
+    rows = awkward_rows()
+    for kind, some in (("awkward", rows), ("empty", [])):
+        folder = tmp_path / kind
+        docs = spark.createDataFrame(some, SCHEMA)
+        docs.selectExpr("*", "lang as digest", "source as key", "text as body", "lang as row").write.parquet(f"{folder}/documents.parquet")
+        labels = [(r[0], k % 2, int(k % 5 == 0)) for k, r in enumerate(some)] + [(None, None, None), (1, None, 1), (2, 1, None)][: len(some)]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        pages = [(r[0], None if k % 4 == 0 else f"http://h/{k}", r[1]) for k, r in enumerate(some)]
+        spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+        got = queries.QUERIES[name](spark, str(folder)).collect()
+        if name != "op5_poisson_mixing":
+            assert Counter(r["page_id" if name == "op4_warc" else "doc_id"] for r in got) == Counter(r[0] for r in some)
+
+
+def test_pipeline_runs_end_to_end(spark, tmp_path):
+    """``run`` against brute force: the stages one after another over awkward rows, and over an empty table."""
+    import sentencepiece
+
+    import corpus_pipeline as p
+
+    rows = awkward_rows()
+    for kind, some in (("awkward", rows), ("empty", [])):
+        spark.createDataFrame(some, SCHEMA).write.parquet(f"{tmp_path}/{kind}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{kind}/labels.parquet")
+    assert p.run(spark, f"{tmp_path}/empty").count() == 0
+    out = p.run(spark, f"{tmp_path}/awkward").collect()
+    groups = {}
+    for k, t, *_, in rows:
+        groups.setdefault(re.sub("[\x20\x09-\x0d]", "", t or ""), []).append((-len(t or ""), k is None, k or 0, t))
+    kept = [min(g, key=lambda x: x[:3]) for g in groups.values()]
+    label = slow_near({i: x[3] for i, x in enumerate(kept)})
+    near = {}
+    for i, x in enumerate(kept):
+        near.setdefault(label[i], []).append((x[1], x[2], x[3]))
+    stay = {min(g, key=lambda x: x[:2])[2] for g in near.values()}
+    lib = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    want = {hashlib.sha256(np.array(lib.encode(t or "", add_bos=True, add_eos=True), "<u4").tobytes()).hexdigest() for t in stay}
+    found = {r["ids_sha256"] for r in out}
+    assert found <= want and len(out) > len(stay) // 3  # a Poisson draw may be zero
+    everything = p.STAGES[4][1](spark, p.STAGES[2][1](spark, p.STAGES[1][1](spark, spark.createDataFrame(rows, SCHEMA), ""), ""), "")
+    assert {r["ids_sha256"] for r in everything.collect()} == want
