@@ -48,6 +48,8 @@ def bm25(queries: DataFrame, docs: DataFrame | None = None, k1: float = 1.5, b:
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
     weight = df.join(F.broadcast(size)).select("tok", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighted = bounded(terms(queries).join(weight, "tok").select("qid", "tok", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")))
+    # dealt by document, the products of a pair meet in one task: they are added up without another shuffle
+    tf = tf.repartition("cand")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return tf.join(weighted, "tok").groupBy("qid", "cand").agg(F.sum(part).alias("score"))
 
@@ -89,7 +91,7 @@ def hashed_log_tf(docs: DataFrame, id_col: str, toks: Column, dim: int = 16384)
 def overlap(queries: DataFrame, docs: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """(qid, cand, score): the number of distinct tokens in common, where there are any."""
     held = query_postings(queries, docs) if postings is None else postings
-    return held.where("tok IS NOT NULL").join(bounded(terms(queries).select("qid", "tok")), "tok").groupBy("qid", "cand").agg(F.count("*").alias("score"))
+    return held.where("tok IS NOT NULL").repartition("cand").join(bounded(terms(queries).select("qid", "tok")), "tok").groupBy("qid", "cand").agg(F.count("*").alias("score"))
 
 
 def hashed_cosine(queries: DataFrame, docs: DataFrame, toks, dim: int = 16384) -> DataFrame:
