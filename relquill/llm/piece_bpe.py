@@ -11,9 +11,7 @@ repeated results; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
-from collections import ChainMap
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +24,8 @@ SPACE = "▁"
 NO_PAIR = np.int32(2**31 - 1)
 #: Characters of the words kept with their ids in a worker; the store is emptied when full, and longer words are not kept.
 CACHE_CHARACTERS, CACHED_WORD = 2_000_000, 64
-#: Unbroken runs of more symbols than this are merged one by one with a heap.
-LONG_RUN = 2048
+#: Segments of more symbols than this keep the minimum of their rounds in two levels, over blocks of so many.
+LONG_RUN, BLOCK = 2_048, 512
 WORD = re.compile(r" *[^ ]+| +")
 
 
@@ -203,8 +201,8 @@ class PieceModel:
             apart = np.isin(segment, long)
             for k in long.tolist():
                 own = np.flatnonzero(segment == k)
-                kept, merged = self.merge_long(symbols[own].tolist())
-                done.append((order[own[kept]], np.array(merged, np.int32), word[own[kept]]))
+                kept, merged = self.merge_long(symbols[own])
+                done.append((order[own[kept]], merged, word[own[kept]]))
             symbols, segment, word, order = (x[~apart] for x in (symbols, segment, word, order))
 
         def joined(at: np.ndarray) -> np.ndarray:
@@ -249,33 +247,47 @@ class PieceModel:
         by = np.argsort(order, kind="stable")
         return symbols[by], word[by]
 
-    def merge_long(self, symbols: list[int]) -> tuple[list[int], list[int]]:
-        """Merge one long segment pair by pair; gives the places that stay and their symbols."""
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        into = self.pairs.get(np.array(symbols[:-1], np.int32), np.array(symbols[1:], np.int32)).tolist()
-        heap = [(int(self.rank[z]), i, symbols[i], symbols[i + 1], z) for i, z in enumerate(into) if z >= 0]
-        heapq.heapify(heap)
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n:
-                z = int(self.pairs.get(np.array([symbols[i]], np.int32), np.array([symbols[after[i]]], np.int32))[0])
-                if z >= 0:
-                    heapq.heappush(heap, (int(self.rank[z]), i, symbols[i], symbols[after[i]], z))
-
-        while heap:
-            _, i, a, b, z = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or symbols[i] != a or j >= n or symbols[j] != b:
-                continue
-            symbols[i], alive[j], after[i] = z, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        kept = [i for i in range(n) if alive[i]]
-        return kept, [symbols[i] for i in kept]
+    def merge_long(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rounds of one long segment: places that stay and their symbols.
+
+        Where merging a piece may make room for a better one, a round can merge a single place, so here the minimum is kept in
+        two levels, over blocks and within them, and places are linked instead of compacted: such a round costs a block.
+        """
+        n, symbols = len(symbols), symbols.copy()
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        into = np.full(-(-n // BLOCK) * BLOCK, -1, np.int32)
+        into[: n - 1] = self.pairs.get(symbols[:-1], symbols[1:])
+        rank = self.rank[into]
+        best = rank.reshape(-1, BLOCK).min(axis=1)
+        while True:
+            block = int(best.argmin())
+            if best[block] == NO_PAIR:
+                break
+            first = block * BLOCK + int(rank[block * BLOCK : (block + 1) * BLOCK].argmin())
+            if self.alone[into[first]]:
+                at = np.flatnonzero(rank == best[block])
+                run = np.r_[True, at[1:] != after[at[:-1]]]
+                start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - start) % 2 == 0]
+            else:
+                at = np.array([first])
+            gone = after[at]
+            symbols[at] = into[at]
+            alive[gone], into[gone], rank[gone] = False, -1, NO_PAIR
+            after[at] = after[gone]
+            next_ = after[at]
+            before[next_[next_ < n]] = at[next_ < n]
+            again = np.unique(np.concatenate([at, before[at]]))
+            again = again[again >= 0]
+            right = after[again]
+            inside = right < n
+            into[again] = -1
+            into[again[inside]] = self.pairs.get(symbols[again[inside]], symbols[right[inside]])
+            rank[again] = self.rank[into[again]]
+            touched = np.unique(np.concatenate([again, gone]) // BLOCK)
+            best[touched] = rank.reshape(-1, BLOCK)[touched].min(axis=1)
+        kept = np.flatnonzero(alive)
+        return kept, symbols[kept]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
@@ -284,13 +296,16 @@ class PieceModel:
             self.store.clear()
             self.stored = 0
         missing = list({w for words in split for w in words if w not in self.store})
-        own = dict(zip(missing, self.merge_words(missing), strict=True))
-        kept = {w: x for w, x in own.items() if len(w) <= CACHED_WORD}
-        self.store.update(kept)
-        self.stored += sum(map(len, kept))
-        store = self.store if len(kept) == len(own) else ChainMap(own, self.store)
+        store = self.store
+        store.update(zip(missing, self.merge_words(missing), strict=True))
         head, tail = (np.array([x], "<u4").tobytes() for x in (self.begin, self.end))
-        return [head + b"".join([store[w] for w in words]) + tail for words in split]
+        out = [head + b"".join([store[w] for w in words]) + tail for words in split]
+        for w in missing:
+            if len(w) > CACHED_WORD:
+                del store[w]
+            else:
+                self.stored += len(w)
+        return out
 
     # -- decoding -----------------------------------------------------------------------------------------------------
 

@@ -358,7 +358,7 @@ def test_piece_bpe(docs, empty, model):
     r = random.Random(4)
     own = piece_bpe.loaded(model)
     pool = ["a", "the", "t", "h", " ", "  ", "\n", "-", "é", "日", "🙂", "ing", "▁", "0", "\t", "=", "<", "x"]
-    texts = ["".join(r.choices(pool, k=r.randint(0, 50))) for _ in range(2000)] + [" " * 5000, "-" * 5000, "ab" * 3000, "<s> </s> <0x41>", "﻿\x00"]
+    texts = ["".join(r.choices(pool, k=r.randint(0, 50))) for _ in range(2000)] + [" " * 5000, "-" * 5000, "ab" * 3000, "#" * 5000, "# " * 2000 + "#" * 3001 + "=-" * 1500, "".join(r.choices("#-=ab", k=9000)), "".join(r.choices(["##", "###", "#", "=", "----"], k=4000)), "<s> </s> <0x41>", "﻿\x00"]
     for t, data in zip(texts, own.encode(texts), strict=True):
         ids = lib.encode(t, add_bos=True, add_eos=True)
         assert np.frombuffer(data, "<u4").tolist() == ids and own.decode(data) == lib.decode(ids)
