@@ -154,12 +154,17 @@ def grid(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> D
     return out
 
 
-def nearest(vectors: DataFrame, is_query: str, keys: list[str], blocks: int = 16) -> DataFrame:
+#: Vectors in a block of ``nearest``, about.
+BLOCK_ROWS = 20_000
+
+
+def nearest(vectors: DataFrame, is_query: str, keys: list[str]) -> DataFrame:
     """(keys, qid, cand): the other node with the largest cosine for each node that ``is_query`` admits, smallest id on ties.
 
-    Query and candidate meet in tiles (query block, candidate block) by hash, so no task sees all candidates of a key, and
-    the best is kept before the shuffle. ``vectors``: (keys, node, dim, x).
+    Query and candidate meet in tiles (query block, candidate block) by hash, as many blocks as the vectors need, so no task sees
+    all candidates of a key, and the best is kept before the shuffle. ``vectors``: (keys, node, dim, x).
     """
+    blocks = max(4, -(-vectors.select("node").distinct().count() // BLOCK_ROWS))
     v = vectors.groupBy(*keys, "node").agg(F.array_sort(F.collect_list(F.struct("dim", "x")))["x"].alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     v = v.withColumn("n", norm).select(*keys, "node", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))

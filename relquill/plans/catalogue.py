@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relquill.functions import text as T
-from relquill.operators import benchmarks, graph, lexical, ranking, validation
+from relquill.operators import benchmarks, dense, graph, lexical, ranking, validation
 from relquill.sources.tables import long_vectors, materialise, spread, table
 
 QUERIES: dict = {}
@@ -335,9 +335,8 @@ def cosine_topk_vectors(s, d):
     """Every hundredth vector as a stated query set against all vectors."""
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qv"))
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = e.join(q, F.col("vec_id") != F.col("qid")).select("qid", F.col("vec_id").alias("cand"), dot.alias("score"))
-    return ranking.ranked(pairs, 5).select(F.col("qid").alias("q"), "cand", F.round("score", 5).alias("score"))
+    found = dense.searched(q, e.withColumnRenamed("vec_id", "cand"), dense.dot(F.col("qv"), F.col("v")), 5)
+    return found.select(F.col("qid").alias("q"), "cand", F.round("score", 5).alias("score"))
 
 
 @query("""SELECT label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY ALL""")
@@ -469,10 +468,11 @@ def experiment_grid(s, d):
 # -- validation ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'error' AS severity, 'id.duplicate' AS code, l_orderkey || ':' || l_linenumber AS location, count(*) - 1 AS extra FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+@query("""SELECT 'error' AS severity, 'id.duplicate' AS code, location FROM (SELECT l_orderkey || ':' || l_linenumber || ':' || lpad(l_partkey::VARCHAR, 9, '0') AS location, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY lpad(l_partkey::VARCHAR, 9, '0')) AS k FROM lineitem) WHERE k > 1""")
 def validate_duplicates(s, d):
-    li = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.count("*") - 1).alias("extra")).where("extra > 0")
-    return li.select(F.lit("error").alias("severity"), F.lit("id.duplicate").alias("code"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("location"), "extra")
+    """Every line after the first with the same order and number."""
+    li = table(s, d, "lineitem").withColumn("location", F.concat_ws(":", "l_orderkey", "l_linenumber", F.lpad("l_partkey", 9, "0")))
+    return validation.duplicate_ids(li, ["l_orderkey", "l_linenumber"], "location")
 
 
 def _dangling(s, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relquill.functions import text as T
 from relquill.operators import benchmarks, lexical, ranking, synthetic
-from relquill.plans.catalogue import BM25, GOLD, H32, OVERLAP, TOK, gold, groups, items, query, texts
+from relquill.plans.catalogue import BM25, GOLD, H32, OVERLAP, TOK, gold, groups, items, query, scrub_sql, texts
 from relquill.sources.tables import table
 
 FULL = f"""{OVERLAP}, {GOLD}, ig AS (SELECT DISTINCT qid, source FROM gold JOIN documents ON doc_id = cand),
@@ -174,3 +174,12 @@ def similarity_profile(s, d):
 def gold_pairs(s, d):
     """The items' texts found in documents, items of one token included."""
     return gold(s, d)
+
+
+@query(f"""WITH g AS (SELECT source, CASE WHEN k <= floor(n * 0.6) THEN 'train' ELSE 'test' END AS split FROM (SELECT source, row_number() OVER (ORDER BY source) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)))
+SELECT doc_id, split, sha256({scrub_sql("coalesce(text, '')")}) AS h FROM documents JOIN g USING (source)""")
+def crossgroup_dataset(s, d):
+    """Scrubbed texts with the split of their group: what an ablation loads."""
+    docs = table(s, d, "documents").select("doc_id", F.col("source").alias("grp"), T.scrub_references("text").alias("t"))
+    split = benchmarks.cross_group_split(docs, "grp")
+    return docs.join(split, "grp").select("doc_id", "split", F.sha2(F.col("t").cast("binary"), 256).alias("h"))

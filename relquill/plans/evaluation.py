@@ -135,7 +135,12 @@ def tower_ablation(s, d):
 @query()
 def synthetic_ablation(s, d):
     """The synthetic benchmark's test issues: R@1 of plain cosine, of inverse document frequencies and of a trained metric."""
-    data = materialise(synthetic.generate(s), "synthetic")
+    return ablation(synthetic.generate(s))
+
+
+def ablation(data):
+    """The same on synthetic ``data``."""
+    data = materialise(data, "synthetic")
     pools = materialise(synthetic.pools(data), "pools")
     test = data.where("split = 'test'").select(F.col("n").alias("qid"), F.array_join("issue", " ").alias("text"))
     changes = data.select(F.col("n").alias("cand"), F.array_join("change", " ").alias("text"))
@@ -173,3 +178,11 @@ def feature_rows(s, d):
     f = materialise(fused(s, d), "fused")
     support = f.groupBy("cand").agg(F.log1p(F.count("*")).alias("log_support"))
     return f.join(support, "cand").join(groups(s, d), "cand").select("qid", "cand", F.round("a", 6).alias("bm25"), F.col("b").alias("overlap"), F.round("log_support", 6).alias("log_support"), F.col("grp").isNotNull().alias("covered"))
+
+
+@query(f"""WITH {HITS} SELECT '# bm25 and overlap' || chr(10) || chr(10) || '| metric | value |' || chr(10) || '|-|-|' || chr(10) || '| bm25 R@1 | ' || printf('%.4f', avg(ha)) || ' |' || chr(10) || '| overlap R@1 | ' || printf('%.4f', avg(hb)) || ' |' AS card FROM h""")
+def experiment_card(s, d):
+    """A card of an experiment's metrics as text."""
+    m = hits(s, d).agg(F.avg("ha").alias("a"), F.avg("hb").alias("b"))
+    line = lambda name, c: F.concat(F.lit(f"| {name} | "), F.format_string("%.4f", c), F.lit(" |"))
+    return m.select(F.concat_ws("\n", F.lit("# bm25 and overlap\n"), F.lit("| metric | value |"), F.lit("|-|-|"), line("bm25 R@1", "a"), line("overlap R@1", "b")).alias("card"))

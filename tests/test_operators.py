@@ -380,6 +380,7 @@ def test_towers_learn_what_tells_apart():
 
 
 def test_synthetic_order(spark):
+    import __spark_entry__  # noqa: F401
     from relquill.plans.catalogue import QUERIES
 
     r1 = {r["system"]: r["r1"] for r in QUERIES["synthetic_ablation"](spark, "").collect()}
@@ -410,3 +411,20 @@ def test_chunk_scores_and_density(spark):
     assert graph.density(commits, gold).first().asDict() == {"pairs": 3, "isolated": 2, "single": 2, "queries": 2, "queries_isolated": 1, "median_commits": 1, "most_commits": 2}
     sane = dense.sanity(spark.createDataFrame([([1.0, 0.0], 0), ([1.0, 0.1], 0), ([0.0, 1.0], 1), ([0.1, 1.0], 1)], "v array<double>, g int"), "g").first()
     assert sane["usable"] and sane["related"] > 0.9
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from relquill.__main__ import main
+
+    assert main([]) == 2 and main(["run", "no such query", "x"]) == 2
+    assert main(["queries"]) == 0 and "bm25_rank_topk" in capsys.readouterr().out.split()
+    assert main(["schemas"]) == 0 and "record" in json.loads(capsys.readouterr().out)
+    assert main(["validate", "/root/testdata/sf0.001", "--json"]) == 1
+    assert any(r["code"] == "ref.dangling" for r in json.loads(capsys.readouterr().out.strip().splitlines()[-1]))
+    assert main(["bench", "/root/testdata/sf0.001"]) == 0 and "recall_1" in capsys.readouterr().out
+    assert main(["ablation", "--seed", "3"]) == 0 and "metric" in capsys.readouterr().out
+    (tmp_path / "snapshot.json").write_text(json.dumps({"repo": "o/r", "issues": [{"number": 1}], "pulls": [{"number": 2, "body": "fixes #1"}], "commits": [], "pull_files": {}}))
+    assert main(["ingest", str(tmp_path), str(tmp_path / "out")]) == 0
+    assert spark.read.text(str(tmp_path / "out" / "edges")).count() == 1 and spark.read.text(str(tmp_path / "out" / "records")).count() == 2
