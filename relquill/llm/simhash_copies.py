@@ -1,4 +1,4 @@
-"""Near copies: the SimHash comparison of tiles as the search, an exact similarity of word shingles as the rule.
+"""SimHash near-dedup of texts: the comparison of tiles as the search, an exact similarity of word shingles as the rule.
 
 Two texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``tenths`` tenths or more. Each text has
 a fingerprint of 256 bits over its distinct shingles. At a similarity of 0.8 two fingerprints differ in 39 bits on average (48 for

@@ -487,7 +487,7 @@ def slow_near(texts):
 
 def test_near_copies(spark, docs, empty):
     """Edited copies at and below the bound, a group whose members are linked only through others, and the awkward texts."""
-    from relquill.llm import near_copies
+    from relquill.llm import simhash_copies
 
     r = random.Random(8)
     texts = dict(enumerate(make_texts()))
@@ -499,39 +499,39 @@ def test_near_copies(spark, docs, empty):
                 copy[r.randrange(len(copy))] = f"e{r.randrange(10**6)}"
             texts[len(texts)] = " ".join(copy)
             words = copy if base % 3 == 0 else words
-    got = by_id(near_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)))
+    got = by_id(simhash_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)))
     want = slow_near(texts)
     assert {k: x["component_id"] for k, x in got.items()} == want and 20 < len(set(want.values())) < len(want) - 30
-    assert near_copies.near_copies(empty).count() == 0
+    assert simhash_copies.near_copies(empty).count() == 0
 
 
 def test_near_copies_keep_rows(spark, empty):
     """Rows that share an id with a copy, rows without an id, repeated rows, and columns with clashing names."""
-    from relquill.llm import near_copies
+    from relquill.llm import simhash_copies
 
     words = [f"w{k}" for k in range(60)]
     text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"o{k}" for k in range(60))
     rows = [(5, text), (7, near), (7, other), (None, text.upper()), (None, "alone " + other), (8, None), (9, ""), (9, ""), (10, "a b"), (10, "a b"), (11, "a  b")]
     docs = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, key int, `row` int, _key int")
-    left = near_copies.drop_near_copies(docs)
+    left = simhash_copies.drop_near_copies(docs)
     assert left.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(5, text), (7, other), (8, None), (10, "a b")], key=repr)
-    assert near_copies.drop_near_copies(empty).count() == 0
+    assert simhash_copies.drop_near_copies(empty).count() == 0
 
 
 def test_near_copies_tiles(spark, monkeypatch):
     """Many small tiles find what one tile finds."""
-    from relquill.llm import near_copies
+    from relquill.llm import simhash_copies
 
-    monkeypatch.setattr(near_copies, "TILE", 5)
-    monkeypatch.setattr(near_copies, "TILE_BYTES", 2_000)
+    monkeypatch.setattr(simhash_copies, "TILE", 5)
+    monkeypatch.setattr(simhash_copies, "TILE_BYTES", 2_000)
     r = random.Random(11)
     texts = {}
     for base in range(10):
         words = [f"b{base}x{r.randrange(99)}" for _ in range(r.randint(30, 60))]
         for _ in range(6):
             texts[len(texts)] = " ".join(w if r.random() > 0.01 else "e" for w in words)
-    got = by_id(near_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string")))
+    got = by_id(simhash_copies.near_copies(spark.createDataFrame([*texts.items()], "doc_id long, text string")))
     assert {k: x["component_id"] for k, x in got.items()} == slow_near(texts)
 
 
