@@ -121,3 +121,42 @@ def ragged(df: DataFrame, ids: str, offsets: str, values: str) -> DataFrame:
     """(id, chunk_ix, value): rows of compressed sparse form, where entry k of ``ids`` owns values offsets[k] to offsets[k + 1]."""
     own = F.transform(ids, lambda i, k: F.struct(i.alias("id"), F.slice(values, F.get(offsets, k) + 1, F.get(offsets, k + 1) - F.get(offsets, k)).alias("v")))
     return df.select(F.explode(own).alias("x")).select("x.id", F.posexplode("x.v").alias("chunk_ix", "value"))
+
+
+def read_npz(spark: SparkSession, path: str, ids: str = "ids", vectors: str = "vectors", offsets: str | None = None) -> DataFrame:
+    """(id, v), or (id, chunk_ix, v) with ``offsets``: vectors from numpy archives, one task a file; the file is read by Spark."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for batch in batches:
+            for raw in batch["content"]:
+                with np.load(io.BytesIO(raw)) as f:
+                    names, v = f[ids].astype(str), f[vectors].astype(float)
+                    ends = f[offsets] if offsets else np.arange(len(names) + 1)
+                count = np.diff(ends)
+                chunk = np.arange(len(v)) - np.repeat(ends[:-1], count)
+                yield pd.DataFrame({"id": np.repeat(names, count), "chunk_ix": chunk.astype("int32"), "v": list(v)})
+
+    out = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, chunk_ix int, v array<double>")
+    return out if offsets else out.drop("chunk_ix")
+
+
+def merge_new(df: DataFrame, path: str, keys: list[str], done: DataFrame | None = None, unit: str | None = None) -> int:
+    """Append to the table at ``path`` the rows whose keys it lacks, leaving out units (such as repositories) that ``done`` lists.
+
+    Repeating a build adds nothing, so one that was interrupted may be run again. Gives the number of rows added.
+    """
+    spark = df.sparkSession
+    new = df.dropDuplicates(keys)
+    if done is not None and unit is not None:
+        new = new.join(done.select(unit).distinct(), unit, "left_anti").select(*df.columns)
+    store = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti").select(*df.columns)
+    held = materialise(new, "new")
+    held.write.mode("append").parquet(path)
+    return held.count()

@@ -428,3 +428,19 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "snapshot.json").write_text(json.dumps({"repo": "o/r", "issues": [{"number": 1}], "pulls": [{"number": 2, "body": "fixes #1"}], "commits": [], "pull_files": {}}))
     assert main(["ingest", str(tmp_path), str(tmp_path / "out")]) == 0
     assert spark.read.text(str(tmp_path / "out" / "edges")).count() == 1 and spark.read.text(str(tmp_path / "out" / "records")).count() == 2
+
+
+def test_archives_and_merges(spark, tmp_path):
+    import numpy as np
+
+    from relquill.sources import tables
+
+    np.savez(tmp_path / "e.npz", ids=np.array(["a", "b"]), vectors=np.array([[1, 2], [3, 4]], np.float16))
+    np.savez(tmp_path / "c.npz", ids=np.array(["a", "b", "c"]), offsets=np.array([0, 2, 2, 3]), vectors=np.array([[1, 0], [0, 1], [2, 2]], np.float16))
+    assert sorted((r["id"], r["v"]) for r in tables.read_npz(spark, str(tmp_path / "e.npz")).collect()) == [("a", [1.0, 2.0]), ("b", [3.0, 4.0])]
+    assert sorted((r["id"], r["chunk_ix"], r["v"]) for r in tables.read_npz(spark, str(tmp_path / "c.npz"), offsets="offsets").collect()) == [("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("c", 0, [2.0, 2.0])]
+    edges = spark.createDataFrame([("r1", "a", "b"), ("r1", "a", "b"), ("r2", "c", "d")], "repo string, source string, target string")
+    path = str(tmp_path / "edges")
+    assert tables.merge_new(edges, path, ["source", "target"], spark.createDataFrame([("r2",)], "repo string"), "repo") == 1
+    assert tables.merge_new(edges, path, ["source", "target"]) == 1 and tables.merge_new(edges, path, ["source", "target"]) == 0
+    assert spark.read.parquet(path).count() == 2
