@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import hash_order
+from relquill.sources.tables import materialise
 
 
 #: Values that a bootstrap broadcasts, at most.
@@ -20,7 +21,11 @@ def ranked(scores: DataFrame, top: int | None = None, by: str = "score", key: st
 
 
 def gold_ranks(scores: DataFrame, gold: DataFrame, by: str = "score") -> DataFrame:
-    """(qid, cand, rank) of the relevant candidates alone, counted instead of sorted: no task sees all candidates of a query."""
+    """(qid, cand, rank) of the relevant candidates alone, counted instead of sorted: no task sees all candidates of a query.
+
+    The scores are written once, as they are read three times.
+    """
+    scores = materialise(scores.select("qid", "cand", by), "scores")
     own = gold.join(scores, ["qid", "cand"]).select("qid", F.col("cand").alias("relevant"), F.round(by, 9).alias("own"))
     ahead = (F.round(by, 9) > F.col("own")) | ((F.round(by, 9) == F.col("own")) & (F.col("cand") <= F.col("relevant")))
     return scores.join(F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own, "qid").groupBy("qid", F.col("relevant").alias("cand")).agg(F.count_if(ahead).alias("rank"))

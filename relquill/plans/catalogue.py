@@ -38,18 +38,18 @@ def groups(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").select(F.col("doc_id").alias("cand"), F.col("source").alias("grp"))
 
 
-def gold(s: SparkSession, d: str) -> DataFrame:
+def gold(s: SparkSession, d: str, postings: DataFrame | None = None) -> DataFrame:
     """(qid, cand): documents that hold an item's whole text.
 
     Items and documents meet on the rarest token that lies inside the item, which no neighbouring letter can change. Items that
-    have none, being short, are compared with every text in blocks.
+    have none, being short, are compared with every text in blocks. ``postings``: those of the items' tokens, where at hand.
     """
     q = items(s, d).where("text IS NOT NULL").select("qid", F.col("text").alias("item"), T.tokens("text").alias("ts"))
     inner = q.select("qid", "item", F.array_distinct(F.slice("ts", 2, F.greatest(F.size("ts") - 2, F.lit(0)))).alias("ts"))
     wanted = lexical.bounded(inner.select(F.explode("ts").alias("tok")).distinct())
     doc = texts(s, d).where("text IS NOT NULL")
-    held = doc.select("cand", F.explode(F.array_distinct(T.tokens("text"))).alias("tok")).join(wanted, "tok", "left_semi")
-    held = materialise(held, "held")
+    held = lexical.query_postings(items(s, d), texts(s, d)) if postings is None else postings
+    held = held.where("tok IS NOT NULL").select("cand", "tok").join(wanted, "tok", "left_semi")
     df = held.groupBy("tok").agg(F.count("*").alias("df"))
     key = inner.select("qid", F.explode("ts").alias("tok")).join(df, "tok").groupBy("qid").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
     near = held.join(key, "tok").select("qid", "cand")
@@ -85,8 +85,9 @@ def bm25_ranks(s: SparkSession, d: str, top: int) -> DataFrame:
 
 def bm25_gold(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(gold; rank of each relevant document by BM25)."""
-    g = gold(s, d)
-    return g, ranking.gold_ranks(lexical.bm25(items(s, d), texts(s, d)), g)
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    g = gold(s, d, held)
+    return g, ranking.gold_ranks(lexical.bm25(items(s, d), postings=held), g)
 
 
 # -- lexical ranking ----------------------------------------------------------------------------------------------------
@@ -198,7 +199,8 @@ hn AS (SELECT qid, cand, score AS overlap, row_number() OVER (PARTITION BY qid O
 
 @query(f"WITH {HARD} SELECT qid, cand, overlap, rank FROM hn WHERE rank <= 8")
 def hard_negative_mining(s, d):
-    out = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), texts(s, d)), gold(s, d), groups(s, d))
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    out = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), postings=held), gold(s, d, held), groups(s, d))
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -206,7 +208,8 @@ def hard_negative_mining(s, d):
 b AS (SELECT h.qid, min(rk.rank) AS neg FROM hn h LEFT JOIN rk ON rk.qid = h.qid AND rk.cand = h.cand WHERE h.rank <= 8 GROUP BY h.qid)
 SELECT count(*) AS n, round(avg(CASE WHEN rel IS NULL THEN 0.0 WHEN neg IS NULL OR rel < neg THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM a JOIN b USING (qid)""")
 def hard_negative_accuracy(s, d):
-    g, held = gold(s, d), lexical.query_postings(items(s, d), texts(s, d))
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    g = gold(s, d, held)
     hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), postings=held), g, groups(s, d)).select("qid", "cand")
     hard = materialise(hard, "hard")
     ranks = ranking.gold_ranks(lexical.bm25(items(s, d), postings=held), g.union(hard))
@@ -559,8 +562,8 @@ FUSED = f"""{BM25}, {OVERLAP}, f AS (SELECT bm.qid, bm.cand, bm.score AS a, ov.s
 z AS (SELECT qid, cand, a, b, coalesce((a - avg(a) OVER w) / nullif(round(stddev_pop(a) OVER w, 12), 0), 0) + coalesce((b - avg(b) OVER w) / nullif(round(stddev_pop(b) OVER w, 12), 0), 0) AS f FROM f WINDOW w AS (PARTITION BY qid))"""
 
 
-def fused(s: SparkSession, d: str) -> DataFrame:
-    held = lexical.query_postings(items(s, d), texts(s, d))
+def fused(s: SparkSession, d: str, postings: DataFrame | None = None) -> DataFrame:
+    held = lexical.query_postings(items(s, d), texts(s, d)) if postings is None else postings
     a = lexical.bm25(items(s, d), postings=held).withColumnRenamed("score", "a")
     b = lexical.overlap(items(s, d), postings=held).select("qid", "cand", F.col("score").cast("double").alias("b"))
     return ranking.late_fusion(a, b)
@@ -578,7 +581,8 @@ h AS (SELECT qid, max(CASE WHEN ra.cand IS NULL THEN 0 ELSE 1 END) AS ha, max(CA
 
 def hits(s: SparkSession, d: str) -> DataFrame:
     """(qid, ha, hb): whether BM25's and the overlap's first candidate is relevant."""
-    f, g = materialise(fused(s, d), "fused"), gold(s, d)
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    f, g = materialise(fused(s, d, held), "fused"), gold(s, d, held)
     out = g
     for name, by in (("ha", "a"), ("hb", "b")):
         out = out.join(ranking.ranked(f, 1, by=by).select("qid", "cand", F.lit(1).alias(name)), ["qid", "cand"], "left")
