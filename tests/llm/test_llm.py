@@ -610,3 +610,60 @@ def test_pipeline_runs_end_to_end(spark, tmp_path):
     assert found <= want and len(out) > len(stay) // 3  # a Poisson draw may be zero
     everything = p.STAGES[4][1](spark, p.STAGES[2][1](spark, p.STAGES[1][1](spark, spark.createDataFrame(rows, SCHEMA), ""), ""), "")
     assert {r["ids_sha256"] for r in everything.collect()} == want
+
+
+def test_backoff_of_repeated_rows_and_shared_ids(spark):
+    """Rows count as texts of their own, whatever their ids."""
+    texts = [(1, "a b c a b"), (1, "a b c a b"), (1, "c a"), (None, "b c d"), (2, "a b c a b"), (2, None)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_backed_off"], None if r["log_score"] is None else round(r["log_score"], 9)) for r in backoff_lm.backoff_scores(spark.createDataFrame(texts, "doc_id long, text string"), block_bytes=12).collect())
+    split = [(t or "").split() for _, t in texts]
+    want = Counter()
+    for j, words in enumerate(split):
+        one, two = Counter(), Counter()
+        for k, other in enumerate(split):
+            if k != j:
+                one.update(other)
+                two.update(zip(other, other[1:]))
+        rest, logs, backed = sum(map(len, split)) - len(words), [], 0
+        for i, w in enumerate(words):
+            if i and two[words[i - 1], w]:
+                logs.append(np.log10(two[words[i - 1], w] / one[words[i - 1]]))
+            else:
+                backed += i > 0
+                logs.append((np.log10(0.4) if i else 0) + np.log10(max(one[w], 1) / rest))
+        want[texts[j][0], len(words), backed, round(float(np.mean(logs)), 9) if logs else None] += 1
+    assert got == want
+
+
+def test_warc_bundles_follow_the_public_formats(spark, tmp_path, monkeypatch):
+    """The frames by a plain decompressor, the seek table by its definition, the records by their headers."""
+    import struct
+    from pathlib import Path
+
+    import zstandard
+
+    monkeypatch.setattr(warc, "FRAME_BYTES", 2_000)
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 3_000)
+    r = random.Random(3)
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "".join(r.choices("abcdefgh \n", k=r.randint(0, 3_000)))) for k in range(40)], "page_id long, url string, html string")
+    index = warc.write_archives(pages, f"file://{tmp_path}/w").collect()
+    bundles = {x["bundle"] for x in index}
+    assert len(bundles) > 3 and len(index) == 40
+    for uri in bundles:
+        raw = Path(uri.removeprefix("file://")).read_bytes()
+        n, flags, magic = struct.unpack("<IBI", raw[-9:])
+        assert magic == 0x8F92EAB1 and flags == 0 and struct.unpack("<II", raw[-17 - 8 * n : -9 - 8 * n]) == (0x184D2A5E, 8 * n + 9)
+        sizes = [struct.unpack_from("<II", raw, len(raw) - 9 - 8 * n + 8 * k) for k in range(n)]
+        frames, at = [], 0
+        for packed, plain in sizes:
+            frames.append(zstandard.ZstdDecompressor().decompress(raw[at : at + packed], max_output_size=plain))
+            assert len(frames[-1]) == plain
+            at += packed
+        assert at == len(raw) - 17 - 8 * n
+        with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as f:
+            assert f.read() == b"".join(frames)
+        for x in (x for x in index if x["bundle"] == uri):
+            record = frames[x["frame"]][x["offset"] : x["offset"] + x["length"]]
+            head, _, rest = record.partition(b"\r\n\r\n")
+            assert record.startswith(b"WARC/1.1\r\n") and f"<urn:page:{x['page_id']}>".encode() in head
+            assert len(rest) == int(re.search(rb"Content-Length: (\d+)", head)[1]) + 4 and record.endswith(b"\r\n\r\n")
