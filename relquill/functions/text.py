@@ -20,6 +20,7 @@ CLOSING = r"(?iU)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\b[:\s]*(?:[\w.\-]+/
 AUDITED = r"(?iU)\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)[:\s]+(?:#|gh-)?(\d+)"
 #: White space of all alphabets, with the separators that Java's class lacks.
 SPACE = r"[\s\x1C-\x1F]"
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: A record's fields whose text comes first, in this order.
 TEXT_FIELDS = ("title", "name", "path", "message", "body", "summary", "code", "log", "text", "diff")
 
@@ -46,7 +47,7 @@ def path_tokens(path: Column | str) -> Column:
 
 def stripped(text: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_col(text), rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(text), F.lit(WHITE))
 
 
 def scrub_references(text: Column | str) -> Column:
@@ -91,7 +92,7 @@ def chunks(text: Column | str, size: int, overlap: float = 0.2) -> Column:
     body = stripped(F.coalesce(_col(text), F.lit("")))
     last = F.ceil(F.length(body) / step).cast("int") - 1
     cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substring(body, i * step + 1, F.lit(size)))
-    return F.when(F.length(body) <= size, F.array(body)).otherwise(F.filter(cut, lambda c: c.rlike(rf"(?U)[^\s\x1C-\x1F]")))
+    return F.when(F.length(body) <= size, F.array(body)).otherwise(F.filter(cut, lambda c: stripped(c) != ""))
 
 
 def is_test_path(path: Column | str, strict: bool = True) -> Column:

@@ -296,7 +296,7 @@ def tokenize_identifiers(s, d):
 c AS (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 1024 THEN 1 ELSE length(t) END, 819)) AS p FROM b)
 SELECT doc_id, count(*) AS n, sum(length(substr(t, p + 1, 1024)))::BIGINT AS chars FROM c WHERE length(t) <= 1024 OR regexp_matches(substr(t, p + 1, 1024), '\\S') GROUP BY doc_id""")
 def chunk_windows(s, d):
-    c = table(s, d, "documents").select("doc_id", T.chunks("text", 1024).alias("c"))
+    c = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", T.chunks("text", 1024).alias("c"))
     return c.select("doc_id", F.size("c").cast("long").alias("n"), F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
