@@ -248,11 +248,11 @@ def verified(pairs: DataFrame, keys: DataFrame, docs: DataFrame, words: int, ten
     small = wanted.count() <= BROADCAST
     texts = docs.join(F.broadcast(wanted) if small else wanted, "key").groupBy("node").agg(F.any_value("text").alias("text"))
     # a node that many pairs name is dealt over several tasks; there are at most a thousand such nodes
+    most, found = max(KEY_ROWS, pairs.count() // 1_000), pairs
     for side, name in (("a", "text"), ("b", "other")):
-        most = max(KEY_ROWS, pairs.count() // 1_000) if side == "a" else most
         heavy = pairs.groupBy(side).count().where(F.col("count") > most).select(F.col(side).alias("node"), F.ceil(F.col("count") / KEY_ROWS).cast("int").alias("salts"))
         side_texts = texts.join(F.broadcast(heavy), "node", "left").select(F.col("node").alias(side), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        left = (pairs if side == "a" else found).join(F.broadcast(heavy.withColumnRenamed("node", side)), side, "left")
+        left = found.join(F.broadcast(heavy.withColumnRenamed("node", side)), side, "left")
         left = left.withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
         found = left.join(side_texts, [side, "salt"]).drop("salt")
     return materialise(found.select("a", "b", "text", "other").mapInArrow(tidy(check), "u long, v long"), "links")
