@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, exact_dedup, language_mixture, license_join, mixing, piece_bpe, quality_rules, simhash, toxicity, warc
+from . import backoff_lm, exact_dedup, language_mixture, license_join, mixing, phrase_automata, piece_bpe, prefix_trie, quality_rules, simhash, toxicity, warc, yinyang
 from .common import held_out, table
 
 
@@ -65,7 +65,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_stupid_backoff, op3_toxicity, op4_warc, op5_poisson_mixing, op6_exact_dedup, op7_license_scan, op8_piece_bpe, op9_quality_rules, op10_simhash)}
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = yinyang.cluster(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", yinyang.digest(F.col("centroid"))).drop("centroid")
+
+
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_automata.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_mixture, op2_stupid_backoff, op3_toxicity, op4_warc, op5_poisson_mixing, op6_exact_dedup, op7_license_scan, op8_piece_bpe, op9_quality_rules, op10_simhash, op11_yinyang,
+        op12_phrase_automata, op13_prefix_trie,
+    )
+}
 
 #: DuckDB SQL where SQL can express the operator; the others are tested against brute force.
 ORACLES = {
@@ -73,4 +93,7 @@ ORACLES = {
     "op5_poisson_mixing": mixing.mix_sql(),
     "op6_exact_dedup": exact_dedup.exact_sql(),
     "op7_license_scan": license_join.license_sql(),
+    "op11_yinyang": yinyang.cluster_sql(),
+    "op12_phrase_automata": phrase_automata.repeats_sql(),
+    "op13_prefix_trie": prefix_trie.trie_sql(),
 }

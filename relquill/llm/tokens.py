@@ -34,8 +34,8 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def word_hashes(texts: list[bytes], kind: np.ndarray = NOT_SPACE, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word in lower-case ASCII, or of its first ``prefix`` bytes; index of its text), in order."""
+def word_hashes(texts: list[bytes], kind: np.ndarray = NOT_SPACE, prefix: int = 0, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, in lower-case ASCII unless not ``lower``, or of its first ``prefix`` bytes; index of its text), in order."""
     buffer = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     inside = kind[buffer]
     at = np.flatnonzero(inside)
@@ -44,7 +44,7 @@ def word_hashes(texts: list[bytes], kind: np.ndarray = NOT_SPACE, prefix: int =
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1] + 1])
     starts = at[first]
     offset = at - np.repeat(starts, np.diff(np.r_[first, len(at)]))
-    values = BYTE[LOWER[buffer[at]]] * powers(int(offset.max()) + 1)[offset]
+    values = BYTE[LOWER[buffer[at]] if lower else buffer[at]] * powers(int(offset.max()) + 1)[offset]
     if prefix:
         values[offset >= prefix] = 0
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
