@@ -7,8 +7,8 @@ in blocks of bounded size, and windows are narrowed down before any of them is c
    Blocks send their distinct anchors to hash partitions, which answer for each whether a second document has it.
 2. Windows whose anchor recurs are confirmed in the same way with 96 bits, and the smallest document that has one owns it.
 3. Owners hand out their recurring passages, in a row for each document, to the blocks that ask for them.
-4. Each block compiles the passages' windows into Aho-Corasick automata, sharded by number of phrases, and streams all its documents
-   through them, which locates every occurrence; what lies in one with a smaller owner goes.
+4. Each block compiles the windows of these passages that it may hold into Aho-Corasick automata, sharded by number of phrases, and
+   streams all its documents through them, which locates every occurrence; what lies in one with a smaller owner goes.
 
 A block sends each anchor or window once, so a passage that a third of all documents hold comes once from each block. What an owner
 hands out is bounded by its document, and salted where many blocks ask for it.
@@ -21,6 +21,8 @@ same order when a task is run again, as a scan of files does.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,8 @@ WINDOW = 13
 ANCHOR = 7
 #: Bytes of text in a block, about; a block with a longer text is as large as that.
 BLOCK_BYTES = 5_000_000
-#: Most phrases, and most distinct words, of one automaton (about 80 MB).
-PHRASES, WORDS = 50_000, 65_000
+#: Most phrases of one automaton (about 80 MB).
+PHRASES = 50_000
 #: Blocks that get an owner's passages from one task, about.
 SALT_BLOCKS = 256
 STEP2 = np.uint64(0xD6E8FEB86659FD93)
@@ -139,45 +141,52 @@ def found_windows(block: Block, rows: list[dict]) -> np.ndarray:
     return out
 
 
-def automata(passages: list[tuple[int, bytes]]):
-    """(number of each word, automaton, owner of each phrase) for shards of PHRASES windows of the passages."""
+def needed(block: Block, passages: list[bytes]):
+    """(index of the passage, its words) of each part of a passage whose windows all have a hash that a window of the block has."""
+    words, text = word_hashes(passages, NOT_SPACE, lower=False)
+    hashes = rolling(words, WINDOW)
+    if not len(hashes) or not len(block.starts):
+        return
+    keys, back = np.unique(hashes, return_inverse=True)
+    own = rolling(block.words, WINDOW)[block.starts]
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    wanted = np.zeros(len(keys), bool)
+    wanted[at[keys[at] == own]] = True
+    starts = np.flatnonzero((text[: len(hashes)] == text[WINDOW - 1 :]) & wanted[back])
+    if not len(starts):
+        return
+    offsets, last, split = np.searchsorted(text, np.arange(len(passages))), -1, []
+    cuts = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(text[starts]) != 0), True])
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        k = int(text[starts[a]])
+        if k != last:
+            last, split = k, passages[k].split(b" ")
+        yield k, split[starts[a] - offsets[k] : starts[b - 1] - offsets[k] + WINDOW]
+
+
+def symbols(numbers: list[int], base: int) -> str:
+    """Two characters for each number below base squared, of different ranges: no match begins inside a word, and nodes have few children."""
+    high, low = np.divmod(np.array(numbers, np.int64), base)
+    return np.stack([high, low + base], axis=1).reshape(-1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def automata(parts: list[tuple[int, list[int]]], base: int):
+    """(automaton, owner of each phrase) for shards of PHRASES windows of the parts (owner, numbers of words) of passages."""
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
-    owners: list[int] = []
-    held: list[tuple[list[int], int]] = []
-
-    def shard():
-        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        at = 0
-        for own, owner in held:
-            text = symbols(own)
-            for p in range(len(own) - WINDOW + 1):
-                machine.add_word(text[2 * p : 2 * (p + WINDOW)], at)
-                owners.append(owner)
-                at += 1
+    machine, owners = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+    for owner, numbers in parts:
+        text = symbols(numbers, base)
+        for p in range(len(numbers) - WINDOW + 1):
+            machine.add_word(text[2 * p : 2 * (p + WINDOW)], len(owners))
+            owners.append(owner)
+            if len(owners) == PHRASES:
+                machine.make_automaton()
+                yield machine, np.array(owners)
+                machine, owners = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+    if owners:
         machine.make_automaton()
-        return numbers, machine, np.array(owners)
-
-    n = 0
-    for owner, passage in passages:
-        words = passage.split(b" ")
-        step = min(PHRASES, WORDS // 2)
-        for p in range(0, len(words) - WINDOW + 1, step):  # a passage longer than a shard is cut, with all its windows
-            piece = words[p : p + step + WINDOW - 1]
-            if held and (n + len(piece) > PHRASES or len(numbers) + len(piece) > WORDS):
-                yield shard()
-                numbers, owners, held, n = {}, [], [], 0
-            held.append(([numbers.setdefault(w, len(numbers) + 1) for w in piece], owner))
-            n += len(piece) - WINDOW + 1
-    if held:
-        yield shard()
-
-
-def symbols(numbers: list[int]) -> str:
-    """Two characters for each number below 2^16, of different ranges: no match begins inside a word, and nodes have few children."""
-    x = np.array(numbers, np.uint32)
-    return np.stack([x >> 8, (x & 255) + 256], axis=1).reshape(-1).astype("<u4").tobytes().decode("utf-32-le")
+        yield machine, np.array(owners)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -316,14 +325,16 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def locate(left, right):
         _, block = open_(left)
         passages = [(owner, x) for owner, held in zip(right.column("owner").to_pylist(), right.column("passages").to_pylist(), strict=True) for x in held.split(b"\n")]
+        numbers: dict[bytes, int] = {}  # from 1; 0 is any word that no passage has
+        parts = [(passages[k][0], [numbers.setdefault(w, len(numbers) + 1) for w in words]) for k, words in needed(block, [x for _, x in passages])]
+        base = math.isqrt(len(numbers)) + 1
         sizes = np.bincount(block.text, minlength=len(block.texts))
+        long = [k for k in np.flatnonzero((sizes >= WINDOW) & block.known).tolist() if parts]
+        streams = [(k, symbols([numbers.get(w, 0) for w in block.texts[k].split()], base)) for k in long]
         covered = [np.zeros(0, np.int64)] * len(block.texts)
-        for numbers, machine, owners in automata(passages):
-            for k, text in enumerate(block.texts):
-                if sizes[k] < WINDOW or not block.known[k]:
-                    continue
-                own = [numbers.get(w, 0) for w in text.split()]
-                found = np.array([x for match in machine.iter(symbols(own)) for x in match], np.int64).reshape(-1, 2)
+        for machine, owners in automata(parts, base):
+            for k, stream in streams:
+                found = np.array([x for match in machine.iter(stream) for x in match], np.int64).reshape(-1, 2)
                 ends = found[owners[found[:, 1]] < block.ids[k], 0] // 2
                 if len(ends):
                     covered[k] = np.concatenate([covered[k], ends])
