@@ -1,8 +1,8 @@
 """Exact deduplication by progressive refinement, with DataFrame operations only.
 
-Rows are grouped by normalised length, survivors by a hash of their first characters, and only what still shares a group is
-hashed in full. Both levels are counts, aggregated before they are shuffled, and the groups that survive are joined to the rows
-once; a group of copies of any size makes no large task, as keys with many rows are broadcast.
+Rows are grouped by normalised length; only those that share one have their first characters hashed, and only what then still
+shares a group is hashed in full. Each level is a count, aggregated before it is shuffled, and the groups that survive are joined to
+the rows; a group of copies of any size makes no large task, as keys with many rows are broadcast.
 
 Null counts as the empty text, and all empty texts are equal. Of equal texts, the row with the most code points in its
 original text stays, then the one with the smallest id (a null id last). Of repeated rows with the same id, one stays. Texts of any
@@ -18,7 +18,7 @@ from .common import materialise, uneven_join
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX = 64
-#: Groups are broadcast up to so many (of two longs each: 32 MB), which is counted first; beyond, rows are shuffled to them.
+#: A level's groups are broadcast up to so many (of two longs at most: 32 MB), which is counted first; beyond, rows are shuffled to them.
 BROADCAST_GROUPS = 1_000_000
 #: Tasks that the rows of one group are dealt over in that shuffle.
 SALTS = 16
@@ -30,6 +30,23 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, "")
 
 
+def marked(rows: DataFrame, groups: DataFrame, on: list[str], flag: str) -> DataFrame:
+    """``rows`` with ``flag`` true where ``groups`` has their keys ``on``; ``rows`` has a number ``row`` for each row."""
+    if groups.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups.withColumn(flag, F.lit(True))), on, "left")
+    salted = groups.select(*on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias(flag))
+    return rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, [*on, "salt"], "left").drop("salt")
+
+
+def refined(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, body, ...) with size; head, null where no other row has the size; sha, null where none has size and head."""
+    rows = rows.withColumn("size", F.octet_length("body").cast("long"))
+    sizes = materialise(rows.groupBy("size").count().where("count > 1").select("size"), "sizes")
+    alike = marked(rows, sizes, ["size"], "alike").withColumn("head", F.when(F.col("alike"), F.xxhash64(F.substring("body", 1, PREFIX)))).drop("alike")
+    groups = materialise(alike.where("head IS NOT NULL").groupBy("size", "head").count().where("count > 1").select("size", "head"), "groups")
+    return marked(alike, groups, ["size", "head"], "again").withColumn("sha", F.when(F.col("again"), F.sha2(F.col("body").cast("binary"), 256))).drop("again")
+
+
 def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256, columns of ``keep``): one row for each row of ``df``.
 
@@ -37,19 +54,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("int")
-    body = df.select(F.col(id_col).alias("id"), F.char_length(text).alias("points"), normalised(F.col(text_col)).alias("body"), held.alias("held"))
-    shape = (F.octet_length("body").cast("long").alias("size"), F.xxhash64(F.substring("body", 1, PREFIX)).alias("head"))
-    counts = materialise(body.groupBy(*shape).count(), "shapes")
-    sizes = counts.groupBy("size").agg(F.sum("count").alias("rows")).where("rows > 1").select("size")
-    groups = materialise(counts.where("count > 1").join(sizes, "size", "left_semi").select("size", "head"), "groups")
-    rows = body.select("id", F.monotonically_increasing_id().alias("row"), "points", *shape, "body", "held")
-    if groups.count() <= BROADCAST_GROUPS:
-        rows = rows.join(F.broadcast(groups.withColumn("again", F.lit(True))), ["size", "head"], "left")
-    else:
-        salted = groups.select("size", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("again"))
-        rows = rows.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["size", "head", "salt"], "left").drop("salt")
-    full = F.when(F.col("again"), F.sha2(F.col("body").cast("binary"), 256))
-    rows = materialise(rows.select("id", "row", "points", "size", full.alias("sha"), "held"), "hashed")
+    body = df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.char_length(text).alias("points"), normalised(F.col(text_col)).alias("body"), held.alias("held"))
+    rows = materialise(refined(body).select("id", "row", "points", "size", "sha", "held"), "hashed")
     order = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("null"), F.col("id").alias("id"), F.col("row").alias("row"))
     again = rows.where("sha IS NOT NULL")
     best = again.groupBy("size", "sha").agg(F.count("*").alias("n"), F.min(order).alias("best"))
