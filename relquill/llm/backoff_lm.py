@@ -7,8 +7,7 @@ A very common n-gram therefore comes once from each block, not once from each te
 
 An n-gram table travels as sorted arrays of 64-bit hashes, one for each pair of block and partition, and what comes back are
 the counts in the same order. A pair without common n-grams sends nothing, so there are never more tables than rows of single
-n-grams would be: their number grows with the square of the blocks while tables are long, then in proportion. Null and empty texts have no words and a null score. Repeated rows count as texts of their own (rows alike in id and text share a
-block); a text of any length is scored whole; an empty table gives an empty result; only the named columns are read.
+n-grams would be: their number grows with the square of the blocks while tables are long, then in proportion. Null and empty texts have no words and a null score. Repeated rows count as texts of their own; a text of any length is scored whole; an empty table gives an empty result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -52,6 +51,14 @@ def block_words(table) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([x or b"" for x in table.column("text").to_pylist()], NOT_SPACE)
 
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """The sum of each key's counts over all arrays, in 64 bits, for each key of each array."""
+    _, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(back.max(initial=-1) + 1, np.int64)
+    np.add.at(total, back, np.concatenate(counts).astype(np.int64))
+    return np.split(total[back], np.cumsum([len(k) for k in keys])[:-1])
+
+
 def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_words, n_backed_off, log_score): words, words whose longest n-gram no other text has, mean log10 score.
 
@@ -72,8 +79,8 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     totals = source.select("text").mapInArrow(measure, "bytes long, words long").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     parts, all_words = max(1, -(-totals[0] // block_bytes)), totals[1]
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int")  # rows that share an id only are dealt apart
-    blocks = source.withColumn("block", block)
+    row = F.monotonically_increasing_id()  # rows alike in id and text are dealt apart
+    blocks = source.withColumn("row", row).select("id", "text", F.pmod(F.xxhash64("id", "row"), F.lit(parts)).cast("int").alias("block"))
 
     def send(table):
         import pyarrow as pa
@@ -98,12 +105,8 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for n in range(1, order + 1):
             own = [r for r in rows if r["n"] == n]
             if own:
-                keys = [unplanes(r["grams"], np.uint64) for r in own]
-                counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in own])
-                _, back = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = np.bincount(back, counts)[back].astype(np.uint32)
-                at = np.cumsum([len(k) for k in keys])
-                out += [(r["block"], r["part"], n, planes(x)) for r, x in zip(own, np.split(sums, at[:-1]), strict=True)]
+                sums = summed([unplanes(r["grams"], np.uint64) for r in own], [unplanes(r["counts"], np.uint32) for r in own])
+                out += [(r["block"], r["part"], n, planes(x)) for r, x in zip(own, sums, strict=True)]
         columns = list(zip(*out, strict=True))
         return pa.table({c: pa.array(x, t) for (c, t), x in zip((("block", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("totals", pa.binary())), columns, strict=True)})
 
@@ -123,7 +126,7 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         others = {}
         for n in range(1, order + 1):
             own = Grams(words, text, n, parts)
-            sums = np.concatenate([np.zeros(0, np.uint32), *(unplanes(r["totals"], np.uint32) for r in rows if r["n"] == n)]).astype(np.int64)
+            sums = np.concatenate([np.zeros(0, np.int64), *(unplanes(r["totals"], np.int64) for r in rows if r["n"] == n)])
             _, same, here = np.unique(own.back * texts + text[own.ends], return_inverse=True, return_counts=True)
             others[n] = np.zeros(len(words), np.int64)
             others[n][own.ends] = sums[own.back] - here[same]
