@@ -20,7 +20,7 @@ read, and ``drop_near_copies`` keeps all columns, whatever their names.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SMALL_SLICE_BYTES, free_name, materialise, slices, tidy, uneven_join
@@ -60,7 +60,7 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def prints(df: DataFrame, words: int) -> DataFrame:
-    """(id, key, node, size, f0 ... f3) of each row of (id, key, text): the node is a hash of the set, size that of the set."""
+    """(id, key, wide, size, f0 ... f3) of each row of (id, key, text): wide is a hash of the set in 128 bits, size that of the set."""
 
     def run(batches):
         import pyarrow as pa
@@ -68,14 +68,14 @@ def prints(df: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, most=SMALL_SLICE_BYTES):
                 hashes, starts = shingle_sets(part.column("text").to_pylist(), words)
-                node = mix(np.add.reduceat(mix(hashes + STEP), starts)).view(np.int64)
+                wide = np.stack([mix(np.add.reduceat(mix(hashes * k + STEP), starts)) for k in (np.uint64(1), STEP)], axis=1)
                 found = fingerprints(hashes, starts).view(np.int64)
                 sizes = np.diff(np.r_[starts, len(hashes)])
-                columns = [node, sizes, *(np.ascontiguousarray(found[:, k]) for k in range(WORDS64))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *map(pa.array, columns)], names)
+                columns = [sizes, *(np.ascontiguousarray(found[:, k]) for k in range(WORDS64))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array([x.tobytes() for x in wide], pa.binary()), *map(pa.array, columns)], names)
 
-    names = ["id", "key", "node", "size", *(f"f{k}" for k in range(WORDS64))]
-    schema = ", ".join([f"id {df.schema['id'].dataType.simpleString()}", *(f"{c} long" for c in names[1:])])
+    names = ["id", "key", "wide", "size", *(f"f{k}" for k in range(WORDS64))]
+    schema = ", ".join([f"id {df.schema['id'].dataType.simpleString()}, key binary, wide binary", *(f"{c} long" for c in names[3:])])
     return df.select("id", "key", "text").mapInArrow(tidy(run), schema)
 
 
@@ -292,10 +292,17 @@ def near_links(docs: DataFrame, rows: DataFrame, words: int, tenths: int) -> Dat
     return found.union(materialise(rest.select(F.col("a").alias("u"), F.col("b").alias("v")), "links"))
 
 
+def text_key(text: Column) -> Column:
+    """What tells texts apart: 128 bits of SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def grouped(df: DataFrame, id_col: str, text_col: str, words: int, tenths: int) -> tuple[DataFrame, DataFrame]:
     """(id, key, node of each row; node, root, least id of its component, of the linked nodes)."""
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text")).withColumn("key", F.xxhash64("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary")).alias("text")).withColumn("key", text_key(F.col("text")))
     rows = materialise(prints(docs, words), "prints")
+    numbers = materialise(rows.groupBy("wide").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "numbers")
+    rows = materialise(uneven_join(rows, numbers, ["wide"]).drop("wide", "n"), "rows")
     roots = materialise(components(near_links(docs, rows, words, tenths)), "roots")
     least = rows.groupBy("node").agg(F.min("id").alias("least"))
     linked = materialise(roots.join(least, "node"), "linked")
@@ -328,7 +335,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.union(keys.join(several, "node").where("key <> stay").select("key")).distinct()
     gone = materialise(gone, "gone")
     key = free_name(df, "key")
-    keyed = df.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))))
+    keyed = df.withColumn(key, text_key(F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))))
     out = keyed.join(F.broadcast(gone.withColumnRenamed("key", key)) if gone.count() <= BROADCAST else gone.withColumnRenamed("key", key), key, "left_anti")
     repeated = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias(key))
     repeated = materialise(repeated.join(gone.withColumnRenamed("key", key), key, "left_anti"), "repeated")

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from relquill.llm import backoff_lm, exact_dedup, language_mixture, license_join, mixing, piece_bpe, quality_rules, queries, simhash, toxicity, warc
 from relquill.llm.common import held_out
@@ -117,9 +118,18 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, None).count() == 0
 
 
+def slow_discounts(counts):
+    """What is taken off a count, by the formulas of Kneser-Ney smoothing with three discounts."""
+    n = [sum(x == k for x in counts) for k in (0, 1, 2, 3, 4)]
+    taken = [0.0, 0.75, 0.75, 0.75]
+    if all(n[1:]):
+        y = n[1] / (n[1] + 2 * n[2])
+        taken = [0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.375), k - 0.01) for k in (1, 2, 3))]
+    return lambda x: min(x, taken[min(x, 3)])
+
+
 def slow_kneser_ney(texts):
-    """P(w | v) of each class from (class, words) of the counted texts, by the formulas, with dictionaries."""
-    d, s = toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    """Levels of P(w | v) of each class from (class, words) of the counted texts, by the formulas, with dictionaries."""
     head = lambda w: w[: toxicity.HEAD]
     count = [Counter(), Counter()]
     for y, words in texts:
@@ -129,10 +139,10 @@ def slow_kneser_ney(texts):
     shared = Counter(w for _, w in both)
     heads = {head(w) for w in shared}
 
-    def level(counts, x, taken, below):
+    def level(counts, x, off, below):
         """A discounted count, whose mass goes to ``below``."""
         total = sum(counts.values())
-        return below if not total else max(counts[x] - taken, 0) / total + sum(min(n, taken) for n in counts.values()) / total * below
+        return below if not total else (counts[x] - off(counts[x])) / total + sum(map(off, counts.values())) / total * below
 
     def grouped(counts):
         out = Counter()
@@ -143,24 +153,50 @@ def slow_kneser_ney(texts):
     def within(counts, h):
         return Counter({w: n for w, n in counts.items() if head(w) == h})
 
+    off_head, off_word, off_pair = ([slow_discounts(f(c).values()) for c in cs] for f, cs in ((grouped, [*follows, shared]), (Counter, [*follows, shared]), (Counter, [*count, both])))
+
+    def of_head(k, w, h=None):
+        h = h or head(w)
+        return level(grouped(follows[k]), h, off_head[k], level(grouped(shared), h, off_head[2], 1 / (len(heads) + 1)))
+
     def word(k, w, h=None):
         h = h or head(w)
-        p_head = level(grouped(follows[k]), h, d, level(grouped(shared), h, s, 1 / (len(heads) + 1)))
         if h not in heads:
-            return p_head
+            return of_head(k, w, h)
         own = within(shared, h)
-        return p_head * level(within(follows[k], h), w, d, level(own, w, s, 1 / (len(own) + 1)))
+        return of_head(k, w, h) * level(within(follows[k], h), w, off_word[k], level(own, w, off_word[2], 1 / (len(own) + 1)))
 
     def after(counts, v):
         return Counter({w: n for (x, w), n in counts.items() if x == v})
 
     def bigram(k, v, w, h=None):
-        return level(after(count[k], v), w, d, level(after(both, v), w, d, word(k, w, h)))
+        return level(after(count[k], v), w, off_pair[k], level(after(both, v), w, off_pair[2], word(k, w, h)))
 
-    return word, bigram, sorted(shared), sorted(heads)
+    seen = lambda v, w: (grouped(shared)[head(w)], shared[w], both[v, w])
+    return of_head, word, bigram, seen, sorted(shared), sorted(heads)
 
 
-def test_toxicity_is_kneser_ney(spark):
+def slow_features(texts, kneser_ney):
+    """The four numbers of each text, word by word."""
+    of_head, word, bigram, seen, _, _ = kneser_ney
+    out = []
+    for words in texts:
+        ratios, sures = [], []
+        for i, w in enumerate(words):
+            v = words[i - 1] if i else None
+            own = [np.log(f(1) / f(0)) for f in (lambda k: of_head(k, w), lambda k: word(k, w), lambda k: bigram(k, v, w) if i else word(k, w))]
+            sure = 0.0
+            for added, n in zip((own[0], own[1] - own[0], own[2] - own[1]), seen(v, w)):
+                sure += np.sign(added) * max(abs(added) - toxicity.ERRORS / np.sqrt(n or 1e-9), 0)
+            ratios.append(own[2])
+            sures.append(sure)
+        size = max(1, min(toxicity.WINDOW, len(words)))
+        best = max((sum(sures[i : i + size]) / size for i in range(len(words) - size + 1) if words), default=0.0)
+        out.append([float(np.mean(ratios)) if words else 0.0, best if words else 0.0, sum(sorted(sures)[-3:]) / 3, np.log(len(words)) / 10 if words else 0.0])
+    return np.array(out)
+
+
+def test_toxicity_is_kneser_ney(spark, monkeypatch):
     """The terms against the formulas, and the probabilities of a context sum to 1."""
     r = random.Random(12)
     vocabulary = ["aa", "bb", "worda", "wordab", "wordabc", "wordac", "other", "others", "otherwise", "c", "d", "rare1", "rare2"]
@@ -177,14 +213,31 @@ def test_toxicity_is_kneser_ney(spark):
     grams = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} long" for c in columns))
     tables = (t.toArrow() for t in toxicity.tables(grams))
     model = toxicity.models(*({c: x.to_numpy() for c, x in zip(t.column_names, t.columns)} for t in tables))
-    word, bigram, known, heads = slow_kneser_ney(texts)
+    slow = slow_kneser_ney(texts)
+    _, _, bigram, _, known, heads = slow
     for v in ["aa", "wordab", "rare2", "never"]:
         seen = [*known, "wordzz", "zzzzzzzz", "q"]
         for w in seen:
-            got = toxicity.probabilities(model, hashed([v, w]), hashed([v, w], toxicity.HEAD), np.zeros(2, np.int64))[1]
+            got = toxicity.levels(model, hashed([v, w]), hashed([v, w], toxicity.HEAD), np.zeros(2, np.int64))[0][2][1]
             assert np.allclose(got, [bigram(k, v, w) for k in (0, 1)], rtol=1e-5)
         for k in (0, 1):  # all known words, one unknown word of each head, one unknown head
             assert abs(sum(bigram(k, v, w) for w in known) + sum(bigram(k, v, "\0", h) for h in heads) + bigram(k, v, "\0") - 1) < 1e-9
+    some = [words for _, words in texts[:12]] + [["never"], [], ["aa"], ["zz", "rare1", "wordabc"], ["bb"] * 20 + ["worda"] * 9]
+    monkeypatch.setattr(toxicity, "ERRORS", 0.5)
+    got = toxicity.features(model, [" ".join(words).encode() for words in some])
+    assert np.allclose(got, slow_features(some, slow), atol=1e-5) and np.abs(got[:, 1]).max() > 0.1
+
+
+def test_toxicity_curve():
+    """Newton's method ends where the gradient of the penalised likelihood is zero; the score is that curve."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 4))
+    y = (x @ [2.0, -1.0, 0.5, 0.0] + r.normal(size=400) > 0.3).astype(float)
+    weight = r.uniform(0.5, 2, 400)
+    w = toxicity.curve(x, y, weight)
+    whole = np.c_[np.ones(400), x]
+    slope = whole.T @ (weight * (y - 1 / (1 + np.exp(-whole @ w)))) - np.array([1e-6, *[1e-2] * 4]) * w
+    assert np.abs(slope).max() < 1e-4
 
 
 def slow_language(text, languages, counts):
@@ -314,6 +367,21 @@ def test_exact_dedup(docs, empty, monkeypatch, most):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(min(g)[1] for g in groups.values())
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_exact_dedup_hashes_survivors_only(docs, monkeypatch, most):
+    """Heads are hashed of texts that share a length, whole texts of those that share a head as well."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", most)
+    bodies = [re.sub("[\x20\x09-\x0d]", "", t or "") for t in make_texts()]
+    sizes, shapes = Counter(len(b.encode()) for b in bodies), Counter((len(b.encode()), b[:64]) for b in bodies)
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), exact_dedup.normalised(F.col("text")).alias("body"))
+    got = by_id(exact_dedup.refined(rows))
+    for k, b in enumerate(bodies):
+        assert (got[k]["head"] is not None) == (sizes[len(b.encode())] > 1)
+        assert (got[k]["sha"] is not None) == (shapes[len(b.encode()), b[:64]] > 1)
+    heads, whole = (sum(got[k][c] is not None for k in range(len(bodies))) for c in ("head", "sha"))
+    assert 0 < whole < heads < len(bodies)
+
+
 def test_exact_dedup_query(spark):
     """The query's digests of all texts, the uniques' too, on the smallest table."""
     texts = {r["doc_id"]: re.sub("[\x20\x09-\x0d]", "", r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
@@ -578,8 +646,21 @@ def test_queries_on_awkward_and_empty_tables(spark, tmp_path, name):
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         pages = [(r[0], None if k % 4 == 0 else f"http://h/{k}", r[1]) for k, r in enumerate(some)]
         spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+        vectors = [(r[0], None if k % 9 == 0 else [float(k % 7), 0.5] * 32, k) for k, r in enumerate(some)]
+        spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+        spark.createDataFrame([(r[0], k % 3 or None, r[2], r[1]) for k, r in enumerate(some)], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
         got = queries.QUERIES[name](spark, str(folder)).collect()
-        if name != "op5_poisson_mixing":
+        if name == "op13_prefix_trie":
+            top = [r for r in got if r["depth"] == 0]
+            assert [r["n_convs"] for r in top] == [len({r[0] for r in some} - {None})][: len(some)]
+        elif name == "op11_yinyang":
+            assert Counter(r["vec_id"] for r in got) == Counter(v[0] for v in vectors if v[1] is not None)
+        elif name == "op5_poisson_mixing":
+            key = lambda r: tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars"))
+            assert {key(r) for r in got} <= {tuple(r) for r in some} and (len(got) > len(some) // 3 or not some)
+            times = Counter(map(key, got))
+            assert all(times[r] % n == 0 for r, n in Counter(map(tuple, some)).items() if r[0] is None or n > 1)
+        else:
             assert Counter(r["page_id" if name == "op4_warc" else "doc_id"] for r in got) == Counter(r[0] for r in some)
 
 
@@ -635,6 +716,17 @@ def test_backoff_of_repeated_rows_and_shared_ids(spark):
     assert got == want
 
 
+def test_backoff_sums_beyond_32_bits():
+    """Counts of many blocks add up past 2^32, and past what a double holds."""
+    most = np.uint32(2**32 - 1)
+    keys = [np.array([3, 7, 9], np.uint64), np.array([7], np.uint64), np.array([7, 9], np.uint64)]
+    counts = [np.array([1, most, 5], np.uint32), np.array([most], np.uint32), np.array([most, 6], np.uint32)]
+    assert [x.tolist() for x in backoff_lm.summed(keys, counts)] == [[1, 3 * (2**32 - 1), 11], [3 * (2**32 - 1)], [3 * (2**32 - 1), 11]]
+    big = backoff_lm.summed([np.array([1], np.uint64)] * 2, [np.array([2**53], np.int64), np.array([1], np.int64)])
+    assert [int(x[0]) for x in big] == [2**53 + 1] * 2
+    assert backoff_lm.unplanes(backoff_lm.planes(big[0]), np.int64)[0] == 2**53 + 1
+
+
 def test_warc_bundles_follow_the_public_formats(spark, tmp_path, monkeypatch):
     """The frames by a plain decompressor, the seek table by its definition, the records by their headers."""
     import struct
