@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relquill.functions import text as T
-from relquill.operators import benchmarks, dense, graph, lexical, ranking, validation
+from relquill.operators import benchmarks, dense, graph, ingest, lexical, ranking, validation
 from relquill.sources.tables import long_vectors, materialise, spread, table
 
 QUERIES: dict = {}
@@ -310,14 +310,16 @@ def provenance_hash(s, d):
     return table(s, d, "orders").select("o_orderkey", T.canonical_hash("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").alias("h"))
 
 
-@query("""WITH b AS (SELECT doc_id, 'Fixes:#' || (doc_id + 1) || ', closes owner/repo#' || (doc_id + 2) || ' and see #5' AS body FROM documents),
-e AS (SELECT DISTINCT doc_id AS source, unnest(regexp_extract_all(body, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\\b[:\\s]*(?:[a-z0-9_.-]+/[a-z0-9_.-]+)?(?:#|gh-)([0-9]+)', 1))::BIGINT AS target FROM b)
-SELECT source, target, 'fixes' AS relation, 0.95::DOUBLE AS confidence FROM e WHERE target IN (SELECT doc_id FROM documents)""")
+@query("""WITH b AS (SELECT doc_id, 'Fixes:#' || (doc_id + 1) || ', closes owner/repo#00' || (doc_id + 2) || ' and see #5 ' || coalesce(text, '') AS body FROM documents),
+e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(body, '(?i)\\b(?:close[sd]?|fix(?:e[sd])?|resolve[sd]?)\\b[:\\s]*(?:[a-z0-9_.-]+/[a-z0-9_.-]+)?(?:#|gh-)([0-9]+)', 1))::BIGINT AS n FROM b)
+SELECT 'gh:o/r:pr:' || doc_id AS source, 'gh:o/r:issue:' || n AS target, 'fixes' AS relation, 0.95::DOUBLE AS confidence, '2024-01-01T00:00:00Z' AS valid_from, 'human_label' AS method,
+  'sha256:' || sha256('{"relation":"fixes","source":"gh:o/r:pr:' || doc_id || '","target":"gh:o/r:issue:' || n || '"}') AS content_hash FROM e WHERE n IN (SELECT doc_id FROM documents) AND n <> doc_id""")
 def ingest_extract_fixes(s, d):
-    docs = table(s, d, "documents")
-    body = F.concat(F.lit("Fixes:#"), (F.col("doc_id") + 1).cast("string"), F.lit(", closes owner/repo#"), (F.col("doc_id") + 2).cast("string"), F.lit(" and see #5"))
-    e = docs.select(F.col("doc_id").alias("source"), F.explode(F.transform(T.closing_references(body), lambda x: x.cast("long"))).alias("target")).distinct()
-    return e.join(docs.select(F.col("doc_id").alias("target")), "target", "left_semi").select("source", "target", F.lit("fixes").alias("relation"), F.lit(0.95).alias("confidence"))
+    """Each document is a pull request's body, and an issue; titles close nothing, and times and licenses are filled in."""
+    body = F.concat(F.lit("Fixes:#"), (F.col("doc_id") + 1).cast("string"), F.lit(", closes owner/repo#00"), (F.col("doc_id") + 2).cast("string"), F.lit(" and see #5 "), F.coalesce("text", F.lit("")))
+    row = {"repo": F.lit("o/r"), "retrieved_at": F.lit("2024-01-01T00:00:00Z"), "issues": F.array(F.struct(F.col("doc_id").alias("number"))), "pulls": F.array(F.struct(F.col("doc_id").alias("number"), F.concat(F.lit("Fixes #"), (F.col("doc_id") + 3).cast("string")).alias("title"), body.alias("body")))}
+    snapshots = table(s, d, "documents").select(F.from_json(F.to_json(F.struct(*(x.alias(k) for k, x in row.items()))), ingest.SNAPSHOT).alias("x")).select("x.*")
+    return ingest.edges(snapshots).where("relation = 'fixes'").select("source", "target", "relation", "confidence", "valid_from", "provenance.method", "provenance.content_hash")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f, role FROM conversations)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relquill.functions import text as T
-from relquill.operators import ingest, validation
+from relquill.operators import candidates, ingest, schemas, validation
 from relquill.plans.catalogue import query
 from relquill.sources.tables import ragged, table
 
@@ -210,3 +211,59 @@ def validate_graph_integrity(s, d):
 SELECT count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings, count(*) FILTER (s = 'error') = 0 AS ok FROM f""")
 def validation_report(s, d):
     return validation.report(validate_edge_provenance(s, d))
+
+
+# -- JSON objects judged by compiled schemas ------------------------------------------------------------------------------
+
+@query("""WITH e AS (SELECT event_id, event_id % 3 AS a, user_id % 2 AS b, event_id % 5 AS c, value, ts FROM events)
+SELECT event_id, path, rule FROM (
+  SELECT event_id, 'relation' AS path, 'enum' AS rule FROM e WHERE a = 2
+  UNION ALL SELECT event_id, 'confidence', 'minimum' FROM e WHERE value < 0
+  UNION ALL SELECT event_id, 'confidence', 'maximum' FROM e WHERE value > 1
+  UNION ALL SELECT event_id, 'confidence', 'type' FROM e WHERE value IS NULL
+  UNION ALL SELECT event_id, '', 'additionalProperties' FROM e WHERE c = 1
+  UNION ALL SELECT event_id, 'provenance', 'required:license' FROM e WHERE b = 0
+  UNION ALL SELECT event_id, 'provenance/content_hash', 'pattern' FROM e WHERE c = 0
+  UNION ALL SELECT event_id, 'provenance/retrieved_at', 'type' FROM e WHERE ts IS NULL)""")
+def json_schema_violations(s, d):
+    """Events written as edges in JSON, some with unknown relations, keys, lacking licenses or broken hashes, judged by the compiled shape of edges."""
+    e = table(s, d, "events")
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % n + 1).cast("int"))
+    origin = F.struct(
+        F.lit("https://x").alias("source_url"), F.col("ts").cast("string").alias("retrieved_at"), F.when(F.col("user_id") % 2 != 0, F.lit("MIT")).alias("license"),
+        F.concat(pick(5, "md5:", "sha256:", "sha256:", "sha256:", "sha256:"), F.sha2(F.col("props").cast("binary"), 256)).alias("content_hash"),
+    )
+    shown = F.to_json(F.struct(F.col("user_id").cast("string").alias("source"), pick(3, "fixes", "covers", "likes").alias("relation"), F.col("event_type").alias("target")))
+    body = F.concat(F.regexp_replace(shown, r"\}$", ""), F.lit(',"confidence":'), F.coalesce(F.col("value").cast("string"), F.lit("null")), F.when(F.col("event_id") % 5 == 1, F.lit(',"note":[{}]')).otherwise(F.lit("")))
+    time = F.when(F.col("ts").isNull(), F.lit('{"retrieved_at":null,')).otherwise(F.lit("{"))
+    whole = F.concat(body, F.lit(',"provenance":'), time, F.regexp_replace(F.to_json(origin), r"^\{", ""), F.lit("}"))
+    found = e.select("event_id", F.explode(schemas.violations(F.parse_json(whole), schemas.load_schema("edge"))).alias("x"))
+    return found.select("event_id", "x.path", "x.rule")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM benchmark),
+q AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS k, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS task, coalesce(text, '') AS text FROM benchmark),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+p AS (SELECT item_id, task, 'd' || doc_id AS cand, coalesce(quality = 1, false) AS rel, coalesce(toxic = 1, false) AS hard,
+  len(list_intersect(string_split(q.text, ' '), string_split(coalesce(d.text, ''), ' ')))::DOUBLE AS score FROM documents d LEFT JOIN l USING (doc_id) CROSS JOIN n JOIN q ON d.doc_id % n.n = q.k),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, cand) AS rank FROM p),
+a AS (SELECT item_id, task, count(*) FILTER (rel) AS n_rel, count(*) FILTER (hard) AS n_hard, min(rank) FILTER (rel) AS first, min(rank) FILTER (hard) AS neg, count(*) FILTER (rel AND rank <= 1) AS h1, count(*) FILTER (rel AND rank <= 3) AS h3,
+  count(*) FILTER (rel AND rank <= 20) AS h20 FROM r GROUP BY ALL)
+SELECT task, count(*) AS n_queries, round(avg(CASE WHEN n_rel > 0 THEN h1 / n_rel ELSE 0 END), 9) AS recall_1, round(avg(CASE WHEN n_rel > 0 THEN h3 / n_rel ELSE 0 END), 9) AS recall_3,
+  round(avg(CASE WHEN n_rel > 0 THEN h20 / n_rel ELSE 0 END), 9) AS recall_20, round(avg(coalesce(1 / first, 0)), 9) AS mrr,
+  round(coalesce(avg(CASE WHEN n_rel > 0 AND n_hard > 0 THEN CASE WHEN neg IS NULL OR first < neg THEN 1.0 ELSE 0.0 END END), 0), 9) AS hard_negative_accuracy FROM a GROUP BY task""")
+def candidate_list_metrics(s, d):
+    """Each document is a candidate of one benchmark item, good ones relevant and toxic ones hard negatives; a scorer of shared words, metrics by task at 1, 3 and 20."""
+    items = table(s, d, "benchmark")
+    numbered = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.row_number().over(Window.orderBy("item_id")) - 1)  # the stated query set
+    labels = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(s, d, "documents").join(labels, "doc_id", "left").withColumn("k", F.col("doc_id") % items.count())
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    lists = docs.groupBy("k").agg(F.collect_list(name).alias("candidates"), F.collect_list(F.when(F.col("quality") == 1, name)).alias("relevant"), F.collect_list(F.when(F.col("toxic") == 1, name)).alias("hard_negatives"))
+    task = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
+    queries = numbered.join(lists, "k").select(F.concat(F.lit("q"), "item_id").alias("query_id"), task.alias("task"), F.concat(F.lit("b"), "item_id").alias("query_record"), "candidates", "relevant", "hard_negatives")
+    texts = numbered.select(F.concat(F.lit("b"), "item_id").alias("id"), "text").union(docs.select(name, F.coalesce("text", F.lit(""))))
+    words = lambda c: F.split(c, " ")
+    shared = lambda p: p.select("query_id", "cand", F.size(F.array_intersect(words("query_text"), words("text"))).cast("double").alias("score"))
+    found = candidates.evaluate(queries, shared(candidates.pools(queries, texts)), (1, 3, 20))
+    return found.select("task", "n_queries", *(F.round(c, 9).alias(c) for c in found.columns[2:]))

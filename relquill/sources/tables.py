@@ -47,9 +47,9 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str |
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys and nulls kept."""
-    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+def write_json_lines(df: DataFrame, path: str, nulls: bool = True) -> None:
+    """JSON lines with sorted keys; nulls are kept unless not ``nulls``."""
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false" if nulls else "true"})
     df.select(row.alias("value")).write.option("lineSep", "\n").text(path)
 
 
@@ -76,21 +76,29 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return found.where(~F.col("path").contains("/templates/") & ~name.isin(*NO_RECORDS) & ~name.endswith("-results.json"))
 
 
-def located_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(location, value): each JSON object with ``file:line`` in JSON lines, ``file[i]`` in an array and ``file`` alone else.
+def located_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, at, location, value): each JSON object with its place ``at`` in its file, and ``file:line`` in JSON lines, ``file[i]``
+    in an array and ``file`` alone else.
 
     The value is a variant; null where a line or file is no JSON.
     """
-    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    lines = text.where(F.col("file").endswith(".jsonl")).select("file", F.posexplode(F.split("value", "\n")).alias("k", "line")).where(F.trim("line") != "")
-    out = lines.select(F.concat_ws(":", "file", F.col("k") + 1).alias("location"), F.try_parse_json("line").alias("value"))
-    whole = text.where(~F.col("file").endswith(".jsonl")).select("file", F.try_parse_json("value").alias("value"))
+    if not paths:
+        return spark.createDataFrame([], "path string, at int, location string, value string").withColumn("value", F.try_parse_json("value"))
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), "value")
+    lines = text.where(F.col("file").endswith(".jsonl")).select("path", "file", F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    out = lines.select("path", "at", F.concat_ws(":", "file", F.col("at") + 1).alias("location"), F.try_parse_json("line").alias("value"))
+    whole = text.where(~F.col("file").endswith(".jsonl")).select("path", "file", F.try_parse_json("value").alias("value"))
     array = F.try_variant_get("value", "$", "array<variant>")
-    single = whole.where(array.isNull()).select(F.col("file").alias("location"), "value")
-    many = whole.where(array.isNotNull()).select("file", F.posexplode(array).alias("k", "value")).select(F.concat("file", F.lit("["), "k", F.lit("]")).alias("location"), "value")
+    single = whole.where(array.isNull()).select("path", F.lit(0).alias("at"), F.col("file").alias("location"), "value")
+    many = whole.where(array.isNotNull()).select("path", "file", F.posexplode(array).alias("at", "value")).select("path", "at", F.concat("file", F.lit("["), "at", F.lit("]")).alias("location"), "value")
     return out.union(single).union(many)
 
 
+def located_objects(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(location, value) of ``located_rows``."""
+    return located_rows(spark, paths).select("location", "value")
+
+
 def load_snapshot(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """One row of ``schema`` from ``snapshot.json``, or from ``meta.json`` and the separate files of its parts, where they are."""
     store = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
