@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import hash_order
+from relquill.sources.tables import materialise
 
 
 def mine_hard_negatives(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, top: int = 8) -> DataFrame:
@@ -104,14 +105,22 @@ def mined_negatives(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, tra
     return mine_hard_negatives(overlaps, gold.join(own, "cand", "left_semi"), own, 1).join(gold, ["qid", "cand"], "left_anti").select("qid", "cand", "overlap")
 
 
-def numbered(df: DataFrame, order: Column, *ties: str, name: str = "k", buckets: int = 1024) -> DataFrame:
-    """``df`` with its row number (from 1) by ``order``, a number below 2^32, and ``ties``.
+#: Rows of a range that is numbered by one task, about.
+NUMBERED_ROWS = 1_000_000
 
-    Rows are counted by bucket of the order, and numbered within their bucket only; no task orders all rows.
+
+def numbered(df: DataFrame, order: Column, *ties: str, name: str = "k", buckets: int | None = None) -> DataFrame:
+    """``df`` with its row number (from 1) by ``order`` and ``ties``.
+
+    Rows are dealt into ranges of about NUMBERED_ROWS by quantiles of order and ties, whatever values these have, counted by range, and
+    numbered within their range only; no task orders all rows.
     """
-    held = df.withColumn("_order", order).withColumn("_bucket", F.floor(F.col("_order") / (2**32 / buckets)))
+    held = df.withColumn("_order", order)
+    if buckets is None:
+        buckets = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // NUMBERED_ROWS))
+    held = materialise(held.repartitionByRange(buckets, "_order", *ties).withColumn("_bucket", F.spark_partition_id()), "numbered")
     counts = held.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))  # a row for each bucket
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))  # a row for each range
     own = held.join(F.broadcast(before.select("_bucket", "_before")), "_bucket")
     w = Window.partitionBy("_bucket").orderBy("_order", *ties)
     return own.withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_order", "_bucket", "_before")

@@ -177,11 +177,49 @@ def nearest(vectors: DataFrame, is_query: str, keys: list[str]) -> DataFrame:
     return pairs.groupBy(*keys, "qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "cand"))["cand"].alias("cand"))
 
 
+def _added(a: str, b: str, sign: int = 1) -> F.Column:
+    """Sum of two vectors, where a null counts as zeros."""
+    both = F.zip_with(a, b, lambda x, y: x + sign * y)
+    return F.coalesce(both, F.col(a), F.transform(b, lambda y: sign * y))
+
+
+def _running(df: DataFrame, w, size: int) -> DataFrame:
+    """``df`` with ``run``, the vector sums of ``v`` and of ``n`` up to each row of the window."""
+    sums = F.array(*(F.sum(F.get("v", F.lit(k))).over(w) for k in range(size)))
+    return df.withColumn("run", F.struct(sums.alias("v"), F.sum("n").over(w).alias("n")))
+
+
 def as_of_mean(queries: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, target, dim, x, support): mean vector of the earlier sources of each query's targets, the query's own left out."""
-    prior = queries.join(edges.withColumnRenamed("time", "at"), "target").where((F.col("at") <= F.col("time")) & (F.col("source") != F.col("qid")))
-    prior = prior.select("qid", "target", "source").distinct()
-    return prior.join(vectors.withColumnRenamed("node", "source"), "source").groupBy("qid", "target", "dim").agg(F.avg("x").alias("x"), F.count("*").alias("support"))
+    """(qid, target, v, support): mean vector of the sources that each query's target had by its time, the query's own left out.
+
+    ``queries``: qid, target, time; ``edges``: source, target, time, of which a source's first counts; ``vectors``: node, v, all of one
+    length. Running sums in two levels: over the days of a target, and over the edges of a day; each query looks up the
+    last sums before it and takes its own vector off. So rows grow with edges plus queries, and a target with many edges is
+    ordered by day only. Queries without an earlier source have no row.
+    """
+    size = vectors.select(F.size("v")).first()
+    if size is None:
+        return queries.select("qid", "target", F.array().cast("array<double>").alias("v"), F.lit(0).cast("long").alias("support")).where("false")
+    first = edges.groupBy("source", "target").agg(F.min("time").alias("time")).where("time IS NOT NULL")
+    held = first.join(vectors.withColumnRenamed("node", "source"), "source").withColumn("day", F.to_date("time")).withColumn("n", F.lit(1).cast("long"))
+    began = first.join(vectors.select(F.col("node").alias("source")), "source", "left_semi").groupBy("target").agg(F.min("time").alias("began"))
+    asked = queries.select("qid", "target", "time").distinct().join(began, "target").where("time >= began").drop("began").withColumn("day", F.to_date("time"))
+    before = Window.unboundedPreceding
+    # whole days: running sums over the days of a target, looked up by the days of queries
+    days = held.groupBy("target", "day").agg(F.array(*(F.sum(F.get("v", F.lit(k))) for k in range(size[0]))).alias("v"), F.sum("n").alias("n"))
+    days = _running(days, Window.partitionBy("target").orderBy("day").rowsBetween(before, 0), size[0]).select("target", "day", "run")
+    both = days.unionByName(asked.select("target", "day").distinct().withColumn("run", F.lit(None).cast(days.schema["run"].dataType)))
+    upto = both.withColumn("past", F.last("run", ignorenulls=True).over(Window.partitionBy("target").orderBy("day", F.col("run").isNotNull()).rowsBetween(before, -1)))
+    upto = upto.where("run IS NULL").select("target", "day", "past")
+    # the day of a query: running sums over its edges, those at the query's own time included
+    inside = _running(held, Window.partitionBy("target", "day").orderBy("time", "source").rowsBetween(before, 0), size[0]).select("target", "day", "time", F.lit(None).cast(queries.schema["qid"].dataType).alias("qid"), F.lit(0).alias("asks"), "run")
+    both = inside.unionByName(asked.select("target", "day", "time", "qid", F.lit(1).alias("asks"), F.lit(None).cast(inside.schema["run"].dataType).alias("run")))
+    today = both.withColumn("now", F.last("run", ignorenulls=True).over(Window.partitionBy("target", "day").orderBy("time", "asks").rowsBetween(before, 0))).where("asks = 1")
+    own = held.select(F.col("source").alias("qid"), "target", F.col("time").alias("since"), F.col("v").alias("own"))
+    found = today.select("qid", "target", "day", "time", "now").join(upto, ["target", "day"], "left").join(own, ["qid", "target"], "left")
+    found = found.select("qid", "target", F.col("past.v").alias("a"), F.col("now.v").alias("b"), F.when(F.col("since") <= F.col("time"), F.col("own")).alias("own"), (F.coalesce("past.n", F.lit(0)) + F.coalesce("now.n", F.lit(0))).alias("n"))
+    total = found.select("qid", "target", _added("a", "b").alias("v"), "own", (F.col("n") - F.col("own").isNotNull().cast("long")).alias("support")).where("support > 0")
+    return total.select("qid", "target", _added("v", "own", -1).alias("v"), "support").select("qid", "target", F.transform("v", lambda x: x / F.col("support")).alias("v"), "support")
 
 
 def isolation(edges: DataFrame) -> DataFrame:

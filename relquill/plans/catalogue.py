@@ -400,6 +400,12 @@ p AS (SELECT target, dim, avg(x) AS x FROM e JOIN v USING (source) GROUP BY ALL)
 DIGEST = "count(*) AS n_dims, round(sqrt(sum(x * x)), 6) AS norm, round(sum(x * (dim + 1)), 6) AS mixed"
 
 
+def vector_digest(df: DataFrame, *keys: str) -> DataFrame:
+    """``digest`` of whole vectors ``v``, without a row for each component."""
+    total = lambda f: F.round(F.aggregate(F.transform("v", f), F.lit(0.0), lambda s, x: s + x), 6)
+    return df.select(*keys, F.size("v").cast("long").alias("n_dims"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"), total(lambda x, k: x * (k + 1)).alias("mixed"))
+
+
 def digest(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_dims"), F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 6).alias("norm"), F.round(F.sum(F.col("x") * (F.col("dim") + 1)), 6).alias("mixed"))
 
@@ -424,9 +430,8 @@ def asof_cochange_feature(s, d):
     li = modifies(s, d)
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("source"), F.col("o_orderdate").alias("t"))
     q = o.join(li.select("source", "target"), "source").select(F.col("source").alias("qid"), F.col("t").alias("time"), "target").distinct()
-    v = long_vectors(table(s, d, "embeddings"), "vec_id", "embedding")
-    li = li.join(table(s, d, "embeddings").select(F.col("vec_id").alias("source")), "source", "left_semi")
-    return digest(graph.as_of_mean(q, li, v), "qid", "target", "support")
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("v"))
+    return vector_digest(graph.as_of_mean(q, li, v), "qid", "target", "support")
 
 
 @query(f"WITH {EDGES}, i AS (SELECT target, count(*) AS n FROM e GROUP BY target) SELECT source, count(*) AS n_targets, count(*) FILTER (n = 1) AS n_isolated, bool_or(n > 1) AS reachable FROM e JOIN i USING (target) GROUP BY source")

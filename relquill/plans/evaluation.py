@@ -99,7 +99,9 @@ def labelled_triplets(s, d):
     v = dense_vectors(s, d)
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("node"), "label")
     q = e.where("node % 2 = 0").withColumnRenamed("node", "qid")
-    near = q.join(e.withColumnRenamed("label", "other"), F.col("node").between(F.col("qid") + 1, F.col("qid") + 40))
+    block = F.floor(F.col("node") / 40)  # the next forty numbers lie in two blocks
+    asked = q.withColumn("first", F.floor((F.col("qid") + 1) / 40)).withColumn("block", F.explode(F.array("first", F.col("first") + 1)))
+    near = asked.join(e.withColumnRenamed("label", "other").withColumn("block", block), "block").where(F.col("node").between(F.col("qid") + 1, F.col("qid") + 40))
     pos = near.where("label = other").groupBy("qid").agg(F.min("node").alias("pos"))
     pool = near.where("label <> other").groupBy("qid").agg(F.slice(F.array_sort(F.collect_list("node")), 1, 2).alias("c")).select("qid", F.explode("c").alias("cand"))
     return learned.triplets(pos, pool, v), v

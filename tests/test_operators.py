@@ -141,10 +141,57 @@ def test_aggregation_against_plain_python(spark, hops):
 
 
 def test_as_of_excludes_own_and_later(spark):
-    q = spark.createDataFrame([(1, 10, "t")], "qid long, time long, target string")
-    e = spark.createDataFrame([(1, "t", 5), (2, "t", 9), (3, "t", 11)], "source long, target string, time long")
-    v = spark.createDataFrame([(k, 0, float(k)) for k in (1, 2, 3)], "node long, dim int, x double")
-    assert [(r["x"], r["support"]) for r in graph.as_of_mean(q, e, v).collect()] == [(2.0, 1)]
+    """Mean vectors of earlier sources against all pairs: ties in time, sources twice, a target with most edges, own sources, nulls."""
+    from datetime import datetime, timedelta
+
+    import random
+
+    r = random.Random(4)
+    day = lambda: datetime(2024, 1, 1) + timedelta(days=r.randint(0, 6), hours=r.choice([0, 0, 5, 9]))
+    edges = [(r.randint(0, 40), r.choice(["hot", "hot", "hot", "a", "b"]), day()) for _ in range(150)] + [(3, "a", None), (99, "b", day())]
+    queries = [(r.randint(0, 45), r.choice(["hot", "a", "b", "never"]), day()) for _ in range(120)]
+    queries += queries[:5] + [(7, "hot", datetime(2023, 1, 1)), (8, "hot", datetime(2025, 1, 1))]
+    vectors = {k: [r.uniform(-1, 1) for _ in range(3)] for k in range(41)}
+    want = set()
+    for q, t, at in set(queries):
+        own = {}
+        for s, x, when in edges:
+            if x == t and s != q and s in vectors and when is not None and when <= at:
+                own[s] = vectors[s]
+        if own:
+            want.add((q, t, len(own), tuple(round(sum(c) / len(own), 9) for c in zip(*own.values()))))
+    q = spark.createDataFrame(queries, "qid long, target string, time timestamp")
+    e = spark.createDataFrame(edges, "source long, target string, time timestamp")
+    v = spark.createDataFrame(list(vectors.items()), "node long, v array<double>")
+    assert {(x["qid"], x["target"], x["support"], tuple(round(c, 9) + 0.0 for c in x["v"])) for x in graph.as_of_mean(q, e, v).collect()} == want and len(want) > 60
+    assert graph.as_of_mean(q, e, v.limit(0)).count() == graph.as_of_mean(q.limit(0), e, v).count() == 0
+
+
+def test_numbered_by_ranges(spark):
+    """Small raw ids spread over several ranges, equal orders are told apart by the ties."""
+    from relquill.operators import benchmarks
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), (F.col("id") % 3).alias("same"))
+    for order, ties in ((F.col("id"), ["id"]), (F.col("same"), ["same", "id"]), (-F.col("id"), ["id"])):
+        rows = benchmarks.numbered(df, order, *ties, buckets=7).collect()
+        key = {"id": lambda r: r["id"], "same": lambda r: (r["same"], r["id"])}[ties[0]]
+        rows.sort(key=lambda r: r["k"])
+        got = [key(r) for r in rows]
+        assert [r["k"] for r in rows] == list(range(1, 1001)) and got == sorted(got, reverse=got[0] == 999)
+    assert benchmarks.numbered(df.limit(0), F.col("id"), "id").count() == 0
+
+
+def test_triplets_meet_by_blocks(spark):
+    """The triplets of neighbours that all pairs of numbers give."""
+    from relquill.plans import evaluation
+
+    rows = sorted((r["vec_id"], r["label"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect())
+    want = 0
+    for q, label in rows:
+        near = [(n, x) for n, x in rows if q < n <= q + 40]
+        same, other = [n for n, x in near if x == label], [n for n, x in near if x != label]
+        want += min(2, len(other)) if q % 2 == 0 and same else 0
+    assert want > 10 and len(evaluation.labelled_triplets(spark, "/root/testdata/sf0.001")[0][0]) == want
 
 
 def test_temporal_split_equals_a_sort(spark):
