@@ -35,8 +35,8 @@ WINDOW = 13
 ANCHOR = 7
 #: Bytes of text in a block, about; a block with a longer text is as large as that.
 BLOCK_BYTES = 5_000_000
-#: Most phrases of one automaton (about 80 MB).
-PHRASES = 50_000
+#: Most phrases of one automaton (about 110 MB).
+PHRASES = 70_000
 #: Blocks that get an owner's passages from one task, about.
 SALT_BLOCKS = 256
 STEP2 = np.uint64(0xD6E8FEB86659FD93)
@@ -45,12 +45,18 @@ ANCHOR_BYTES = 5
 
 
 def rolling(words: np.ndarray, n: int, step: np.uint64 = STEP) -> np.ndarray:
-    """A hash of the ``n`` words from each word on."""
+    """A hash of the ``n`` words from each word on, put together from those of 1, 2, 4, ... words."""
     size = max(0, len(words) - n + 1)
-    out = words[:size]
-    for k in range(1, n):
-        out = mix(out * step + words[k : k + size])
-    return out
+    out, length, power = None, 0, words
+    for k in range(n.bit_length()):
+        width = 1 << k
+        if n & width:
+            own = power[: len(power) if out is None else None]
+            out = own if out is None else mix(out[: len(words) - length - width + 1] * step + own[length : length + len(words) - length - width + 1])
+            length += width
+        if n >> (k + 1):
+            power = mix(power[: max(0, len(power) - width)] * step + power[width:])
+    return out[:size]
 
 
 class Block:
@@ -80,9 +86,13 @@ class Block:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of each window, 96 bits."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        return rolling(self.words, WINDOW)[self.starts], (rolling(self.words, WINDOW, STEP2) >> np.uint64(32)).astype(np.uint32)[self.starts]
+        return self.first(), self.second(np.arange(len(self.starts)))
+
+    def first(self) -> np.ndarray:
+        return rolling(self.words, WINDOW)[self.starts]
+
+    def second(self, windows: np.ndarray) -> np.ndarray:
+        return (rolling(self.words, WINDOW, STEP2) >> np.uint64(32)).astype(np.uint32)[self.starts[windows]]
 
 
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +139,10 @@ def found_windows(block: Block, rows: list[dict]) -> np.ndarray:
     first, second = (np.concatenate([np.zeros(0, t), *(unplanes(r[c], t) for r in rows)]) for c, t in (("a", np.uint64), ("b", np.uint32)))
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
-    h1, h2 = block.hashes()
+    h1 = block.first()
     out = np.full(len(h1), len(first))
-    if len(first):
+    if len(first) and len(h1):
+        h2 = block.second(np.arange(len(h1)))
         at = np.searchsorted(first, h1)
         same = np.diff(np.r_[np.flatnonzero(np.r_[True, first[1:] != first[:-1]]), len(first)]).max()
         for k in range(int(same)):  # one, but for a clash of the first hash
@@ -148,7 +159,7 @@ def needed(block: Block, passages: list[bytes]):
     if not len(hashes) or not len(block.starts):
         return
     keys, back = np.unique(hashes, return_inverse=True)
-    own = rolling(block.words, WINDOW)[block.starts]
+    own = block.first()
     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
     wanted = np.zeros(len(keys), bool)
     wanted[at[keys[at] == own]] = True
@@ -329,26 +340,30 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         parts = [(passages[k][0], [numbers.setdefault(w, len(numbers) + 1) for w in words]) for k, words in needed(block, [x for _, x in passages])]
         base = math.isqrt(len(numbers)) + 1
         sizes = np.bincount(block.text, minlength=len(block.texts))
-        long = [k for k in np.flatnonzero((sizes >= WINDOW) & block.known).tolist() if parts]
-        streams = [(k, symbols([numbers.get(w, 0) for w in block.texts[k].split()], base)) for k in long]
-        covered = [np.zeros(0, np.int64)] * len(block.texts)
-        for machine, owners in automata(parts, base):
-            for k, stream in streams:
-                found = np.array([x for match in machine.iter(stream) for x in match], np.int64).reshape(-1, 2)
-                ends = found[owners[found[:, 1]] < block.ids[k], 0] // 2
-                if len(ends):
-                    covered[k] = np.concatenate([covered[k], ends])
-        kept, removed = [], []
-        for text, ends, n in zip(block.texts, covered, sizes.tolist(), strict=True):
-            words = text.split()
-            gone = np.zeros(n + 1, np.int64)
-            if len(ends):
-                np.add.at(gone, ends - WINDOW + 1, 1)
-                np.add.at(gone, ends + 1, -1)
-                stays = np.cumsum(gone)[:n] == 0
-                words = [w for w, stay in zip(words, stays.tolist(), strict=True) if stay]
-            kept.append(b" ".join(words))
-            removed.append(n - len(words))
+        words = [text.split() for text in block.texts]
+        covered = np.zeros(len(block.words) + 1, np.int64)
+        if parts:
+            known = np.array([numbers.get(w, 0) for own in words for w in own])
+            stream = symbols(known, base)
+            # phrases have no other words, so only runs of words that some phrase has are looked at
+            inside = np.r_[False, known > 0, False]
+            breaks = np.flatnonzero(inside[1:] != inside[:-1])
+            begins, ends = breaks[::2], breaks[1::2]
+            runs_ = [(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b - a >= WINDOW]
+            for machine, owners in automata(parts, base):
+                found = np.array([x for a, b in runs_ for end, phrase in machine.iter(stream[2 * a : 2 * b]) for x in (a + end // 2, phrase)], np.int64).reshape(-1, 2)
+                end, owner = found[:, 0], owners[found[:, 1]]
+                text = block.text[end]
+                hit = block.known[text] & (block.text[end - WINDOW + 1] == text) & (owner < block.ids[text])
+                np.add.at(covered, end[hit] - WINDOW + 1, 1)
+                np.add.at(covered, end[hit] + 1, -1)
+        stays = np.cumsum(covered[:-1]) == 0
+        ends = np.cumsum(sizes)
+        kept = []
+        for own, a, b in zip(words, (ends - sizes).tolist(), ends.tolist(), strict=True):
+            stay = stays[a:b]
+            kept.append(b" ".join(own if stay.all() else [own[k] for k in np.flatnonzero(stay).tolist()]))
+        removed = sizes - np.bincount(block.text, stays, len(block.texts)).astype(np.int64)
         ids = pa.array(block.ids, pa.int64(), mask=~block.known)
         return pa.table({"id": ids, "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
