@@ -36,7 +36,7 @@ from .tokens import LETTERS, STEP, gram_hashes, mix, word_hashes
 #: Labelled rows of each class that the models are fitted on, about, and bytes of their texts in sum, about: those with the
 #: smallest hashes of their id. Half of them are counted, half calibrate.
 SAMPLE = {0: 8_000, 1: 6_000}
-SAMPLE_BYTES = 48_000_000
+SAMPLE_BYTES = 30_000_000
 #: Taken off a count where counts of counts don't tell.
 DISCOUNT = 0.75
 WINDOW = 8
