@@ -1,4 +1,4 @@
-"""Lexical scoring: BM25, TF and IDF cosine, hashed TF, overlap. Only query terms are shuffled, never whole vocabularies."""
+"""Lexical scoring: BM25, TF and IDF cosine, hashed TF, overlap. BM25 and overlap shuffle query terms alone; the norms of cosines need every term."""
 
 from __future__ import annotations
 
