@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import hash_order
+from relquill.operators.lexical import bounded
 from relquill.sources.tables import materialise
 
 
@@ -17,11 +18,39 @@ def mine_hard_negatives(overlaps: DataFrame, gold: DataFrame, groups: DataFrame,
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("qid", "cand", F.col("score").alias("overlap"), "rank")
 
 
-def sampled_pool(queries: DataFrame, cands: DataFrame, gold: DataFrame, size: int, seed: int) -> DataFrame:
-    """(qid, cand): ``size`` candidates of the positive's group for each query, in hash order."""
-    pool = gold.join(cands, "cand").select("qid", "grp").distinct().join(cands, "grp").join(gold, ["qid", "cand"], "left_anti")
+def drawn(asked: DataFrame, members: DataFrame, excluded: DataFrame, size: int, seed: int) -> DataFrame:
+    """(qid, cand, k): up to ``size`` candidates of each query's groups that aren't excluded, without a pair for each query and member.
+
+    ``asked``: qid, grp; ``members``: grp, cand; ``excluded``: qid, cand. Null groups and candidates belong to no pool. The members lie in
+    order of group, hash and id, so a query's groups make up n places. These are cut into m equal strata, m being ``size``, the query's
+    excluded candidates, and memberships that a smaller group repeats (for queries of several groups); a hash of query and stratum picks a
+    place in each. At most the last two can fail, so ``size`` are left wherever there are as many (all, if n is not above m); they are
+    numbered in hash order. Rows grow with queries times m, whatever the size of the groups.
+    """
+    asked = asked.where("grp IS NOT NULL").select("qid", "grp").distinct()
+    members = materialise(members.where("grp IS NOT NULL AND cand IS NOT NULL").select("grp", "cand").distinct(), "members")
+    placed = materialise(numbered(members.withColumn("h", hash_order(seed, "grp", "cand")), F.col("grp"), "h", "cand", name="place").select("grp", "cand", "place"), "placed")
+    smallest = members.groupBy("cand").agg(F.min("grp").alias("smallest"))
+    sizes = placed.join(smallest, "cand").groupBy("grp").agg(F.count("*").alias("own"), F.min("place").alias("start"), F.count_if(F.col("grp") != F.col("smallest")).alias("again"))
+    parts = materialise(asked.join(bounded(sizes), "grp"), "parts")
+    total = parts.groupBy("qid").agg(F.sum("own").alias("n"), F.when(F.count("*") > 1, F.sum("again")).otherwise(0).alias("again"))
+    out = excluded.select("qid", "cand").distinct()
+    total = total.join(out.groupBy("qid").agg(F.count("*").alias("out")), "qid", "left").select("qid", "n", F.least("n", F.lit(size) + F.coalesce("out", F.lit(0)) + F.col("again")).alias("m"))
+    earlier = Window.partitionBy("qid").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)  # a row for each group of a query
+    parts = parts.drop("again").withColumn("at", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(total.where("m > 0"), "qid")
+    strata = parts.withColumn("j", F.explode(F.expr("sequence(greatest(0, at * m div n - 1), least(m - 1, (at + own) * m div n))")))  # those that meet the group
+    low, high = F.expr("j * n div m"), F.expr("(j + 1) * n div m")
+    picked = strata.withColumn("pos", low + F.pmod(hash_order(seed, "qid", "j"), high - low)).where("pos >= at AND pos < at + own")
+    found = picked.select("qid", (F.col("start") + F.col("pos") - F.col("at")).alias("place")).join(placed.select("place", "cand"), "place")
+    found = found.select("qid", "cand").distinct().join(out, ["qid", "cand"], "left_anti")
     w = Window.partitionBy("qid").orderBy(hash_order(seed, "qid", "cand"), "cand")
-    return pool.withColumn("k", F.row_number().over(w)).where(F.col("k") <= size).select("qid", "cand", "k")
+    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= size)
+
+
+def sampled_pool(queries: DataFrame, cands: DataFrame, gold: DataFrame, size: int, seed: int) -> DataFrame:
+    """(qid, cand, k): ``size`` candidates of the positives' groups for each of ``queries`` (qid), as ``drawn`` draws them."""
+    own = gold.join(queries.select("qid").distinct(), "qid", "left_semi")
+    return drawn(own.join(cands, "cand").select("qid", "grp"), cands, own, size, seed)
 
 
 def cross_group_split(df: DataFrame, group: str, share: float = 0.6) -> DataFrame:
@@ -50,34 +79,42 @@ def size_budget(groups: DataFrame, budget: float) -> DataFrame:
 
 
 def retrieval_pools(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, hard: int = 8, random: int = 4, least: int = 5, seed: int = 1) -> DataFrame:
-    """(qid, cand, kind): each query's positives, its ``hard`` candidates of largest overlap and ``random`` others in hash order.
+    """(qid, cand, kind): each query's positives, its ``hard`` candidates of largest overlap and ``random`` others as ``drawn`` draws them.
 
-    The pool is the positives' group without them; ties go to the smaller candidate, one without overlap counts as 0. Queries
-    whose pool has fewer than ``least`` candidates are left out.
+    The pool is the positives' groups without them; ties go to the smaller candidate, one without overlap counts as 0. Queries
+    whose pool has fewer than ``least`` candidates are left out. No pool is built: candidates without overlap are looked up from
+    the beginning of the groups of queries that lack others.
     """
-    in_group = gold.join(groups, "cand").select("qid", "grp").distinct()
-    pool = in_group.join(groups, "grp").select("qid", "cand").distinct().join(gold, ["qid", "cand"], "left_anti").join(overlaps, ["qid", "cand"], "left")
-    w = Window.partitionBy("qid")
-    pool = pool.withColumn("n", F.count("*").over(w)).where(F.col("n") >= least).withColumn("k", F.row_number().over(w.orderBy(F.coalesce("score", F.lit(0)).desc(), "cand")))
-    rest = pool.where(F.col("k") > hard).withColumn("j", F.row_number().over(w.orderBy(hash_order(seed, "qid", "cand"), "cand"))).where(F.col("j") <= random)
-    kept = pool.select("qid").distinct()
-    out = gold.join(kept, "qid", "left_semi").select("qid", "cand", F.lit("positive").alias("kind"))
-    return out.union(pool.where(F.col("k") <= hard).select("qid", "cand", F.lit("hard"))).union(rest.select("qid", "cand", F.lit("random")))
+    in_group = materialise(gold.join(groups, "cand").where("grp IS NOT NULL").select("qid", "grp").distinct(), "in_group")
+    met = overlaps.join(groups, "cand").join(in_group, ["qid", "grp"]).select("qid", "cand", "score").distinct().join(gold, ["qid", "cand"], "left_anti")
+    first = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "cand"))).where(F.col("k") <= hard).drop("k")
+    met = materialise(first(met), "met")
+    # queries with fewer: the first members of their groups, as many as can be positive, met or wanted
+    lacking = in_group.join(met.groupBy("qid").agg(F.count("*").alias("n_met")), "qid", "left").where(F.coalesce("n_met", F.lit(0)) < hard)
+    placed = materialise(numbered(groups.where("grp IS NOT NULL AND cand IS NOT NULL").select("grp", "cand").distinct(), F.col("grp"), "cand", name="place").select("grp", "cand", "place"), "placed")
+    sizes = placed.groupBy("grp").agg(F.count("*").alias("own"), F.min("place").alias("start"))
+    wanted = lacking.join(gold.groupBy("qid").agg(F.countDistinct("cand").alias("n_gold")), "qid").join(bounded(sizes), "grp")
+    wanted = wanted.select("qid", F.explode(F.sequence("start", F.col("start") + F.least("own", F.col("n_gold") + hard) - 1)).alias("place"))
+    filling = wanted.join(placed.select("place", "cand"), "place").select("qid", "cand").distinct()
+    filling = filling.join(gold, ["qid", "cand"], "left_anti").join(met, ["qid", "cand"], "left_anti").withColumn("score", F.lit(0).cast(met.schema["score"].dataType))
+    best = materialise(first(met.unionByName(filling)), "best").select("qid", "cand")
+    rest = materialise(drawn(in_group, groups, gold.select("qid", "cand").union(best), max(random, least), seed), "rest")
+    kept = best.select("qid").union(rest.select("qid")).groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("qid")
+    out = gold.select("qid", "cand", F.lit("positive").alias("kind")).union(best.withColumn("kind", F.lit("hard"))).union(rest.where(F.col("k") <= random).select("qid", "cand", F.lit("random")))
+    return out.join(kept, "qid", "left_semi")
 
 
 def change_pools(changes: DataFrame, hard: int = 5, filler: int = 3, least: int = 1, seed: int = 2) -> DataFrame:
-    """(qid, cand, kind): for each source (qid) of ``changes`` (grp, qid, cand) its own targets and others of its group in hash order.
+    """(qid, cand, kind): for each source (qid) of ``changes`` (grp, qid, cand) its own targets and others of its group as ``drawn`` draws them.
 
     The first ``hard`` of the others are hard negatives, the next ``filler`` fill up. Queries with fewer than ``least`` others are
-    left out. Pools grow with the group; a group is dealt by query.
+    left out.
     """
-    own = changes.select("grp", "qid", "cand").distinct()
-    others = own.select("grp", "qid").distinct().join(own.select("grp", "cand").distinct(), "grp").join(own.select("qid", "cand"), ["qid", "cand"], "left_anti")
-    w = Window.partitionBy("qid")
-    ranked = others.withColumn("k", F.row_number().over(w.orderBy(hash_order(seed, "qid", "cand"), "cand"))).where(F.col("k") <= max(hard + filler, least))
+    own = materialise(changes.select("grp", "qid", "cand").distinct(), "changes")
+    ranked = materialise(drawn(own, own, own, max(hard + filler, least), seed), "ranked")
     kept = ranked.where(F.col("k") == least).select("qid")
     kind = F.when(F.col("k") <= hard, "hard").otherwise("filler")
-    out = own.select("qid", "cand", F.lit("positive").alias("kind")).union(ranked.where(F.col("k") <= hard + filler).select("qid", "cand", kind))
+    out = own.select("qid", "cand").distinct().select("qid", "cand", F.lit("positive").alias("kind")).union(ranked.where(F.col("k") <= hard + filler).select("qid", "cand", kind))
     return out.join(kept, "qid", "left_semi")
 
 

@@ -221,9 +221,22 @@ def hard_negative_accuracy(s, d):
 H32 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 
 
-@query(f"""WITH {GOLD}, p AS (SELECT DISTINCT g.qid, x.doc_id AS cand FROM gold g JOIN documents y ON y.doc_id = g.cand JOIN documents x ON x.source = y.source
-  WHERE NOT EXISTS (SELECT 1 FROM gold o WHERE o.qid = g.qid AND o.cand = x.doc_id)),
-k AS (SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY {H32.format("'7|' || qid || '|' || cand")}, cand) AS k FROM p) SELECT qid, cand, k FROM k WHERE k <= 15""")
+def drawn_sql(asked: str, members: str, excluded: str, size: int, seed: int) -> str:
+    """``benchmarks.drawn`` as relations: ``dr`` holds (qid, cand, k)."""
+    return f"""ak AS (SELECT DISTINCT qid, grp FROM {asked} WHERE grp IS NOT NULL), mb AS (SELECT DISTINCT grp, cand FROM {members} WHERE grp IS NOT NULL AND cand IS NOT NULL),
+ex AS (SELECT DISTINCT qid, cand FROM {excluded}), ex_n AS (SELECT qid, count(*) AS n_out FROM ex GROUP BY qid), mk AS (SELECT *, grp <> min(grp) OVER (PARTITION BY cand) AS again FROM mb),
+un AS (SELECT qid, grp, cand, again, row_number() OVER (PARTITION BY qid ORDER BY grp, {H32.format(f"'{seed}|' || grp || '|' || cand")}, cand) - 1 AS pos FROM ak JOIN mk USING (grp)),
+tn AS (SELECT qid, count(*) AS n, CASE WHEN count(DISTINCT grp) > 1 THEN count(*) FILTER (again) ELSE 0 END AS again FROM un GROUP BY qid),
+tm AS (SELECT qid, n, least(n, {size} + coalesce(n_out, 0) + again) AS m FROM tn LEFT JOIN ex_n USING (qid)), sj AS (SELECT qid, n, m, unnest(range(0, m)) AS j FROM tm),
+sp AS (SELECT qid, j * n // m + {H32.format(f"'{seed}|' || qid || '|' || j")} % ((j + 1) * n // m - j * n // m) AS pos FROM sj),
+fd AS (SELECT DISTINCT qid, cand FROM sp JOIN un USING (qid, pos) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.qid = un.qid AND ex.cand = un.cand)),
+dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {H32.format(f"'{seed}|' || qid || '|' || cand")}, cand) AS k FROM fd) WHERE k <= {size})"""
+
+
+IN_GROUP = "ig AS (SELECT DISTINCT qid, source AS grp FROM gold JOIN documents ON doc_id = cand), mg AS (SELECT source AS grp, doc_id AS cand FROM documents)"
+
+
+@query(f"WITH {GOLD}, {IN_GROUP}, {drawn_sql('ig', 'mg', 'gold', 15, 7)} SELECT qid, cand, k FROM dr")
 def hash_sampled_pool(s, d):
     return benchmarks.sampled_pool(items(s, d).select("qid"), groups(s, d), gold(s, d), 15, 7).withColumn("k", F.col("k").cast("long"))
 

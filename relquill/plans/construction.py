@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from relquill.functions import text as T
 from relquill.operators import benchmarks, lexical, ranking, synthetic
-from relquill.plans.catalogue import BM25, GOLD, H32, OVERLAP, TOK, gold, groups, items, query, scrub_sql, texts
+from relquill.plans.catalogue import BM25, GOLD, H32, IN_GROUP, OVERLAP, TOK, drawn_sql, gold, groups, items, query, scrub_sql, texts
 from relquill.sources.tables import table
 
-FULL = f"""{OVERLAP}, {GOLD}, ig AS (SELECT DISTINCT qid, source FROM gold JOIN documents ON doc_id = cand),
-pool AS (SELECT ig.qid, d.doc_id AS cand, coalesce(ov.score, 0) AS score, count(*) OVER (PARTITION BY ig.qid) AS n FROM ig JOIN documents d USING (source) LEFT JOIN ov ON ov.qid = ig.qid AND ov.cand = d.doc_id
-  WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.qid = ig.qid AND g.cand = d.doc_id)),
-pk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand) AS k FROM pool WHERE n >= 5),
-pj AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {H32.format("'1|' || qid || '|' || cand")}, cand) AS j FROM pk WHERE k > 8),
-built AS (SELECT qid, cand, 'positive' AS kind FROM gold WHERE qid IN (SELECT qid FROM pk) UNION ALL SELECT qid, cand, 'hard' FROM pk WHERE k <= 8 UNION ALL SELECT qid, cand, 'random' FROM pj WHERE j <= 4)"""
+FULL = f"""{OVERLAP}, {GOLD}, {IN_GROUP},
+pool AS (SELECT DISTINCT ig.qid, mg.cand, coalesce(ov.score, 0) AS score FROM ig JOIN mg USING (grp) LEFT JOIN ov ON ov.qid = ig.qid AND ov.cand = mg.cand WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.qid = ig.qid AND g.cand = mg.cand)),
+pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cand) AS k, count(*) OVER (PARTITION BY qid) AS n FROM pool) WHERE k <= 8),
+{drawn_sql("ig", "mg", "(SELECT qid, cand FROM gold UNION ALL SELECT qid, cand FROM pk)", 5, 1)}, kq AS (SELECT DISTINCT qid FROM pk WHERE n >= 5),
+built AS (SELECT qid, cand, kind FROM (SELECT qid, cand, 'positive' AS kind FROM gold UNION ALL SELECT qid, cand, 'hard' FROM pk UNION ALL SELECT qid, cand, 'random' FROM dr WHERE k <= 4) JOIN kq USING (qid))"""
 
 
 def pools(s, d):
@@ -39,23 +38,20 @@ def ranked_pools(s, d):
 
 
 CHANGES = "own AS (SELECT DISTINCT o_custkey AS grp, l_orderkey AS qid, l_partkey AS cand FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
-OTHERS = "ot AS (SELECT q.qid, c.cand FROM (SELECT DISTINCT grp, qid FROM own) q JOIN (SELECT DISTINCT grp, cand FROM own) c USING (grp) WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.qid = q.qid AND x.cand = c.cand))"
-
-
 def changes(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_custkey").alias("grp"))
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("qid"), F.col("l_partkey").alias("cand")).join(o, "qid")
 
 
-@query(f"""WITH {CHANGES}, {OTHERS}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {H32.format("'2|' || qid || '|' || cand")}, cand) AS k FROM ot)
-SELECT qid, cand, 'positive' AS kind FROM own WHERE qid IN (SELECT qid FROM k WHERE k = 1) UNION ALL SELECT qid, cand, CASE WHEN k <= 5 THEN 'hard' ELSE 'filler' END FROM k WHERE k <= 8""")
+@query(f"""WITH {CHANGES}, {drawn_sql("own", "own", "own", 8, 2)}
+SELECT qid, cand, 'positive' AS kind FROM own WHERE qid IN (SELECT qid FROM dr WHERE k = 1) UNION ALL SELECT qid, cand, CASE WHEN k <= 5 THEN 'hard' ELSE 'filler' END FROM dr""")
 def change_pools(s, d):
     """Each order's parts and other parts of its customer, five as hard negatives and three to fill up."""
     return benchmarks.change_pools(changes(s, d))
 
 
-@query(f"""WITH {CHANGES}, {OTHERS}, k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {H32.format("'3|' || qid || '|' || cand")}, cand) AS k FROM ot)
-SELECT qid, cand, 'positive' AS kind FROM own WHERE qid IN (SELECT qid FROM k WHERE k = 3) UNION ALL SELECT qid, cand, 'hard' FROM k WHERE k <= 15 AND qid IN (SELECT qid FROM k WHERE k = 3)""")
+@query(f"""WITH {CHANGES}, {drawn_sql("own", "own", "own", 15, 3)}
+SELECT qid, cand, 'positive' AS kind FROM own WHERE qid IN (SELECT qid FROM dr WHERE k = 3) UNION ALL SELECT qid, cand, 'hard' FROM dr WHERE qid IN (SELECT qid FROM dr WHERE k = 3)""")
 def sampled_change_pools(s, d):
     """Each order's parts and up to fifteen others of its customer; orders with fewer than three others are left out."""
     return benchmarks.change_pools(changes(s, d), hard=15, filler=0, least=3, seed=3)

@@ -493,3 +493,51 @@ def test_archives_and_merges(spark, tmp_path):
     assert tables.merge_new(edges, path, ["source", "target"], spark.createDataFrame([("r2",)], "repo string"), "repo") == 1
     assert tables.merge_new(edges, path, ["source", "target"]) == 1 and tables.merge_new(edges, path, ["source", "target"]) == 0
     assert spark.read.parquet(path).count() == 2
+
+
+def test_pools_against_all_pairs(spark):
+    """``drawn`` and the pools built on it, by their definition over whole pools in plain Python."""
+    import hashlib
+    import random
+
+    h = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    rng = random.Random(5)
+    members = {(g, c) for c in range(120) for g in rng.sample("abcd", rng.choice((1, 1, 1, 2)))} | {("e", 200)}
+    asked = [(q, g) for q in range(12) for g in rng.sample("abcde", 1 + q % 3)] + [(20, "e"), (21, "none")]
+    gold = {(q, c) for q, g in asked for c in rng.sample(sorted(c for m, c in members if m == g) or [0], 1)} | {(20, 200)}
+    smallest = {c: min(g for g, x in members if x == c) for _, c in members}
+
+    def draw(q, own, excluded, size, seed):
+        places = [(g, c) for g in sorted(own) for c in sorted((c for m, c in members if m == g), key=lambda c: (h(seed, g, c), c))]
+        again = sum(smallest[c] != g for g, c in places) if len({g for g, _ in places}) > 1 else 0
+        n = len(places)
+        m = min(n, size + len(excluded) + again)
+        cut = [(j * n // m, (j + 1) * n // m) for j in range(m)]
+        return {places[a + h(seed, q, j) % (b - a)][1] for j, (a, b) in enumerate(cut)} - excluded, {c for _, c in places} - excluded
+
+    frames = lambda rows, names: spark.createDataFrame(sorted(rows), names)
+    held, pairs = frames(members, "grp string, cand int").union(spark.createDataFrame([(None, 7), ("a", None)], "grp string, cand int")), frames(gold, "qid int, cand int")
+    got = benchmarks.drawn(frames(set(asked), "qid int, grp string"), held.union(held), pairs, 9, 3).collect()
+    for q in {q for q, _ in asked}:
+        excluded = {c for x, c in gold if x == q}
+        drawn, pool = draw(q, {g for x, g in asked if x == q}, excluded, 9, 3)
+        want = sorted(drawn, key=lambda c: (h(3, q, c), c))[:9]
+        assert [r["cand"] for r in sorted(got, key=lambda r: r["k"]) if r["qid"] == q] == want and len(want) == min(9, len(pool)), q
+
+    overlaps = {(q, c): rng.randint(1, 4) for q in range(12) for c in rng.sample(range(120), 3 * q)}
+    cands = frames(members, "cand_grp string, cand int").select("cand", F.col("cand_grp").alias("grp"))
+    found = {tuple(r) for r in benchmarks.retrieval_pools(frames([(*k, v) for k, v in overlaps.items()], "qid int, cand int, score long"), pairs, cands, 8, 4, 5, 1).collect()}
+    want = set()
+    for q in {q for q, _ in gold}:
+        own = {c for x, c in gold if x == q}
+        groups = {g for g, c in members if c in own}
+        pool = {c for g, c in members if g in groups} - own
+        if len(pool) >= 5:
+            best = sorted(pool, key=lambda c: (-overlaps.get((q, c), 0), c))[:8]
+            drawn, _ = draw(q, groups, own | set(best), 5, 1)
+            want |= {(q, c, "positive") for c in own} | {(q, c, "hard") for c in best} | {(q, c, "random") for c in sorted(drawn, key=lambda c: (h(1, q, c), c))[:4]}
+    assert found == want and {k for _, _, k in want} == {"positive", "hard", "random"}
+    none = spark.createDataFrame([], "grp string, qid int, cand int")
+    assert benchmarks.change_pools(none).count() == benchmarks.sampled_pool(pairs, held.limit(0), pairs, 3, 1).count() == 0
+    one = spark.createDataFrame([("g", q, c) for q, c in ((1, 1), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (3, 1), (3, 2))], "grp string, qid int, cand int")
+    assert {tuple(r) for r in benchmarks.change_pools(one, 1, 1).collect()} == {(1, 1, "positive"), (1, 2, "positive"), (1, 3, "hard"), (2, 2, "positive"), (2, 3, "positive"), (2, 1, "hard")}
