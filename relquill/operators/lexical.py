@@ -1,4 +1,4 @@
-"""Lexical scoring: BM25, TF and IDF cosine, hashed TF, overlap. BM25 and overlap shuffle query terms alone; the norms of cosines need every term."""
+"""Lexical scoring: BM25, TF and IDF cosine, hashed TF, overlap. Query terms alone are shuffled, but for hashed TF, whose norms need every term."""
 
 from __future__ import annotations
 
@@ -29,15 +29,34 @@ def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def query_postings(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cand, dl, tok, tf) of the tokens that some query has, and for each document a row with a null token.
+def square_norm(ts: Column) -> Column:
+    """Sum of the squared counts of an array's tokens, from its sorted runs; no token leaves its row."""
+    zero = F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
 
-    Written once: the texts are read and split a single time, whatever is computed from the postings.
+    def step(s: Column, tok: Column) -> Column:
+        run = F.when(s["last"] == tok, s["run"]).otherwise(F.lit(0).cast("long"))
+        return F.struct(tok.alias("last"), (run + 1).alias("run"), (s["total"] + 2 * run + 1).alias("total"))  # (r + 1)^2 - r^2
+
+    return F.aggregate(F.sort_array(ts), zero, step)["total"]
+
+
+def query_postings(queries: DataFrame, docs: DataFrame, norms: bool = False) -> DataFrame:
+    """(cand, dl, tok, tf) of the tokens that some query has, and for each document a row with a null token; ids are unique.
+
+    Written once: the texts are read and split a single time, whatever is computed from the postings. With ``norms`` also
+    ``square``, the squared length of the document's counts of all its tokens.
     """
     wanted = bounded(terms(queries).select("tok").distinct().withColumn("known", F.lit(True)))
-    split = docs.select("cand", tokens("text").alias("ts")).select("cand", F.size("ts").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("tok"))
+    own = ["cand", "dl"] + ["square"] * norms
+    split = docs.select("cand", tokens("text").alias("ts")).withColumn("dl", F.size("ts"))
+    split = split.withColumn("square", square_norm(F.col("ts"))) if norms else split
+    split = split.select(*own, F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("tok"))
     kept = split.join(wanted, "tok", "left").where("tok IS NULL OR known")
-    return materialise(kept.groupBy("cand", "dl", "tok").agg(F.count("*").alias("tf")), "postings")
+    return materialise(kept.groupBy(*own, "tok").agg(F.count("*").alias("tf")), "postings")
+
+
+#: Weights of a query's terms that are broadcast to the postings, at most.
+BROADCAST_WEIGHTS = 1_000_000
 
 
 def bm25(queries: DataFrame, docs: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, postings: DataFrame | None = None) -> DataFrame:
@@ -46,12 +65,35 @@ def bm25(queries: DataFrame, docs: DataFrame | None = None, k1: float = 1.5, b:
     size = held.where("tok IS NULL").agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))  # one row
     tf = held.where("tok IS NOT NULL")
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    weight = df.join(F.broadcast(size)).select("tok", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighted = bounded(terms(queries).join(weight, "tok").select("qid", "tok", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")))
+    weight = df.join(F.broadcast(size)).select("tok", "avgdl", bm25_idf().alias("idf"))
+    weighted = bounded(terms(queries).join(weight, "tok").select("qid", "tok", "avgdl", (F.col("qtf") * F.col("idf")).alias("w")), BROADCAST_WEIGHTS)
     # dealt by document, the products of a pair meet in one task: they are added up without another shuffle
-    tf = tf.repartition("cand")
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(weighted, "tok").groupBy("qid", "cand").agg(F.sum(part).alias("score"))
+    return tf.repartition("cand").join(weighted, "tok").groupBy("qid", "cand").agg(F.sum(bm25_part(k1, b)).alias("score"))
+
+
+def bm25_idf() -> Column:
+    return F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
+def bm25_part(k1: float, b: float) -> Column:
+    return F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_in_groups(queries: DataFrame, postings: DataFrame, docs: DataFrame, scope: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(qid, cand, score) with numbers of documents and lengths of each query's groups alone.
+
+    ``scope``: qid, grp; ``docs``: cand, grp, of which a document has one. Counts are kept by group and added up by query; the
+    weights of a query's terms in each of its groups meet the postings like those of ``bm25``.
+    """
+    held = materialise(postings.join(docs.select("cand", "grp").where("grp IS NOT NULL"), "cand"), "grouped")
+    tf, scope = held.where("tok IS NOT NULL"), scope.select("qid", "grp").distinct()
+    by_group = held.where("tok IS NULL").groupBy("grp").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    size = scope.join(bounded(by_group), "grp").groupBy("qid").agg(F.sum("n").alias("n"), F.coalesce(F.nullif(F.sum("dl") / F.sum("n"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
+    seen = tf.groupBy("grp", "tok").agg(F.count("*").alias("df"))
+    own = materialise(terms(queries).join(scope, "qid").join(seen, ["grp", "tok"]), "terms")  # a row for each query, group and token that it has there
+    weight = own.groupBy("qid", "tok").agg(F.sum("df").alias("df")).join(size, "qid").select("qid", "tok", "avgdl", bm25_idf().alias("idf"))
+    weighted = own.select("qid", "grp", "tok", "qtf").join(weight, ["qid", "tok"]).select("qid", "grp", "tok", "avgdl", (F.col("qtf") * F.col("idf")).alias("w"))
+    return tf.repartition("cand").join(bounded(weighted, BROADCAST_WEIGHTS), ["grp", "tok"]).groupBy("qid", "cand").agg(F.sum(bm25_part(k1, b)).alias("score"))
 
 
 def pooled(scores: DataFrame, pool: DataFrame) -> DataFrame:
@@ -65,21 +107,35 @@ def text_or_path(nodes: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def tf_dot(queries: DataFrame, docs: DataFrame, idf: bool = False, min_df: int = 1) -> DataFrame:
-    """(qid, cand, score): dot product of L2-normalised term counts, weighted by ln((1+N)/(1+df))+1 if ``idf``."""
-    d = postings(docs, "cand", tokens("text"))
-    df = d.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    n = docs.agg(F.count("*").alias("n"))
-    d = d.join(df, "tok")
-    norms = d.groupBy("cand").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    q = queries.select("qid", F.explode(tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf")).join(df.select("tok"), "tok", "left_semi")
+    """(qid, cand, score): dot product of L2-normalised term counts, weighted by ln((1+N)/(1+df))+1 if ``idf``.
+
+    Tokens of fewer than ``min_df`` documents count nowhere. Squared lengths are added up inside each row, and only query terms are
+    shuffled. What rare tokens add to the lengths is taken off: those of a single document show by its id being smallest
+    and largest, which partial counts of the vocabulary tell; a ``min_df`` above 2 needs all postings.
+    """
+    held = query_postings(queries, docs, norms=True)
+    tf = held.where("tok IS NOT NULL")
+    df = tf.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    n = held.where("tok IS NULL").agg(F.count("*").alias("n"))
+    weight = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1 if idf else F.lit(1.0)
+    q = terms(queries).join(df, "tok").join(F.broadcast(n)).select("qid", "tok", "qtf", weight.alias("w"))
+    q = materialise(q, "terms")
     qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("qnorm"))
-    hit = d.join(q, "tok")
-    if idf:
-        hit = hit.join(F.broadcast(n)).withColumn("w", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    else:
-        hit = hit.withColumn("w", F.lit(1.0))
-    dots = hit.groupBy("qid", "cand").agg(F.sum(F.col("w") * F.col("tf") * F.col("qtf")).alias("dot"))
-    return dots.join(norms, "cand").join(qn, "qid").select("qid", "cand", (F.col("dot") / F.col("norm") / F.col("qnorm")).alias("score"))
+    q = q.join(qn, "qid").select("qid", "tok", (F.col("w") * F.col("qtf") / F.col("qnorm")).alias("w"))
+    dots = tf.repartition("cand").join(bounded(q, BROADCAST_WEIGHTS), "tok").groupBy("qid", "cand").agg(F.sum(F.col("w") * F.col("tf")).alias("dot"), F.max("square").alias("square"))
+    if min_df > 1:
+        dots = dots.join(rare_squares(docs, min_df), "cand", "left").withColumn("square", F.col("square") - F.coalesce("rare", F.lit(0)))
+    return dots.select("qid", "cand", (F.col("dot") / F.sqrt("square")).alias("score"))
+
+
+def rare_squares(docs: DataFrame, min_df: int) -> DataFrame:
+    """(cand, rare): the sum of squared counts of each document's tokens that fewer than ``min_df`` documents have."""
+    if min_df > 2:
+        d = postings(docs, "cand", tokens("text"))
+        rare = d.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") < min_df).select("tok")
+        return d.join(rare, "tok", "left_semi").groupBy("cand").agg(F.sum(F.col("tf") * F.col("tf")).alias("rare"))
+    by = docs.select("cand", F.explode(tokens("text")).alias("tok")).groupBy("tok").agg(F.min("cand").alias("cand"), F.max("cand").alias("other"), F.count("*").alias("tf"))
+    return by.where("cand = other").groupBy("cand").agg(F.sum(F.col("tf") * F.col("tf")).alias("rare"))
 
 
 def hashed_log_tf(docs: DataFrame, id_col: str, toks: Column, dim: int = 16384) -> DataFrame:

@@ -110,15 +110,9 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DE
 SELECT qid, cand, round(score, 6) AS score, rank FROM rk WHERE rank <= 5""")
 def bm25_pool_scope(s, d):
     """BM25 with document counts and lengths of each query's pool (the groups of its positives) alone."""
-    g = gold(s, d).join(groups(s, d), "cand").select("qid", "grp").distinct()
-    split = spread(table(s, d, "documents").select("doc_id", "source", "text")).select(F.col("doc_id").alias("cand"), F.col("source").alias("grp"), T.tokens("text").alias("ts")).withColumn("dl", F.size("ts"))
-    size = g.join(split.groupBy("grp").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")), "grp").groupBy("qid").agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
-    q = items(s, d).select("qid", F.explode(T.tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
-    tf = split.select("cand", "grp", "dl", F.explode("ts").alias("tok")).join(q.select("tok").distinct(), "tok", "left_semi").groupBy("grp", "tok", "cand", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("grp", "tok").agg(F.count("*").alias("df")).join(g, "grp").groupBy("qid", "tok").agg(F.sum("df").alias("df"))
-    hit = tf.join(g, "grp").join(q, ["qid", "tok"]).join(df, ["qid", "tok"]).join(size, "qid")
-    part = F.expr("qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))")
-    out = ranking.ranked(hit.groupBy("qid", "cand").agg(F.sum(part).alias("score")), 5)
+    held = lexical.query_postings(items(s, d), texts(s, d))
+    scope = gold(s, d, held).join(groups(s, d), "cand").select("qid", "grp")
+    out = ranking.ranked(lexical.bm25_in_groups(items(s, d), held, groups(s, d), scope), 5)
     return out.select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -754,13 +748,14 @@ def relation_metric_train(s, d):
     """Weights of tokens that tell positives from hard negatives."""
     from relquill.operators.learned import relation_metric
 
-    hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), texts(s, d)), gold(s, d), groups(s, d)).select("qid", F.col("cand").alias("neg"))
-    pairs = gold(s, d).withColumnRenamed("cand", "pos").join(hard, "qid")
-    q = items(s, d).select("qid", F.explode(F.array_distinct(T.tokens("text"))).alias("tok"))
-    v = lexical.postings(texts(s, d), "cand", T.tokens("text"))
-    norm = v.groupBy("cand").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
-    v = v.join(q.select("tok").distinct(), "tok", "left_semi").join(norm, "cand").select("cand", "tok", (F.col("tf") / F.col("norm")).alias("x"))
+    held = lexical.query_postings(items(s, d), texts(s, d), norms=True)
+    relevant = gold(s, d, held)
+    hard = benchmarks.mine_hard_negatives(lexical.overlap(items(s, d), postings=held), relevant, groups(s, d)).select("qid", F.col("cand").alias("neg"))
+    pairs = materialise(relevant.withColumnRenamed("cand", "pos").join(hard, "qid"), "pairs")
+    q = lexical.terms(items(s, d))
+    q = q.join(q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf"))).alias("norm")), "qid").select("qid", "tok", (F.col("qtf") / F.col("norm")).alias("u"))
+    v = held.where("tok IS NOT NULL").select("cand", "tok", (F.col("tf") / F.sqrt("square")).alias("x"))
     trip = F.concat_ws("|", "qid", "pos", "neg").alias("trip")
-    one = lambda side, sign: pairs.join(q, "qid").join(v.withColumnRenamed("cand", side), [side, "tok"]).select(trip, "tok", (sign * F.col("x")).alias("x"))
+    one = lambda side, sign: pairs.join(q, "qid").join(v.withColumnRenamed("cand", side), [side, "tok"]).select(trip, "tok", (sign * F.col("u") * F.col("x")).alias("x"))
     both = one("pos", 1).union(one("neg", -1)).groupBy("trip", "tok").agg(F.sum("x").alias("diff"))
     return relation_metric(both)

@@ -313,6 +313,67 @@ def test_relation_metric_raises_what_tells_apart(spark):
     weight = {r["tok"]: r["weight"] for r in relation_metric(rows).collect()}
     assert weight["good"] > 1 > weight["bad"]
     assert relation_metric(rows.limit(0)).count() == 0
+    # a triplet that is never late: its weights are drawn to 0 in every epoch
+    far = relation_metric(spark.createDataFrame([(1, "a", 5.0)], "trip int, tok string, diff double"), rate=0.5, epochs=40, decay=1e-3).first()
+    assert abs(far["weight"] - (1 - 0.5e-3) ** 80) < 1e-12
+
+
+def test_reranker_is_drawn_to_zero_by_its_rows():
+    """One step from 0 has no regularisation; the second has ``l2`` over the number of rows."""
+    import numpy as np
+
+    from relquill.operators.learned import fit_lr
+
+    x, y = np.array([[1.0], [2.0], [-1.0]]), np.array([1.0, 1.0, 0.0])
+    balance = np.array([0.75, 0.75, 1.5])
+    w, b = 0.0, 0.0
+    for _ in range(2):
+        e = balance * (1 / (1 + np.exp(-(x[:, 0] * w + b))) - y) / 3
+        w, b = w - 0.3 * ((x[:, 0] * e).sum() + 2.0 * w / 3), b - 0.3 * e.sum()
+    got = fit_lr(x, y, epochs=2, l2=2.0)
+    assert abs(got[0][0] - w) < 1e-12 and abs(got[1] - b) < 1e-12
+
+
+def test_cosines_and_group_scores_against_plain_python(spark):
+    """Cosines at each floor of document counts, and BM25 with the counts of a query's groups."""
+    import math
+    import random
+    from collections import Counter
+
+    from relquill.operators import lexical
+
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    docs = {k: " ".join(r.choices(words, [1 / (i + 1) for i in range(30)], k=r.randint(0, 25))) for k in range(25)} | {50: "", 51: None, 52: "lone lone w0"}
+    asked = {0: "w0 w1 w1 w29 w28 lone", 1: "w2 unseen", 2: "", 3: None}
+    q, d = spark.createDataFrame(list(asked.items()), "qid int, text string"), spark.createDataFrame(list(docs.items()), "cand int, text string")
+    tf = {k: Counter((t or "").split()) for k, t in docs.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    for least in (1, 2, 4):
+        for idf in (False, True):
+            got = {(x["qid"], x["cand"]): x["score"] for x in lexical.tf_dot(q, d, idf, least).collect()}
+            want = {}
+            for i, text in asked.items():
+                own = Counter(t for t in (text or "").split() if df[t] >= least)
+                for k, c in tf.items():
+                    c = {t: n for t, n in c.items() if df[t] >= least}
+                    if own.keys() & c.keys():
+                        dot = sum(n * c.get(t, 0) * (math.log((1 + len(docs)) / (1 + df[t])) + 1 if idf else 1) for t, n in own.items())
+                        want[i, k] = dot / math.sqrt(sum(n * n for n in own.values()) * sum(n * n for n in c.values()))
+            assert got.keys() == want.keys() and all(abs(got[x] - v) < 1e-9 for x, v in want.items()) and want, (least, idf)
+    group = {k: "abc"[k % 3] if k % 7 else None for k in docs}
+    scope = [(0, "a"), (0, "b"), (1, "c"), (2, "a")]
+    got = lexical.bm25_in_groups(q, lexical.query_postings(q, d), spark.createDataFrame(list(group.items()), "cand int, grp string"), spark.createDataFrame(scope, "qid int, grp string")).collect()
+    want = {}
+    for i, text in asked.items():
+        pool = [k for k in docs if (i, group[k]) in scope]
+        mean = sum(sum(tf[k].values()) for k in pool) / max(1, len(pool))
+        for k in pool:
+            hit = [t for t in (text or "").split() if t in tf[k]]
+            seen = {t: sum(t in tf[x] for x in pool) for t in hit}
+            if hit:
+                want[i, k] = sum(math.log(1 + (len(pool) - seen[t] + 0.5) / (seen[t] + 0.5)) * tf[k][t] * 2.5 / (tf[k][t] + 1.5 * (0.25 + 0.75 * sum(tf[k].values()) / mean)) for t in hit)
+    assert {(x["qid"], x["cand"]): round(x["score"], 9) for x in got} == {x: round(v, 9) for x, v in want.items()} and len(want) > 10
 
 
 def test_sign_test_is_exact(spark):
