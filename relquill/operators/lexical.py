@@ -24,8 +24,15 @@ def terms(queries: DataFrame, toks: Column | None = None) -> DataFrame:
     return queries.select("qid", F.explode(tokens("text") if toks is None else toks).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("qtf"))
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
-    """``df``, broadcast if it has ``most`` rows or fewer."""
+#: Bytes of texts that are broadcast, at most.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_TERMS, size: Column | None = None) -> DataFrame:
+    """``df``, broadcast if it has ``most`` rows or fewer and, with the ``size`` of a row in bytes, at most BROADCAST_BYTES."""
+    if size is not None:
+        held = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+        return F.broadcast(df) if held["n"] <= most and held["bytes"] <= BROADCAST_BYTES else df
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

@@ -53,10 +53,10 @@ def gold(s: SparkSession, d: str, postings: DataFrame | None = None) -> DataFram
     df = held.groupBy("tok").agg(F.count("*").alias("df"))
     key = inner.select("qid", F.explode("ts").alias("tok")).join(df, "tok").groupBy("qid").agg(F.min(F.struct("df", "tok"))["tok"].alias("tok"))
     near = held.join(key, "tok").select("qid", "cand")
-    near = near.join(lexical.bounded(items(s, d).select("qid", F.col("text").alias("item")), 100_000), "qid").groupBy("cand").agg(F.collect_list(F.struct("qid", "item")).alias("x"))  # the items of one text
+    near = near.join(lexical.bounded(items(s, d).select("qid", F.col("text").alias("item")), 100_000, F.octet_length("item")), "qid").groupBy("cand").agg(F.collect_list(F.struct("qid", "item")).alias("x"))  # the items of one text
     near = materialise(near, "near")
     texts_of = table(s, d, "documents").select(F.col("doc_id").alias("cand"), "text")
-    found = texts_of.join(lexical.bounded(near, 20_000), "cand").select("cand", F.explode(F.filter("x", lambda x: F.contains("text", x["item"]))["qid"]).alias("qid"))
+    found = texts_of.join(lexical.bounded(near, 20_000, F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["item"]) + 16)), "cand").select("cand", F.explode(F.filter("x", lambda x: F.contains("text", x["item"]))["qid"]).alias("qid"))
     found = found.select("qid", "cand")
     short = inner.where("size(ts) = 0").select("qid", "item").withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(SHORT_BLOCKS)))
     for k in [r["block"] for r in short.select("block").distinct().collect()]:
