@@ -33,7 +33,7 @@ def projected_rank(s, d):
     """Nearest vectors after a projection, every hundredth vector as a stated query set."""
     p = vectors(s, d, "cand").select("cand", dense.projected(F.col("v"), MATRIX).alias("v"))
     q = p.where("cand % 100 = 0").select(F.col("cand").alias("qid"), F.col("v").alias("qv"))
-    out = dense.searched(q, p, dense.dot(F.col("qv"), F.col("v")), 5)
+    out = dense.searched_dot(q, p, 5)
     return out.select("qid", "cand", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -44,25 +44,20 @@ m AS (SELECT cand, list(x ORDER BY dim) AS m FROM (SELECT cand, dim, avg(x) AS x
 a AS (SELECT qid, cand, max(p) AS maxp, max(p) FILTER (ix = 0) AS firstp, sum(p) AS sump, avg(p) AS meanp, any_value(list_dot_product(q, m) / sqrt(list_dot_product(m, m))) AS whole_doc_mean FROM s JOIN q USING (qid) JOIN m USING (cand) GROUP BY ALL)"""
 
 
-AGGREGATORS = ("maxp", "firstp", "sump", "meanp", "whole_doc_mean")
+AGGREGATORS = dense.AGGREGATORS
 
 
-def chunked(s, d, size: int):
-    """(qid, cand, aggregators): vectors as chunks of documents of ``size`` each, every hundredth vector as a stated query set."""
+def chunked(s, d, size: int, top: int, by: tuple[str, ...]):
+    """(qid, by, cand, aggregators, rank): vectors as chunks of documents of ``size`` each, every hundredth vector as a stated query set."""
     c = vectors(s, d, "id").select(F.floor(F.col("id") / size).alias("cand"), (F.col("id") % size).alias("chunk_ix"), "v")
-    q = vectors(s, d, "qid").where("qid % 100 = 0").select("qid", F.col("v").alias("q"))
-    out = None
-    for block in dense.blocks(q):
-        part = dense.chunk_scores(c.join(F.broadcast(block), F.col("cand") != F.floor(F.col("qid") / size)))
-        out = part if out is None else out.union(part)
-    return out
+    q = vectors(s, d, "qid").where("qid % 100 = 0").select("qid", F.col("v").alias("q"), F.floor(F.col("qid") / size).alias("own"))
+    return dense.chunks_searched(q, c, top, by)
 
 
 @query(f"WITH {_chunks('5')}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(maxp, 9) DESC, cand) AS rank FROM a) SELECT qid, cand, {', '.join(f'round({x}, 6) AS {x}' for x in AGGREGATORS)}, rank FROM r WHERE rank <= 10")
 def chunk_aggregators(s, d):
     """Documents of five chunk vectors ranked by their best chunk, with all aggregators."""
-    w = Window.partitionBy("qid").orderBy(F.round("maxp", 9).desc(), "cand")
-    return chunked(s, d, 5).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 10").select("qid", "cand", *(F.round(x, 6).alias(x) for x in AGGREGATORS), "rank")
+    return chunked(s, d, 5, 10, ("maxp",)).select("qid", "cand", *(F.round(x, 6).alias(x) for x in AGGREGATORS), F.col("rank").cast("long").alias("rank"))
 
 
 def _grid(size: int) -> str:
@@ -76,8 +71,7 @@ def chunk_ablation(s, d):
     label = table(s, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("label").alias("ql"))
     out = None
     for size in (2, 5, 10):
-        scores = chunked(s, d, size).select("qid", "cand", F.explode(F.create_map(*(y for x in AGGREGATORS for y in (F.lit(x), F.col(x))))).alias("aggregator", "score"))
-        best = scores.groupBy("qid", "aggregator").agg(F.min_by("cand", F.struct((-F.round("score", 9)).alias("s"), "cand")).alias("cand"))
+        best = chunked(s, d, size, 1, AGGREGATORS).select("qid", F.col("by").alias("aggregator"), "cand")
         first = label.select((F.col("qid") / size).cast("long").alias("cand"), F.col("ql").alias("cl"), "qid").where(F.col("qid") % size == 0).drop("qid")
         part = best.join(label, "qid").join(first, "cand").groupBy("aggregator").agg(F.count("*").alias("n"), F.avg((F.col("ql") == F.col("cl")).cast("int")).alias("r1")).withColumn("size", F.lit(size))
         out = part if out is None else out.union(part)
@@ -170,7 +164,7 @@ sub AS (SELECT qid, rank, cand, score, coalesce(files, []) AS files, coalesce(te
 
 def found_subgraph(s, d):
     v = vectors(s, d, "cand")
-    ranked = dense.searched(v.where("cand % 100 = 0").select(F.col("cand").alias("qid"), F.col("v").alias("qv")), v, F.round(dense.dot(F.col("qv"), F.col("v")), 9), 5)
+    ranked = dense.searched_dot(v.where("cand % 100 = 0").select(F.col("cand").alias("qid"), F.col("v").alias("qv")), v, 5).withColumn("score", F.round("score", 9))
     p = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") <= 20).alias("is_test"))
     e = table(s, d, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("cand"), F.concat(F.lit("p"), F.lpad("l_partkey", 9, "0")).alias("path"), "is_test")
     return graph.subgraph(ranked, e, 3)
