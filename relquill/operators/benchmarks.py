@@ -12,8 +12,9 @@ from relquill.sources.tables import materialise
 
 def mine_hard_negatives(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, top: int = 8) -> DataFrame:
     """(qid, cand, overlap, rank): the candidates with the most tokens in common that share a positive's group and aren't positive."""
-    in_group = gold.join(groups, "cand").select("qid", "grp").distinct()
-    pool = overlaps.join(groups, "cand").join(in_group, ["qid", "grp"]).join(gold, ["qid", "cand"], "left_anti")
+    in_group = materialise(gold.join(groups, "cand").select("qid", "grp").distinct(), "in_group")
+    # small sides are broadcast: pairs of other groups go before any is sorted or shuffled
+    pool = overlaps.join(groups, "cand").join(bounded(in_group), ["qid", "grp"]).join(bounded(gold), ["qid", "cand"], "left_anti")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "cand")
     return pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("qid", "cand", F.col("score").alias("overlap"), "rank")
 
@@ -86,7 +87,7 @@ def retrieval_pools(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, har
     the beginning of the groups of queries that lack others.
     """
     in_group = materialise(gold.join(groups, "cand").where("grp IS NOT NULL").select("qid", "grp").distinct(), "in_group")
-    met = overlaps.join(groups, "cand").join(in_group, ["qid", "grp"]).select("qid", "cand", "score").distinct().join(gold, ["qid", "cand"], "left_anti")
+    met = overlaps.join(groups, "cand").join(bounded(in_group), ["qid", "grp"]).select("qid", "cand", "score").distinct().join(bounded(gold), ["qid", "cand"], "left_anti")
     first = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "cand"))).where(F.col("k") <= hard).drop("k")
     met = materialise(first(met), "met")
     # queries with fewer: the first members of their groups, as many as can be positive, met or wanted

@@ -43,3 +43,32 @@ def test_chunks_in_tiles_equal_scores_of_all_pairs(spark, monkeypatch):
             for rank, x in enumerate(sorted((x for k, x in rows if k == qid), key=lambda x: (-x[n], x[0]))[:4], 1):
                 want[qid, a, rank] = x
     assert got == want
+
+
+def test_ranks_of_relevant_by_bands(spark):
+    """Many relevant candidates, ties across them, a query of equal scores; the plan has no pair of a candidate and each relevant one."""
+    from relquill.operators import ranking
+
+    rng = random.Random(7)
+    scores = [(q, c, float(rng.randint(0, 30)) / 3 if q else 1.0) for q in range(4) for c in range(200)]
+    relevant = [(q, c) for q in range(4) for c in range(200) if rng.random() < 0.5] + [(9, 1)]
+    df = spark.createDataFrame(scores, "qid int, cand int, score double")
+    out = ranking.gold_ranks(df, spark.createDataFrame(relevant, "qid int, cand int"))
+    want = {(q, c): k for p in range(4) for k, (_, q, c) in enumerate(sorted((-s, q, c) for q, c, s in scores if q == p), 1)}
+    assert {(r["qid"], r["cand"]): r["rank"] for r in out.collect()} == {x: want[x] for x in relevant if x in want}
+    assert "relevant" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["qid"]: r["score"] for r in ranking.first(df, "score").collect()} == {q: min((-s, c) for p, c, s in scores if p == q)[1] for q in range(4)}
+
+
+def test_products_are_dealt_by_their_pairs(spark, monkeypatch):
+    """The partitions of a pair's products grow with documents and queries, and a text's counts need no shuffle after it is dealt."""
+    from relquill.operators import lexical
+
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 10)
+    q = spark.createDataFrame([(k, f"a{k} b") for k in range(5)], "qid int, text string")
+    d = spark.createDataFrame([(k, f"a{k % 5} b c") for k in range(40)], "cand int, text string")
+    held = lexical.query_postings(q, d)
+    assert lexical.dealt(held, q).rdd.getNumPartitions() == 20
+    rows = {(r["qid"], r["cand"]): (r["score"], r["shared"]) for r in lexical.bm25(q, postings=held, shared=True).collect()}
+    assert {k: n for k, (_, n) in rows.items()} == {(r["qid"], r["cand"]): r["score"] for r in lexical.overlap(q, postings=held).collect()}
+    assert {k: round(x, 9) for k, (x, _) in rows.items()} == {(r["qid"], r["cand"]): round(r["score"], 9) for r in lexical.bm25(q, d).collect()}
