@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import truncated
+from relquill.operators.dense import searched_dot, unit
+from relquill.operators.lexical import bounded
 from relquill.sources.tables import materialise
 
 
@@ -18,55 +20,89 @@ def adjacency(edges: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     return both.join(out, (F.least(both.a, both.b) == out.lo) & (F.greatest(both.a, both.b) == out.hi), "left_anti")
 
 
-def neighbour_mean(adj: DataFrame, current: DataFrame) -> DataFrame:
-    """(node, dim, m): the mean over roles of the mean of each role's neighbours that have a vector."""
-    role = adj.join(current.withColumnRenamed("node", "b"), "b").groupBy("a", "role", "dim").agg(F.avg("x").alias("x"))
-    return role.groupBy(F.col("a").alias("node"), "dim").agg(F.avg("x").alias("m"))
+def near(edges: DataFrame, nodes: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(a, b, role): the rows of ``adjacency`` whose ``b`` is one of ``nodes`` (node). Edges of other nodes go before any is shuffled, if the nodes are few."""
+    few = bounded(nodes.select("node"))
+    there = edges.join(few, F.col("target") == F.col("node"), "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b"), "role")
+    back = edges.join(few, F.col("source") == F.col("node"), "left_semi").select(F.col("target").alias("a"), F.col("source").alias("b"), "role")
+    both = there.union(back).distinct()
+    if excluded is None:
+        return both
+    out = excluded.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    return both.join(out, (F.least(both.a, both.b) == out.lo) & (F.greatest(both.a, both.b) == out.hi), "left_anti")
+
+
+def mean_vector(size: int) -> Column:
+    """The mean of each component of ``v``, of at most ``size``, as an aggregate; a missing component counts nowhere."""
+    return F.slice(F.array(*(F.avg(F.get("v", F.lit(k))) for k in range(size))), F.lit(1), F.coalesce(F.max(F.size("v")), F.lit(0))).alias("v")
+
 
+def neighbour_mean(adj: DataFrame, current: DataFrame, size: int) -> DataFrame:
+    """(node, v): the mean over roles of the mean of each role's neighbours that have a vector."""
+    role = adj.join(current.select(F.col("node").alias("b"), "v"), "b").groupBy("a", "role").agg(mean_vector(size))
+    return role.groupBy(F.col("a").alias("node")).agg(mean_vector(size))
 
-def seeded(adj: DataFrame, base: DataFrame) -> DataFrame:
-    """(node, dim, x): ``base`` and a first vector of each other node, the mean of its neighbours that have one before it.
+
+def longest(vectors: DataFrame) -> int:
+    return vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+
+
+def seeded(edges: DataFrame, base: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(node, v): ``base`` and a first vector of each other node, the mean of its neighbours that have one before it.
 
     Nodes without a vector of their own are taken in the order of their ids, so a neighbour with a smaller id counts once it
-    has a vector. Nodes whose smaller neighbours are settled go in one round; a round that settles nothing new ends it.
+    has a vector. First the nodes that a vector reaches are found by ids alone, and the edges among them, which are all that matter. Of these,
+    nodes whose smaller neighbours are settled go in one round; a round that settles nothing new ends it.
     """
-    base = base.select("node", "dim", "x")
-    own = base.select("node").distinct()
-    open_ = materialise(adj.select(F.col("a").alias("node")).distinct().join(own, "node", "left_anti"), "open")
-    waits = materialise(adj.select("a", "b").distinct().where("b < a").join(open_.withColumnRenamed("node", "a"), "a", "left_semi").join(open_.withColumnRenamed("node", "b"), "b", "left_semi"), "waits")
-    current = materialise(base, "current")
+    base = materialise(base.select("node", "v"), "base")
+    size, own = longest(base), base.select("node").distinct().withColumn("own", F.lit(True))
+    held = new = own
+    feeds = None  # (a, b, role): b has a vector before a
+    while not new.isEmpty():
+        found = near(edges, new, excluded).join(bounded(own.select(F.col("node").alias("a"))), "a", "left_anti").join(bounded(new.withColumnRenamed("node", "b")), "b").where("own OR b < a")
+        found = materialise(found.select("a", "b", "role", "own"), "feeds")
+        feeds = found if feeds is None else feeds.union(found)
+        new = materialise(found.select(F.col("a").alias("node")).distinct().join(bounded(held.select("node")), "node", "left_anti").withColumn("own", F.lit(False)), "new")
+        held = held.union(new)
+    if feeds is None:
+        return base
+    current, open_ = base, materialise(held.where("NOT own").select("node"), "open")
     while not open_.isEmpty():
-        ready = open_.join(waits.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
-        earlier = adj.join(ready.select(F.col("node").alias("a")), "a", "left_semi").join(own.withColumnRenamed("node", "b").withColumn("own", F.lit(True)), "b", "left").where("own OR b < a")
-        new = neighbour_mean(earlier.select("a", "b", "role"), current).select("node", "dim", F.col("m").alias("x"))
-        current = materialise(current.union(new), "current")
-        rest = materialise(open_.join(ready, "node", "left_anti"), "open")
-        waits = materialise(waits.join(ready.select(F.col("node").alias("b")), "b", "left_anti"), "waits")
-        open_ = rest
+        waits = feeds.where("NOT own").join(open_.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
+        ready = materialise(open_.join(waits, "node", "left_anti"), "ready")
+        mean = neighbour_mean(feeds.join(ready.select(F.col("node").alias("a")), "a", "left_semi"), current, size)
+        current = current.union(materialise(mean, "settled"))
+        open_ = materialise(open_.join(ready, "node", "left_anti"), "open")
     return current
 
 
-def hop(adj: DataFrame, current: DataFrame, base: DataFrame, alpha: float) -> DataFrame:
-    """One round of typed mean aggregation over long vectors (node, dim, x), mixed with ``base``; a node without neighbours keeps its vector."""
-    mean, own = neighbour_mean(adj, current), base.select("node", "dim", F.col("x").alias("own"))
-    joined = mean.join(own, ["node", "dim"], "full").join(current.select("node", "dim", "x"), ["node", "dim"], "full")
-    mixed = F.when(F.col("m").isNull(), F.coalesce("own", "x")).when(F.col("own").isNull(), F.col("m")).otherwise(alpha * F.col("own") + (1 - alpha) * F.col("m"))
-    return joined.select("node", "dim", mixed.alias("x"))
+def hop(edges: DataFrame, current: DataFrame, base: DataFrame, alpha: float, excluded: DataFrame | None = None) -> DataFrame:
+    """One round of typed mean aggregation over vectors (node, v), mixed with ``base``; a node without neighbours keeps its vector."""
+    mean = neighbour_mean(near(edges, current, excluded), current, longest(current))
+    joined = mean.withColumnRenamed("v", "m").join(base.select("node", F.col("v").alias("own")), "node", "full").join(current.select("node", "v"), "node", "full")
+    mixed = F.zip_with("m", "own", lambda m, o: F.when(m.isNull(), o).when(o.isNull(), m).otherwise(alpha * o + (1 - alpha) * m))
+    return joined.select("node", F.coalesce(mixed, "m", "own", "v").alias("v"))
+
+
+def augmented_vectors(edges: DataFrame, base: DataFrame, alpha: float = 0.5, hops: int = 1, excluded: DataFrame | None = None) -> DataFrame:
+    """Unit vectors (node, v) of all nodes that get one after ``hops`` rounds. ``edges``: source, target, role; ``base``: node, v."""
+    now = seeded(edges, base, excluded)
+    for _ in range(hops):
+        now = materialise(hop(edges, now, base, alpha, excluded), "hop")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
+    return now.withColumn("n", norm).select("node", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))
 
 
-def at_unit_length(vectors: DataFrame) -> DataFrame:
-    """Long vectors at length 1; zero vectors stay."""
-    norm = vectors.groupBy("node").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return vectors.join(norm, "node").select("node", "dim", F.coalesce(F.try_divide("x", "norm"), F.lit(0.0)).alias("x"))
+def whole(vectors: DataFrame, *keys: str) -> DataFrame:
+    """(keys, v) of long vectors (keys, dim, x); dimensions count from 0, one that a key lacks is null."""
+    filled = lambda m: F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys(m)).cast("int")), lambda k: F.try_element_at(m, k))
+    held = vectors.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("dim").cast("int").alias("dim"), "x"))).alias("m"))  # the components of one vector
+    return held.select(*keys, filled(F.col("m")).alias("v"))
 
 
 def augmented(edges: DataFrame, base: DataFrame, alpha: float = 0.5, hops: int = 1, excluded: DataFrame | None = None) -> DataFrame:
-    """Unit vectors (node, dim, x) of all nodes that get one after ``hops`` rounds. ``edges``: source, target, role; ``base``: node, dim, x."""
-    adj = materialise(adjacency(edges, excluded), "adjacency")
-    now = seeded(adj, base)
-    for _ in range(hops):
-        now = materialise(hop(adj, now, base, alpha), "hop")
-    return at_unit_length(now)
+    """``augmented_vectors`` over long vectors (node, dim, x)."""
+    return augmented_vectors(edges, whole(base, "node"), alpha, hops, excluded).select("node", F.posexplode("v").alias("dim", "x"))
 
 
 def merged(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -135,46 +171,59 @@ def fair_rank(pools: DataFrame) -> DataFrame:
     return pools.agg(share(F.col("relevant")).alias("coverage_relevant"), share(~F.col("relevant")).alias("coverage_other")).join(best)
 
 
-def grid(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> DataFrame:
-    """(alpha, hops, node, dim, x): vectors of the sources after 1 to ``hops`` rounds over their targets and back, for each weight.
+def there_and_back(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(node, v): each source's mean over its targets of their mean over sources that have one of ``vectors`` (node, v).
+
+    Edges without a vector at their end go before any is shuffled, if the vectors are few.
+    """
+    size, e = longest(vectors), edges.select("source", "target")
+    there = e.join(bounded(vectors.select(F.col("node").alias("source"))), "source", "left_semi").distinct().join(vectors.withColumnRenamed("node", "source"), "source").groupBy("target").agg(mean_vector(size))
+    there = materialise(there, "there")
+    return e.join(bounded(there.select("target")), "target", "left_semi").distinct().join(there, "target").groupBy(F.col("source").alias("node")).agg(mean_vector(size))
+
+
+def mixed_with(own: str, mean: str, alpha) -> Column:
+    """``alpha`` of ``own`` and the rest of ``mean``; of the components of ``mean``, those that ``own`` lacks are as they are."""
+    both = F.zip_with(mean, own, lambda m, o: F.when(o.isNull(), m).otherwise(alpha * o + (1 - alpha) * m))
+    return F.slice(both, F.lit(1), F.size(mean))
+
+
+def grid_vectors(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> DataFrame:
+    """(alpha, hops, node, v): vectors of the sources after 1 to ``hops`` rounds over their targets and back, for each weight.
 
     A round averages a target's sources and then a source's targets, and mixes ``alpha`` of the base vector in. A node
-    without edges keeps its base vector. ``base``: (node, dim, x).
+    without edges keeps its base vector. ``base``: (node, v).
     """
-    own = edges.select("source", "target").distinct().join(base.select(F.col("node").alias("source")).distinct(), "source", "left_semi")
-    base = base.withColumnRenamed("node", "source").withColumn("alpha", F.explode(F.array(*(F.lit(float(a)) for a in alphas))))
-    out, now = None, base
-    for k in range(1, hops + 1):
-        there = own.join(now, "source").groupBy("alpha", "target", "dim").agg(F.avg("x").alias("x"))
-        back = own.join(there, "target").groupBy("alpha", "source", "dim").agg(F.avg("x").alias("m"))
-        mixed = F.when(F.col("m").isNull(), F.col("x")).otherwise(F.col("alpha") * F.col("x") + (1 - F.col("alpha")) * F.col("m"))
-        now = base.join(back, ["alpha", "source", "dim"], "left").select("alpha", "source", "dim", mixed.alias("x"))
-        part = now.select("alpha", F.lit(k).alias("hops"), F.col("source").alias("node"), "dim", "x")
-        out = part if out is None else out.union(part)
+    base = materialise(base.select("node", "v"), "base")
+    own = materialise(edges.select("source", "target").join(bounded(base.select(F.col("node").alias("source")).distinct()), "source", "left_semi").distinct(), "own")
+    out = None
+    for alpha in map(float, alphas):
+        now = base
+        for k in range(1, hops + 1):
+            back = there_and_back(own, now).withColumnRenamed("v", "m")
+            mixed = F.zip_with("v", "m", lambda x, m: F.when(m.isNull(), x).otherwise(alpha * x + (1 - alpha) * m))  # noqa: B023
+            now = materialise(base.join(back, "node", "left").select("node", F.coalesce(F.slice(mixed, F.lit(1), F.size("v")), "v").alias("v")), "round")
+            part = now.select(F.lit(alpha).alias("alpha"), F.lit(k).alias("hops"), "node", "v")
+            out = part if out is None else out.union(part)
     return out
 
 
-#: Vectors in a block of ``nearest``, about.
-BLOCK_ROWS = 20_000
+def grid(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> DataFrame:
+    """(alpha, hops, node, dim, x): ``grid_vectors`` over long vectors (node, dim, x)."""
+    return grid_vectors(edges, whole(base, "node"), alphas, hops).select("alpha", "hops", "node", F.posexplode("v").alias("dim", "x"))
 
 
-def nearest(vectors: DataFrame, is_query: str, keys: list[str]) -> DataFrame:
-    """(keys, qid, cand): the other node with the largest cosine for each node that ``is_query`` admits, smallest id on ties.
+def nearest_vectors(vectors: DataFrame, is_query: str, keys: list[str]) -> DataFrame:
+    """(keys, qid, cand): the other node with the largest cosine for each node that ``is_query`` admits, smallest id on ties, by products
+    in tiles. ``vectors``: (keys, node, v)."""
+    v = vectors.select(*keys, "node", unit(F.col("v")).alias("v"))
+    q = v.where(is_query).select(*keys, F.col("node").alias("qid"), F.col("v").alias("qv"))
+    return searched_dot(q, v.withColumnRenamed("node", "cand"), 1, tuple(keys)).select(*keys, "qid", "cand")
 
-    Query and candidate meet in tiles (query block, candidate block) by hash, as many blocks as the vectors need, so no task sees
-    all candidates of a key, and the best is kept before the shuffle. ``vectors``: (keys, node, dim, x).
-    """
-    blocks = max(4, -(-vectors.select("node").distinct().count() // BLOCK_ROWS))
-    v = vectors.groupBy(*keys, "node").agg(F.array_sort(F.collect_list(F.struct("dim", "x")))["x"].alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    v = v.withColumn("n", norm).select(*keys, "node", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))
-    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    q = v.where(is_query).select(*keys, F.col("node").alias("qid"), F.col("v").alias("qv"), block.alias("qb")).withColumn("cb", every)
-    c = v.select(*keys, F.col("node").alias("cand"), "v", block.alias("cb")).join(q.select(*keys, "qb", "cb").distinct(), [*keys, "cb"])
-    dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = q.join(c, [*keys, "qb", "cb"]).where("qid <> cand").select(*keys, "qid", "cand", F.round(dot, 9).alias("score"))
-    return pairs.groupBy(*keys, "qid").agg(F.min(F.struct((-F.col("score")).alias("s"), "cand"))["cand"].alias("cand"))
+
+def nearest(vectors: DataFrame, is_query: str, keys: list[str]) -> DataFrame:
+    """``nearest_vectors`` over long vectors (keys, node, dim, x)."""
+    return nearest_vectors(whole(vectors, *keys, "node"), is_query, keys)
 
 
 def _added(a: str, b: str, sign: int = 1) -> F.Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from relquill.operators import dense, graph
-from relquill.plans.catalogue import DIGEST, digest, query
+from relquill.plans.catalogue import DIGEST, digest, query, vector_digest
 from relquill.sources.tables import long_vectors, table
 
 # -- vectors ------------------------------------------------------------------------------------------------------------------
@@ -101,7 +101,7 @@ def typed(s, d):
     """Orders that fix customers' issues and modify parts; every order below 500 has a vector."""
     o = table(s, d, "orders").select(F.concat(F.lit("o"), F.lpad("o_orderkey", 9, "0")).alias("source"), F.concat(F.lit("c"), "o_custkey").alias("target"), F.lit("fixes").alias("role"))
     p = table(s, d, "lineitem").select(F.concat(F.lit("o"), F.lpad("l_orderkey", 9, "0")).alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("modifies").alias("role"))
-    base = long_vectors(table(s, d, "embeddings").withColumn("node", F.concat(F.lit("o"), F.lpad("vec_id", 9, "0"))), "node", "embedding")
+    base = table(s, d, "embeddings").where("embedding IS NOT NULL").select(F.concat(F.lit("o"), F.lpad("vec_id", 9, "0")).alias("node"), F.col("embedding").cast("array<double>").alias("v"))
     return o.union(p), base.join(o.select(F.col("source").alias("node")).distinct(), "node", "left_semi")
 
 
@@ -117,7 +117,7 @@ p0 AS (SELECT a AS node, dim, avg(x) AS x FROM (SELECT a, role, dim, avg(x) AS x
 def graph_seeding(s, d):
     """First vectors of nodes without one of their own, in the order of their ids."""
     edges, base = typed(s, d)
-    return digest(graph.seeded(graph.adjacency(edges), base), "node")
+    return vector_digest(graph.seeded(edges, base), "node")
 
 
 @query(f"""WITH {TYPED}, m AS (SELECT a AS node, dim, avg(x) AS m FROM (SELECT a, role, dim, avg(x) AS x FROM adj JOIN cur ON node = b GROUP BY ALL) GROUP BY ALL),
@@ -126,7 +126,7 @@ n AS (SELECT node, sqrt(sum(x * x)) AS norm FROM h GROUP BY node), u AS (SELECT
 def graph_augmented(s, d):
     """Unit vectors after one round of typed mean aggregation over the whole graph."""
     edges, base = typed(s, d)
-    return digest(graph.augmented(edges, base, 0.5, 1), "node")
+    return vector_digest(graph.augmented_vectors(edges, base, 0.5, 1), "node")
 
 
 @query(f"""WITH a AS (SELECT vec_id AS node, unnest(range(0, len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings WHERE vec_id % 3 < 2), b AS (SELECT vec_id AS node, unnest(range(0, len(embedding))) AS dim, -unnest(embedding::DOUBLE[]) AS x FROM embeddings WHERE vec_id % 3 > 0),

@@ -72,3 +72,18 @@ def test_products_are_dealt_by_their_pairs(spark, monkeypatch):
     rows = {(r["qid"], r["cand"]): (r["score"], r["shared"]) for r in lexical.bm25(q, postings=held, shared=True).collect()}
     assert {k: n for k, (_, n) in rows.items()} == {(r["qid"], r["cand"]): r["score"] for r in lexical.overlap(q, postings=held).collect()}
     assert {k: round(x, 9) for k, (x, _) in rows.items()} == {(r["qid"], r["cand"]): round(r["score"], 9) for r in lexical.bm25(q, d).collect()}
+
+
+def test_edges_without_vectors_are_left_before_any_shuffle(spark):
+    """Nodes that no vector reaches have no row; the graph's rows meet the few nodes with vectors first, as whole vectors."""
+    from relquill.operators import graph
+
+    edges = [("o1", "c1", "x"), ("o2", "c1", "x"), ("o2", "p1", "y"), ("o8", "c8", "x"), ("o8", "p8", "y")]
+    e = spark.createDataFrame(edges + edges[:2], "source string, target string, role string")
+    base = spark.createDataFrame([("o1", [2.0, 4.0]), ("o9", [1.0])], "node string, v array<double>")
+    got = {r["node"]: r["v"] for r in graph.seeded(e, base).collect()}
+    assert got == {"o1": [2.0, 4.0], "o9": [1.0], "c1": [2.0, 4.0], "o2": [2.0, 4.0], "p1": [2.0, 4.0]}
+    near = graph.near(e, base)
+    assert {tuple(r) for r in near.collect()} == {("c1", "o1", "x")}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
