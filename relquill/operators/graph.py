@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relquill.functions.text import truncated
-from relquill.operators.dense import searched_dot, unit
+from relquill.operators.dense import once, searched_dot, unit
 from relquill.operators.lexical import bounded
 from relquill.sources.tables import materialise
 
@@ -90,7 +90,7 @@ def augmented_vectors(edges: DataFrame, base: DataFrame, alpha: float = 0.5, hop
     for _ in range(hops):
         now = materialise(hop(edges, now, base, alpha, excluded), "hop")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
-    return now.withColumn("n", norm).select("node", F.transform("v", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(0.0))).alias("v"))
+    return now.select("node", once(norm, lambda n: F.transform("v", lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))).alias("v"))
 
 
 def whole(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -196,16 +196,23 @@ def grid_vectors(edges: DataFrame, base: DataFrame, alphas: list[float], hops: i
     """
     base = materialise(base.select("node", "v"), "base")
     own = materialise(edges.select("source", "target").join(bounded(base.select(F.col("node").alias("source")).distinct()), "source", "left_semi").distinct(), "own")
-    out = None
-    for alpha in map(float, alphas):
-        now = base
-        for k in range(1, hops + 1):
-            back = there_and_back(own, now).withColumnRenamed("v", "m")
-            mixed = F.zip_with("v", "m", lambda x, m: F.when(m.isNull(), x).otherwise(alpha * x + (1 - alpha) * m))  # noqa: B023
-            now = materialise(base.join(back, "node", "left").select("node", F.coalesce(F.slice(mixed, F.lit(1), F.size("v")), "v").alias("v")), "round")
-            part = now.select(F.lit(alpha).alias("alpha"), F.lit(k).alias("hops"), "node", "v")
-            out = part if out is None else out.union(part)
-    return out
+    # a mean of mixed vectors is the mix of their means, so each round is computed once, whatever the weights: b, its mean m1, the mean m2 of that, ...
+    known = lambda m: F.slice(F.zip_with("v", m, lambda x, y: F.when(x.isNotNull(), y)), F.lit(1), F.size("v"))
+    now, rounds = base, base
+    for k in range(1, hops + 1):
+        back = there_and_back(own, now).withColumnRenamed("v", f"m{k}")
+        rounds = materialise(rounds.join(back, "node", "left").withColumn(f"m{k}", known(F.col(f"m{k}"))), "round")
+        now = rounds.where(f"m{k} IS NOT NULL").select("node", F.col(f"m{k}").alias("v"))
+
+    def mixed(alpha: float, k: int) -> Column:
+        total = F.transform("v", lambda x: alpha * x)
+        for j in range(1, k + 1):
+            part = (1 - alpha) ** j * (1 if j == k else alpha)
+            total = F.zip_with(total, f"m{j}", lambda t, m: t + part * m)  # noqa: B023
+        return F.coalesce(total, "v")
+
+    every = F.array(*(F.struct(F.lit(alpha).alias("alpha"), F.lit(k).alias("hops"), mixed(alpha, k).alias("v")) for alpha in map(float, alphas) for k in range(1, hops + 1)))
+    return rounds.select("node", F.explode(every).alias("x")).select("x.alpha", "x.hops", "node", "x.v")
 
 
 def grid(edges: DataFrame, base: DataFrame, alphas: list[float], hops: int) -> DataFrame:

@@ -87,3 +87,42 @@ def test_edges_without_vectors_are_left_before_any_shuffle(spark):
     assert {tuple(r) for r in near.collect()} == {("c1", "o1", "x")}
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_a_grid_of_weights_takes_its_rounds_once(spark, monkeypatch):
+    """Against plain rounds for each weight; nodes without edges or neighbours, repeated nodes, null and missing components."""
+    from relquill.operators import graph
+
+    edges = [(0, 7), (1, 7), (1, 8), (2, 8), (2, 8), (3, 9), (None, 7), (4, None), (5, 7)]
+    base = [(0, [1.0, 2.0, 4.0]), (1, [3.0, None, 5.0]), (2, [-1.0, 6.0]), (3, [2.0, 2.0, 2.0]), (4, [1.0, 1.0, 1.0]), (5, [0.5, 7.0, 1.0]), (5, [2.5, None, 9.0]), (6, [8.0, 8.0, 8.0])]
+    calls, there_and_back = [], graph.there_and_back
+    monkeypatch.setattr(graph, "there_and_back", lambda *a: calls.append(1) or there_and_back(*a))
+    e, b = spark.createDataFrame(edges, "source int, target int"), spark.createDataFrame(base, "node int, v array<double>")
+    out = graph.grid_vectors(e, b, [0.25, 0.5, 1.0], 3)
+    got = sorted(((r["alpha"], r["hops"], r["node"], r["v"]) for r in out.collect()), key=repr)
+    assert len(calls) == 3
+    own = {x for x in edges if None not in x}
+    mean = lambda xs: sum(xs) / len(xs) if xs else None
+    over = lambda vs: [mean([v[k] for v in vs if k < len(v) and v[k] is not None]) for k in range(3)]
+    want = []
+    for alpha in (0.25, 0.5, 1.0):
+        now = base
+        for k in (1, 2, 3):
+            there = {t: over([v for n, v in now if (n, t) in own]) for _, t in own}
+            back = {n: over([there[t] for m, t in own if m == n]) for n, _ in base if any(m == n for m, _ in own)}
+            now = [(n, [x if n not in back or x is None else alpha * x + (1 - alpha) * m for x, m in zip(v, back.get(n, v), strict=False)]) for n, v in base]
+            want += [(alpha, k, n, v) for n, v in now]
+    near = lambda rows: sorted(((*x[:3], tuple(y if y is None else round(y, 9) for y in x[3])) for x in rows), key=repr)
+    assert near(got) == near(want)
+
+
+def test_norms_are_computed_once_for_a_vector(spark):
+    """A vector of 30,000 components takes as many steps, not their square; a projection reads its vector once, not for each row."""
+    import time
+
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda k: k.cast("double")).alias("v"))
+    begun = time.monotonic()
+    got = rows.select(dense.unit(F.col("v")).alias("v")).select(F.size("v").alias("n"), dense.dot(F.col("v"), F.col("v")).alias("square")).first()
+    assert got["n"] == 30_000 and abs(got["square"] - 1) < 1e-9 and time.monotonic() - begun < 8
+    odd = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [3.0, None]), (3, [3.0, 4.0]), (4, [])], "k int, v array<double>").select("k", dense.unit(F.col("v")).alias("v"))
+    assert {r["k"]: r["v"] for r in odd.collect()} == {0: [0.0, 0.0], 1: None, 2: [0.0, 0.0], 3: [0.6, 0.8], 4: []}
