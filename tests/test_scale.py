@@ -126,3 +126,13 @@ def test_norms_are_computed_once_for_a_vector(spark):
     assert got["n"] == 30_000 and abs(got["square"] - 1) < 1e-9 and time.monotonic() - begun < 8
     odd = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [3.0, None]), (3, [3.0, 4.0]), (4, [])], "k int, v array<double>").select("k", dense.unit(F.col("v")).alias("v"))
     assert {r["k"]: r["v"] for r in odd.collect()} == {0: [0.0, 0.0], 1: None, 2: [0.0, 0.0], 3: [0.6, 0.8], 4: []}
+
+
+def test_a_projection_reads_its_vector_once(spark):
+    """The vector, which may be an expression, stands once and outside what runs for each row of the matrix."""
+    text = str(dense.projected(F.col("vec"), [[1.0, 2.0], [0.0, 1.0], [1.0, 1.0]]))
+    assert text.count("vec") == 1 and "array(vec)" in text
+    rows = spark.createDataFrame([(0, [3.0, 4.0]), (1, None), (2, [0.0, 0.0])], "k int, vec array<double>")
+    got = {r["k"]: r["v"] for r in rows.select("k", dense.projected(dense.unit(F.col("vec")), [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]).alias("v")).collect()}
+    assert [round(x, 12) for x in got[0]] == [0.6, 0.8, 0.0] and got[2] == [0.0, 0.0, 0.0]
+    assert got[1] == [0.0, 0.0, 0.0]  # products with null count as 0
