@@ -133,13 +133,18 @@ def density(commits: DataFrame, gold: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.count_if(F.col("other") < 1).alias("isolated"), F.count_if(F.col("n") < 2).alias("single")).join(by_query).join(median)
 
 
+def of_nodes(rows: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """The ``rows`` whose ``name`` some row of ``nodes`` has. Others go before any is shuffled, if the distinct nodes are few."""
+    return rows.join(bounded(nodes.select(name).distinct()), name, "left_semi")
+
+
 def subgraph(ranked: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
     """(qid, rank, cand, score, files, tests): the ranked candidates with the first ``most`` of their changed files and tests.
 
-    ``edges``: cand, path, is_test. Paths are distinct and sorted.
+    ``edges``: cand, path, is_test. Paths are distinct and sorted. ``ranked`` is read three times.
     """
     paths = lambda test: F.slice(F.array_sort(F.collect_set(F.when(F.col("is_test") == test, F.col("path")))), 1, most)
-    own = edges.join(ranked.select("cand").distinct(), "cand", "left_semi").groupBy("cand").agg(paths(False).alias("files"), paths(True).alias("tests"))
+    own = of_nodes(edges, ranked, "cand").groupBy("cand").agg(paths(False).alias("files"), paths(True).alias("tests"))
     none = F.array().cast("array<string>")
     return ranked.join(own, "cand", "left").select("qid", "rank", "cand", "score", F.coalesce("files", none).alias("files"), F.coalesce("tests", none).alias("tests"))
 

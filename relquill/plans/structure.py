@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from relquill.operators import dense, graph
 from relquill.plans.catalogue import DIGEST, digest, query, vector_digest
-from relquill.sources.tables import long_vectors, table
+from relquill.sources.tables import long_vectors, materialise, table
 
 # -- vectors ------------------------------------------------------------------------------------------------------------------
 
@@ -165,8 +165,10 @@ sub AS (SELECT qid, rank, cand, score, coalesce(files, []) AS files, coalesce(te
 def found_subgraph(s, d):
     v = vectors(s, d, "cand")
     ranked = dense.searched_dot(v.where("cand % 100 = 0").select(F.col("cand").alias("qid"), F.col("v").alias("qv")), v, 5).withColumn("score", F.round("score", 9))
+    ranked = materialise(ranked, "ranked")
     p = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") <= 20).alias("is_test"))
-    e = table(s, d, "lineitem").join(p, "l_partkey").select(F.col("l_orderkey").alias("cand"), F.concat(F.lit("p"), F.lpad("l_partkey", 9, "0")).alias("path"), "is_test")
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("cand"), "l_partkey")
+    e = graph.of_nodes(li, ranked, "cand").join(p, "l_partkey").select("cand", F.concat(F.lit("p"), F.lpad("l_partkey", 9, "0")).alias("path"), "is_test")
     return graph.subgraph(ranked, e, 3)
 
 

@@ -136,3 +136,23 @@ def test_a_projection_reads_its_vector_once(spark):
     got = {r["k"]: r["v"] for r in rows.select("k", dense.projected(dense.unit(F.col("vec")), [[1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]).alias("v")).collect()}
     assert [round(x, 12) for x in got[0]] == [0.6, 0.8, 0.0] and got[2] == [0.0, 0.0, 0.0]
     assert got[1] == [0.0, 0.0, 0.0]  # products with null count as 0
+
+
+def test_found_changes_meet_the_edges_before_any_shuffle(spark):
+    """Edges of changes that weren't found go in the scan; the search is made once, however often its result is read."""
+    from relquill.operators import graph
+    from relquill.plans import structure
+
+    ranked = spark.createDataFrame([(1, 1, 5, 0.5), (1, 2, 6, 0.25), (2, 1, 5, 1.0)], "qid int, rank int, cand int, score double")
+    edges = spark.createDataFrame([(5, "b", False), (5, "a", False), (5, "a", False), (5, "t", True), (7, "c", False)], "cand int, path string, is_test boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.subgraph(ranked, edges, 1)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert {(r["qid"], r["cand"], *r["files"], "|", *r["tests"]) for r in out.collect()} == {(1, 5, "a", "|", "t"), (1, 6, "|"), (2, 5, "a", "|", "t")}
+        found = structure.found_subgraph(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for p in (plan, found) for line in p.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+    assert "CoGroups" not in found
