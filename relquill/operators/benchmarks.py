@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relquill.functions.text import hash_order
+from relquill.functions.text import hash_order, hash_text
 from relquill.operators.lexical import bounded
 from relquill.sources.tables import materialise
 
@@ -41,11 +41,14 @@ def drawn(asked: DataFrame, members: DataFrame, excluded: DataFrame, size: int,
     parts = parts.drop("again").withColumn("at", F.coalesce(F.sum("own").over(earlier), F.lit(0))).join(total.where("m > 0"), "qid")
     strata = parts.withColumn("j", F.explode(F.expr("sequence(greatest(0, at * m div n - 1), least(m - 1, (at + own) * m div n))")))  # those that meet the group
     low, high = F.expr("j * n div m"), F.expr("(j + 1) * n div m")
-    picked = strata.withColumn("pos", low + F.pmod(hash_order(seed, "qid", "j"), high - low)).where("pos >= at AND pos < at + own")
+    # as a generated column, the hash is computed once for a row; conditions on a plain one would each compute it again
+    picked = strata.withColumn("pos", F.explode(F.array(low + F.pmod(hash_order(seed, "qid", "j"), high - low)))).where("pos >= at AND pos < at + own")
     found = picked.select("qid", (F.col("start") + F.col("pos") - F.col("at")).alias("place")).join(placed.select("place", "cand"), "place")
-    found = found.select("qid", "cand").distinct().join(out, ["qid", "cand"], "left_anti")
-    w = Window.partitionBy("qid").orderBy(hash_order(seed, "qid", "cand"), "cand")
-    return found.withColumn("k", F.row_number().over(w)).where(F.col("k") <= size)
+    # repeated and excluded candidates go, and the rest is numbered, after one shuffle, by query
+    both = found.select("qid", "cand", F.lit(False).alias("out")).union(out.select("qid", "cand", F.lit(True))).repartition("qid")
+    left = both.groupBy("qid", "cand").agg(F.bool_or("out").alias("out")).where("NOT out").select("qid", "cand")
+    w = Window.partitionBy("qid").orderBy(hash_text(seed, "qid", "cand"), "cand")
+    return left.withColumn("k", F.row_number().over(w)).where(F.col("k") <= size)
 
 
 def sampled_pool(queries: DataFrame, cands: DataFrame, gold: DataFrame, size: int, seed: int) -> DataFrame:

@@ -156,3 +156,25 @@ def test_found_changes_meet_the_edges_before_any_shuffle(spark):
     semi = [line for p in (plan, found) for line in p.splitlines() if "LeftSemi" in line]
     assert semi and all("BroadcastHashJoin" in line for line in semi)
     assert "CoGroups" not in found
+
+
+def test_drawn_pools_hash_each_stratum_once(spark):
+    """No condition computes a hash again; repeated and excluded candidates go, and the rest is numbered, after one shuffle of the drawn rows."""
+    from relquill.functions.text import hash_order, hash_text
+    from relquill.operators import benchmarks
+
+    own = spark.createDataFrame([(g, q, c) for q in range(40) for g in {q % 5, q % 3} for c in range(q % 7, 60, 3)], "grp int, qid int, cand int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = benchmarks.drawn(own, own, own, 8, 2)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        physical = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        rows = out.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows and not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
+    last = next(k for k, line in enumerate(physical) if "Join" in line)
+    above = next(k for k, line in enumerate(physical) if "Union" in line)
+    assert above < last and sum("Exchange" in line for line in physical[:above]) == 1
+    same = spark.range(3000).select(hash_order(5, "id").alias("n"), hash_text(5, "id").alias("t"))
+    assert [r["n"] for r in same.orderBy("t").collect()] == [r["n"] for r in same.orderBy("n").collect()]
