@@ -22,6 +22,7 @@ same order when a task is run again, as a scan of files does.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -114,14 +115,31 @@ def spread(values: np.ndarray, begins: np.ndarray, size: int) -> np.ndarray:
 def distinct_anchors(block: Block, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct anchors by partition, their partitions, if two documents have each, index of each window's anchor among them)."""
     found = block.anchors()
-    part = (found % np.uint64(parts)).astype(np.int64)
-    order, begins = runs(part, found)
+    order = np.argsort(found)
+    held = found[order]
+    begins = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
+    keys = held[begins]
+    part = (keys % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")  # only distinct anchors are put in order of partitions
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
     at = np.empty(len(order), np.int64)
-    at[order] = spread(np.arange(len(begins)), begins, len(order))
+    at[order] = spread(place, begins, len(order))
     doc = block.doc[order]
     many = np.minimum.reduceat(doc, begins) != np.maximum.reduceat(doc, begins) if len(begins) else np.zeros(0, bool)
-    first = order[begins]
-    return found[first], part[first], many, at
+    return keys[by], part[by], many[by], at
+
+
+def met(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the values that are among the sorted ``keys``, where the first such key stands); most others go by 22 of their bits."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held, bits = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+    held[keys & bits] = True
+    places = np.flatnonzero(held[values & bits])
+    at = np.minimum(np.searchsorted(keys, values[places]), len(keys) - 1)
+    fits = keys[at] == values[places]
+    return places[fits], at[fits]
 
 
 def ipc(ids, texts) -> bytes:
@@ -142,37 +160,39 @@ def found_windows(block: Block, rows: list[dict]) -> np.ndarray:
     h1 = block.first()
     out = np.full(len(h1), len(first))
     if len(first) and len(h1):
-        h2 = block.second(np.arange(len(h1)))
-        at = np.searchsorted(first, h1)
+        places, at = met(first, h1)
+        h1, h2 = h1[places], block.second(places)
         same = np.diff(np.r_[np.flatnonzero(np.r_[True, first[1:] != first[:-1]]), len(first)]).max()
         for k in range(int(same)):  # one, but for a clash of the first hash
             here = np.minimum(at + k, len(first) - 1)
             fits = (first[here] == h1) & (second[here] == h2)
-            out[fits] = order[here[fits]]
+            out[places[fits]] = order[here[fits]]
     return out
 
 
-def needed(block: Block, passages: list[bytes]):
-    """(index of the passage, its words) of each part of a passage whose windows all have a hash that a window of the block has."""
+def needed(block: Block, passages: list[bytes]) -> tuple[list[tuple[int, list[bytes]]], np.ndarray]:
+    """([(index of the passage, its words)] of each part of a passage whose windows all have a hash that a window of the block has; where such
+    windows of the block start)."""
     words, text = word_hashes(passages, NOT_SPACE, lower=False)
     hashes = rolling(words, WINDOW)
+    none: tuple = [], np.zeros(0, np.int64)
     if not len(hashes) or not len(block.starts):
-        return
+        return none
     keys, back = np.unique(hashes, return_inverse=True)
-    own = block.first()
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    places, at = met(keys, block.first())
     wanted = np.zeros(len(keys), bool)
-    wanted[at[keys[at] == own]] = True
+    wanted[at] = True
     starts = np.flatnonzero((text[: len(hashes)] == text[WINDOW - 1 :]) & wanted[back])
     if not len(starts):
-        return
-    offsets, last, split = np.searchsorted(text, np.arange(len(passages))), -1, []
+        return none
+    offsets, last, split, out = np.searchsorted(text, np.arange(len(passages))), -1, [], []
     cuts = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(text[starts]) != 0), True])
     for a, b in zip(cuts, cuts[1:], strict=False):
         k = int(text[starts[a]])
         if k != last:
             last, split = k, passages[k].split(b" ")
-        yield k, split[starts[a] - offsets[k] : starts[b - 1] - offsets[k] + WINDOW]
+        out.append((k, split[starts[a] - offsets[k] : starts[b - 1] - offsets[k] + WINDOW]))
+    return out, block.starts[places]
 
 
 def symbols(numbers: list[int], base: int) -> str:
@@ -337,21 +357,25 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         _, block = open_(left)
         passages = [(owner, x) for owner, held in zip(right.column("owner").to_pylist(), right.column("passages").to_pylist(), strict=True) for x in held.split(b"\n")]
         numbers: dict[bytes, int] = {}  # from 1; 0 is any word that no passage has
-        parts = [(passages[k][0], [numbers.setdefault(w, len(numbers) + 1) for w in words]) for k, words in needed(block, [x for _, x in passages])]
+        held, starts = needed(block, [x for _, x in passages])
+        parts = [(passages[k][0], [numbers.setdefault(w, len(numbers) + 1) for w in words]) for k, words in held]
         base = math.isqrt(len(numbers)) + 1
         sizes = np.bincount(block.text, minlength=len(block.texts))
         words = [text.split() for text in block.texts]
         covered = np.zeros(len(block.words) + 1, np.int64)
         if parts:
-            known = np.array([numbers.get(w, 0) for own in words for w in own])
+            # only runs of words that lie in windows with the hash of some phrase are looked at
+            edge = np.zeros(len(block.words) + 2, np.int64)
+            edge[starts + 1] += 1
+            edge[starts + 1 + WINDOW] -= 1
+            breaks = np.flatnonzero(np.diff(np.cumsum(edge) > 0))
+            runs_ = list(zip(breaks[::2].tolist(), breaks[1::2].tolist(), strict=True))
+            flat = list(chain.from_iterable(words))
+            known = np.array([numbers.get(w, 0) for a, b in runs_ for w in flat[a:b]], np.int64)
             stream = symbols(known, base)
-            # phrases have no other words, so only runs of words that some phrase has are looked at
-            inside = np.r_[False, known > 0, False]
-            breaks = np.flatnonzero(inside[1:] != inside[:-1])
-            begins, ends = breaks[::2], breaks[1::2]
-            runs_ = [(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True) if b - a >= WINDOW]
+            before = np.cumsum([0, *(b - a for a, b in runs_)]).tolist()
             for machine, owners in automata(parts, base):
-                found = np.array([x for a, b in runs_ for end, phrase in machine.iter(stream[2 * a : 2 * b]) for x in (a + end // 2, phrase)], np.int64).reshape(-1, 2)
+                found = np.array([x for (a, b), c in zip(runs_, before, strict=False) for end, phrase in machine.iter(stream[2 * c : 2 * (c + b - a)]) for x in (a + end // 2, phrase)], np.int64).reshape(-1, 2)
                 end, owner = found[:, 0], owners[found[:, 1]]
                 text = block.text[end]
                 hit = block.known[text] & (block.text[end - WINDOW + 1] == text) & (owner < block.ids[text])

@@ -209,3 +209,25 @@ def test_new_queries_on_empty_tables(spark, tmp_path, name):
     for table, schema in (("embeddings", "vec_id long, embedding array<float>, label int"), ("documents", DOCS), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_phrase_automata_look_at_shared_windows_only():
+    """Anchors by partition and the hashes that meet, against plain ways; words in windows that no passage has aren't looked at."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    values = np.concatenate([rng.choice(keys, 50), rng.integers(0, 1 << 63, 500, dtype=np.uint64), keys[:1] ^ np.uint64(1 << 40)])
+    places, at = phrase_automata.met(keys, values)
+    assert places.tolist() == np.flatnonzero(np.isin(values, keys)).tolist() and (keys[at] == values[places]).all()
+    assert phrase_automata.met(keys[:0], values)[0].size == phrase_automata.met(keys, values[:0])[0].size == 0
+    shared = [f"s{k}" for k in range(15)]
+    texts = [" ".join([f"a{k}" for k in range(40)] + shared), " ".join(shared + [f"b{k}" for k in range(30)]), "short", None]
+    block = phrase_automata.Block(phrase_automata.ipc(pa.array([4, 9, 11, None], pa.int64()), pa.array([x and x.encode() for x in texts], pa.binary())))
+    found, part, many, at = phrase_automata.distinct_anchors(block, 5)
+    own = block.anchors()
+    assert list(zip(part.tolist(), found.tolist(), strict=True)) == sorted({(int(x % np.uint64(5)), int(x)) for x in own}) and (found[at] == own).all()
+    assert {int(x): bool(m) for x, m in zip(found, many, strict=True)} == {int(x): len(set(block.doc[own == x])) > 1 for x in own}
+    held, starts = phrase_automata.needed(block, [b" ".join(x.encode() for x in shared)])
+    assert held == [(0, [x.encode() for x in shared])] and starts.tolist() == [40, 41, 42, 55, 56, 57]
