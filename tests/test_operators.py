@@ -450,6 +450,32 @@ def test_hashed_cosine_against_plain_python(spark):
     assert zero.count() == 10 and zero.where("score = 0").count() == 9
 
 
+def test_relation_metric_trains_on_all_triplets(spark, monkeypatch):
+    """Beyond 60,000 triplets each still counts, and blocks on the executors give what the driver gives."""
+    import numpy as np
+
+    from relquill.operators import learned
+
+    own = spark.range(60_500).select(F.col("id").alias("trip"), F.concat(F.lit("t"), "id").alias("tok"), F.lit(0.1).alias("diff"))
+    got = learned.relation_metric(own, epochs=1, decay=0.0)
+    assert got.count() == 60_500 and got.where("weight <= 1").count() == 0  # each is late and raises its own token
+
+    r = np.random.default_rng(1)
+    rows = [(f"{t}", f"w{w}", float(x)) for t in range(300) for w, x in zip(r.choice(30, 5, replace=False), r.normal(0, 0.2, 5), strict=True)]
+    df = spark.createDataFrame(rows, "trip string, tok string, diff double")
+    theta, names = np.ones(30), sorted({x[1] for x in rows})
+    dense = np.zeros((300, 30))
+    for t, w, x in rows:
+        dense[int(t), names.index(w)] = x
+    for _ in range(10):
+        late = dense @ theta**2 < 0.15
+        theta = np.maximum(theta - 0.5 * (-dense[late].sum(axis=0) * 2 * theta / 300 + 1e-4 * theta), 0)
+    for most in (learned.DRIVER_ENTRIES, 0):
+        monkeypatch.setattr(learned, "DRIVER_ENTRIES", most)
+        got = {x["tok"]: x["weight"] for x in learned.relation_metric(df, epochs=10).collect()}
+        assert sorted(got) == names and all(abs(got[t] - w) < 1e-9 for t, w in zip(names, theta**2, strict=True))
+
+
 def test_leave_one_group_out_fits_on_all_others(spark):
     import numpy as np
 
