@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +21,17 @@ def adjacency(edges: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     return both.join(out, (F.least(both.a, both.b) == out.lo) & (F.greatest(both.a, both.b) == out.hi), "left_anti")
 
 
-def near(edges: DataFrame, nodes: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(a, b, role): the rows of ``adjacency`` whose ``b`` is one of ``nodes`` (node). Edges of other nodes go before any is shuffled, if the nodes are few."""
+def near(edges: DataFrame, nodes: DataFrame, excluded: DataFrame | None = None, rising: bool = False, by: str | None = None) -> DataFrame:
+    """(a, b, role): the rows of ``adjacency`` whose ``b`` is one of ``nodes`` (node). Edges of other nodes go before any is shuffled, if the nodes are few.
+
+    ``rising``: those alone whose ``b`` is smaller than ``a``. ``by``: rows are dealt by this column, so that a join by it needs no other shuffle.
+    """
     few = bounded(nodes.select("node"))
     there = edges.join(few, F.col("target") == F.col("node"), "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b"), "role")
     back = edges.join(few, F.col("source") == F.col("node"), "left_semi").select(F.col("target").alias("a"), F.col("source").alias("b"), "role")
-    both = there.union(back).distinct()
+    both = there.union(back)
+    both = both.where("b < a") if rising else both
+    both = (both if by is None else both.repartition(by)).distinct()
     if excluded is None:
         return both
     out = excluded.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
@@ -47,33 +53,161 @@ def longest(vectors: DataFrame) -> int:
     return vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
 
 
-def seeded(edges: DataFrame, base: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """(node, v): ``base`` and a first vector of each other node, the mean of its neighbours that have one before it.
+#: Bytes of first vectors that are broadcast, at most; edges that one task adds up, about.
+BASE_BYTES, TASK_EDGES = 256 << 20, 500_000
 
-    Nodes without a vector of their own are taken in the order of their ids, so a neighbour with a smaller id counts once it
-    has a vector. First the nodes that a vector reaches are found by ids alone, and the edges among them, which are all that matter. Of these,
-    nodes whose smaller neighbours are settled go in one round; a round that settles nothing new ends it.
+
+class Combinations:
+    """Vectors as weighted sums of first vectors: (node, refs, ws), the rows of the first vectors and their weights.
+
+    Means of vectors are again such sums, and a node far from most first vectors has few. So what meets the edges is a few numbers in place of a
+    vector for each edge; whole vectors are added up last, in the task that has all of a node, from the broadcast first vectors.
     """
-    base = materialise(base.select("node", "v"), "base")
+
+    def __init__(self, base: DataFrame, size: int, exact: bool):
+        held = base.select("node", F.col("v").cast("array<float>" if exact else "array<double>").alias("v")).toArrow()
+        spark, n = base.sparkSession, held.num_rows
+        flat = held.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.size, self.n = size, n
+        self.matrix = spark.sparkContext.broadcast(np.ascontiguousarray(flat.reshape(n, size).T))  # a row for each component
+        import pyarrow as pa
+
+        refs, ones = pa.array([[k] for k in range(n)], pa.list_(pa.int32())), pa.array([[1.0]] * n, pa.list_(pa.float64()))
+        self.first = materialise(spark.createDataFrame(pa.table([held.column("node").combine_chunks(), refs, ones], names=["node", "refs", "ws"])).select("node", F.col("refs").cast("array<int>").alias("refs"), "ws"), "first")
+
+    @staticmethod
+    def of(base: DataFrame) -> Combinations | None:
+        """None where means aren't plain sums (missing components, different lengths, repeated nodes) or the vectors are too large to broadcast."""
+        exact = F.coalesce(F.bool_and(F.forall("v", lambda x: x.eqNullSafe(x.cast("float").cast("double")))), F.lit(False))
+        own = base.agg(F.count("*").alias("n"), F.countDistinct("node").alias("nodes"), F.coalesce(F.min(F.size("v")), F.lit(0)).alias("least"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("most"), F.count_if(F.col("v").isNull() | F.exists("v", lambda x: x.isNull())).alias("broken"), exact.alias("exact")).first()
+        plain = own["n"] == own["nodes"] and 0 < own["least"] == own["most"] and not own["broken"]
+        return Combinations(base, own["most"], own["exact"]) if plain and own["n"] * own["most"] * (4 if own["exact"] else 8) <= BASE_BYTES else None
+
+    def short(self, current: DataFrame) -> bool:
+        """Whether the sums have no more terms than vectors have components, on average."""
+        return current.agg(F.coalesce(F.avg(F.size("refs")), F.lit(0.0))).first()[0] <= self.size
+
+    def _added(self, rows: DataFrame, n: int, alpha: float, whole: bool) -> DataFrame:
+        """The ``rows`` (node, role, kind, refs, ws) of each node as one: the mean over roles of the means of neighbours (kind 0), mixed with ``alpha`` of
+        its own vector (kind 1), or that alone, or else its last one (kind 2)."""
+        matrix, size, base = self.matrix, self.size, self.n
+
+        def run(batches):
+            import pyarrow as pa
+
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            coded = lambda name: table.column(name).combine_chunks().dictionary_encode(null_encoding="encode")
+            nodes, roles, kind = coded("node"), coded("role"), table.column("kind").to_numpy()
+            names, a, r = nodes.dictionary, nodes.indices.to_numpy().astype(np.int64), roles.indices.to_numpy()
+            near, n_roles = kind == 0, len(roles.dictionary)
+            groups, own = np.unique(a[near] * n_roles + r[near], return_inverse=True)
+            count, by = np.bincount(own, minlength=len(groups)), np.bincount(groups // n_roles, minlength=len(names))
+            mean, based = by > 0, np.bincount(a[kind == 1], minlength=len(names)) > 0
+            factor = np.empty(len(a))
+            factor[near] = np.where(based[a[near]], 1 - alpha, 1.0) / (count[own] * by[a[near]])
+            factor[kind == 1] = np.where(mean[a[kind == 1]], alpha, 1.0)
+            factor[kind == 2] = np.where((mean | based)[a[kind == 2]], 0.0, 1.0)
+            refs, ws = (table.column(c).combine_chunks() for c in ("refs", "ws"))
+            terms = refs.value_lengths().to_numpy()
+            key, weight = np.repeat(a, terms) * base + refs.flatten().to_numpy(), ws.flatten().to_numpy() * np.repeat(factor, terms)
+            kept = np.repeat((factor > 0) | (kind != 2), terms)
+            key, at = np.unique(key[kept], return_inverse=True)
+            weight = np.bincount(at, weight[kept], len(key))
+            a, ref = key // base, (key % base).astype(np.int32)
+            ends = np.searchsorted(a, np.arange(len(names) + 1))
+            low = 0
+            while low < len(names):
+                high = max(low + 1, min(low + 10_000, int(np.searchsorted(ends, ends[low] + 500_000, "right")) - 1))
+                cut, at = slice(ends[low], ends[high]), a[ends[low] : ends[high]] - low
+                offsets = lambda x: pa.array((x - x[0]).astype(np.int32))
+                if whole:
+                    v = np.empty((high - low, size))
+                    for k in range(size):
+                        v[:, k] = np.bincount(at, weight[cut] * matrix.value[k][ref[cut]], high - low)
+                    out = [pa.ListArray.from_arrays(offsets(np.arange(high - low + 1) * size), v.ravel())]
+                else:
+                    out = [pa.ListArray.from_arrays(offsets(ends[low : high + 1]), x[cut]) for x in (ref, weight)]
+                yield pa.RecordBatch.from_arrays([names.slice(low, high - low), *out], ["node", "v"] if whole else ["node", "refs", "ws"])
+                low = high
+
+        kind = rows.schema["node"].dataType.simpleString()
+        return rows.repartition(n, "node").mapInArrow(run, f"node {kind}, " + ("v array<double>" if whole else "refs array<int>, ws array<double>"))
+
+    def parts(self, edges: DataFrame) -> int:
+        return max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_EDGES))
+
+    def _met(self, adj: DataFrame, current: DataFrame) -> DataFrame:
+        return adj.join(current.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "role", F.lit(0).alias("kind"), "refs", "ws")
+
+    def mean(self, adj: DataFrame, current: DataFrame) -> DataFrame:
+        """``neighbour_mean`` of such sums."""
+        return self._added(self._met(adj, current), self.parts(adj), 0.0, False)
+
+    def hop(self, edges: DataFrame, current: DataFrame, alpha: float, excluded: DataFrame | None) -> DataFrame:
+        """The function ``hop`` on such sums, as whole vectors."""
+        one = lambda df, kind: df.select("node", F.lit(None).cast(edges.schema["role"].dataType).alias("role"), F.lit(kind).alias("kind"), "refs", "ws")
+        rows = self._met(near(edges, current, excluded, by="b"), current).union(one(self.first, 1)).union(one(current, 2))
+        return self._added(rows, 2 * self.parts(edges), alpha, True)
+
+    def whole(self, current: DataFrame) -> DataFrame:
+        """(node, v)."""
+        matrix, size = self.matrix, self.size
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for low in range(0, batch.num_rows, 10_000):
+                    part = batch.slice(low, 10_000)
+                    refs, ws = (part.column(c).flatten().to_numpy() for c in (1, 2))
+                    at, v = np.repeat(np.arange(part.num_rows), part.column(1).value_lengths().to_numpy()), np.empty((part.num_rows, size))
+                    for k in range(size):
+                        v[:, k] = np.bincount(at, ws * matrix.value[k][refs], part.num_rows)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * size), v.ravel())], ["node", "v"])
+
+        return current.select("node", "refs", "ws").mapInArrow(run, f"node {current.schema['node'].dataType.simpleString()}, v array<double>")
+
+
+def _seeded(edges: DataFrame, base: DataFrame, excluded: DataFrame | None = None) -> tuple[DataFrame, Combinations | None]:
+    """``seeded``, as sums of first vectors where these are known."""
+    sums = Combinations.of(base)
     size, own = longest(base), base.select("node").distinct().withColumn("own", F.lit(True))
     held = new = own
     feeds = None  # (a, b, role): b has a vector before a
     while not new.isEmpty():
-        found = near(edges, new, excluded).join(bounded(own.select(F.col("node").alias("a"))), "a", "left_anti").join(bounded(new.withColumnRenamed("node", "b")), "b").where("own OR b < a")
+        found = near(edges, new, excluded, rising=feeds is not None).join(bounded(own.select(F.col("node").alias("a"))), "a", "left_anti").join(bounded(new.withColumnRenamed("node", "b")), "b").where("own OR b < a")
         found = materialise(found.select("a", "b", "role", "own"), "feeds")
         feeds = found if feeds is None else feeds.union(found)
         new = materialise(found.select(F.col("a").alias("node")).distinct().join(bounded(held.select("node")), "node", "left_anti").withColumn("own", F.lit(False)), "new")
         held = held.union(new)
+    current = base if sums is None else sums.first
     if feeds is None:
-        return base
-    current, open_ = base, materialise(held.where("NOT own").select("node"), "open")
+        return current, sums
+    open_ = materialise(held.where("NOT own").select("node"), "open")
     while not open_.isEmpty():
         waits = feeds.where("NOT own").join(open_.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
         ready = materialise(open_.join(waits, "node", "left_anti"), "ready")
-        mean = neighbour_mean(feeds.join(ready.select(F.col("node").alias("a")), "a", "left_semi"), current, size)
+        adj = feeds.join(ready.select(F.col("node").alias("a")), "a", "left_semi")
+        mean = neighbour_mean(adj, current, size) if sums is None else sums.mean(adj, current)
         current = current.union(materialise(mean, "settled"))
         open_ = materialise(open_.join(ready, "node", "left_anti"), "open")
-    return current
+        if sums is not None and not sums.short(current):
+            current, sums = materialise(sums.whole(current), "whole"), None
+    return current, sums
+
+
+def seeded(edges: DataFrame, base: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """(node, v): ``base`` and a first vector of each other node, the mean of its neighbours that have one before it.
+
+    Nodes without a vector of their own are taken in the order of their ids, so a neighbour with a smaller id counts once it
+    has a vector. First the nodes that a vector reaches are found by ids alone, and the edges among them, which are all that matter. Of these,
+    nodes whose smaller neighbours are settled go in one round; a round that settles nothing new ends it.
+    """
+    current, sums = _seeded(edges, materialise(base.select("node", "v"), "base"), excluded)
+    return current if sums is None else sums.whole(current)
 
 
 def hop(edges: DataFrame, current: DataFrame, base: DataFrame, alpha: float, excluded: DataFrame | None = None) -> DataFrame:
@@ -85,10 +219,16 @@ def hop(edges: DataFrame, current: DataFrame, base: DataFrame, alpha: float, exc
 
 
 def augmented_vectors(edges: DataFrame, base: DataFrame, alpha: float = 0.5, hops: int = 1, excluded: DataFrame | None = None) -> DataFrame:
-    """Unit vectors (node, v) of all nodes that get one after ``hops`` rounds. ``edges``: source, target, role; ``base``: node, v."""
-    now = seeded(edges, base, excluded)
-    for _ in range(hops):
-        now = materialise(hop(edges, now, base, alpha, excluded), "hop")
+    """Unit vectors (node, v) of all nodes that get one after ``hops`` rounds. ``edges``: source, target, role; ``base``: node, v.
+
+    The last round isn't written.
+    """
+    base = materialise(base.select("node", "v"), "base")
+    now, sums = _seeded(edges, base, excluded)
+    for k in range(hops):
+        now, sums = hop(edges, now, base, alpha, excluded) if sums is None else sums.hop(edges, now, alpha, excluded), None
+        now = materialise(now, "hop") if k < hops - 1 else now
+    now = now if sums is None else sums.whole(now)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
     return now.select("node", once(norm, lambda n: F.transform("v", lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)))).alias("v"))
 

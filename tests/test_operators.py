@@ -450,6 +450,29 @@ def test_hashed_cosine_against_plain_python(spark):
     assert zero.count() == 10 and zero.where("score = 0").count() == 9
 
 
+def test_augmented_vectors_are_not_written(spark, monkeypatch):
+    """Vectors as sums of first vectors are those of means of whole vectors, and neither means nor the last round are written as vectors."""
+    import numpy as np
+
+    from relquill.operators import graph
+
+    r = np.random.default_rng(2)
+    pairs = {(f"o{a:03}", f"{kind}{b}", role) for a, kind, b, role in zip(r.integers(0, 60, 300), r.choice(["c", "p", "z"], 300), r.integers(0, 20, 300), r.choice(["x", "y"], 300), strict=True)}
+    edges = spark.createDataFrame(sorted(pairs), "source string, target string, role string")
+    base = spark.createDataFrame([(f"o{k:03}", r.normal(size=32).tolist()) for k in range(25)] + [("alone", [1.0] * 32)], "node string, v array<double>")
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (written.append((name, dict(df.dtypes))), write(df, name))[1])
+    run = lambda: {x["node"]: np.array(x["v"]) for x in graph.augmented_vectors(edges, base, 0.3, 1).collect()}
+    got = run()
+    assert [name for name, types in written if "array<double>" == types.get("v")] == ["base"]
+    monkeypatch.setattr(graph.Combinations, "short", lambda self, current: False)  # turns to whole vectors after a round
+    late = run()
+    monkeypatch.setattr(graph.Combinations, "of", staticmethod(lambda base: None))
+    want = run()
+    assert set(got) == set(late) == set(want) and len(got) > 60
+    assert all(abs(got[k] - want[k]).max() < 1e-12 and abs(late[k] - want[k]).max() < 1e-12 for k in want)
+
+
 def test_relation_metric_trains_on_all_triplets(spark, monkeypatch):
     """Beyond 60,000 triplets each still counts, and blocks on the executors give what the driver gives."""
     import numpy as np
