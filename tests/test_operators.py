@@ -473,6 +473,25 @@ def test_augmented_vectors_are_not_written(spark, monkeypatch):
     assert all(abs(got[k] - want[k]).max() < 1e-12 and abs(late[k] - want[k]).max() < 1e-12 for k in want)
 
 
+@pytest.mark.parametrize("name, pairs", [("feature_rows", "fused"), ("lr_rerank_loro", "rows")])
+def test_scored_pairs_are_neither_written_nor_shuffled(spark, name, pairs):
+    """Scores of pairs stay in the task that has their candidate: what is written and dealt grows with postings, not with pairs."""
+    import os
+
+    import __spark_entry__
+    from relquill.sources.tables import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:")
+    old = set(os.listdir(at))
+    out = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    new = {x.rsplit("-", 1)[0] for x in set(os.listdir(at)) - old}
+    assert "postings" in new and pairs not in new
+    if name == "feature_rows":
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(qid" not in plan and "SortMergeJoin" not in plan
+
+
 def test_relation_metric_trains_on_all_triplets(spark, monkeypatch):
     """Beyond 60,000 triplets each still counts, and blocks on the executors give what the driver gives."""
     import numpy as np
