@@ -108,18 +108,55 @@ def retrieval_pools(overlaps: DataFrame, gold: DataFrame, groups: DataFrame, har
     return out.join(kept, "qid", "left_semi")
 
 
+#: Changes of a group that is drawn from inside one row, at most.
+ROW_CHANGES = 1_000
+
+
+def drawn_in_rows(own: DataFrame, size: int, seed: int) -> DataFrame:
+    """(qid, own, cands): what ``drawn`` draws for each query of ``own`` (grp, qid, cand) of a single, small group, from and without its own targets.
+
+    The members of a group lie in one row, and so do a query's strata: a change is shuffled once, by group, and what is drawn is not.
+    """
+    groups = own.groupBy("grp").agg(F.collect_list(F.struct("qid", "cand")).alias("x"))  # at most ROW_CHANGES
+    order = lambda f, *parts: F.transform(f, lambda c: F.struct(hash_text(seed, *parts, c).alias("h"), c.alias("cand")))
+    kept = lambda c: F.explode(F.array(c))  # noqa: E731  a generated column is computed once, a plain one wherever it is read
+    members = F.transform(F.sort_array(order(F.array_distinct("x.cand"), "grp")), lambda x: x["cand"])
+    of = F.transform(F.array_distinct("x.qid"), lambda q: F.struct(q.alias("qid"), F.transform(F.filter("x", lambda x: x["qid"] == q), lambda x: x["cand"]).alias("own")))
+    rows = groups.withColumn("members", kept(members)).select("members", F.explode(of).alias("q")).select("members", "q.qid", "q.own")
+    n = F.size("members").cast("long")
+    rows = rows.withColumn("of", kept(F.struct(n.alias("n"), F.least(n, F.lit(size) + F.size("own")).alias("m"))))
+    low = lambda j: F.floor(j * F.col("of.n") / F.col("of.m"))  # noqa: E731  exact for numbers of this size
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("of.m") - 1), lambda j: low(j) + F.pmod(hash_order(seed, "qid", j), low(j + 1) - low(j)))
+    left = F.array_except(F.transform(at, lambda k: F.get("members", k.cast("int"))), F.col("own"))
+    return rows.select("qid", "own", kept(F.transform(F.slice(F.sort_array(order(left, "qid")), 1, size), lambda x: x["cand"])).alias("cands"))
+
+
 def change_pools(changes: DataFrame, hard: int = 5, filler: int = 3, least: int = 1, seed: int = 2) -> DataFrame:
     """(qid, cand, kind): for each source (qid) of ``changes`` (grp, qid, cand) its own targets and others of its group as ``drawn`` draws them.
 
     The first ``hard`` of the others are hard negatives, the next ``filler`` fill up. Queries with fewer than ``least`` others are
-    left out.
+    left out. Groups of up to ROW_CHANGES changes are drawn from in rows; larger ones, those with nulls, and queries of several groups as places.
     """
     own = materialise(changes.select("grp", "qid", "cand").distinct(), "changes")
-    ranked = materialise(drawn(own, own, own, max(hard + filler, least), seed), "ranked")
+    size = max(hard + filler, least)
+    nulls = F.bool_or(F.col("grp").isNull() | F.col("qid").isNull() | F.col("cand").isNull())
+    large = materialise(own.groupBy("grp").agg(F.count("*").alias("n"), nulls.alias("nulls")).where((F.col("n") > ROW_CHANGES) | F.col("nulls")).select(F.col("grp").alias("of")), "large")
+    several = own.groupBy("qid").agg(F.min("grp").alias("least"), F.max("grp").alias("most"), F.bool_or(F.col("grp").isNull()).alias("nulls")).where("least <> most OR nulls").select("qid")
+    several = materialise(several, "several")
+    of_large = own.join(bounded(large), F.col("grp").eqNullSafe(F.col("of")), "left_semi").select("qid")
+    rest = materialise(of_large.union(several).where("qid IS NOT NULL").distinct(), "rest")
+    drawn_from = drawn_in_rows(own.join(bounded(large), F.col("grp") == F.col("of"), "left_anti").where("grp IS NOT NULL"), size, seed).join(bounded(rest), "qid", "left_anti")
+    kind = lambda k: F.when(k < hard, "hard").otherwise("filler")
+    others = F.transform(F.slice("cands", 1, hard + filler), lambda c, k: F.struct(c.alias("cand"), kind(k).alias("kind")))
+    every = F.concat(F.transform("own", lambda c: F.struct(c.alias("cand"), F.lit("positive").alias("kind"))), others)
+    out = drawn_from.where(F.size("cands") >= least).select("qid", F.explode(every).alias("x")).select("qid", "x.cand", "x.kind")
+    if rest.isEmpty():
+        return out
+    asked = own.join(bounded(rest), "qid", "left_semi")
+    ranked = materialise(drawn(asked, own, asked, size, seed), "ranked")
     kept = ranked.where(F.col("k") == least).select("qid")
-    kind = F.when(F.col("k") <= hard, "hard").otherwise("filler")
-    out = own.select("qid", "cand").distinct().select("qid", "cand", F.lit("positive").alias("kind")).union(ranked.where(F.col("k") <= hard + filler).select("qid", "cand", kind))
-    return out.join(kept, "qid", "left_semi")
+    placed = asked.select("qid", "cand").distinct().select("qid", "cand", F.lit("positive").alias("kind")).union(ranked.where(F.col("k") <= hard + filler).select("qid", "cand", kind(F.col("k") - 1)))
+    return out.union(placed.join(kept, "qid", "left_semi"))
 
 
 def inherited_split(records: DataFrame, answers: DataFrame, queries: DataFrame, default: str = "train") -> DataFrame:

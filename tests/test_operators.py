@@ -493,6 +493,24 @@ def test_scored_pairs_are_neither_written_nor_shuffled(spark, name, pairs):
         assert not re.search(r"Exchange hashpartitioning\(qid#\w+, cand", plan)
 
 
+def test_small_groups_are_drawn_in_rows(spark, monkeypatch):
+    """Pools of small groups are those of places, and nothing that is drawn is written; large groups, nulls and queries of two groups are mixed in."""
+    own = [(g, 10 * g + q, (7 * g + 3 * q + 5 * c) % 23) for g in range(6) for q in range(5) for c in range(4)] + [(1, 0, 99), (None, 77, 1), (2, 78, None), (2, None, 3)]
+    own += [(50, 900 + q, c) for q in range(4) for c in range(q, q + 9)]
+    df = spark.createDataFrame(own, "grp long, qid long, cand long")
+    run = lambda df: sorted(map(tuple, benchmarks.change_pools(df, 3, 2, 2).collect()), key=str)
+    written, write = [], benchmarks.materialise
+    monkeypatch.setattr(benchmarks, "materialise", lambda df, name: (written.append(name), write(df, name))[1])
+    plain = df.where("grp < 50 AND qid > 0 AND qid < 70 AND cand IS NOT NULL")
+    got = run(plain)
+    assert "ranked" not in written and "placed" not in written
+    both = []
+    for most in (30, 0):
+        monkeypatch.setattr(benchmarks, "ROW_CHANGES", most)
+        both.append((run(plain), run(df)))
+    assert both[0] == both[1] and both[0][0] == got and len(both[0][1]) > len(got) > 100
+
+
 def test_relation_metric_trains_on_all_triplets(spark, monkeypatch):
     """Beyond 60,000 triplets each still counts, and blocks on the executors give what the driver gives."""
     import numpy as np
